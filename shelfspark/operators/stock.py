@@ -136,7 +136,8 @@ def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
 def overlay_stock(items: DataFrame, sheet: DataFrame, order: list[str], sku_col: str = "master_sku",
                   stock_cols: list[str] = ("available_atp", "fba_stock", "fbf_stock", "sjit_stock")) -> DataFrame:
     """Items whose stripped SKU appears in the sheet get all four stock values
-    from it; other items keep theirs."""
+    from it (written as text, like the CSV cells they replace); other items
+    keep theirs."""
     vals = overlay_values(sheet, order)
     stock_cols = list(stock_cols)
     renamed = vals.select(F.col("master_sku").alias("_k"),
@@ -146,7 +147,8 @@ def overlay_stock(items: DataFrame, sheet: DataFrame, order: list[str], sku_col:
     out = []
     for c in items.columns:
         if c in stock_cols:
-            out.append(F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c).cast("bigint")).alias(c))
+            out.append(F.when(F.col("_hit"), F.col(f"_new_{c}").cast("string"))
+                       .otherwise(F.col(c).cast("string")).alias(c))
         else:
             out.append(F.col(c))
     return joined.select(*out)

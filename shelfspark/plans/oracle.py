@@ -60,7 +60,7 @@ V_STOCK_SHEET = """v_stock_sheet as (
     cast(l_linenumber * 3 as varchar) as fbf_stock,
     case when l_linenumber = 5 then concat('Sku-', cast(l_suppkey as varchar)) end as sjit,
     cast(l_linenumber as varchar) as sjit_stock,
-    l_partkey, l_suppkey, l_quantity
+    l_partkey, l_suppkey, l_quantity, l_shipdate
   from lineitem)"""
 
 V_CATALOG = """v_catalog as (
@@ -166,7 +166,7 @@ def oracle_sql() -> dict[str, str]:
 select l_orderkey, l_linenumber,
   {ck('uni')} as uni, {lint('uni_stock')} as uni_stock, {ck('fba')} as fba, {lint('fba_stock')} as fba_stock,
   {ck('fbf')} as fbf, {lint('fbf_stock')} as fbf_stock, {ck('sjit')} as sjit, {lint('sjit_stock')} as sjit_stock,
-  l_partkey, l_suppkey, l_quantity
+  l_partkey, l_suppkey, l_quantity, l_shipdate
 from v_stock_sheet where uni is not null"""
 
     q["dashboard"] = DASHBOARD_BASE + f"select {DASH_COLS} from _dash"
@@ -207,4 +207,6 @@ select i.row_no, '' as updated, {strip('i.master_sku')} as sku_code, i.style as
   coalesce(s.fbf_stock, 0) as fbf_stock, coalesce(s.sjit_stock, 0) as sjit_stock
 from v_item_master i left join _cs s on s.master_sku = {strip('i.master_sku')}"""
 
+    from shelfspark.plans.oracle_more import more_sql
+    q.update(more_sql())
     return q

@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scalars import ck, contains_ci, strip
+from shelfspark.functions.scalars import ck, contains_ci, non_blank, strip
+from shelfspark.operators import actions, quality, query, stock, tables
 from shelfspark.operators import dashboard as dash
-from shelfspark.operators import quality, query, stock
+from shelfspark.schemas import STOCK_COLUMNS
 from shelfspark.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +82,197 @@ def q_batch_dashboard(spark, sf):
     return dash.batch_dashboard(fx.stock_sheet(spark, sf), fx.item_master(spark, sf))
 
 
+def _actions(spark, sf):
+    return actions.apply_actions(fx.item_master(spark, sf), dash.sync_catalog(fx.catalog_rows(spark, sf)),
+                                 fx.numbered_actions(spark, sf))
+
+
+def q_actions_items(spark, sf):
+    return _actions(spark, sf).items
+
+
+def q_actions_catalog(spark, sf):
+    return _actions(spark, sf).catalog
+
+
+def q_actions_summary(spark, sf):
+    return _actions(spark, sf).summary
+
+
+def q_actions_errors(spark, sf):
+    return _actions(spark, sf).errors
+
+
+IMPORT_TS = "2024-01-02 03:04:05"
+
+
+def _import(spark, sf):
+    return actions.import_items(fx.legacy_items(spark, sf), fx.selection_rows(spark, sf), IMPORT_TS)
+
+
+def q_import_result(spark, sf):
+    return _import(spark, sf)[0]
+
+
+def q_import_summary(spark, sf):
+    return _import(spark, sf)[1]
+
+
+def q_catalog_sync(spark, sf):
+    rows = fx.catalog_rows(spark, sf)
+    old = dash.sync_catalog(rows.filter(F.col("mrp") < 1400))
+    return dash.sync_catalog(rows.filter(F.col("mrp") >= 1400), target=old)
+
+
+def _snapshots(spark, sf):
+    sheet = fx.stock_sheet(spark, sf)
+    return sheet.withColumn("snapshot", F.when(F.year("l_shipdate") < 1998, 1).otherwise(2))
+
+
+def q_stock_upsert(spark, sf):
+    sheet = _snapshots(spark, sf)
+    state = stock.channel_stock(sheet.filter(F.col("snapshot") == 1))
+    newest = stock.channel_stock(sheet.filter(F.col("snapshot") == 2))
+    return tables.upsert(state, newest, "master_sku", STOCK_COLUMNS)
+
+
+def q_stock_snapshots(spark, sf):
+    return stock.snapshot_stock(_snapshots(spark, sf), "snapshot")
+
+
+def q_channel_stock_join(spark, sf):
+    return stock.channel_stock(fx.stock_sheet(spark, sf), method="join")
+
+
+def q_overlay_stock(spark, sf):
+    items = fx.selection_rows(spark, sf).drop("n_fields")
+    return stock.overlay_stock(items, fx.stock_sheet(spark, sf), fx.SHEET_ORDER,
+                               stock_cols=["uniware_stock", "fba", "fbf", "sjit"])
+
+
+def q_item_search(spark, sf):
+    return query.query_items(_dashboard(spark, sf), search="KU-12").matching
+
+
+def q_item_availability_yes(spark, sf):
+    return query.query_items(_dashboard(spark, sf), availability="yes").matching
+
+
+def q_item_availability_no(spark, sf):
+    return query.query_items(_dashboard(spark, sf), availability="no").matching
+
+
+def q_item_prefix(spark, sf):
+    return query.find_items(_dashboard(spark, sf), prefix="sku-1")
+
+
+def q_item_in(spark, sf):
+    return query.find_items(_dashboard(spark, sf), keys=["SKU-10", "SKU-18", "SKU-400", "SKU-999999"])
+
+
+def q_item_by_id(spark, sf):
+    return query.find_items(_dashboard(spark, sf), item_id=17)
+
+
+def q_item_sort_text(spark, sf):
+    return query.query_items(_dashboard(spark, sf), sort_by="category", sort_dir="asc", page=3, page_size=100).items
+
+
+def q_item_sort_numeric(spark, sf):
+    return query.query_items(_dashboard(spark, sf), sort_by="fba_stock", sort_dir="desc", page=1, page_size=200).items
+
+
+def q_filters_categories(spark, sf):
+    return query.distinct_values(_dashboard(spark, sf), "category")
+
+
+def q_log_actions(spark, sf):
+    return query.distinct_values(fx.audit_log(spark, sf), "action")
+
+
+def q_logs_page(spark, sf):
+    return query.query_logs(fx.audit_log(spark, sf), username="user2", page=3, page_size=200).items
+
+
+def q_audit_daily(spark, sf):
+    logs = fx.audit_log(spark, sf)
+    return (logs.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "action")
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_export_view(spark, sf):
+    return query.export_view(_dashboard(spark, sf, priced=True))
+
+
+def q_visible_viewer(spark, sf):
+    return query.project_visible(_dashboard(spark, sf), "viewer", None)
+
+
+def q_display_view(spark, sf):
+    return query.display_view(_dashboard(spark, sf, priced=True), symbol="Rs ")
+
+
+def q_reconcile(spark, sf):
+    sheet = fx.stock_sheet(spark, sf)
+    cleaned = stock.clean_stock(sheet).select(
+        *[F.col(c).alias(n) for c, n in zip(["uni_stock", "fba_stock", "fbf_stock", "sjit_stock"], RECON)])
+    merged = _stock(spark, sf)
+    dashboard = _dashboard(spark, sf)
+    orphans = q_orphan_stock(spark, sf)
+    as_stock = lambda d, cols: d.select(*[F.col(c).alias(n) for c, n in zip(cols, RECON)])
+    return quality.reconcile({
+        "clean": cleaned,
+        "merged": as_stock(merged, STOCK_COLUMNS),
+        "dashboard": as_stock(dashboard, ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"]),
+        "orphans": as_stock(orphans, STOCK_COLUMNS),
+    }, RECON)
+
+
+def q_row_fields(spark, sf):
+    return quality.row_fields(_dashboard(spark, sf, priced=True), "id")
+
+
+def q_load_table_text(spark, sf):
+    return tables.as_text_table(fx.table(spark, sf, "part"))
+
+
+def q_table_counts(spark, sf):
+    names = ["part", "lineitem", "orders", "events"]
+    counts = tables.table_counts(spark, [f"{sf.rstrip('/')}/{n}.parquet" for n in names])
+    return counts.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table_name"), "rows", "error")
+
+
+def q_key_profile(spark, sf):
+    items = fx.item_master(spark, sf).select(ck("master_sku").alias("master_sku"))
+    return quality.key_profile(items, "master_sku")
+
+
+def q_duplicate_sample(spark, sf):
+    items = fx.item_master(spark, sf).withColumn("master_sku", ck("master_sku"))
+    return quality.duplicate_report(items, "master_sku", sample=3)
+
+
+def q_admin_stats(spark, sf):
+    return query.admin_stats(_dashboard(spark, sf))
+
+
+def q_count_where(spark, sf):
+    d = _dashboard(spark, sf)
+    return query.count_where(d, with_category=non_blank("category"), in_stock=F.col("available_atp") > 0)
+
+
+def q_fan_out(spark, sf):
+    items = fx.item_master(spark, sf).select(ck("master_sku").alias("sku_code"))
+    joined = dash.build_dashboard(fx.item_master(spark, sf), _stock(spark, sf))
+    return quality.fan_out(items, joined, "sku_code")
+
+
+def q_next_id(spark, sf):
+    return tables.next_id(_dashboard(spark, sf))
+
+
+RECON = ["uni", "fba", "fbf", "sjit"]
+
 QUERIES: dict[str, Query] = {
     "channel_stock": q_channel_stock,
     "clean_stock": q_clean_stock,
@@ -94,6 +286,42 @@ QUERIES: dict[str, Query] = {
     "action_counts": q_action_counts,
     "audit_counts": q_audit_counts,
     "batch_dashboard": q_batch_dashboard,
+    "actions_items": q_actions_items,
+    "actions_catalog": q_actions_catalog,
+    "actions_summary": q_actions_summary,
+    "actions_errors": q_actions_errors,
+    "import_result": q_import_result,
+    "import_summary": q_import_summary,
+    "catalog_sync": q_catalog_sync,
+    "stock_upsert": q_stock_upsert,
+    "stock_snapshots": q_stock_snapshots,
+    "channel_stock_join": q_channel_stock_join,
+    "overlay_stock": q_overlay_stock,
+    "item_search": q_item_search,
+    "item_availability_yes": q_item_availability_yes,
+    "item_availability_no": q_item_availability_no,
+    "item_prefix": q_item_prefix,
+    "item_in": q_item_in,
+    "item_by_id": q_item_by_id,
+    "item_sort_text": q_item_sort_text,
+    "item_sort_numeric": q_item_sort_numeric,
+    "filters_categories": q_filters_categories,
+    "log_actions": q_log_actions,
+    "logs_page": q_logs_page,
+    "audit_daily": q_audit_daily,
+    "export_view": q_export_view,
+    "visible_viewer": q_visible_viewer,
+    "display_view": q_display_view,
+    "reconcile": q_reconcile,
+    "row_fields": q_row_fields,
+    "load_table_text": q_load_table_text,
+    "table_counts": q_table_counts,
+    "key_profile": q_key_profile,
+    "duplicate_sample": q_duplicate_sample,
+    "admin_stats": q_admin_stats,
+    "count_where": q_count_where,
+    "fan_out": q_fan_out,
+    "next_id": q_next_id,
 }
 
 

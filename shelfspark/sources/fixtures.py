@@ -21,19 +21,25 @@ def _s(c) -> F.Column:
     return c.cast("string")
 
 
-def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Item master: padded and mixed-case keys, duplicated keys, null and blank categories."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    master_sku = F.concat(
+def _item_key(k: F.Column) -> F.Column:
+    return F.concat(
         F.when(k % 7 == 0, F.lit("  ")).otherwise(F.lit("")),
         F.when(k % 5 == 0, F.lit("sku-")).otherwise(F.lit("SKU-")),
         _s(k - F.when(k % 20 == 19, 1).otherwise(0)),
     )
-    category = F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 13 == 0, F.lit("")).otherwise(F.col("p_type"))
+
+
+def _item_category(k: F.Column) -> F.Column:
+    return F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 13 == 0, F.lit("")).otherwise(F.col("p_type"))
+
+
+def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item master: padded and mixed-case keys, duplicated keys, null and blank categories."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
     return p.select(
-        k.alias("row_no"), master_sku.alias("master_sku"), F.col("p_name").alias("style"),
-        F.col("p_size").alias("size"), category.alias("category"), F.col("p_brand").alias("loc"))
+        k.alias("row_no"), _item_key(k).alias("master_sku"), F.col("p_name").alias("style"),
+        F.col("p_size").alias("size"), _item_category(k).alias("category"), F.col("p_brand").alias("loc"))
 
 
 # Columns of lineitem that together order the sheet rows (file order).
@@ -57,7 +63,7 @@ def stock_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
         fba.alias("fba"), _s(ln * 2).alias("fba_stock"),
         fbf.alias("fbf"), _s(ln * 3).alias("fbf_stock"),
         sjit.alias("sjit"), _s(ln).alias("sjit_stock"),
-        *SHEET_ORDER[2:],
+        *SHEET_ORDER[2:], F.col("l_shipdate"),
     )
 
 
@@ -111,3 +117,44 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("User"), _s(F.col("user_id"))).alias("username"),
         F.upper(F.col("event_type")).alias("action"),
         F.col("ts"), F.col("value"))
+
+
+def numbered_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Action file rows with their 1-based row number in file order."""
+    from shelfspark.operators.tables import assign_ids
+    return assign_ids(action_rows(spark, sf_dir), ACTION_ORDER, id_col="row_no")
+
+
+def selection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item-selection file rows (positional columns) for the legacy importer:
+    the item master keys with prices and stock as text."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    return p.select(
+        k.alias("row_no"), _item_key(k).alias("master_sku"), F.col("p_name").alias("style"),
+        _s(F.col("p_size")).alias("size"), _item_category(k).alias("category"), F.col("p_brand").alias("location"),
+        _s(F.col("p_retailprice")).alias("cost"),
+        _s(F.col("p_size") * 7).alias("wholesale_price"),
+        F.concat(F.lit("Catalog "), F.col("p_brand")).alias("catalog"),
+        _s(F.col("p_size") * 10).alias("up_price"),
+        F.when(k % 9 == 0, F.lit("x")).otherwise(_s(F.col("p_size"))).alias("uniware_stock"),
+        _s(k % 4).alias("fba"), F.lit("").alias("fbf"), F.lit(None).cast("string").alias("sjit"),
+        F.lit("").alias("launch_date"),
+        F.when(k % 97 == 0, F.lit(1)).otherwise(F.lit(14)).alias("n_fields"),
+    )
+
+
+def legacy_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An existing legacy item table: one row per catalogue key (last row wins)."""
+    from shelfspark.functions.scalars import safe_int
+    from shelfspark.operators.tables import last_per_key
+    c = catalog_rows(spark, sf_dir)
+    rows = c.select(
+        "row_no", F.col("master_sku").alias("sku_code"), F.lit("Active").alias("status"),
+        F.lit("old").alias("item_name"), F.lit("").alias("size"), F.lit("").alias("category"),
+        F.lit("").alias("location"), safe_int(F.col("cost")).alias("cost"), F.lit(0).cast("bigint").alias("price"),
+        F.col("catalog_name").alias("catalog"), safe_int(F.col("mrp")).alias("mrp"),
+        *[F.lit(0).cast("bigint").alias(x) for x in ("available_atp", "fba_stock", "fbf_stock", "sjit_stock")],
+        F.lit("").alias("updated"), F.lit("19700101_000000").alias("import_batch"))
+    cols = [c for c in rows.columns if c not in ("row_no", "sku_code")]
+    return last_per_key(rows, "sku_code", cols, "row_no")
