@@ -221,3 +221,22 @@ def table_counts(spark: SparkSession, paths: list[str], fmt: str = "parquet") ->
         out = out.unionByName(d)
     return out
 
+
+
+def version_before(spark: SparkSession, base: str, schema: T.StructType, batch_id: int) -> DataFrame:
+    """The newest numeric version of a table written by a batch before
+    ``batch_id`` (typed empty when none). A retried batch therefore starts
+    from the same input as its first attempt, whatever it had written."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    best = None
+    if fs.exists(root):
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if st.isDirectory() and name.startswith("v=") and name[2:].isdigit() and int(name[2:]) < batch_id:
+                if best is None or int(name[2:]) > best:
+                    best = int(name[2:])
+    if best is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(os.path.join(base, f"v={best}"))
