@@ -27,7 +27,8 @@ def _items(items: DataFrame, key_fn=ck) -> DataFrame:
     )
 
 
-def build_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+def build_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | None = None,
+                    canonical: bool = True) -> DataFrame:
     """Left-join stock (one row per SKU) and the price catalogue (one row per
     SKU) onto every item row; missing values take defaults.
 
@@ -36,14 +37,20 @@ def build_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | Non
     Both joins are on the same cleaned key, so the item side is exchanged
     once; AQE turns either join into a broadcast join when the measured side
     is small, and splits a skewed item key.
+
+    ``canonical=True`` trusts that the stock and catalogue keys are already
+    canonical (both tables are only ever written that way), so the stock
+    aggregate's hash partitioning on the key is reused by the join instead
+    of re-cleaning the key and exchanging the stock side again.
     """
     item = _items(items)
+    key = (lambda c: F.col(c)) if canonical else (lambda c: ck(F.col(c)))
     st = stock.select(
-        ck(F.col("master_sku")).alias("sku_code"),
+        key("master_sku").alias("sku_code"),
         F.col("uniware_stock").alias("available_atp"), "fba_stock", "fbf_stock", "sjit_stock")
     out = item.join(st, "sku_code", "left")
     if catalog is not None:
-        cat = catalog.select(ck(F.col("master_sku")).alias("sku_code"),
+        cat = catalog.select(key("master_sku").alias("sku_code"),
                              *[F.col(c) for c in CATALOG_COLUMNS])
         out = out.join(cat, "sku_code", "left")
         catalog_name = F.coalesce(F.col("catalog_name"), F.lit(""))

@@ -25,7 +25,11 @@ class PageResult:
     matching: DataFrame
     page: int
     page_size: int
-    stats: DataFrame | None = None
+    source: DataFrame | None = None
+
+    def stats(self) -> DataFrame:
+        """Global KPIs over the unfiltered rows (one row)."""
+        return kpis(self.source)
 
     def total(self) -> int:
         return self.matching.count()
@@ -127,7 +131,7 @@ def query_items(items: DataFrame, search: str = "", status: str = "", availabili
     matching = item_filters(items, search, status, availability, category, legacy_null_text)
     order = sort_items(matching, sort_by, sort_dir, numeric_cols, legacy_null_text)
     page_df = matching.orderBy(*order).offset((page - 1) * page_size).limit(page_size)
-    return PageResult(page_df, matching, page, page_size, stats=kpis(items))
+    return PageResult(page_df, matching, page, page_size, source=items)
 
 
 def keyset_page(items: DataFrame, after_id: int, page_size: int = 50) -> DataFrame:

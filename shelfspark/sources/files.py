@@ -58,9 +58,10 @@ def _csv_reader(spark: SparkSession, schema: T.StructType, encoding: str | None,
 
 
 def _bad_utf8_files(spark: SparkSession, path) -> list[str]:
-    """Files whose UTF-8 decoding produced replacement characters (one row per file at most)."""
+    """Files holding bytes that are not valid UTF-8 (one row per file at most).
+    The text source keeps the raw bytes, so the test is on the bytes themselves."""
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value")
-    bad = text.filter(F.instr("value", "\ufffd") > 0).select("f").distinct()
+    bad = text.filter(~F.is_valid_utf8("value")).select("f").distinct()
     return [r.f for r in bad.collect()]
 
 

@@ -14,7 +14,18 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan over the available cores when it yields fewer input
+    partitions than cores (a file with a single row group is read by one
+    task, leaving every per-row expression on one core). A scan of many
+    files or row groups - the normal case at scale - is left untouched, so
+    no shuffle is added there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
 
 
 def _s(c) -> F.Column:
