@@ -72,3 +72,19 @@ def kpi_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 def check_columns(df: DataFrame, required: list[str]) -> list[str]:
     """Required columns that are missing (schema only, no job)."""
     return [c for c in required if c not in df.columns]
+
+
+def column_totals(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Sum of each column over all rows (one row)."""
+    return df.agg(*[F.coalesce(F.sum(F.col(c)), F.lit(0)).cast("bigint").alias(c) for c in cols])
+
+
+def observe_totals(df: DataFrame, name: str, cols: list[str]):
+    """Attach control totals to a DataFrame that is written anyway: the
+    totals are collected as a side effect of that write (no extra scan).
+    Returns (observed DataFrame, Observation); read ``obs.get`` after the action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"),
+                          *[F.coalesce(F.sum(F.col(c)), F.lit(0)).cast("bigint").alias(c) for c in cols])
+    return observed, obs

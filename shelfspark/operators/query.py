@@ -250,3 +250,26 @@ def admin_kpis(users: DataFrame, logs: DataFrame, imports: DataFrame, day) -> Da
     return (a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k")
             .join(c.withColumn("_k", F.lit(1)), "_k").drop("_k"))
 
+
+
+def public_users(users: DataFrame) -> DataFrame:
+    """User rows without the password column."""
+    return users.drop("password")
+
+
+def user_visible_columns(users: DataFrame, table: str = "item_master") -> DataFrame:
+    """Per user, the visible columns of a table: admin sees all, others the
+    listed ones, else the first five (a nested field with a default)."""
+    all_cols = F.array(*[F.lit(c) for c in DASHBOARD_COLUMNS])
+    first = F.array(*[F.lit(c) for c in DASHBOARD_COLUMNS[:DEFAULT_VISIBLE_COUNT]])
+    listed = F.col("column_permissions")[table]["visible"]
+    visible = F.when(F.col("role") == "admin", all_cols).when(
+        listed.isNotNull() & (F.size(listed) > 0), listed).otherwise(first)
+    return users.select("id", "username", "role", visible.alias("visible"),
+                        F.array_join(visible, ", ").alias("visible_text"))
+
+
+def page_access(users: DataFrame, page: str) -> DataFrame:
+    """Whether each user may open a page (listed in allowed_pages, or admin)."""
+    allowed = (F.col("role") == "admin") | F.coalesce(F.array_contains("allowed_pages", page), F.lit(False))
+    return users.select("id", "username", allowed.alias("allowed"))

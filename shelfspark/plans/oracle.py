@@ -92,15 +92,23 @@ V_AUDIT = """v_audit as (
     upper(event_type) as action, ts, value from events)"""
 
 
-def _channel_stock_body(sheet: str = "v_stock_sheet", upper: bool = True, by: str = "") -> str:
+def lint_thousands(x: str) -> str:
+    s = f"replace({strip(x)}, ',', '')"
+    return f"coalesce(case when regexp_full_match({s}, '[+-]?[0-9]+') then try_cast({s} as bigint) end, 0)"
+
+
+def _channel_stock_body(sheet: str = "v_stock_sheet", upper: bool = True, by: str = "",
+                        drop_first_null: bool = True, thousands: bool = False) -> str:
     key = ck if upper else strip
+    num = lint_thousands if thousands else lint
     by_sel = f"{by}, " if by else ""
     parts = []
     for ch, sku, qty in (("uni", "uni", "uni_stock"), ("fba", "fba", "fba_stock"),
                          ("fbf", "fbf", "fbf_stock"), ("sjit", "sjit", "sjit_stock")):
-        parts.append(f"select {by_sel}'{ch}' as ch, {key(sku)} as sku, {lint(qty)} as qty from _s")
+        parts.append(f"select {by_sel}'{ch}' as ch, {key(sku)} as sku, {num(qty)} as qty from _s")
     union = "\n    union all ".join(parts)
-    return f"""_s as (select * from {sheet} where uni is not null),
+    where = "where uni is not null" if drop_first_null else ""
+    return f"""_s as (select * from {sheet} {where}),
   _p as ({union}),
   _cs as (
     select {by_sel}sku as master_sku,

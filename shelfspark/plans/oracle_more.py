@@ -278,4 +278,31 @@ from v_item_master i join _d d on d.master_sku = {ck('i.master_sku')}"""
 select count(*) as before_rows, cast(count(distinct sku_code) as bigint) as before_distinct_keys,
   count(*) as after_rows, cast(count(distinct sku_code) as bigint) as after_distinct_keys from _item"""
     q["next_id"] = d + "select cast(coalesce(max(id), 0) + 1 as bigint) as next_id from _dash"
+    q["channel_totals_fba"] = with_views(V_STOCK_SHEET) + f"""
+select {ck('fba')} as master_sku, cast(sum({lint('fba_stock')}) as bigint) as fba_stock
+from v_stock_sheet where uni is not null and {ck('fba')} is not null and {ck('fba')} <> ''
+  and lower({ck('fba')}) not in ('uni', 'paste here :-')
+group by 1"""
+    q["channel_stock_keep_rows"] = with_views(V_STOCK_SHEET, _channel_stock_body(drop_first_null=False)) + \
+        "select * from _cs"
+    q["channel_stock_thousands"] = with_views(V_STOCK_SHEET, _channel_stock_body(thousands=True)) + \
+        "select * from _cs"
+    q["column_totals"] = d + """select cast(sum(available_atp) as bigint) as available_atp,
+  cast(sum(fba_stock) as bigint) as fba_stock, cast(sum(fbf_stock) as bigint) as fbf_stock,
+  cast(sum(sjit_stock) as bigint) as sjit_stock from _dash"""
+    q["top_stock"] = d + f"select {DASH_COLS} from _dash order by available_atp desc, id asc limit 10"
+    q["keyset_page"] = d + f"select {DASH_COLS} from _dash where id > 1000 order by id limit 50"
+    q["visible_custom"] = dp + "select id, sku_code, cost, available_atp from _dash"
+    q["legacy_status"] = with_views(V_CATALOG, V_SELECTION, LEGACY) + f"""
+, _last as (
+  select * from (select *, row_number() over (partition by sku_code order by row_no desc) as _rn
+                 from _sel where valid) where _rn = 1),
+_res as (
+  select sku_code, {LEGACY_COLS} from _last
+  union all
+  select sku_code, {LEGACY_COLS} from _legacy l where not exists (select 1 from _last s where s.sku_code = l.sku_code))
+select * from _res where (contains(lower(coalesce(sku_code, '')), 'sku-1') or contains(lower(coalesce(item_name, '')), 'sku-1'))
+  and lower(coalesce(status, '')) = 'active'"""
+    q["item_sort_text_legacy"] = d + f"""select {DASH_COLS} from _dash
+order by lower(coalesce(category, 'None')) desc, id asc limit 300"""
     return q

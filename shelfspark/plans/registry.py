@@ -271,6 +271,45 @@ def q_next_id(spark, sf):
     return tables.next_id(_dashboard(spark, sf))
 
 
+def q_channel_totals_fba(spark, sf):
+    cleaned = stock.clean_stock(fx.stock_sheet(spark, sf))
+    return stock.channel_totals(cleaned, "fba", "fba_stock")
+
+
+def q_channel_stock_keep_rows(spark, sf):
+    return stock.channel_stock(fx.stock_sheet(spark, sf), drop_when_first_null=False)
+
+
+def q_channel_stock_thousands(spark, sf):
+    return stock.channel_stock(fx.stock_sheet(spark, sf), thousands=True)
+
+
+def q_column_totals(spark, sf):
+    return quality.column_totals(_dashboard(spark, sf), ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"])
+
+
+def q_top_stock(spark, sf):
+    return query.top(_dashboard(spark, sf), [F.col("available_atp").desc(), F.col("id").asc()], 10)
+
+
+def q_keyset_page(spark, sf):
+    return query.keyset_page(_dashboard(spark, sf), after_id=1000, page_size=50)
+
+
+def q_visible_custom(spark, sf):
+    perms = {"item_master": {"visible": ["sku_code", "cost", "available_atp"]}}
+    return query.project_visible(_dashboard(spark, sf, priced=True), "viewer", perms)
+
+
+def q_legacy_status(spark, sf):
+    return query.item_filters(_import(spark, sf)[0], status="ACTIVE", search="sku-1")
+
+
+def q_item_sort_text_legacy(spark, sf):
+    return query.query_items(_dashboard(spark, sf), sort_by="category", sort_dir="desc", page=1, page_size=300,
+                             legacy_null_text=True).items
+
+
 RECON = ["uni", "fba", "fbf", "sjit"]
 
 QUERIES: dict[str, Query] = {
@@ -322,6 +361,15 @@ QUERIES: dict[str, Query] = {
     "count_where": q_count_where,
     "fan_out": q_fan_out,
     "next_id": q_next_id,
+    "channel_totals_fba": q_channel_totals_fba,
+    "channel_stock_keep_rows": q_channel_stock_keep_rows,
+    "channel_stock_thousands": q_channel_stock_thousands,
+    "column_totals": q_column_totals,
+    "top_stock": q_top_stock,
+    "keyset_page": q_keyset_page,
+    "visible_custom": q_visible_custom,
+    "legacy_status": q_legacy_status,
+    "item_sort_text_legacy": q_item_sort_text_legacy,
 }
 
 

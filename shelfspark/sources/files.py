@@ -187,3 +187,22 @@ def list_tables(spark: SparkSession, base: str) -> DataFrame:
     names = [] if not fs.exists(p) else sorted(
         s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory() and not s.getPath().getName().startswith(("_", ".")))
     return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+def read_profile_csv(spark: SparkSession, path, sample_ratio: float = 1.0) -> DataFrame:
+    """Header CSV with inferred types - for profiling scripts only; data paths
+    use the explicit all-text readers."""
+    return (spark.read.option("header", True).option("inferSchema", True)
+            .option("samplingRatio", sample_ratio).csv(path))
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """CSV with a header line, written as a directory of part files (one per
+    partition, written in parallel)."""
+    df.write.mode(mode).option("header", True).csv(path)
+    return path
+
+
+def shape(df: DataFrame) -> tuple[int, int]:
+    """(rows, columns) - one count job."""
+    return df.count(), len(df.columns)
