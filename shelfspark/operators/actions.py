@@ -198,12 +198,14 @@ def import_items(target: DataFrame, rows: DataFrame, batch_ts, row_col: str = "r
     exists = target.select("sku_code").distinct().withColumn("_exists", F.lit(True))
     counted = per_key.join(exists, "sku_code", "left")
     is_new = F.col("_exists").isNull()
-    summary_keys = counted.agg(
-        F.coalesce(F.sum(F.when(is_new, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("new_rows"),
-        F.coalesce(F.sum(F.when(is_new, F.col("m") - 1).otherwise(F.col("m"))), F.lit(0)).cast("bigint").alias("updated_rows"))
-    skipped = parsed.agg(F.count_if(~F.col("valid")).cast("bigint").alias("skipped"))
-    summary = (summary_keys.withColumn("_k", F.lit(1))
-               .join(skipped.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    # per-key outcomes and skipped rows unioned, then one global aggregate
+    outcomes = counted.select(F.when(is_new, 1).otherwise(0).alias("n"),
+                              F.when(is_new, F.col("m") - 1).otherwise(F.col("m")).alias("u"),
+                              F.lit(0).alias("s"))
+    skips = parsed.filter(~F.col("valid")).select(F.lit(0).alias("n"), F.lit(0).alias("u"), F.lit(1).alias("s"))
+    summary = outcomes.unionByName(skips).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a)
+          for c, a in (("n", "new_rows"), ("u", "updated_rows"), ("s", "skipped"))])
     updates = last_per_key(valid, "sku_code", LEGACY_COLUMNS, "row_no")
     table = upsert(target.select("sku_code", *LEGACY_COLUMNS), updates, "sku_code", LEGACY_COLUMNS)
     return table, summary

@@ -30,10 +30,17 @@ def duplicate_report(df: DataFrame, key: str, sample: int | None = None) -> Data
 
 def fan_out(left: DataFrame, joined: DataFrame, key: str) -> DataFrame:
     """Rows and distinct keys before and after a join (a fan-out shows as more
-    rows after with the same keys)."""
-    a = key_profile(left, key).select(*[F.col(c).alias(f"before_{c}") for c in ("rows", "distinct_keys")])
-    b = key_profile(joined, key).select(*[F.col(c).alias(f"after_{c}") for c in ("rows", "distinct_keys")])
-    return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    rows after with the same keys). Both sides are unioned with a side flag
+    and profiled in one aggregate (no join between the two profiles)."""
+    u = (left.select(F.col(key).alias("_k"), F.lit(True).alias("_b"))
+         .unionByName(joined.select(F.col(key).alias("_k"), F.lit(False).alias("_b"))))
+    out = []
+    for side, flag in (("before", F.col("_b")), ("after", ~F.col("_b"))):
+        out.append(F.count_if(flag).cast("bigint").alias(f"{side}_rows"))
+        distinct = (F.countDistinct(F.when(flag, F.col("_k")))
+                    + F.coalesce(F.max(F.when(flag & F.col("_k").isNull(), 1)), F.lit(0)))
+        out.append(distinct.cast("bigint").alias(f"{side}_distinct_keys"))
+    return u.agg(*out)
 
 
 def reconcile(stages: dict[str, DataFrame], cols: list[str]) -> DataFrame:

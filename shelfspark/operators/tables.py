@@ -223,20 +223,29 @@ def table_counts(spark: SparkSession, paths: list[str], fmt: str = "parquet") ->
 
 
 
-def version_before(spark: SparkSession, base: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """The newest numeric version of a table written by a batch before
-    ``batch_id`` (typed empty when none). A retried batch therefore starts
-    from the same input as its first attempt, whatever it had written."""
+def version_before(spark: SparkSession, base: str, schema: T.StructType, batch_id: int, prefix: str = "") -> DataFrame:
+    """The newest version ``v=<prefix><n>`` of a table written by a batch
+    before ``batch_id``; when there is none, the newest version written
+    outside that numbering (an initial load); typed empty when the table has
+    no version. A retried batch therefore starts from the same input as its
+    first attempt, whatever that attempt had already written."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(base)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best = None
+    best, base_version = None, None
     if fs.exists(root):
         for st in fs.listStatus(root):
             name = st.getPath().getName()
-            if st.isDirectory() and name.startswith("v=") and name[2:].isdigit() and int(name[2:]) < batch_id:
-                if best is None or int(name[2:]) > best:
-                    best = int(name[2:])
-    if best is None:
+            if not (st.isDirectory() and name.startswith("v=")):
+                continue
+            tag = name[2:]
+            num = tag[len(prefix):] if tag.startswith(prefix) else ""
+            if num.isdigit():
+                if int(num) < batch_id and (best is None or int(num) > best[0]):
+                    best = (int(num), name)
+            elif base_version is None or st.getModificationTime() > base_version[0]:
+                base_version = (st.getModificationTime(), name)
+    chosen = best[1] if best else (base_version[1] if base_version else None)
+    if chosen is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(os.path.join(base, f"v={best}"))
+    return spark.read.schema(schema).parquet(os.path.join(base, chosen))

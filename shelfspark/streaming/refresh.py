@@ -20,7 +20,7 @@ from shelfspark.operators import dashboard as dash
 from shelfspark.operators.actions import apply_actions
 from shelfspark.operators.stock import snapshot_stock
 from shelfspark.operators.tables import current, publish, upsert, version_before
-from shelfspark.schemas import CATALOG_PRICING, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
+from shelfspark.schemas import CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
 from shelfspark.session import checkpoint_dir
 from shelfspark.sources.files import POSITION, skip_leading_rows
 
@@ -87,14 +87,19 @@ def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFr
 def actions_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
                   price_map: str = "parity") -> DataFrame:
     """Apply one micro-batch of action files to the item and catalogue tables
-    (files in path order, rows in file order) and return the summary."""
+    (files in path order, rows in file order) and return the summary.
+
+    Inputs are the versions written before this batch id, so a retried batch
+    recomputes the same tables instead of applying the file twice."""
     from shelfspark.sources.files import add_row_numbers
     numbered = add_row_numbers(batch)
-    items = spark.read.parquet(_current_or_fail(spark, os.path.join(base, ITEMS)))
-    cat = current(spark, os.path.join(base, CATALOG), CATALOG_PRICING)
+    items = version_before(spark, os.path.join(base, ITEMS), ITEM_MASTER, batch_id, prefix="a")
+    cat = version_before(spark, os.path.join(base, CATALOG), CATALOG_PRICING, batch_id, prefix="a")
     res = apply_actions(items, cat, numbered, price_map=price_map)
-    new_items = res.items.withColumn("row_no", F.col("src") * F.lit(1 << 40) + F.col("src_row")).drop("src", "src_row")
-    publish(new_items, os.path.join(base, ITEMS), batch_id=f"a{batch_id}")
+    # items keep file order: existing rows first, then added rows in action order
+    new_items = (res.items.withColumn("row_no", F.col("src") * F.lit(1 << 40) + F.col("src_row"))
+                 .select(*ITEM_MASTER.fieldNames()))
+    publish(new_items, os.path.join(base, ITEMS), batch_id=f"a{batch_id}", schema=ITEM_MASTER)
     publish(res.catalog, os.path.join(base, CATALOG), batch_id=f"a{batch_id}", schema=CATALOG_PRICING)
     return res.summary
 

@@ -69,3 +69,37 @@ def test_audit_counts_windowed(spark, tmpdir_path):
     q.awaitTermination(120)
     rows = {(str(r.window.start)[:10], r.action): r.n for r in spark.sql("select * from audit_counts_test").collect()}
     assert rows == {("2024-01-01", "LOGIN"): 2, ("2024-01-02", "EXPORT"): 1}
+
+
+def test_action_stream_applies_once(spark, tmpdir_path):
+    from shelfspark.operators.tables import current, publish
+    from shelfspark.schemas import CATALOG_PRICING, ITEM_MASTER
+    base = os.path.join(tmpdir_path, "tables")
+    adir = os.path.join(tmpdir_path, "actions")
+    os.makedirs(adir)
+    items = spark.createDataFrame([(1, "SKU-1", "a", "M", "c", "L"), (2, "SKU-2", "b", "S", "c", "L")], ITEM_MASTER)
+    cat = spark.createDataFrame([("SKU-1", "d", "n", 1.0, 2.0, 3.0, 4.0)], CATALOG_PRICING)
+    publish(items, os.path.join(base, "item_master"), batch_id="init", schema=ITEM_MASTER)
+    publish(cat, os.path.join(base, "catalog_pricing"), batch_id="init", schema=CATALOG_PRICING)
+    header = ",".join(refresh.ACTION_FILE_COLUMNS) + "\n"
+    with open(os.path.join(adir, "a1.csv"), "w") as f:
+        f.write(header + "SKU-3,new,L,c,X,5,6,cat,7,0,0,0,0,2024-01-01,add\n"
+                         "sku-2,,,,,,,,,,,,,,delete\n"
+                         "SKU-1,ren,M,c,L,9,9,cat,8,0,0,0,0,,replace\n"
+                         ",,,,,,,,,,,,,,add\n")
+    q = refresh.stream_actions(spark, adir, base, checkpoint=os.path.join(tmpdir_path, "ck"))
+    q.awaitTermination(120)
+    got = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
+    assert got == {"SKU-1": "ren", "SKU-3": "new"}
+    c = {r.master_sku: (r.cost, r.up_price, r.mrp) for r in
+         current(spark, os.path.join(base, "catalog_pricing"), CATALOG_PRICING).collect()}
+    assert c == {"SKU-1": (9.0, 8.0, 4.0), "SKU-3": (5.0, 7.0, 0.0)}
+    # replaying batch 0 gives the same tables
+    batch = (spark.read.schema(refresh.all_strings(list(refresh.ACTION_FILE_COLUMNS))).option("header", True)
+             .csv(adir).select(*[F.col(f"`{k}`").alias(v) for k, v in refresh.ACTION_FILE_COLUMNS.items()],
+                               F.col("_metadata.file_path").alias("_file"),
+                               F.col("_metadata.file_block_start").alias("_block"))
+             .withColumn("_mid", F.monotonically_increasing_id()))
+    refresh.actions_batch(spark, batch, 0, base)
+    again = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
+    assert again == got
