@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import batch_stamp, lenient_float, row_message, safe_int, strip
-from shelfspark.operators.tables import last_per_key, upsert
 from shelfspark.schemas import ACTIONS, LEGACY_STATUS, MAX_ERROR_DETAILS
 
 ITEM_PAYLOAD = ["style", "size", "category", "loc"]
@@ -193,19 +192,22 @@ def import_items(target: DataFrame, rows: DataFrame, batch_ts, row_col: str = "r
     the target, else m updated; the last row in file order gives the values.
     """
     parsed = selection_to_legacy(rows, batch_ts, row_col)
-    valid = parsed.filter("valid")
-    per_key = valid.groupBy("sku_code").agg(F.count(F.lit(1)).alias("m"))
-    exists = target.select("sku_code").distinct().withColumn("_exists", F.lit(True))
-    counted = per_key.join(exists, "sku_code", "left")
-    is_new = F.col("_exists").isNull()
-    # per-key outcomes and skipped rows unioned, then one global aggregate
-    outcomes = counted.select(F.when(is_new, 1).otherwise(0).alias("n"),
-                              F.when(is_new, F.col("m") - 1).otherwise(F.col("m")).alias("u"),
-                              F.lit(0).alias("s"))
+    # target rows (side 0) and valid file rows (side 1) in one grouped
+    # aggregate: existence, rows per key and the last row's values together,
+    # one exchange on the key
+    t = target.select("sku_code", *LEGACY_COLUMNS, F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("row_no"))
+    u = parsed.filter("valid").select("sku_code", *LEGACY_COLUMNS, F.lit(1).alias("_side"), F.col("row_no").cast("bigint"))
+    grouped = t.unionByName(u).groupBy("sku_code").agg(
+        F.max(F.col("_side") == 0).alias("_exists"),
+        F.count_if(F.col("_side") == 1).alias("m"),
+        F.max_by(F.struct(*LEGACY_COLUMNS), F.struct("_side", "row_no")).alias("_v"))
+    table = grouped.select("sku_code", *[F.col("_v")[c].alias(c) for c in LEGACY_COLUMNS])
+    is_new = ~F.col("_exists")
+    outcomes = grouped.filter(F.col("m") > 0).select(
+        F.when(is_new, 1).otherwise(0).alias("n"),
+        F.when(is_new, F.col("m") - 1).otherwise(F.col("m")).alias("u"), F.lit(0).alias("s"))
     skips = parsed.filter(~F.col("valid")).select(F.lit(0).alias("n"), F.lit(0).alias("u"), F.lit(1).alias("s"))
     summary = outcomes.unionByName(skips).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(a)
           for c, a in (("n", "new_rows"), ("u", "updated_rows"), ("s", "skipped"))])
-    updates = last_per_key(valid, "sku_code", LEGACY_COLUMNS, "row_no")
-    table = upsert(target.select("sku_code", *LEGACY_COLUMNS), updates, "sku_code", LEGACY_COLUMNS)
     return table, summary

@@ -96,10 +96,7 @@ def batch_dashboard(sheet: DataFrame, items: DataFrame, junk: list[str] = JUNK_S
     )
 
 
-def catalog_updates(rows: DataFrame, order: str = "row_no") -> DataFrame:
-    """Catalogue file rows to table rows: key cleaned, prices parsed leniently
-    (missing or unparsable = 0.0), blank and null keys skipped, last row per
-    key in file order wins."""
+def _catalog_rows(rows: DataFrame, order: str) -> DataFrame:
     cols = {
         "master_sku": ck(F.col("master_sku")),
         "launch_date": F.col("launch_date").cast("string") if "launch_date" in rows.columns else F.lit(None).cast("string"),
@@ -108,14 +105,20 @@ def catalog_updates(rows: DataFrame, order: str = "row_no") -> DataFrame:
     for c in PRICE_COLUMNS:
         cols[c] = lenient_float(F.col(c)) if c in rows.columns else F.lit(0.0)
     parsed = rows.select(*[v.alias(k) for k, v in cols.items()], F.col(order))
-    parsed = parsed.filter(F.col("master_sku").isNotNull() & (F.col("master_sku") != ""))
-    return last_per_key(parsed, "master_sku", CATALOG_COLUMNS, order)
+    return parsed.filter(F.col("master_sku").isNotNull() & (F.col("master_sku") != ""))
+
+
+def catalog_updates(rows: DataFrame, order: str = "row_no") -> DataFrame:
+    """Catalogue file rows to table rows: key cleaned, prices parsed leniently
+    (missing or unparsable = 0.0), blank and null keys skipped, last row per
+    key in file order wins."""
+    return last_per_key(_catalog_rows(rows, order), "master_sku", CATALOG_COLUMNS, order)
 
 
 def sync_catalog(rows: DataFrame, target: DataFrame | None = None, order: str = "row_no") -> DataFrame:
     """Upsert catalogue file rows into the catalogue table (last write wins,
-    keys not in the file are kept)."""
-    updates = catalog_updates(rows, order)
+    keys not in the file are kept). The file's duplicates and the upsert are
+    resolved in the same grouped aggregate: one exchange."""
     if target is None:
-        return updates
-    return upsert(target, updates, "master_sku", CATALOG_COLUMNS)
+        return catalog_updates(rows, order)
+    return upsert(target, _catalog_rows(rows, order), "master_sku", CATALOG_COLUMNS, order=order)

@@ -97,8 +97,10 @@ def snapshot_stock(sheet: DataFrame, snapshot: str, junk: list[str] = JUNK_SKUS,
     return latest_snapshot(per_snapshot, "master_sku", snapshot, STOCK_COLUMNS)
 
 
-def _overlay_channel(sheet: DataFrame, order: list[str], ch: str, sku_col: str, qty_col: str) -> DataFrame:
-    """Last (in sheet order) value of one channel per SKU, as the overlay script reads it."""
+def _overlay_pair(ch: str, sku_col: str, qty_col: str) -> F.Column:
+    """(channel, sku, qty) of one channel of a sheet row, as the overlay script
+    reads it: quotes and commas dropped from the quantity, blank = 0,
+    unparsable = null; the SKU is null when blank or a junk literal."""
     sku = F.coalesce(strip(sku_col), F.lit(""))
     if ch != "uni":
         sku = F.regexp_replace(sku, '"', "")
@@ -107,30 +109,29 @@ def _overlay_channel(sheet: DataFrame, order: list[str], ch: str, sku_col: str,
     keep = (sku != "")
     for j in OVERLAY_JUNK[ch]:
         keep = keep & (sku != j)
-    rows = sheet.select(sku.alias("sku"), qty.alias("qty"), F.struct(*order).alias("_ord")).filter(keep)
-    if ch == "uni":
-        # the first pass sets the value (0 when unparsable) and resets the entry
-        val = F.max_by(F.coalesce(F.col("qty"), F.lit(0).cast("bigint")), F.col("_ord"))
-    else:
-        # later passes keep the previous value when the quantity does not parse
-        val = F.max_by(F.col("qty"), F.when(F.col("qty").isNotNull(), F.col("_ord")))
-    return rows.groupBy("sku").agg(val.alias(f"{ch}_v"), F.lit(True).alias(f"{ch}_seen"))
+    return F.struct(F.lit(ch).alias("channel"), F.when(keep, sku).alias("sku"), qty.alias("qty"))
 
 
 def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
     """Per SKU seen in any channel: the four stock values the overlay writes.
 
-    Every channel keeps its own last parsable value in sheet order; a channel
-    never seen for the SKU (or never parsable) gives 0.
+    Each channel keeps its own last value in sheet order - for the first
+    channel the last row's value (0 when unparsable), for the others the last
+    parsable one; a channel never seen (or never parsable) gives 0. One scan,
+    one exchange: the sheet rows are unpivoted into their four pairs and a
+    single grouped aggregate takes four conditional ``max_by``.
     """
-    parts = [_overlay_channel(sheet, order, ch, sku, qty) for ch, sku, qty, _ in CHANNELS]
-    long = None
-    for ch, part in zip([c[0] for c in CHANNELS], parts):
-        p = part.select("sku", F.lit(ch).alias("channel"), F.col(f"{ch}_v").alias("v"))
-        long = p if long is None else long.unionByName(p)
-    outs = [F.coalesce(F.max(F.when(F.col("channel") == ch, F.col("v"))), F.lit(0)).cast("bigint").alias(out)
-            for ch, _, _, out in CHANNELS]
-    return long.groupBy("sku").agg(*outs).withColumnRenamed("sku", "master_sku")
+    pairs = F.array(*[_overlay_pair(ch, sku, qty) for ch, sku, qty, _ in CHANNELS])
+    long = sheet.select(F.struct(*order).alias("_ord"), F.inline(pairs)).filter(F.col("sku").isNotNull())
+    outs = []
+    for ch, _, _, out in CHANNELS:
+        is_ch = F.col("channel") == ch
+        if ch == "uni":
+            v = F.max_by(F.coalesce(F.col("qty"), F.lit(0).cast("bigint")), F.when(is_ch, F.col("_ord")))
+        else:
+            v = F.max_by(F.col("qty"), F.when(is_ch & F.col("qty").isNotNull(), F.col("_ord")))
+        outs.append(F.coalesce(v, F.lit(0)).cast("bigint").alias(out))
+    return long.groupBy(F.col("sku").alias("master_sku")).agg(*outs)
 
 
 def overlay_stock(items: DataFrame, sheet: DataFrame, order: list[str], sku_col: str = "master_sku",
