@@ -51,7 +51,7 @@ def lenient_int(c, thousands: bool = False, default: int | None = 0) -> Column:
     """
     s = strip(c)
     if thousands:
-        s = F.regexp_replace(s, ",", "")
+        s = F.translate(s, ",", "")
     parsed = s.try_cast("bigint")
     return parsed if default is None else F.coalesce(parsed, F.lit(default).cast("bigint"))
 

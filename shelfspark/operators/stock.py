@@ -103,8 +103,8 @@ def _overlay_pair(ch: str, sku_col: str, qty_col: str) -> F.Column:
     unparsable = null; the SKU is null when blank or a junk literal."""
     sku = F.coalesce(strip(sku_col), F.lit(""))
     if ch != "uni":
-        sku = F.regexp_replace(sku, '"', "")
-    qty_text = F.coalesce(strip(F.regexp_replace(F.regexp_replace(F.col(qty_col), '"', ""), ",", "")), F.lit(""))
+        sku = F.translate(sku, '"', "")
+    qty_text = F.coalesce(strip(F.translate(F.col(qty_col), '",', "")), F.lit(""))
     qty = F.when(qty_text == "", F.lit(0).cast("bigint")).otherwise(qty_text.try_cast("bigint"))
     keep = (sku != "")
     for j in OVERLAY_JUNK[ch]:
@@ -122,7 +122,10 @@ def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
     single grouped aggregate takes four conditional ``max_by``.
     """
     pairs = F.array(*[_overlay_pair(ch, sku, qty) for ch, sku, qty, _ in CHANNELS])
-    long = sheet.select(F.struct(*order).alias("_ord"), F.inline(pairs)).filter(F.col("sku").isNotNull())
+    # a single integral order column keeps the aggregate buffer fixed-width,
+    # so Spark can use a hash aggregate instead of sorting all pairs
+    ord_col = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    long = sheet.select(ord_col.alias("_ord"), F.inline(pairs)).filter(F.col("sku").isNotNull())
     outs = []
     for ch, _, _, out in CHANNELS:
         is_ch = F.col("channel") == ch
