@@ -21,10 +21,17 @@ def _stock(spark, sf):
     return stock.channel_stock(fx.stock_sheet(spark, sf))
 
 
-def _dashboard(spark, sf, priced: bool = False) -> DataFrame:
+def _board(spark, sf, priced: bool = False) -> DataFrame:
+    """The dashboard rows without ids (for totals, filters and views that do
+    not page, sort or look up by id)."""
     items = fx.item_master(spark, sf)
     catalog = dash.sync_catalog(fx.catalog_rows(spark, sf)) if priced else None
-    return dash.publishable(dash.build_dashboard(items, _stock(spark, sf), catalog))
+    return dash.build_dashboard(items, _stock(spark, sf), catalog)
+
+
+def _dashboard(spark, sf, priced: bool = False) -> DataFrame:
+    """The published dashboard: rows with gap-free ids in item-file order."""
+    return dash.publishable(_board(spark, sf, priced))
 
 
 def q_channel_stock(spark, sf):
@@ -44,7 +51,7 @@ def q_dashboard_priced(spark, sf):
 
 
 def q_kpi(spark, sf):
-    return query.kpis(_dashboard(spark, sf))
+    return query.kpis(_board(spark, sf))
 
 
 def q_duplicates(spark, sf):
@@ -183,7 +190,7 @@ def q_item_sort_numeric(spark, sf):
 
 
 def q_filters_categories(spark, sf):
-    return query.distinct_values(_dashboard(spark, sf), "category")
+    return query.distinct_values(_board(spark, sf), "category")
 
 
 def q_log_actions(spark, sf):
@@ -201,7 +208,7 @@ def q_audit_daily(spark, sf):
 
 
 def q_export_view(spark, sf):
-    return query.export_view(_dashboard(spark, sf, priced=True))
+    return query.export_view(_board(spark, sf, priced=True))
 
 
 def q_visible_viewer(spark, sf):
@@ -217,7 +224,7 @@ def q_reconcile(spark, sf):
     cleaned = stock.clean_stock(sheet).select(
         *[F.col(c).alias(n) for c, n in zip(["uni_stock", "fba_stock", "fbf_stock", "sjit_stock"], RECON)])
     merged = _stock(spark, sf)
-    dashboard = _dashboard(spark, sf)
+    dashboard = _board(spark, sf)
     orphans = q_orphan_stock(spark, sf)
     as_stock = lambda d, cols: d.select(*[F.col(c).alias(n) for c, n in zip(cols, RECON)])
     return quality.reconcile({
@@ -253,11 +260,11 @@ def q_duplicate_sample(spark, sf):
 
 
 def q_admin_stats(spark, sf):
-    return query.admin_stats(_dashboard(spark, sf))
+    return query.admin_stats(_board(spark, sf))
 
 
 def q_count_where(spark, sf):
-    d = _dashboard(spark, sf)
+    d = _board(spark, sf)
     return query.count_where(d, with_category=non_blank("category"), in_stock=F.col("available_atp") > 0)
 
 
@@ -285,7 +292,7 @@ def q_channel_stock_thousands(spark, sf):
 
 
 def q_column_totals(spark, sf):
-    return quality.column_totals(_dashboard(spark, sf), ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"])
+    return quality.column_totals(_board(spark, sf), ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"])
 
 
 def q_top_stock(spark, sf):
