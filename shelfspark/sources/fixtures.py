@@ -23,8 +23,11 @@ def spread(df: DataFrame) -> DataFrame:
     task, leaving every per-row expression on one core). A scan of many
     files or row groups - the normal case at scale - is left untouched, so
     no shuffle is added there."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the scan as it is
+        return df
     return df.repartition(cores) if parts < cores else df
 
 

@@ -103,3 +103,27 @@ def test_action_stream_applies_once(spark, tmpdir_path):
     refresh.actions_batch(spark, batch, 0, base)
     again = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
     assert again == got
+
+
+def test_one_file_or_five_gives_batch_state(spark, tmpdir_path):
+    from shelfspark.operators import stock
+    from shelfspark.schemas import SHEET_COLUMNS, all_strings
+    rows = [(f"SKU-{i}", str(i % 7), f"SKU-{i}", "1", "", "", "", "") for i in range(50)]
+    items = spark.createDataFrame([(1, "SKU-1", "a", "M", "c", "L")],
+                                  "row_no long, master_sku string, style string, size string, category string, loc string")
+    states = []
+    for n_files in (1, 5):
+        d = os.path.join(tmpdir_path, f"s{n_files}")
+        os.makedirs(d)
+        per = len(rows) // n_files
+        for j in range(n_files):
+            _land(d, f"f{j}.csv", "".join(",".join(r) + "\n" for r in rows[j * per:(j + 1) * per]), time.time() - 10 + j)
+        base = os.path.join(tmpdir_path, f"t{n_files}")
+        q = refresh.stream_refresh(spark, d, base, items, checkpoint=os.path.join(tmpdir_path, f"c{n_files}"),
+                                   trigger="availableNow")
+        q.awaitTermination(120)
+        states.append({r.master_sku: tuple(r)[1:] for r in
+                       current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).collect()})
+    batch = {r.master_sku: tuple(r)[1:] for r in
+             stock.channel_stock(spark.createDataFrame(rows, all_strings(SHEET_COLUMNS))).collect()}
+    assert states[0] == states[1] == batch
