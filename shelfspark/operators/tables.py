@@ -12,7 +12,7 @@ import json
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,10 +88,12 @@ def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partiti
 
     The rows are range-partitioned and sorted on ``order``, materialised once
     in the shared checkpoint folder (so partition contents are fixed even if an
-    executor is lost), then each row gets ``offset(partition) + position``
-    where the offsets are a running sum over the per-partition counts - a table
-    with one row per partition, whose size is bounded by ``partitions``.
-    ``order`` should be unique (add a tie-break column) for reproducible ids.
+    executor is lost), then each row gets ``offset(partition) + position``.
+    The offsets are a running sum over the per-partition row counts: one small
+    job returns one count per partition (bounded by ``partitions``, like the
+    range bounds Spark itself samples), and the offsets join back as a local
+    table that is broadcast. ``order`` should be unique (add a tie-break
+    column) for reproducible ids.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
@@ -101,11 +103,14 @@ def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partiti
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     frozen = ranged.checkpoint(eager=True)
-    counts = frozen.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    # offsets has one row per partition (<= n rows): safe to broadcast.
-    with_ids = frozen.join(F.broadcast(offsets), "_pid")
+    counts = sorted((r["_pid"], r["_n"]) for r in
+                    frozen.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, running = [], 0
+    for pid, cnt in counts:
+        offsets.append((pid, running))
+        running += cnt
+    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
+    with_ids = frozen.join(F.broadcast(off_df), "_pid")
     new_id = (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint").alias(id_col)
     return with_ids.select(new_id, *[F.col(c) for c in df.columns if c != id_col])
 
