@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from shelfspark.operators.tables import duplicate_keys
 
 
-def key_profile(df: DataFrame, key: str) -> DataFrame:
-    """rows, distinct keys (null counted as one value), surplus rows."""
+def key_profile(df: DataFrame, key: str, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """rows, distinct keys (null counted as one value), surplus rows.
+    ``approx=True`` uses a HyperLogLog++ sketch (bounded memory, one pass)
+    instead of an exact distinct count."""
+    distinct = F.approx_count_distinct(F.col(key), rsd) if approx else F.countDistinct(F.col(key))
     prof = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        (F.countDistinct(F.col(key)) + F.max(F.col(key).isNull().cast("int"))).alias("distinct_keys"),
+        (distinct + F.max(F.col(key).isNull().cast("int"))).alias("distinct_keys"),
     ).select("rows", F.coalesce(F.col("distinct_keys"), F.lit(0)).cast("bigint").alias("distinct_keys"))
     return prof.withColumn("surplus", F.col("rows") - F.col("distinct_keys"))
 
@@ -81,6 +84,16 @@ def check_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def check_input(df: DataFrame, required: list[str] = ()) -> None:
+    """Raise before any work when required columns are missing or the input
+    has no row (``isEmpty`` reads at most one row)."""
+    missing = check_columns(df, list(required))
+    if missing:
+        raise ValueError(f"missing required columns: {missing}")
+    if df.isEmpty():
+        raise ValueError("input is empty")
+
+
 def column_totals(df: DataFrame, cols: list[str]) -> DataFrame:
     """Sum of each column over all rows (one row)."""
     return df.agg(*[F.coalesce(F.sum(F.col(c)), F.lit(0)).cast("bigint").alias(c) for c in cols])

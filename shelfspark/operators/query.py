@@ -37,6 +37,17 @@ class PageResult:
     def total_pages(self, total: int | None = None) -> int:
         return page_count(self.total() if total is None else total, self.page_size)
 
+    def envelope(self) -> dict:
+        """The response a caller renders: the page's rows (at most one page,
+        so bounded by the page-size limit), total, page, page size, page
+        count and the global KPIs."""
+        total = self.total()
+        out = {"items": [r.asDict() for r in self.items.collect()], "total": total, "page": self.page,
+               "page_size": self.page_size, "total_pages": page_count(total, self.page_size)}
+        if self.source is not None:
+            out["stats"] = self.stats().first().asDict()
+        return out
+
 
 def page_count(total: int, page_size: int) -> int:
     """ceil(total / size), and 1 for an empty result."""
@@ -154,6 +165,11 @@ def find_items(items: DataFrame, prefix: str | None = None, keys: list[str] | No
     return items if not conds else items.filter(reduce(lambda a, b: a & b, conds))
 
 
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """Point lookup: the first row whose key equals ``value`` (at most one row)."""
+    return df.filter(F.col(key) == value).limit(1)
+
+
 def distinct_values(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
     """Sorted distinct non-blank values of a column (as text)."""
     v = F.col(col).cast("string")

@@ -48,8 +48,11 @@ def add_row_numbers(df: DataFrame, col: str = "row_no", start: int = 1) -> DataF
     return assign_ids(df, POSITION, start=start, id_col=col)
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType, encoding: str | None, header: bool, quote: bool):
+def _csv_reader(spark: SparkSession, schema: T.StructType, encoding: str | None, header: bool, quote: bool,
+                multiline: bool = False):
     r = spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE")
+    if multiline:
+        r = r.option("multiLine", True)
     if encoding:
         r = r.option("encoding", encoding)
     if not quote:
@@ -66,7 +69,7 @@ def _bad_utf8_files(spark: SparkSession, path) -> list[str]:
 
 
 def read_positional_csv(spark: SparkSession, path, names: list[str], skip: int = 0, encoding: str | None = "auto",
-                        quote: bool = True, numbered: bool = False) -> DataFrame:
+                        quote: bool = True, numbered: bool = False, multiline: bool = False) -> DataFrame:
     """Headerless CSV, every column text, names assigned by position.
 
     Short rows are padded with null and extra cells dropped. ``skip`` drops
@@ -74,26 +77,34 @@ def read_positional_csv(spark: SparkSession, path, names: list[str], skip: int =
     drops them). ``encoding="auto"`` reads UTF-8 (a BOM is dropped) and
     re-reads files that do not decode as Latin-1. ``numbered`` adds a dense
     ``row_no`` in file order. The position columns are kept for ordering.
+    ``encoding="auto"`` costs one extra pass over the raw bytes; pass
+    ``"UTF-8"`` for large inputs known to be UTF-8. ``multiline=True`` allows
+    quoted line breaks (each file is then read by one task).
     """
     schema = all_strings(names)
-    df = _read_any(spark, path, schema, encoding, header=False, quote=quote)
+    df = _read_any(spark, path, schema, encoding, header=False, quote=quote, multiline=multiline)
     df = skip_leading_rows(df, skip)
     if numbered:
         df = add_row_numbers(df)
     return df
 
 
-def _read_any(spark, path, schema, encoding, header, quote):
+def _read_any(spark, path, schema, encoding, header, quote, multiline=False):
     if encoding == "auto":
         bad = set(_bad_utf8_files(spark, path))
-        good = _csv_reader(spark, schema, "UTF-8", header, quote).csv(path)
+        good = _csv_reader(spark, schema, "UTF-8", header, quote, multiline).csv(path)
         good = with_row_position(good)
         if not bad:
             return good
         good = good.filter(~F.col("_file").isin(*bad))
-        latin = with_row_position(_csv_reader(spark, schema, "ISO-8859-1", header, quote).csv(sorted(bad)))
+        latin = with_row_position(_csv_reader(spark, schema, "ISO-8859-1", header, quote, multiline).csv(sorted(bad)))
         return good.unionByName(latin)
-    return with_row_position(_csv_reader(spark, schema, encoding, header, quote).csv(path))
+    return with_row_position(_csv_reader(spark, schema, encoding, header, quote, multiline).csv(path))
+
+
+def name_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """Positional rename of all columns (schema only, no job)."""
+    return df.toDF(*names)
 
 
 def read_text_csv(spark: SparkSession, path, columns: list[str] | None = None, encoding: str | None = "auto",

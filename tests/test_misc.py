@@ -80,3 +80,31 @@ def test_export_and_display(spark):
     assert exp.columns[0] == "Master SKU" and exp.columns[-1] == "Action" and "Up Price" not in exp.columns
     d = query.display_view(items, symbol="Rs ").first()
     assert (d.item_name, d.cost, d.available_atp, d.in_stock, d.catalog) == ("-", "Rs 1.50", "1,234", True, "-")
+
+
+def test_small_helpers(spark, tmpdir_path):
+    import pytest
+    df = spark.createDataFrame([("A", 1), ("B", 2), ("A", 3), (None, 4)], "k string, v long")
+    assert query.lookup(df, "k", "A").count() == 1
+    p = quality.key_profile(df, "k", approx=True).first()
+    assert (p.rows, p.distinct_keys) == (4, 3)
+    with pytest.raises(ValueError):
+        quality.check_input(df, ["k", "missing"])
+    with pytest.raises(ValueError):
+        quality.check_input(df.filter("false"), ["k"])
+    quality.check_input(df, ["k"])
+    assert files.name_columns(df, ["a", "b"]).columns == ["a", "b"]
+    items = spark.createDataFrame([(i, f"SKU-{i}", i % 3, 0, 0, 0) for i in range(1, 8)],
+                                  "id long, sku_code string, available_atp long, fba_stock long, fbf_stock long, sjit_stock long")
+    env = query.query_items(items, page=2, page_size=3).envelope()
+    assert [r["id"] for r in env["items"]] == [4, 5, 6]
+    assert (env["total"], env["total_pages"], env["stats"]["total_skus"]) == (7, 3, 7)
+
+
+def test_multiline_quoted_breaks(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "m.csv")
+    with open(p, "w") as f:
+        f.write('banner\nSKU-1,"line one\nline two"\nSKU-2,x\n')
+    df = files.read_positional_csv(spark, p, ["a", "b"], skip=1, multiline=True, numbered=True)
+    got = [(r.row_no, r.a, r.b) for r in df.orderBy("row_no").collect()]
+    assert got == [(1, "SKU-1", "line one\nline two"), (2, "SKU-2", "x")]
