@@ -41,14 +41,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, creating a local one only if the
-    session names none (local tests)."""
+    """Return the shared checkpoint folder named by the session
+    (``spark.checkpoint.dir``). Only a local-mode session without one (tests)
+    gets a fresh temporary folder; on a cluster a missing setting is an error,
+    because a machine-local folder would not survive the loss of an executor."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a shared folder (for example on HDFS or object storage)")
         configured = tempfile.mkdtemp(prefix="shelfspark-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -145,3 +145,16 @@ def stream_audit_counts(logs: DataFrame, watermark: str = "1 day", window: str =
 
 
 __all__ = ["stream_refresh", "refresh_batch", "stream_actions", "actions_batch", "stream_audit_counts", "POSITION"]
+
+
+def refresh_once(spark: SparkSession, sheet_path: str, base: str, items: DataFrame,
+                 catalog: DataFrame | None = None, batch_id: int = 0, skip: int = SHEET_BANNER_ROWS) -> None:
+    """One batch refresh from landed sheet file(s), without a stream: the
+    same fold and publish as a streaming micro-batch with id ``batch_id``."""
+    batch = (spark.read.schema(all_strings(SHEET_COLUMNS)).option("header", False).option("mode", "PERMISSIVE")
+             .csv(sheet_path)
+             .select("*", F.col("_metadata.file_path").alias("_file"),
+                     F.col("_metadata.file_block_start").alias("_block"),
+                     F.col("_metadata.file_modification_time").alias("_mtime"),
+                     F.monotonically_increasing_id().alias("_mid")))
+    refresh_batch(spark, batch, batch_id, base, items, catalog, skip)

@@ -11,7 +11,7 @@ def _write(path, data: bytes):
 
 
 def test_positional_csv_skip_banner_bom_short_long(spark, tmpdir_path):
-    text = ("﻿Stock sheet,,,\nupdated today,,,\nuni,qty,fba,qty,fbf,qty,sjit,qty\n"
+    text = ("\ufeffStock sheet,,,\nupdated today,,,\nuni,qty,fba,qty,fbf,qty,sjit,qty\n"
             "SKU-1,\"1,234\",SKU-2,5,,,,\n\nSKU-3,7\nSKU-4,1,SKU-5,2,SKU-6,3,SKU-7,4,extra\n")
     p = os.path.join(tmpdir_path, "sheet.csv")
     _write(p, text.encode("utf-8"))
