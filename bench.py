@@ -28,7 +28,8 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app_name="shelfspark-bench")
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=cpus, app_name="shelfspark-bench",
+                          java_options=os.environ.get("BENCH_JAVA_OPTS"))
     qs = queries()
     # warm up the session (JVM, code paths) on the smallest query
     qs["action_counts"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -96,9 +96,10 @@ def batch_dashboard(sheet: DataFrame, items: DataFrame, junk: list[str] = JUNK_S
     )
 
 
-def _catalog_rows(rows: DataFrame, order: str) -> DataFrame:
+def _catalog_rows(rows: DataFrame, order: str, legacy_null_text: bool = False) -> DataFrame:
+    key = F.coalesce(F.col("master_sku"), F.lit("None")) if legacy_null_text else F.col("master_sku")
     cols = {
-        "master_sku": ck(F.col("master_sku")),
+        "master_sku": ck(key),
         "launch_date": F.col("launch_date").cast("string") if "launch_date" in rows.columns else F.lit(None).cast("string"),
         "catalog_name": F.col("catalog_name").cast("string") if "catalog_name" in rows.columns else F.lit(None).cast("string"),
     }
@@ -108,17 +109,19 @@ def _catalog_rows(rows: DataFrame, order: str) -> DataFrame:
     return parsed.filter(F.col("master_sku").isNotNull() & (F.col("master_sku") != ""))
 
 
-def catalog_updates(rows: DataFrame, order: str = "row_no") -> DataFrame:
+def catalog_updates(rows: DataFrame, order: str = "row_no", legacy_null_text: bool = False) -> DataFrame:
     """Catalogue file rows to table rows: key cleaned, prices parsed leniently
     (missing or unparsable = 0.0), blank and null keys skipped, last row per
-    key in file order wins."""
-    return last_per_key(_catalog_rows(rows, order), "master_sku", CATALOG_COLUMNS, order)
+    key in file order wins. ``legacy_null_text=True`` keeps a null key as the
+    SKU 'NONE' instead of skipping it."""
+    return last_per_key(_catalog_rows(rows, order, legacy_null_text), "master_sku", CATALOG_COLUMNS, order)
 
 
-def sync_catalog(rows: DataFrame, target: DataFrame | None = None, order: str = "row_no") -> DataFrame:
+def sync_catalog(rows: DataFrame, target: DataFrame | None = None, order: str = "row_no",
+                 legacy_null_text: bool = False) -> DataFrame:
     """Upsert catalogue file rows into the catalogue table (last write wins,
     keys not in the file are kept). The file's duplicates and the upsert are
     resolved in the same grouped aggregate: one exchange."""
     if target is None:
-        return catalog_updates(rows, order)
-    return upsert(target, _catalog_rows(rows, order), "master_sku", CATALOG_COLUMNS, order=order)
+        return catalog_updates(rows, order, legacy_null_text)
+    return upsert(target, _catalog_rows(rows, order, legacy_null_text), "master_sku", CATALOG_COLUMNS, order=order)

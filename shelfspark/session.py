@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
-                  app_name: str = "shelfspark") -> SparkSession:
+                  app_name: str = "shelfspark", java_options: str | None = None) -> SparkSession:
     """A session configured the way the operators expect (AQE on, UTC, no UI).
 
     The number of shuffle partitions is only a starting point: AQE coalesces
@@ -35,6 +35,8 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if java_options:
+        builder = builder.config("spark.driver.extraJavaOptions", java_options)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -63,13 +63,29 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: st
     publish(board, os.path.join(base, DASHBOARD), batch_id=batch_id)
 
 
+def report_error(spark: SparkSession, base: str, batch_id: int, exc: Exception) -> None:
+    """Append one error record (batch id, message, time) to ``base/refresh_errors``."""
+    msg = str(exc).strip().splitlines()[0][:500] if str(exc).strip() else type(exc).__name__
+    row = spark.createDataFrame([(int(batch_id), type(exc).__name__, msg)], "batch_id long, error string, message string")
+    row.withColumn("at", F.current_timestamp()).write.mode("append").json(os.path.join(base, "refresh_errors"))
+
+
 def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFrame,
                    catalog: DataFrame | None = None, checkpoint: str | None = None,
-                   trigger: str = "15 minutes", skip: int = SHEET_BANNER_ROWS) -> StreamingQuery:
+                   trigger: str = "15 minutes", skip: int = SHEET_BANNER_ROWS,
+                   on_error: str = "raise") -> StreamingQuery:
     """Keep the dashboard current from stock-sheet snapshot files landing in
     ``sheet_dir`` (headerless CSV, banner rows on top). ``trigger`` is a
     processing-time interval (the reference polls every 900 s),
-    ``"availableNow"`` or ``"once"``."""
+    ``"availableNow"`` or ``"once"``.
+
+    ``on_error="raise"`` stops the query on a failed batch; a restart retries
+    it from the checkpoint (nothing is lost). ``"report"`` records the failure
+    in ``base/refresh_errors`` and goes on with the next batch, as a periodic
+    refresh does: the failed snapshot is skipped and the next full snapshot
+    supersedes it."""
+    if on_error not in ("raise", "report"):
+        raise ValueError("on_error must be 'raise' or 'report'")
     src = (spark.readStream.schema(all_strings(SHEET_COLUMNS)).option("header", False)
            .option("mode", "PERMISSIVE").csv(sheet_dir)
            .select("*", F.col("_metadata.file_path").alias("_file"),
@@ -78,7 +94,12 @@ def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFr
 
     def run(batch: DataFrame, batch_id: int) -> None:
         positioned = batch.withColumn("_mid", F.monotonically_increasing_id())
-        refresh_batch(spark, positioned, batch_id, base, items, catalog, skip)
+        try:
+            refresh_batch(spark, positioned, batch_id, base, items, catalog, skip)
+        except Exception as exc:
+            if on_error == "raise":
+                raise
+            report_error(spark, base, batch_id, exc)
 
     writer = src.writeStream.foreachBatch(run).option("checkpointLocation", _checkpoint(spark, checkpoint, "refresh"))
     return _trigger(writer, trigger).start()

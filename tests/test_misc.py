@@ -108,3 +108,11 @@ def test_multiline_quoted_breaks(spark, tmpdir_path):
     df = files.read_positional_csv(spark, p, ["a", "b"], skip=1, multiline=True, numbered=True)
     got = [(r.row_no, r.a, r.b) for r in df.orderBy("row_no").collect()]
     assert got == [(1, "SKU-1", "line one\nline two"), (2, "SKU-2", "x")]
+
+
+def test_catalog_null_key_modes(spark):
+    from shelfspark.operators import dashboard
+    rows = spark.createDataFrame([(1, None, "c", "1"), (2, " sku-1 ", "d", "x")],
+                                 "row_no long, master_sku string, catalog_name string, cost string")
+    assert sorted(r.master_sku for r in dashboard.sync_catalog(rows).collect()) == ["SKU-1"]
+    assert sorted(r.master_sku for r in dashboard.sync_catalog(rows, legacy_null_text=True).collect()) == ["NONE", "SKU-1"]

@@ -127,3 +127,24 @@ def test_one_file_or_five_gives_batch_state(spark, tmpdir_path):
     batch = {r.master_sku: tuple(r)[1:] for r in
              stock.channel_stock(spark.createDataFrame(rows, all_strings(SHEET_COLUMNS))).collect()}
     assert states[0] == states[1] == batch
+
+
+def test_failed_batch_reported_and_next_applies(spark, tmpdir_path):
+    sheets = os.path.join(tmpdir_path, "sheets")
+    base = os.path.join(tmpdir_path, "tables")
+    os.makedirs(sheets)
+    items = spark.createDataFrame([(1, "SKU-1", "a", "M", "c", "L")],
+                                  "row_no long, master_sku string, style string, size string, category string, loc string")
+    ckpt = os.path.join(tmpdir_path, "ckpt")
+    # overflowing totals fail the batch under ANSI arithmetic
+    _land(sheets, "bad.csv", "SKU-1,9223372036854775807,,,,,,\nSKU-1,1,,,,,,\n", time.time() - 60)
+    q = refresh.stream_refresh(spark, sheets, base, items, checkpoint=ckpt, trigger="availableNow", on_error="report")
+    q.awaitTermination(120)
+    errs = spark.read.json(os.path.join(base, "refresh_errors")).collect()
+    assert len(errs) == 1 and errs[0].batch_id == 0
+    _land(sheets, "good.csv", "SKU-1,3,,,,,,\n", time.time())
+    q = refresh.stream_refresh(spark, sheets, base, items, checkpoint=ckpt, trigger="availableNow", on_error="report")
+    q.awaitTermination(120)
+    state = {r.master_sku: r.uniware_stock for r in
+             current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).collect()}
+    assert state == {"SKU-1": 3}
