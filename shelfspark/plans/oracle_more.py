@@ -305,4 +305,7 @@ select * from _res where (contains(lower(coalesce(sku_code, '')), 'sku-1') or co
   and lower(coalesce(status, '')) = 'active'"""
     q["item_sort_text_legacy"] = d + f"""select {DASH_COLS} from _dash
 order by lower(coalesce(category, 'None')) desc, id asc limit 300"""
+    q["audit_windows"] = with_views(V_AUDIT) + """select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start,
+  strftime(date_trunc('day', ts) + interval 1 day, '%Y-%m-%d %H:%M:%S') as window_end, action, count(*) as n
+from v_audit group by 1, 2, 3"""
     return q

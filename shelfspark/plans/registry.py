@@ -317,6 +317,15 @@ def q_item_sort_text_legacy(spark, sf):
                              legacy_null_text=True).items
 
 
+def q_audit_windows(spark, sf):
+    """The streaming audit counter's aggregation run as a batch over the log
+    (the watermark has no effect on a batch plan)."""
+    from shelfspark.streaming.refresh import stream_audit_counts
+    counts = stream_audit_counts(fx.audit_log(spark, sf), watermark="1 hour", window="1 day", ts_col="ts")
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                         F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "action", "n")
+
+
 RECON = ["uni", "fba", "fbf", "sjit"]
 
 QUERIES: dict[str, Query] = {
@@ -377,6 +386,7 @@ QUERIES: dict[str, Query] = {
     "visible_custom": q_visible_custom,
     "legacy_status": q_legacy_status,
     "item_sort_text_legacy": q_item_sort_text_legacy,
+    "audit_windows": q_audit_windows,
 }
 
 
