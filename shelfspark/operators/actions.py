@@ -189,19 +189,29 @@ def import_items(target: DataFrame, rows: DataFrame, batch_ts, row_col: str = "r
     SKU (exact match). Returns (new table, one-row summary new/updated/skipped).
 
     Per key with m valid rows: 1 new + (m - 1) updated when the key is not in
-    the target, else m updated; the last row in file order gives the values.
+    the target, else m updated; the last row in file order gives the values,
+    and an updated key gets ``updated_at`` = the batch time.
     """
     parsed = selection_to_legacy(rows, batch_ts, row_col)
     # target rows (side 0) and valid file rows (side 1) in one grouped
     # aggregate: existence, rows per key and the last row's values together,
     # one exchange on the key
-    t = target.select("sku_code", *LEGACY_COLUMNS, F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("row_no"))
-    u = parsed.filter("valid").select("sku_code", *LEGACY_COLUMNS, F.lit(1).alias("_side"), F.col("row_no").cast("bigint"))
+    old_stamp = F.col("updated_at").cast("string") if "updated_at" in target.columns else F.lit(None).cast("string")
+    t = target.select("sku_code", *LEGACY_COLUMNS, F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("row_no"),
+                      old_stamp.alias("updated_at"))
+    u = parsed.filter("valid").select("sku_code", *LEGACY_COLUMNS, F.lit(1).alias("_side"), F.col("row_no").cast("bigint"),
+                                      F.lit(None).cast("string").alias("updated_at"))
     grouped = t.unionByName(u).groupBy("sku_code").agg(
         F.max(F.col("_side") == 0).alias("_exists"),
         F.count_if(F.col("_side") == 1).alias("m"),
+        F.max(F.when(F.col("_side") == 0, F.col("updated_at"))).alias("_old_stamp"),
         F.max_by(F.struct(*LEGACY_COLUMNS), F.struct("_side", "row_no")).alias("_v"))
-    table = grouped.select("sku_code", *[F.col("_v")[c].alias(c) for c in LEGACY_COLUMNS])
+    # a row is updated (and stamped) when its key existed, or when the file
+    # repeats a new key (the first row inserts, the later ones update)
+    was_updated = (F.col("_exists") & (F.col("m") > 0)) | (F.col("m") > 1)
+    stamp = F.date_format(F.lit(batch_ts).cast("timestamp"), "yyyy-MM-dd HH:mm:ss")
+    table = grouped.select("sku_code", *[F.col("_v")[c].alias(c) for c in LEGACY_COLUMNS],
+                           F.when(was_updated, stamp).otherwise(F.col("_old_stamp")).alias("updated_at"))
     is_new = ~F.col("_exists")
     outcomes = grouped.filter(F.col("m") > 0).select(
         F.when(is_new, 1).otherwise(0).alias("n"),

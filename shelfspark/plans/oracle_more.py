@@ -119,11 +119,16 @@ def _import_sql() -> dict[str, str]:
     q = {}
     q["import_result"] = base + f"""
 , _last as (
-  select * from (select *, row_number() over (partition by sku_code order by row_no desc) as _rn
+  select * from (select *, row_number() over (partition by sku_code order by row_no desc) as _rn,
+                        count(*) over (partition by sku_code) as _m
                  from _sel where valid) where _rn = 1)
-select sku_code, {LEGACY_COLS} from _last
+select sku_code, {LEGACY_COLS},
+  case when _m > 1 or exists (select 1 from _legacy l where l.sku_code = s.sku_code)
+       then '2024-01-02 03:04:05' end as updated_at
+from _last s
 union all
-select sku_code, {LEGACY_COLS} from _legacy l where not exists (select 1 from _last s where s.sku_code = l.sku_code)"""
+select sku_code, {LEGACY_COLS}, cast(null as varchar) as updated_at
+from _legacy l where not exists (select 1 from _last s where s.sku_code = l.sku_code)"""
     q["import_summary"] = base + """
 , _pk as (select sku_code, count(*) as m from _sel where valid group by sku_code),
 _ck as (select p.m, exists (select 1 from _legacy l where l.sku_code = p.sku_code) as ex from _pk p)
@@ -293,15 +298,8 @@ group by 1"""
     q["top_stock"] = d + f"select {DASH_COLS} from _dash order by available_atp desc, id asc limit 10"
     q["keyset_page"] = d + f"select {DASH_COLS} from _dash where id > 1000 order by id limit 50"
     q["visible_custom"] = dp + "select id, sku_code, cost, available_atp from _dash"
-    q["legacy_status"] = with_views(V_CATALOG, V_SELECTION, LEGACY) + f"""
-, _last as (
-  select * from (select *, row_number() over (partition by sku_code order by row_no desc) as _rn
-                 from _sel where valid) where _rn = 1),
-_res as (
-  select sku_code, {LEGACY_COLS} from _last
-  union all
-  select sku_code, {LEGACY_COLS} from _legacy l where not exists (select 1 from _last s where s.sku_code = l.sku_code))
-select * from _res where (contains(lower(coalesce(sku_code, '')), 'sku-1') or contains(lower(coalesce(item_name, '')), 'sku-1'))
+    q["legacy_status"] = f"""select * from ({_import_sql()["import_result"]}) as r
+where (contains(lower(coalesce(sku_code, '')), 'sku-1') or contains(lower(coalesce(item_name, '')), 'sku-1'))
   and lower(coalesce(status, '')) = 'active'"""
     q["item_sort_text_legacy"] = d + f"""select {DASH_COLS} from _dash
 order by lower(coalesce(category, 'None')) desc, id asc limit 300"""

@@ -155,3 +155,5 @@ def test_import_items_counts(spark):
     got = {r.sku_code: (r.item_name, r.cost, r.import_batch) for r in table.collect()}
     assert got == {"A": ("new-a", 12, "20240102_030405"), "B": ("b2", 4, "20240102_030405"),
                    "a": ("lower", 1, "20240102_030405")}
+    stamps = {r.sku_code: r.updated_at for r in table.collect()}
+    assert stamps == {"A": "2024-01-02 03:04:05", "B": "2024-01-02 03:04:05", "a": None}
