@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 WHITESPACE = ("\t\n\x0b\x0c\r \x85\xa0\u1680"
               "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
               "\u2028\u2029\u202f\u205f\u3000")
-_WS = list(WHITESPACE)
 # A plain decimal number, optionally signed, with optional exponent.
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
@@ -26,6 +25,35 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The helpers below accept a column name or a Column. Given a name they build
+# the expression as one SQL text (one call into the JVM instead of one per
+# sub-expression - building a query is then cheap); given a Column they
+# compose it from pyspark functions. Both give the same expression tree.
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_str(text: str) -> str:
+    """A SQL string literal (backslashes and quotes escaped, other characters as \\uXXXX)."""
+    out = []
+    for ch in text:
+        if ch in "\\'":
+            out.append("\\" + ch)
+        elif " " < ch < "\x7f":
+            out.append(ch)
+        else:
+            out.append("\\u%04x" % ord(ch))
+    return "'" + "".join(out) + "'"
+
+
+def strip_sql(expr: str) -> str:
+    t = f"trim(CAST({expr} AS STRING))"
+    ws = _sql_str(WHITESPACE)
+    return (f"CASE WHEN instr({ws}, substring({t}, 1, 1)) > 0 OR instr({ws}, substring({t}, -1, 1)) > 0 "
+            f"THEN btrim({t}, {ws}) ELSE {t} END")
+
+
 def strip(c) -> Column:
     """Remove leading and trailing whitespace (any Unicode space, not only ' ').
 
@@ -33,13 +61,19 @@ def strip(c) -> Column:
     is still whitespace after that (tab, no-break space, ...) goes through the
     slower trim over the whole character set. No regular expression runs.
     """
+    if isinstance(c, str):
+        return F.expr(strip_sql(_ident(c)))
     t = F.trim(_col(c).cast("string"))
-    edge = F.substring(t, 1, 1).isin(*_WS) | F.substring(t, -1, 1).isin(*_WS)
-    return F.when(edge, F.btrim(t, F.lit(WHITESPACE))).otherwise(t)
+    ws = F.lit(WHITESPACE)
+    # instr(set, '') is 1, so '' also takes the (harmless) full-trim branch
+    edge = (F.instr(ws, F.substring(t, 1, 1)) > 0) | (F.instr(ws, F.substring(t, -1, 1)) > 0)
+    return F.when(edge, F.btrim(t, ws)).otherwise(t)
 
 
 def ck(c) -> Column:
     """Canonical key: stripped and upper-cased."""
+    if isinstance(c, str):
+        return F.expr(f"upper({strip_sql(_ident(c))})")
     return F.upper(strip(c))
 
 
@@ -49,6 +83,12 @@ def lenient_int(c, thousands: bool = False, default: int | None = 0) -> Column:
     ``thousands=True`` removes every ',' first, so "1,234" reads as 1234;
     otherwise it is unparsable.
     """
+    if isinstance(c, str):
+        s_sql = strip_sql(_ident(c))
+        if thousands:
+            s_sql = f"translate({s_sql}, ',', '')"
+        parsed_sql = f"try_cast({s_sql} AS BIGINT)"
+        return F.expr(parsed_sql if default is None else f"coalesce({parsed_sql}, CAST({int(default)} AS BIGINT))")
     s = strip(c)
     if thousands:
         s = F.translate(s, ",", "")
@@ -62,6 +102,10 @@ def lenient_float(c, default: float | None = 0.0) -> Column:
     Only plain decimal notation is accepted, which keeps Spark from reading
     suffixes such as '12d' that other parsers reject.
     """
+    if isinstance(c, str):
+        s_sql = strip_sql(_ident(c))
+        parsed_sql = f"CASE WHEN {s_sql} RLIKE {_sql_str(_DECIMAL)} THEN try_cast({s_sql} AS DOUBLE) END"
+        return F.expr(parsed_sql if default is None else f"coalesce({parsed_sql}, CAST({float(default)!r} AS DOUBLE))")
     s = strip(c)
     parsed = F.when(s.rlike(_DECIMAL), s.try_cast("double"))
     return parsed if default is None else F.coalesce(parsed, F.lit(default).cast("double"))
@@ -69,6 +113,11 @@ def lenient_float(c, default: float | None = 0.0) -> Column:
 
 def safe_int(c) -> Column:
     """Text -> float -> integer truncated toward zero; blank is 0, failure is 0."""
+    if isinstance(c, str):
+        s_sql = strip_sql(_ident(c))
+        as_double = f"CASE WHEN {s_sql} RLIKE {_sql_str(_DECIMAL)} THEN try_cast({s_sql} AS DOUBLE) END"
+        return F.expr(f"CASE WHEN coalesce({s_sql}, '') = '' THEN CAST(0 AS BIGINT) "
+                      f"ELSE coalesce(try_cast({as_double} AS BIGINT), CAST(0 AS BIGINT)) END")
     s = strip(c)
     as_double = F.when(s.rlike(_DECIMAL), s.try_cast("double"))
     truncated = as_double.try_cast("bigint")

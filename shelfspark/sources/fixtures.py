@@ -31,29 +31,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if parts < cores else df
 
 
-def _s(c) -> F.Column:
-    return c.cast("string")
+# Each view is one selectExpr over its base table: the SQL text is parsed in
+# the JVM in one call, and Catalyst prunes the scan to the columns it uses.
 
-
-def _item_key(k: F.Column) -> F.Column:
-    return F.concat(
-        F.when(k % 7 == 0, F.lit("  ")).otherwise(F.lit("")),
-        F.when(k % 5 == 0, F.lit("sku-")).otherwise(F.lit("SKU-")),
-        _s(k - F.when(k % 20 == 19, 1).otherwise(0)),
-    )
-
-
-def _item_category(k: F.Column) -> F.Column:
-    return F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 13 == 0, F.lit("")).otherwise(F.col("p_type"))
+ITEM_KEY_SQL = ("concat(CASE WHEN p_partkey % 7 = 0 THEN '  ' ELSE '' END, "
+                "CASE WHEN p_partkey % 5 = 0 THEN 'sku-' ELSE 'SKU-' END, "
+                "CAST(p_partkey - CASE WHEN p_partkey % 20 = 19 THEN 1 ELSE 0 END AS STRING))")
+ITEM_CATEGORY_SQL = "CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN '' ELSE p_type END"
 
 
 def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item master: padded and mixed-case keys, duplicated keys, null and blank categories."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    return p.select(
-        k.alias("row_no"), _item_key(k).alias("master_sku"), F.col("p_name").alias("style"),
-        F.col("p_size").alias("size"), _item_category(k).alias("category"), F.col("p_brand").alias("loc"))
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS row_no", f"{ITEM_KEY_SQL} AS master_sku", "p_name AS style", "p_size AS size",
+        f"{ITEM_CATEGORY_SQL} AS category", "p_brand AS loc")
 
 
 # Columns of lineitem that together order the sheet rows (file order).
@@ -62,37 +53,32 @@ SHEET_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quanti
 
 def stock_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide stock sheet: four independent (sku, qty) channels, junk keys, bad quantities."""
-    li = table(spark, sf_dir, "lineitem")
-    ok, ln = F.col("l_orderkey"), F.col("l_linenumber")
-    uni = (F.when(ok % 101 == 0, F.lit("paste here :-")).when(ok % 103 == 0, F.lit("UNI"))
-           .when(ln == 7, F.lit(None).cast("string")).otherwise(F.concat(F.lit(" sku-"), _s(F.col("l_partkey")))))
-    uni_stock = (F.when(ok % 17 == 0, F.lit("n/a")).when(ok % 19 == 0, F.lit("1,234"))
-                 .otherwise(_s(F.col("l_quantity").cast("bigint"))))
-    fba = F.when(ln.isin(1, 2, 7), F.concat(F.lit("SKU-"), _s(F.col("l_partkey") + 3)))
-    fbf = F.when(ln.isin(3, 4), F.concat(F.lit("SKU-"), _s(F.col("l_partkey") * 2))).otherwise(F.lit(""))
-    sjit = F.when(ln == 5, F.concat(F.lit("Sku-"), _s(F.col("l_suppkey"))))
-    return li.select(
-        *SHEET_ORDER[:2],
-        uni.alias("uni"), uni_stock.alias("uni_stock"),
-        fba.alias("fba"), _s(ln * 2).alias("fba_stock"),
-        fbf.alias("fbf"), _s(ln * 3).alias("fbf_stock"),
-        sjit.alias("sjit"), _s(ln).alias("sjit_stock"),
-        *SHEET_ORDER[2:], F.col("l_shipdate"),
-    )
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber",
+        "CASE WHEN l_orderkey % 101 = 0 THEN 'paste here :-' WHEN l_orderkey % 103 = 0 THEN 'UNI' "
+        "WHEN l_linenumber = 7 THEN NULL ELSE concat(' sku-', CAST(l_partkey AS STRING)) END AS uni",
+        "CASE WHEN l_orderkey % 17 = 0 THEN 'n/a' WHEN l_orderkey % 19 = 0 THEN '1,234' "
+        "ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS uni_stock",
+        "CASE WHEN l_linenumber IN (1, 2, 7) THEN concat('SKU-', CAST(l_partkey + 3 AS STRING)) END AS fba",
+        "CAST(l_linenumber * 2 AS STRING) AS fba_stock",
+        "CASE WHEN l_linenumber IN (3, 4) THEN concat('SKU-', CAST(l_partkey * 2 AS STRING)) ELSE '' END AS fbf",
+        "CAST(l_linenumber * 3 AS STRING) AS fbf_stock",
+        "CASE WHEN l_linenumber = 5 THEN concat('Sku-', CAST(l_suppkey AS STRING)) END AS sjit",
+        "CAST(l_linenumber AS STRING) AS sjit_stock",
+        "l_partkey", "l_suppkey", "l_quantity", "l_shipdate")
 
 
 def catalog_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price catalogue file rows: two rows for many keys (last by row_no wins),
     unparsable costs, and rows whose key matches no item."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    master_sku = F.when(k % 3 == 0, F.concat(F.lit("OLD-"), _s(k))).otherwise(F.concat(F.lit("SKU-"), _s(k - k % 2)))
-    cost = (F.when(k % 23 == 0, F.lit("Pending")).when(k % 29 == 0, F.lit("."))
-            .otherwise(_s(F.col("p_size").cast("bigint") * 10)))
-    return p.select(
-        k.alias("row_no"), master_sku.alias("master_sku"),
-        F.concat(F.lit("Catalog "), F.col("p_brand")).alias("catalog_name"),
-        cost.alias("cost"), F.col("p_retailprice").alias("mrp"))
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS row_no",
+        "CASE WHEN p_partkey % 3 = 0 THEN concat('OLD-', CAST(p_partkey AS STRING)) "
+        "ELSE concat('SKU-', CAST(p_partkey - p_partkey % 2 AS STRING)) END AS master_sku",
+        "concat('Catalog ', p_brand) AS catalog_name",
+        "CASE WHEN p_partkey % 23 = 0 THEN 'Pending' WHEN p_partkey % 29 = 0 THEN '.' "
+        "ELSE CAST(CAST(p_size AS BIGINT) * 10 AS STRING) END AS cost",
+        "p_retailprice AS mrp")
 
 
 # Columns of lineitem that together order the action file rows.
@@ -102,35 +88,25 @@ ACTION_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quant
 def action_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action file rows (one per line item): add / replace / delete / blank / unknown
     actions with the export columns as payload, some rows missing their SKU."""
-    li = table(spark, sf_dir, "lineitem")
-    ln = F.col("l_linenumber")
-    action = (F.when(ln == 1, F.lit(" Add ")).when(ln == 2, F.lit("replace")).when(ln == 3, F.lit("DELETE"))
-              .when(ln == 4, F.lit("merge")).otherwise(F.lit("")))
-    sku = F.when(F.col("l_suppkey") % 37 == 0, F.lit(" ")).otherwise(F.concat(F.lit("SKU-"), _s(F.col("l_partkey"))))
-    return li.select(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         *ACTION_ORDER,
-        sku.alias("master_sku"),
-        F.concat(F.lit("Style "), _s(F.col("l_suppkey"))).alias("item_name"),
-        _s(ln).alias("size"),
-        F.col("l_returnflag").alias("category"),
-        F.col("l_linestatus").alias("location"),
-        _s(F.col("l_quantity")).alias("cost"),
-        _s(F.col("l_extendedprice")).alias("price"),
-        F.concat(F.lit("Catalog "), _s(F.col("l_suppkey"))).alias("catalog"),
-        F.when(ln == 6, F.lit("n/a")).otherwise(_s(F.col("l_tax") * 100)).alias("mrp"),
-        F.date_format(F.col("l_shipdate"), "yyyy-MM-dd").alias("updated"),
-        action.alias("action"),
-    )
+        "CASE WHEN l_suppkey % 37 = 0 THEN ' ' ELSE concat('SKU-', CAST(l_partkey AS STRING)) END AS master_sku",
+        "concat('Style ', CAST(l_suppkey AS STRING)) AS item_name",
+        "CAST(l_linenumber AS STRING) AS size",
+        "l_returnflag AS category", "l_linestatus AS location",
+        "CAST(l_quantity AS STRING) AS cost", "CAST(l_extendedprice AS STRING) AS price",
+        "concat('Catalog ', CAST(l_suppkey AS STRING)) AS catalog",
+        "CASE WHEN l_linenumber = 6 THEN 'n/a' ELSE CAST(l_tax * 100 AS STRING) END AS mrp",
+        "date_format(l_shipdate, 'yyyy-MM-dd') AS updated",
+        "CASE WHEN l_linenumber = 1 THEN ' Add ' WHEN l_linenumber = 2 THEN 'replace' "
+        "WHEN l_linenumber = 3 THEN 'DELETE' WHEN l_linenumber = 4 THEN 'merge' ELSE '' END AS action")
 
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit log entries from the event stream."""
-    e = table(spark, sf_dir, "events")
-    return e.select(
-        F.col("event_id").alias("id"),
-        F.concat(F.lit("User"), _s(F.col("user_id"))).alias("username"),
-        F.upper(F.col("event_type")).alias("action"),
-        F.col("ts"), F.col("value"))
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS id", "concat('User', CAST(user_id AS STRING)) AS username",
+        "upper(event_type) AS action", "ts", "value")
 
 
 def numbered_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,20 +118,14 @@ def numbered_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def selection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Item-selection file rows (positional columns) for the legacy importer:
     the item master keys with prices and stock as text."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    return p.select(
-        k.alias("row_no"), _item_key(k).alias("master_sku"), F.col("p_name").alias("style"),
-        _s(F.col("p_size")).alias("size"), _item_category(k).alias("category"), F.col("p_brand").alias("location"),
-        _s(F.col("p_retailprice")).alias("cost"),
-        _s(F.col("p_size") * 7).alias("wholesale_price"),
-        F.concat(F.lit("Catalog "), F.col("p_brand")).alias("catalog"),
-        _s(F.col("p_size") * 10).alias("up_price"),
-        F.when(k % 9 == 0, F.lit("x")).otherwise(_s(F.col("p_size"))).alias("uniware_stock"),
-        _s(k % 4).alias("fba"), F.lit("").alias("fbf"), F.lit(None).cast("string").alias("sjit"),
-        F.lit("").alias("launch_date"),
-        F.when(k % 97 == 0, F.lit(1)).otherwise(F.lit(14)).alias("n_fields"),
-    )
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS row_no", f"{ITEM_KEY_SQL} AS master_sku", "p_name AS style",
+        "CAST(p_size AS STRING) AS size", f"{ITEM_CATEGORY_SQL} AS category", "p_brand AS location",
+        "CAST(p_retailprice AS STRING) AS cost", "CAST(p_size * 7 AS STRING) AS wholesale_price",
+        "concat('Catalog ', p_brand) AS catalog", "CAST(p_size * 10 AS STRING) AS up_price",
+        "CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE CAST(p_size AS STRING) END AS uniware_stock",
+        "CAST(p_partkey % 4 AS STRING) AS fba", "'' AS fbf", "CAST(NULL AS STRING) AS sjit", "'' AS launch_date",
+        "CASE WHEN p_partkey % 97 = 0 THEN 1 ELSE 14 END AS n_fields")
 
 
 def legacy_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,16 @@ def test_row_message(spark):
     df = spark.createDataFrame([(3, ""), (4, "SKU-1")], "r long, s string")
     out = [r[0] for r in df.select(S.row_message("r", "s", F.lit("bad"))).collect()]
     assert out == ["Row 3: bad", "Row 4 (SKU: SKU-1): bad"]
+
+
+def test_name_and_column_paths_agree(spark):
+    vals = ["  a ", " b\t", "c", None, "   ", "12", " +5 ", "1,234", "12.9", "1e3", "NaN", "12d", "-3.7",
+            "9223372036854775808", "x'y\\\\z"]
+    df = spark.createDataFrame([(v,) for v in vals], "x string")
+    fns = [S.strip, S.ck, S.lenient_int, lambda c: S.lenient_int(c, thousands=True), S.lenient_float, S.safe_int,
+           lambda c: S.lenient_float(c, default=None)]
+    for fn in fns:
+        by_name = [r[0] for r in df.select(fn("x")).collect()]
+        by_col = [r[0] for r in df.select(fn(F.col("x"))).collect()]
+        assert by_name == by_col
+    assert [r[0] for r in df.select(S.strip("x")).collect()][:5] == ["a", "b", "c", None, ""]
