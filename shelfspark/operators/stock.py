@@ -120,6 +120,10 @@ def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
     parsable one; a channel never seen (or never parsable) gives 0. One scan,
     one exchange: the sheet rows are unpivoted into their four pairs and a
     single grouped aggregate takes four conditional ``max_by``.
+    With one integral order column (e.g. ``row_no`` from the file readers)
+    the aggregate is a hash aggregate; a multi-column order makes the buffer
+    a struct, which Spark aggregates by sorting (still with a partial,
+    map-side step).
     """
     pairs = F.array(*[_overlay_pair(ch, sku, qty) for ch, sku, qty, _ in CHANNELS])
     # a single integral order column keeps the aggregate buffer fixed-width,
