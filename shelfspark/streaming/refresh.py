@@ -106,9 +106,11 @@ def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFr
 
 
 def actions_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
-                  price_map: str = "parity") -> DataFrame:
+                  price_map: str = "parity", refresh_dashboard: bool = True) -> DataFrame:
     """Apply one micro-batch of action files to the item and catalogue tables
-    (files in path order, rows in file order) and return the summary.
+    (files in path order, rows in file order) and return the summary. With
+    ``refresh_dashboard`` the dashboard is rebuilt from the new tables and
+    the current stock state right after, as an import triggers a refresh.
 
     Inputs are the versions written before this batch id, so a retried batch
     recomputes the same tables instead of applying the file twice."""
@@ -122,6 +124,12 @@ def actions_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: st
                  .select(*ITEM_MASTER.fieldNames()))
     publish(new_items, os.path.join(base, ITEMS), batch_id=f"a{batch_id}", schema=ITEM_MASTER)
     publish(res.catalog, os.path.join(base, CATALOG), batch_id=f"a{batch_id}", schema=CATALOG_PRICING)
+    if refresh_dashboard:
+        stock = current(spark, os.path.join(base, STATE), STOCK_UPDATE)
+        items_now = current(spark, os.path.join(base, ITEMS), ITEM_MASTER)
+        cat_now = current(spark, os.path.join(base, CATALOG), CATALOG_PRICING)
+        board = dash.publishable(dash.build_dashboard(items_now, stock, cat_now))
+        publish(board, os.path.join(base, DASHBOARD), batch_id=f"a{batch_id}")
     return res.summary
 
 

@@ -103,6 +103,10 @@ def test_action_stream_applies_once(spark, tmpdir_path):
     refresh.actions_batch(spark, batch, 0, base)
     again = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
     assert again == got
+    # the import refreshed the dashboard (no stock state yet: stock is 0)
+    board = spark.read.parquet(refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    assert {(r.id, r.sku_code, r.item_name, r.up_price) for r in board.collect()} == {
+        (1, "SKU-1", "ren", 8.0), (2, "SKU-3", "new", 7.0)}
 
 
 def test_one_file_or_five_gives_batch_state(spark, tmpdir_path):
