@@ -30,11 +30,11 @@ def _col(c) -> Column:
 # sub-expression - building a query is then cheap); given a Column they
 # compose it from pyspark functions. Both give the same expression tree.
 
-def _ident(name: str) -> str:
+def sql_ident(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _sql_str(text: str) -> str:
+def sql_str(text: str) -> str:
     """A SQL string literal (backslashes and quotes escaped, other characters as \\uXXXX)."""
     out = []
     for ch in text:
@@ -49,7 +49,7 @@ def _sql_str(text: str) -> str:
 
 def strip_sql(expr: str) -> str:
     t = f"trim(CAST({expr} AS STRING))"
-    ws = _sql_str(WHITESPACE)
+    ws = sql_str(WHITESPACE)
     return (f"CASE WHEN instr({ws}, substring({t}, 1, 1)) > 0 OR instr({ws}, substring({t}, -1, 1)) > 0 "
             f"THEN btrim({t}, {ws}) ELSE {t} END")
 
@@ -62,7 +62,7 @@ def strip(c) -> Column:
     slower trim over the whole character set. No regular expression runs.
     """
     if isinstance(c, str):
-        return F.expr(strip_sql(_ident(c)))
+        return F.expr(strip_sql(sql_ident(c)))
     t = F.trim(_col(c).cast("string"))
     ws = F.lit(WHITESPACE)
     # instr(set, '') is 1, so '' also takes the (harmless) full-trim branch
@@ -73,7 +73,7 @@ def strip(c) -> Column:
 def ck(c) -> Column:
     """Canonical key: stripped and upper-cased."""
     if isinstance(c, str):
-        return F.expr(f"upper({strip_sql(_ident(c))})")
+        return F.expr(f"upper({strip_sql(sql_ident(c))})")
     return F.upper(strip(c))
 
 
@@ -84,7 +84,7 @@ def lenient_int(c, thousands: bool = False, default: int | None = 0) -> Column:
     otherwise it is unparsable.
     """
     if isinstance(c, str):
-        s_sql = strip_sql(_ident(c))
+        s_sql = strip_sql(sql_ident(c))
         if thousands:
             s_sql = f"translate({s_sql}, ',', '')"
         parsed_sql = f"try_cast({s_sql} AS BIGINT)"
@@ -103,8 +103,8 @@ def lenient_float(c, default: float | None = 0.0) -> Column:
     suffixes such as '12d' that other parsers reject.
     """
     if isinstance(c, str):
-        s_sql = strip_sql(_ident(c))
-        parsed_sql = f"CASE WHEN {s_sql} RLIKE {_sql_str(_DECIMAL)} THEN try_cast({s_sql} AS DOUBLE) END"
+        s_sql = strip_sql(sql_ident(c))
+        parsed_sql = f"CASE WHEN {s_sql} RLIKE {sql_str(_DECIMAL)} THEN try_cast({s_sql} AS DOUBLE) END"
         return F.expr(parsed_sql if default is None else f"coalesce({parsed_sql}, CAST({float(default)!r} AS DOUBLE))")
     s = strip(c)
     parsed = F.when(s.rlike(_DECIMAL), s.try_cast("double"))
@@ -114,8 +114,8 @@ def lenient_float(c, default: float | None = 0.0) -> Column:
 def safe_int(c) -> Column:
     """Text -> float -> integer truncated toward zero; blank is 0, failure is 0."""
     if isinstance(c, str):
-        s_sql = strip_sql(_ident(c))
-        as_double = f"CASE WHEN {s_sql} RLIKE {_sql_str(_DECIMAL)} THEN try_cast({s_sql} AS DOUBLE) END"
+        s_sql = strip_sql(sql_ident(c))
+        as_double = f"CASE WHEN {s_sql} RLIKE {sql_str(_DECIMAL)} THEN try_cast({s_sql} AS DOUBLE) END"
         return F.expr(f"CASE WHEN coalesce({s_sql}, '') = '' THEN CAST(0 AS BIGINT) "
                       f"ELSE coalesce(try_cast({as_double} AS BIGINT), CAST(0 AS BIGINT)) END")
     s = strip(c)

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scalars import batch_stamp, lenient_float, row_message, safe_int, strip
+from shelfspark.functions.scalars import sql_ident, batch_stamp, lenient_float, row_message, safe_int, strip, strip_sql
 from shelfspark.schemas import ACTIONS, LEGACY_STATUS, MAX_ERROR_DETAILS
 
 ITEM_PAYLOAD = ["style", "size", "category", "loc"]
@@ -40,7 +40,8 @@ class ActionResult:
 
 
 def _text(c: str) -> F.Column:
-    return F.coalesce(strip(F.col(c)), F.lit(""))
+    """Stripped text of a column, '' when null (one SQL expression)."""
+    return F.expr(f"coalesce({strip_sql(sql_ident(c))}, '')")
 
 
 def classify_actions(actions: DataFrame, row_col: str = "row_no") -> DataFrame:
@@ -107,7 +108,7 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
     # -- items ---------------------------------------------------------------
     old = items.select(F.col("row_no").alias("src_row"), F.col("master_sku"),
                        *[F.col(c).cast("string").alias(c) for c in ITEM_PAYLOAD],
-                       F.upper(strip(F.col("master_sku"))).alias("k"))
+                       F.upper(strip("master_sku")).alias("k"))
     old_f = old.join(fold.select("k", "D", "R", "R_ip"), "k", "left")
     kept = old_f.filter(F.coalesce(F.col("D"), F.lit(0)) == 0).select(
         F.lit(0).alias("src"), "src_row", "master_sku",
