@@ -217,3 +217,18 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 def shape(df: DataFrame) -> tuple[int, int]:
     """(rows, columns) - one count job."""
     return df.count(), len(df.columns)
+
+
+def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None = None,
+              partition_column: str | None = None, lower_bound: int | None = None, upper_bound: int | None = None,
+              num_partitions: int | None = None) -> DataFrame:
+    """A database table read in parallel: with a numeric ``partition_column``
+    and its bounds, Spark issues ``num_partitions`` range queries at once
+    instead of one full scan through a single connection."""
+    props = dict(properties or {})
+    if partition_column is None:
+        return spark.read.jdbc(url, table, properties=props)
+    if lower_bound is None or upper_bound is None or not num_partitions:
+        raise ValueError("a partitioned read needs lower_bound, upper_bound and num_partitions")
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower_bound, upperBound=upper_bound,
+                           numPartitions=num_partitions, properties=props)

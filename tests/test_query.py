@@ -111,3 +111,19 @@ def test_find_items(items):
     assert ids(query.find_items(items, prefix="sku-")) == [1, 2, 3, 4]
     assert ids(query.find_items(items, keys=["SKU-2", "X"])) == [2]
     assert ids(query.find_items(items, item_id=99)) == []
+
+
+def test_pushdown_and_pruning_on_published_table(spark, tmpdir_path):
+    import os
+    from shelfspark.operators import tables
+    from shelfspark.schemas import STOCK_ITEMS
+    rows = [(i, f"SKU-{i}", "n", "M", "c", "L", 1.0, 2.0, "cat", 3.0, 4.0, i, 0, 0, 0, "") for i in range(1, 50)]
+    tables.publish(spark.createDataFrame(rows, STOCK_ITEMS), os.path.join(tmpdir_path, "stock_items"), batch_id=0)
+    items = tables.current(spark, os.path.join(tmpdir_path, "stock_items"), STOCK_ITEMS)
+    plan = query.find_items(items, item_id=17)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,17)]" in plan
+    plan = query.find_items(items, keys=["SKU-1", "SKU-2"])._jdf.queryExecution().executedPlan().toString()
+    assert "In(sku_code, [SKU-1,SKU-2])" in plan
+    plan = query.export_view(items)._jdf.queryExecution().executedPlan().toString()
+    schema = plan[plan.index("ReadSchema:"):].splitlines()[0]
+    assert "up_price" not in schema and "id:" not in schema and "sku_code" in schema
