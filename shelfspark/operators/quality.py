@@ -60,8 +60,10 @@ def reconcile(stages: dict[str, DataFrame], cols: list[str]) -> DataFrame:
 
 
 def orphan_stock(stock: DataFrame, items: DataFrame, stock_key: str = "master_sku", item_key: str = "sku_code") -> DataFrame:
-    """Stock rows whose key has no item row (dropped by the dashboard's left join)."""
-    keys = items.select(F.col(item_key).alias(stock_key))
+    """Stock rows whose key has no item row (dropped by the dashboard's left join).
+    Item keys are de-duplicated first (map-side), so a SKU repeated in a large
+    share of the item rows becomes one row before the shuffle."""
+    keys = items.select(F.col(item_key).alias(stock_key)).distinct()
     return stock.join(keys, stock_key, "left_anti")
 
 

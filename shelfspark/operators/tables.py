@@ -92,14 +92,17 @@ def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partiti
     The offsets are a running sum over the per-partition row counts: one small
     job returns one count per partition (bounded by ``partitions``, like the
     range bounds Spark itself samples), and the offsets join back as a local
-    table that is broadcast. ``order`` should be unique (add a tie-break
-    column) for reproducible ids.
+    table that is broadcast. Rows that tie on ``order`` are told apart by
+    their scan position, so even a value shared by a large share of the rows
+    is spread over several range partitions (ids among such ties follow the
+    input order; give a unique ``order`` for ids that do not depend on it).
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     order = _cols(order)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = (keyed.repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie")
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     frozen = ranged.checkpoint(eager=True)
@@ -112,7 +115,7 @@ def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partiti
     off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
     with_ids = frozen.join(F.broadcast(off_df), "_pid")
     new_id = (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint").alias(id_col)
-    return with_ids.select(new_id, *[F.col(c) for c in df.columns if c != id_col])
+    return with_ids.select(new_id, *[F.col(c) for c in df.columns if c != id_col])  # drops _pid/_pos/_tie
 
 
 def next_id(df: DataFrame, id_col: str = "id") -> DataFrame:

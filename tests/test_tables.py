@@ -66,3 +66,14 @@ def test_table_counts_error_rows(spark, tmpdir_path):
             tables.table_counts(spark, [p, os.path.join(tmpdir_path, "missing")]).collect()}
     assert rows[p] == (3, True)
     assert rows[os.path.join(tmpdir_path, "missing")][1] is False
+
+
+def test_assign_ids_spreads_a_hot_order_value(spark):
+    # a third of the rows share one order value: still gap-free, and no
+    # range partition holds them all
+    df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("o"))
+    out = tables.assign_ids(df, ["o"], partitions=6)
+    ids = sorted(r.id for r in out.collect())
+    assert ids == list(range(1, 3001))
+    ranks = {r.o: r.id for r in out.filter("o != 5").collect()}
+    assert ranks[1] < ranks[2]
