@@ -220,15 +220,17 @@ def q_display_view(spark, sf):
 
 
 def q_reconcile(spark, sf):
+    # every stage derives from the same sheet, stock and item DataFrames, so
+    # the shared scans and exchanges appear once in the plan and are reused
     sheet = fx.stock_sheet(spark, sf)
-    cleaned = stock.clean_stock(sheet).select(
-        *[F.col(c).alias(n) for c, n in zip(["uni_stock", "fba_stock", "fbf_stock", "sjit_stock"], RECON)])
-    merged = _stock(spark, sf)
-    dashboard = _board(spark, sf)
-    orphans = q_orphan_stock(spark, sf)
+    items = fx.item_master(spark, sf)
+    cleaned = stock.clean_stock(sheet)
+    merged = stock.channel_stock(sheet)
+    dashboard = dash.build_dashboard(items, merged)
+    orphans = quality.orphan_stock(merged, items.select(ck("master_sku").alias("sku_code")))
     as_stock = lambda d, cols: d.select(*[F.col(c).alias(n) for c, n in zip(cols, RECON)])
     return quality.reconcile({
-        "clean": cleaned,
+        "clean": as_stock(cleaned, ["uni_stock", "fba_stock", "fbf_stock", "sjit_stock"]),
         "merged": as_stock(merged, STOCK_COLUMNS),
         "dashboard": as_stock(dashboard, ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"]),
         "orphans": as_stock(orphans, STOCK_COLUMNS),
