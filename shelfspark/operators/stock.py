@@ -54,7 +54,8 @@ def channel_totals(sheet: DataFrame, sku_col: str, qty_col: str, junk: list[str]
 
 
 def channel_stock(sheet: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] | None = None,
-                  method: str = "one_pass", **clean_opts) -> DataFrame:
+                  method: str = "one_pass", duplicates: str = "sum", order: list[str] | None = None,
+                  **clean_opts) -> DataFrame:
     """One row per SKU with the four channel totals (missing channel = 0).
 
     ``method="one_pass"`` (default) unpivots each sheet row into its four
@@ -63,9 +64,21 @@ def channel_stock(sheet: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] |
     ``method="join"`` is the literal form: four grouped tables combined with
     full outer joins on the SKU (kept for cross-checking).
     ``by`` adds grouping columns (e.g. a snapshot id) in front of the SKU.
+    ``duplicates="last"`` keeps, per SKU and channel, the quantity of the
+    last row in ``order`` instead of the sum (still one grouped aggregate).
     """
     by = list(by or [])
+    if duplicates not in ("sum", "last"):
+        raise ValueError("duplicates must be 'sum' or 'last'")
+    if duplicates == "last" and not order:
+        raise ValueError("duplicates='last' needs the row order columns")
     cleaned = clean_stock(sheet, **clean_opts)
+    if duplicates == "last":
+        ord_col = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+        long = _long_form(cleaned.withColumn("_ord", ord_col), [*by, "_ord"]).filter(_junk_filter(F.col("sku"), junk))
+        lasts = [F.coalesce(F.max_by(F.col("qty"), F.when(F.col("channel") == ch, F.col("_ord"))), F.lit(0))
+                 .cast("bigint").alias(out) for ch, _, _, out in CHANNELS]
+        return long.groupBy(*by, F.col("sku").alias("master_sku")).agg(*lasts)
     if method == "join":
         merged = None
         for _, sku, qty, out in CHANNELS:

@@ -303,6 +303,22 @@ where (contains(lower(coalesce(sku_code, '')), 'sku-1') or contains(lower(coales
   and lower(coalesce(status, '')) = 'active'"""
     q["item_sort_text_legacy"] = d + f"""select {DASH_COLS} from _dash
 order by lower(coalesce(category, 'None')) desc, id asc limit 300"""
+    parts = []
+    for ch, sku, qty in (("uni", "uni", "uni_stock"), ("fba", "fba", "fba_stock"),
+                         ("fbf", "fbf", "fbf_stock"), ("sjit", "sjit", "sjit_stock")):
+        parts.append(f"select '{ch}' as ch, {ck(sku)} as sku, {lint(qty)} as qty, l_orderkey, l_linenumber, "
+                     f"l_partkey, l_suppkey, l_quantity from v_stock_sheet where uni is not null")
+    union = " union all ".join(parts)
+    q["channel_stock_last"] = with_views(V_STOCK_SHEET) + f""", _p as (select * from ({union})
+  where sku is not null and sku <> '' and lower(sku) not in ('uni', 'paste here :-')),
+_l as (select sku, ch, qty from (select *, row_number() over (partition by sku, ch order by {SHEET_ORDER_DESC}) as _rn
+       from _p) where _rn = 1)
+select sku as master_sku,
+  cast(coalesce(max(case when ch = 'uni' then qty end), 0) as bigint) as uniware_stock,
+  cast(coalesce(max(case when ch = 'fba' then qty end), 0) as bigint) as fba_stock,
+  cast(coalesce(max(case when ch = 'fbf' then qty end), 0) as bigint) as fbf_stock,
+  cast(coalesce(max(case when ch = 'sjit' then qty end), 0) as bigint) as sjit_stock
+from _l group by sku"""
     q["audit_windows"] = with_views(V_AUDIT) + """select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start,
   strftime(date_trunc('day', ts) + interval 1 day, '%Y-%m-%d %H:%M:%S') as window_end, action, count(*) as n
 from v_audit group by 1, 2, 3"""

@@ -293,6 +293,10 @@ def q_channel_stock_thousands(spark, sf):
     return stock.channel_stock(fx.stock_sheet(spark, sf), thousands=True)
 
 
+def q_channel_stock_last(spark, sf):
+    return stock.channel_stock(fx.stock_sheet(spark, sf), duplicates="last", order=fx.SHEET_ORDER)
+
+
 def q_column_totals(spark, sf):
     return quality.column_totals(_board(spark, sf), ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"])
 
@@ -389,6 +393,7 @@ QUERIES: dict[str, Query] = {
     "legacy_status": q_legacy_status,
     "item_sort_text_legacy": q_item_sort_text_legacy,
     "audit_windows": q_audit_windows,
+    "channel_stock_last": q_channel_stock_last,
 }
 
 

@@ -68,8 +68,9 @@ def _bad_utf8_files(spark: SparkSession, path) -> list[str]:
     return [r.f for r in bad.collect()]
 
 
-def read_positional_csv(spark: SparkSession, path, names: list[str], skip: int = 0, encoding: str | None = "auto",
-                        quote: bool = True, numbered: bool = False, multiline: bool = False) -> DataFrame:
+def read_positional_csv(spark: SparkSession, path, names: list[str] | None = None, skip: int = 0,
+                        encoding: str | None = "auto", quote: bool = True, numbered: bool = False,
+                        multiline: bool = False, header_marker: str | None = None) -> DataFrame:
     """Headerless CSV, every column text, names assigned by position.
 
     Short rows are padded with null and extra cells dropped. ``skip`` drops
@@ -80,7 +81,11 @@ def read_positional_csv(spark: SparkSession, path, names: list[str], skip: int =
     ``encoding="auto"`` costs one extra pass over the raw bytes; pass
     ``"UTF-8"`` for large inputs known to be UTF-8. ``multiline=True`` allows
     quoted line breaks (each file is then read by one task).
+    ``header_marker`` reads below the first line containing the marker and
+    names the cells from that line instead (see ``read_below_marker``).
     """
+    if header_marker is not None:
+        return read_below_marker(spark, path, header_marker, numbered=numbered)
     schema = all_strings(names)
     df = _read_any(spark, path, schema, encoding, header=False, quote=quote, multiline=multiline)
     df = skip_leading_rows(df, skip)

@@ -80,3 +80,10 @@ def test_list_tables(spark, tmpdir_path):
     spark.range(1).write.parquet(os.path.join(tmpdir_path, "t1"))
     spark.range(1).write.parquet(os.path.join(tmpdir_path, "t2"))
     assert [r.name for r in files.list_tables(spark, tmpdir_path).collect()] == ["t1", "t2"]
+
+
+def test_positional_with_header_marker(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "items.csv")
+    _write(p, b"junk line\nMaster SKU,Size\nSKU-1,M\n")
+    df = files.read_positional_csv(spark, p, header_marker="Master SKU", numbered=True)
+    assert [(r.row_no, r["Master SKU"], r.Size) for r in df.collect()] == [(1, "SKU-1", "M")]

@@ -98,3 +98,15 @@ def test_no_python_in_plans(spark):
     df = stock.channel_stock(_sheet(spark)).filter(F.col("uniware_stock") > 0)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
+
+
+def test_duplicates_last(spark):
+    rows = [(1, "SKU-1", "5", "SKU-1", "1", "", "", "", ""),
+            (2, "SKU-1", "7", "SKU-2", "x", "", "", "", ""),
+            (3, "sku-1", "2", None, None, "", "", "", "")]
+    df = spark.createDataFrame(rows, "n int, " + ", ".join(f"{c} string" for c in SHEET_COLUMNS))
+    got = _rows(stock.channel_stock(df, duplicates="last", order=["n"]))
+    assert got == {"SKU-1": (2, 1, 0, 0), "SKU-2": (0, 0, 0, 0)}
+    import pytest
+    with pytest.raises(ValueError):
+        stock.channel_stock(df, duplicates="last")
