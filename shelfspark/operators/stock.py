@@ -98,7 +98,15 @@ def channel_stock(sheet: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] |
 
 def latest_snapshot(rows: DataFrame, key: str, snapshot: str, cols: list[str]) -> DataFrame:
     """Per key, the values from the newest snapshot that contains the key.
-    Keys absent from newer snapshots keep their last values (stale keys persist)."""
+    Keys absent from newer snapshots keep their last values (stale keys persist).
+
+    ``rows`` holds one row per (key, snapshot). With a numeric snapshot id
+    and numeric values each column takes its own ``max_by`` - fixed-width
+    buffers, so a hash aggregate; otherwise one ``max_by`` over a struct."""
+    types = dict(rows.dtypes)
+    numeric = ("bigint", "int", "smallint", "tinyint", "double", "float", "date", "timestamp", "timestamp_ntz")
+    if types[snapshot] in numeric and all(types[c] in numeric for c in cols):
+        return rows.groupBy(key).agg(*[F.max_by(F.col(c), F.col(snapshot)).alias(c) for c in cols])
     agg = rows.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(snapshot)).alias("_v"))
     return agg.select(key, *[F.col("_v")[c].alias(c) for c in cols])
 
