@@ -87,3 +87,26 @@ def test_positional_with_header_marker(spark, tmpdir_path):
     _write(p, b"junk line\nMaster SKU,Size\nSKU-1,M\n")
     df = files.read_positional_csv(spark, p, header_marker="Master SKU", numbered=True)
     assert [(r.row_no, r["Master SKU"], r.Size) for r in df.collect()] == [(1, "SKU-1", "M")]
+
+
+def test_skip_when_files_share_a_partition(spark, tmpdir_path):
+    for i in range(4):
+        _write(os.path.join(tmpdir_path, f"p{i}.csv"), ("b1\nb2\n" + "".join(
+            f"F{i}-{j},{j}\n" for j in range(3))).encode())
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        raw = spark.read.schema("uni string, uni_stock string").csv(tmpdir_path)
+        assert raw.rdd.getNumPartitions() == 1  # all four files packed into one task
+        df = files.read_positional_csv(spark, tmpdir_path, ["uni", "uni_stock"], skip=2, numbered=True)
+        got = sorted(r.uni for r in df.collect())
+        assert got == sorted(f"F{i}-{j}" for i in range(4) for j in range(3))
+        # numbering follows (file, position): each file's rows are consecutive and in order
+        rows = sorted((r.row_no, r.uni) for r in df.collect())
+        for k in range(0, 12, 3):
+            block = [u for _, u in rows[k:k + 3]]
+            assert [u.split("-")[1] for u in block] == ["0", "1", "2"]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", old)
+        spark.conf.unset("spark.sql.files.minPartitionNum")
