@@ -210,13 +210,10 @@ def project_visible(df: DataFrame, role: str, perms: dict | None = None, keep_id
     return df.select(*(["id"] if keep_id and "id" in df.columns else []), *cols)
 
 
-def export_view(items: DataFrame, labels: dict = COLUMN_LABELS, price_map: str = "parity") -> DataFrame:
+def export_view(items: DataFrame, labels: dict = COLUMN_LABELS) -> DataFrame:
     """The CSV export: fixed 14 columns under their labels, then a blank Action.
-
-    ``price_map="parity"`` exports ``mrp`` under its label (up_price is not
-    exported); ``"fixed"`` is the same projection - the difference is on import.
-    """
-    del price_map
+    ``mrp`` is exported under its label and ``up_price`` is not exported; how
+    the MRP column is read back is chosen on import (``price_map``)."""
     return items.select(*[F.col(c).alias(labels.get(c, c)) for c in EXPORT_COLUMNS], F.lit("").alias("Action"))
 
 
