@@ -131,12 +131,17 @@ _POINTER = "_CURRENT"
 
 
 def publish(df: DataFrame, base: str, batch_id=None, schema: T.StructType | None = None,
-            unique_key=None) -> str:
+            unique_key=None, sort_within=None) -> str:
     """Write ``df`` as a new version of the table at ``base`` and switch the
     pointer to it. Writing the same ``batch_id`` again overwrites that version
-    (idempotent retry). Raises before writing when ``unique_key`` repeats."""
+    (idempotent retry). Raises before writing when ``unique_key`` repeats.
+    ``sort_within`` sorts each output file on those columns, so Parquet's
+    row-group min/max statistics let lookups on them skip most of the file
+    (the role the reference's database indexes play)."""
     if schema is not None:
         df = with_defaults(df, schema, {})
+    if sort_within:
+        df = df.sortWithinPartitions(*_cols(sort_within))
     if unique_key is not None:
         dup = duplicate_keys(df, unique_key).limit(1).collect()
         if dup:

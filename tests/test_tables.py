@@ -77,3 +77,13 @@ def test_assign_ids_spreads_a_hot_order_value(spark):
     assert ids == list(range(1, 3001))
     ranks = {r.o: r.id for r in out.filter("o != 5").collect()}
     assert ranks[1] < ranks[2]
+
+
+def test_publish_sorted_within_files(spark, tmpdir_path):
+    import pyarrow.parquet as pq
+    base = os.path.join(tmpdir_path, "t")
+    df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id")).coalesce(1)
+    path = tables.publish(df, base, batch_id=0, sort_within="k")
+    part = [f for f in os.listdir(path) if f.endswith(".parquet")][0]
+    ks = pq.read_table(os.path.join(path, part)).column("k").to_pylist()
+    assert ks == sorted(ks)
