@@ -28,6 +28,7 @@ from shelfspark.functions.scalars import sql_ident, batch_stamp, lenient_float,
 from shelfspark.schemas import ACTIONS, LEGACY_STATUS, MAX_ERROR_DETAILS
 
 ITEM_PAYLOAD = ["style", "size", "category", "loc"]
+PAYLOAD_INPUTS = ["item_name", "size", "category", "location", "cost", "price", "catalog", "mrp", "updated"]
 CATALOG_PAYLOAD = ["launch_date", "catalog_name", "cost", "wholesale_price", "up_price", "mrp"]
 
 
@@ -44,10 +45,19 @@ def _text(c: str) -> F.Column:
     return F.expr(f"coalesce({strip_sql(sql_ident(c))}, '')")
 
 
-def classify_actions(actions: DataFrame, row_col: str = "row_no") -> DataFrame:
+def classify_actions(actions: DataFrame, row_col: str = "row_no", legacy_null_text: bool = False) -> DataFrame:
     """Rows with a non-blank action, classified: add / replace / delete, or an
-    error status (missing_sku, unknown)."""
-    act = F.lower(_text("action"))
+    error status (missing_sku, unknown). ``legacy_null_text=True`` reads a
+    missing (null) action as the text 'None' - an unknown action - as the
+    original importer does for a row shorter than its header."""
+    # a payload column absent from the file reads as '' (as a missing label does)
+    missing = [c for c in PAYLOAD_INPUTS if c not in actions.columns]
+    if missing:
+        actions = actions.withColumns({c: F.lit(None).cast("string") for c in missing})
+    if legacy_null_text:
+        act = F.lower(F.expr(strip_sql("coalesce(`action`, 'None')")))
+    else:
+        act = F.lower(_text("action"))
     sku = _text("master_sku")
     c = actions.select(F.col(row_col).alias("row_no"), act.alias("act"), sku.alias("sku"),
                        *[F.col(x) for x in actions.columns if x not in (row_col, "action", "master_sku")])
@@ -90,7 +100,7 @@ def fold_actions(valid: DataFrame) -> DataFrame:
 
 
 def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_col: str = "row_no",
-                  price_map: str = "parity") -> ActionResult:
+                  price_map: str = "parity", legacy_null_text: bool = False) -> ActionResult:
     """Apply an action file to the item master and the catalogue table.
 
     ``items``: row_no, master_sku, style, size, category, loc.
@@ -101,7 +111,7 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
     The new item table carries ``src`` (0 existing, 1 added) and ``src_row``
     (row in its source) as its order.
     """
-    classified = classify_actions(actions, row_col)
+    classified = classify_actions(actions, row_col, legacy_null_text)
     valid = _payloads(classified.filter(F.col("status").isin(*ACTIONS)), price_map)
     fold = fold_actions(valid)
 

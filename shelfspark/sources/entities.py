@@ -49,7 +49,8 @@ def read_catalog(spark: SparkSession, path, encoding: str = "auto") -> DataFrame
 def read_action_file(spark: SparkSession, path, encoding: str = "auto") -> DataFrame:
     """Labelled export with an Action column; ``row_no`` is the 1-based data
     row of the file (the numbering error messages use). A file without the
-    Action column raises."""
+    Action column raises. Spark's CSV reader gives null both for an empty
+    cell and for a cell missing from a short row, so both read as blank."""
     df = read_text_csv(spark, path, encoding=encoding)
     if "Action" not in df.columns:
         raise ValueError("the action file has no Action column")

@@ -58,3 +58,16 @@ def test_action_and_selection_files(spark, tmpdir_path):
     assert (s.new_rows, s.updated_rows, s.skipped) == (1, 0, 2)
     r = table.first()
     assert (r.sku_code, r.cost, r.available_atp, r.updated) == ("SKU-1", 12, 4, "")
+
+
+def test_missing_action_modes(spark):
+    items = spark.createDataFrame([], "row_no long, master_sku string, style string, size string, category string, loc string")
+    cat = spark.createDataFrame([], "master_sku string, launch_date string, catalog_name string, cost double, "
+                                "wholesale_price double, up_price double, mrp double")
+    acts = spark.createDataFrame([(1, "SKU-5", None), (2, "SKU-6", ""), (3, "SKU-7", "add")],
+                                 "row_no long, master_sku string, action string")
+    default = actions.apply_actions(items, cat, acts)
+    assert [r.message for r in default.errors.collect()] == []
+    assert default.summary.first().added == 1
+    legacy = actions.apply_actions(items, cat, acts, legacy_null_text=True)
+    assert [r.message for r in legacy.errors.collect()] == ["Row 1 (SKU: SKU-5): unknown action 'none'."]
