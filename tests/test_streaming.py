@@ -152,3 +152,34 @@ def test_failed_batch_reported_and_next_applies(spark, tmpdir_path):
     state = {r.master_sku: r.uniware_stock for r in
              current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).collect()}
     assert state == {"SKU-1": 3}
+
+
+def test_audit_counts_drop_late_events(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "logs")
+    os.makedirs(d)
+    ck = os.path.join(tmpdir_path, "ck")
+
+    def run(name):
+        out = os.path.join(tmpdir_path, name)
+        logs = spark.readStream.schema(AUDIT_LOG).json(d)
+        counts = refresh.stream_audit_counts(logs, watermark="1 hour", window="1 day")
+        q = (counts.writeStream.outputMode("update")
+             .foreachBatch(lambda b, i: b.write.mode("append").parquet(out))
+             .option("checkpointLocation", ck).trigger(availableNow=True).start())
+        q.awaitTermination(120)
+        if not os.path.isdir(out):
+            return {}
+        return {(str(r.window.start)[:10], r.action): r.n for r in spark.read.parquet(out).collect()}
+
+    with open(os.path.join(d, "a.json"), "w") as f:
+        f.write('{"id": 1, "username": "u", "action": "LOGIN", "timestamp": "2024-01-01T10:00:00Z"}\n'
+                '{"id": 2, "username": "u", "action": "LOGIN", "timestamp": "2024-01-03T12:00:00Z"}\n')
+    first = run("late_1")
+    assert first == {("2024-01-01", "LOGIN"): 1, ("2024-01-03", "LOGIN"): 1}
+    # the watermark is now 2024-01-03 11:00: a day-1 event arriving late is dropped,
+    # an on-time day-3 event still updates its window
+    with open(os.path.join(d, "b.json"), "w") as f:
+        f.write('{"id": 3, "username": "v", "action": "LOGIN", "timestamp": "2024-01-01T11:00:00Z"}\n'
+                '{"id": 4, "username": "v", "action": "LOGIN", "timestamp": "2024-01-03T13:00:00Z"}\n')
+    second = run("late_2")
+    assert second == {("2024-01-03", "LOGIN"): 2}
