@@ -35,11 +35,23 @@ def last_per_key(rows: DataFrame, key, cols, order) -> DataFrame:
     return agg.select(*key, *[F.col("_v")[c].alias(c) for c in cols])
 
 
-def upsert(target: DataFrame, updates: DataFrame, key, cols, order=None) -> DataFrame:
+NUMERIC = ("bigint", "int", "smallint", "tinyint", "double", "float")
+
+
+def upsert(target: DataFrame, updates: DataFrame, key, cols, order=None, unique_inputs: bool = False) -> DataFrame:
     """Keyed upsert: a key present in ``updates`` takes the update (the last one
     in ``order`` when several), other target rows are kept unchanged, new keys
-    are inserted. One shuffle on the key (union, then one grouped max_by)."""
+    are inserted. One shuffle on the key (union, then one grouped max_by).
+
+    ``unique_inputs=True`` promises one row per key on each side; with
+    numeric columns each column then takes its own ``max_by`` over the side
+    flag - fixed-width buffers, so a hash aggregate instead of a sort."""
     key, cols = _cols(key), _cols(cols)
+    types = dict(updates.dtypes)
+    if unique_inputs and not order and all(types[c] in NUMERIC for c in cols):
+        t = target.select(*key, *cols, F.lit(0).alias("_side"))
+        u = updates.select(*key, *cols, F.lit(1).alias("_side"))
+        return t.unionByName(u).groupBy(*key).agg(*[F.max_by(F.col(c), F.col("_side")).alias(c) for c in cols])
     order = _cols(order) if order else []
     t = target.select(*key, *cols, F.lit(0).alias("_side"), *[F.lit(None).cast(updates.schema[o].dataType).alias(o) for o in order])
     u = updates.select(*key, *cols, F.lit(1).alias("_side"), *order)

@@ -140,7 +140,7 @@ def q_stock_upsert(spark, sf):
     sheet = _snapshots(spark, sf)
     state = stock.channel_stock(sheet.filter(F.col("snapshot") == 1))
     newest = stock.channel_stock(sheet.filter(F.col("snapshot") == 2))
-    return tables.upsert(state, newest, "master_sku", STOCK_COLUMNS)
+    return tables.upsert(state, newest, "master_sku", STOCK_COLUMNS, unique_inputs=True)
 
 
 def q_stock_snapshots(spark, sf):

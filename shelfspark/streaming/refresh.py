@@ -55,7 +55,8 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: st
     rows = rows.withColumn("_snap", F.struct(F.col("_mtime"), F.col("_file")))
     newest = snapshot_stock(rows, "_snap")
     state = version_before(spark, os.path.join(base, STATE), STOCK_UPDATE, batch_id)
-    merged = upsert(state, newest, "master_sku", STOCK_COLUMNS)
+    # the state and the batch's newest snapshot hold one row per SKU each
+    merged = upsert(state, newest, "master_sku", STOCK_COLUMNS, unique_inputs=True)
     publish(merged, os.path.join(base, STATE), batch_id=batch_id, schema=STOCK_UPDATE)
     stock = current(spark, os.path.join(base, STATE), STOCK_UPDATE)
     cat = catalog if catalog is not None else current(spark, os.path.join(base, CATALOG), CATALOG_PRICING)

@@ -87,3 +87,13 @@ def test_publish_sorted_within_files(spark, tmpdir_path):
     part = [f for f in os.listdir(path) if f.endswith(".parquet")][0]
     ks = pq.read_table(os.path.join(path, part)).column("k").to_pylist()
     assert ks == sorted(ks)
+
+
+def test_upsert_unique_inputs_hash_path(spark):
+    import re
+    target = spark.createDataFrame([("A", 1, 10), ("B", 2, 20)], "k string, v long, w long")
+    updates = spark.createDataFrame([("B", 5, 50), ("C", 6, 60)], "k string, v long, w long")
+    out = tables.upsert(target, updates, "k", ["v", "w"], unique_inputs=True)
+    assert sorted(tuple(r) for r in out.collect()) == [("A", 1, 10), ("B", 5, 50), ("C", 6, 60)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"(\w*Aggregate)\(", plan)) == {"HashAggregate"}
