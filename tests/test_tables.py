@@ -97,3 +97,35 @@ def test_upsert_unique_inputs_hash_path(spark):
     assert sorted(tuple(r) for r in out.collect()) == [("A", 1, 10), ("B", 5, 50), ("C", 6, 60)]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert set(re.findall(r"(\w*Aggregate)\(", plan)) == {"HashAggregate"}
+
+
+def test_checkpoint_dir_guard():
+    import pytest
+    from shelfspark.session import checkpoint_dir
+
+    class Ctx:
+        def __init__(self, master, current=None):
+            self.master, self.current, self.set_to = master, current, None
+
+        def getCheckpointDir(self):
+            return self.current or self.set_to
+
+        def setCheckpointDir(self, d):
+            self.set_to = d
+
+    class Conf:
+        def __init__(self, value):
+            self.value = value
+
+        def get(self, key, default=None):
+            return self.value if key == "spark.checkpoint.dir" else default
+
+    class Session:
+        def __init__(self, master, conf_value=None, current=None):
+            self.sparkContext, self.conf = Ctx(master, current), Conf(conf_value)
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session("yarn"))                        # cluster without a shared folder
+    assert checkpoint_dir(Session("yarn", "hdfs:///ckpt")) == "hdfs:///ckpt"
+    assert checkpoint_dir(Session("yarn", current="s3a://b/c")) == "s3a://b/c"
+    assert checkpoint_dir(Session("local[2]")).startswith("/")  # tests: a temporary folder
