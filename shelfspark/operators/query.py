@@ -191,6 +191,18 @@ def query_logs(logs: DataFrame, action: str = "", username: str = "", page: int
     return PageResult(page_df, matching, page, page_size)
 
 
+def keyset_logs(logs: DataFrame, after_id: int, page_size: int = 50, action: str = "", username: str = "") -> DataFrame:
+    """Deep paging of the audit log: the next ``page_size`` entries after a
+    known id, with the same optional filters (no offset scan)."""
+    check_page(1, page_size, LOG_PAGE_SIZE_MAX)
+    conds = [F.col("id") > after_id]
+    if action:
+        conds.append(F.col("action") == action)
+    if username:
+        conds.append(contains_ci(text_or_blank("username"), username))
+    return logs.filter(reduce(lambda a, b: a & b, conds)).orderBy("id").limit(page_size)
+
+
 def visible_columns(role: str, perms: dict | None = None, table: str = "item_master") -> dict:
     """Visible / editable column lists and labels for a role: admin sees all;
     others the columns their permission lists, or the first five."""

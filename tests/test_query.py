@@ -127,3 +127,12 @@ def test_pushdown_and_pruning_on_published_table(spark, tmpdir_path):
     plan = query.export_view(items)._jdf.queryExecution().executedPlan().toString()
     schema = plan[plan.index("ReadSchema:"):].splitlines()[0]
     assert "up_price" not in schema and "id:" not in schema and "sku_code" in schema
+
+
+def test_keyset_logs_matches_offset_paging(spark):
+    logs = spark.createDataFrame([(i, f"User{i % 4}", "LOGIN" if i % 3 else "EXPORT") for i in range(1, 200)],
+                                 "id long, username string, action string")
+    by_offset = [r.id for r in query.query_logs(logs, action="LOGIN", username="user1", page=3, page_size=10).items.collect()]
+    page2_last = [r.id for r in query.query_logs(logs, action="LOGIN", username="user1", page=2, page_size=10).items.collect()][-1]
+    by_key = [r.id for r in query.keyset_logs(logs, page2_last, 10, action="LOGIN", username="user1").collect()]
+    assert by_key == by_offset and len(by_key) == 10
