@@ -31,3 +31,18 @@ def word_count(text: Column) -> Column:
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable: Column, max_rows: int,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and label of about ``max_rows`` labelled documents at most
+    (all, if fewer), those with small hashes of their id. The hash thins out
+    both sides before the join, so few texts are shuffled."""
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
+    n = known.count()
+    limit = (min(1.0, max_rows / max(n, 1)) - 0.5) * 2.0**64
+    low = F.xxhash64(F.col(id_col).cast("string")) <= F.lit(limit)
+    one = known.where(low).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
+    texts = docs.where(low & learnable & F.col(text_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.join(one, "doc_id")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfspark.llm import mixing, packing
+from shelfspark.llm import langid, mixing, packing, quality, toxicity
 from shelfspark.llm.common import read_table
 
 
@@ -19,12 +20,34 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).rows
 
 
+def _held_out(mod: int, fold: int) -> Column:
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
+    return F.coalesce(rest == fold, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), _held_out(4, 2)
+    model = langid.learn(docs, ~held_out)
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.learn(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), _held_out(3, 1)
+    model = quality.learn(docs, read_table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op5_best_fit_packing, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
