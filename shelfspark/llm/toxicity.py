@@ -1,6 +1,6 @@
-"""Toxicity by cumulative-link ordinal regression on sparse word counts.
+"""Toxicity by cumulative-link ordinal regression on sparse word and stem counts.
 
-P(grade > k) = sigmoid(w.x - t_k): one weight per word shared by all ordered
+P(grade > k) = sigmoid(w.x - t_k): one weight per word or stem, shared by all ordered
 thresholds t_k. The vocabulary (words whose presence goes with the label) is
 counted by Spark over the labelled sample; the fit itself sees only the sparse
 rows of that sample (at most ``MAX_LABELLED`` on average). Binary labels are
@@ -35,8 +35,9 @@ MAX_LABELLED = 20_000
 MAX_WORDS = 4_000  # vocabulary
 MIN_DOCS = 4  # labelled documents that a word of the vocabulary is in, at least
 INDICATIVE = 6.0  # z value of the log odds from which a word counts for the grade
-RIDGE = 1e-3
+RIDGE = 1e-5
 ITERATIONS = 400
+STEMS = (4, 5)  # letters of the stems that are features beside the words
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -49,10 +50,15 @@ class Model:
 
 
 def _counted(words: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, column and value, log(1 + count), of the sparse features."""
-    row, col, val = [], [], []
+    """Row, column and value, log(1 + count), of the sparse features: words,
+    and the stems (first letters) of longer words, which end in ``*``."""
+    row, col, val, get = [], [], [], words.get
     for i, text in enumerate(texts):
-        found = Counter(filter(None, map(words.get, _WORD.findall((text or "").lower()))))
+        found: dict[int, int] = {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            for name in (word, *[word[:k] + "*" for k in STEMS if len(word) > k]):
+                if at := get(name):
+                    found[at] = found.get(at, 0) + n
         row += [i] * len(found)
         col += found.keys()
         val += found.values()
@@ -61,7 +67,10 @@ def _counted(words: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray
 
 def vocabulary(sample: DataFrame) -> list[tuple[str, float]]:
     """Words by the z value of their log odds of standing in a toxic text."""
-    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
+    stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*")))
+             for k in STEMS]
+    word = F.explode(F.array_distinct(F.concat(words, *stems))).alias("word")
     toxic = (F.col("label") > 0).cast("long")
     sizes = sample.agg(F.sum(toxic), F.count(F.lit(1))).first()
     n1, n = int(sizes[0] or 0), int(sizes[1])
