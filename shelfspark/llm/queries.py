@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import langid, mixing, packing, quality, toxicity
+from shelfspark.llm import langid, mixing, packing, quality, topk, toxicity
 from shelfspark.llm.common import read_table
 
 
@@ -16,6 +16,10 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).rows
 
@@ -47,7 +51,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op5_best_fit_packing, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op5_best_fit_packing, op8_exact_top_k, op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
