@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import langid, mixing, neardup, packing, quality, topk, toxicity
+from shelfspark.llm import jaccard, langid, mixing, neardup, packing, quality, topk, toxicity
 from shelfspark.llm.common import read_table
 
 
@@ -54,8 +54,13 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), default_tokenizer())
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op8_exact_top_k, op9_mix_sources)}
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op8_exact_top_k, op9_mix_sources,
+                                     op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
