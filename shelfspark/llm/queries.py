@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import jaccard, langid, mixing, neardup, packing, quality, topk, toxicity
+from shelfspark.llm import jaccard, langid, lines, mixing, neardup, packing, quality, topk, toxicity
 from shelfspark.llm.common import read_table
 
 
@@ -16,6 +16,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
+                      F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -59,7 +65,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op8_exact_top_k, op9_mix_sources,
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op7_line_dedup, op8_exact_top_k, op9_mix_sources,
                                      op10_jaccard_join)}
 
 
