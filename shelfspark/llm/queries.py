@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import jaccard, langid, lines, mixing, neardup, packing, quality, topk, toxicity
+from shelfspark.llm import jaccard, langid, lines, mixing, neardup, packing, quality, suffixes, topk, toxicity
 from shelfspark.llm.common import read_table
 
 
@@ -16,6 +16,13 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.cut_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
@@ -65,7 +72,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op7_line_dedup, op8_exact_top_k, op9_mix_sources,
+    return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_line_dedup, op8_exact_top_k, op9_mix_sources,
                                      op10_jaccard_join)}
 
 
