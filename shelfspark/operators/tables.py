@@ -2,7 +2,7 @@
 ids, versioned publish and generic file-to-table loads.
 
 Tables are Parquet directories. A publish writes a new version directory and
-then switches a small pointer file, so readers never see a half-written or
+then adds a commit that names it, so readers never see a half-written or
 empty table (the reference empties the table first).
 """
 
@@ -81,7 +81,7 @@ def with_defaults(df: DataFrame, schema: T.StructType, defaults: dict) -> DataFr
     """Cast to a declared schema and fill declared defaults (missing columns get the default)."""
     out = []
     for f in schema.fields:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None)
+        c = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
         c = c.cast(f.dataType)
         if f.name in defaults:
             c = F.coalesce(c, F.lit(defaults[f.name]).cast(f.dataType))
@@ -138,85 +138,194 @@ def next_id(df: DataFrame, id_col: str = "id") -> DataFrame:
 # ---------------------------------------------------------------------------
 # Versioned tables
 # ---------------------------------------------------------------------------
-
-_POINTER = "_CURRENT"
+#
+# The tables of one root folder share a log of commits, ``_commits/<number>``.
+# A commit names the folders of every table, so tables published together are
+# switched together; it is created once and never changed, and the newest
+# readable one is the state. Data is written into a fresh folder per attempt
+# before its commit, so neither a failed nor a repeated attempt touches what
+# readers or later batches see.
+
+_COMMITS = "_commits"
+
+
+def _fs(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _split(base: str) -> tuple[str, str]:
+    root, name = os.path.split(base.rstrip("/"))
+    return root, name
+
+
+def commits(spark: SparkSession, root: str, last: int = 1) -> list[dict]:
+    """The newest ``last`` commits of a root, newest first. A commit that is
+    still being written (no complete text yet) is not one."""
+    fs, folder = _fs(spark, os.path.join(root, _COMMITS))
+    if not fs.exists(folder):
+        return []
+    jvm, found = spark.sparkContext._jvm, []
+    numbers = sorted((int(st.getPath().getName()) for st in fs.listStatus(folder) if st.getPath().getName().isdigit()), reverse=True)
+    for number in numbers:
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
+            fs.open(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}")), "UTF-8"))
+        text = reader.readLine()
+        reader.close()
+        try:
+            found.append(json.loads(text or "") | {"number": number})
+        except ValueError:
+            continue
+        if len(found) == last:
+            break
+    return found
+
+
+def _commit(spark: SparkSession, root: str, change, batch: str | None) -> None:
+    """Add a commit: ``change`` maps the tables of the newest commit to the new
+    ones. Creating a file that exists fails, so of two writers with one number
+    the second takes the next, on top of the first."""
+    jvm = spark.sparkContext._jvm
+    fs, folder = _fs(spark, os.path.join(root, _COMMITS))
+    fs.mkdirs(folder)
+    while True:
+        before = (commits(spark, root) or [{"number": 0, "tables": {}}])[0]
+        taken = [int(st.getPath().getName()) for st in fs.listStatus(folder) if st.getPath().getName().isdigit()]
+        number = max([before["number"], *taken]) + 1
+        text = json.dumps({"tables": change(before["tables"]), "batch": batch, "before": before["tables"]})
+        try:
+            out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}"), False)
+        except Exception:
+            if fs.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}")):
+                continue
+            raise
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        return
 
 
-def publish(df: DataFrame, base: str, batch_id=None, schema: T.StructType | None = None,
-            unique_key=None, sort_within=None) -> str:
-    """Write ``df`` as a new version of the table at ``base`` and switch the
-    pointer to it. Writing the same ``batch_id`` again overwrites that version
-    (idempotent retry). Raises before writing when ``unique_key`` repeats.
-    ``sort_within`` sorts each output file on those columns, so Parquet's
-    row-group min/max statistics let lookups on them skip most of the file
-    (the role the reference's database indexes play)."""
+def _write_version(df: DataFrame, base: str, schema, unique_key, sort_within) -> str:
     if schema is not None:
         df = with_defaults(df, schema, {})
     if sort_within:
         df = df.sortWithinPartitions(*_cols(sort_within))
+    path = os.path.join(base, f"v-{uuid.uuid4().hex}")
+    df.write.parquet(path)
     if unique_key is not None:
-        dup = duplicate_keys(df, unique_key).limit(1).collect()
+        dup = duplicate_keys(df.sparkSession.read.schema(df.schema).parquet(path), unique_key).limit(1).collect()
         if dup:
             raise ValueError(f"duplicate key in publish: {dup[0].asDict()}")
-    version = str(batch_id) if batch_id is not None else uuid.uuid4().hex
-    path = os.path.join(base, f"v={version}")
-    df.write.mode("overwrite").parquet(path)
-    _write_pointer(df.sparkSession, base, path)
     return path
 
 
-def _write_pointer(spark: SparkSession, base: str, path: str) -> None:
-    # The pointer is one tiny JSON text, written through Hadoop's file system
-    # so it works on shared storage; a rename makes the switch atomic.
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(base, _POINTER)
-    fs = target.getFileSystem(conf)
-    tmp = jvm.org.apache.hadoop.fs.Path(base, f"{_POINTER}.{uuid.uuid4().hex}.tmp")
-    out = fs.create(tmp, True)
-    out.write(bytearray(json.dumps({"path": path}).encode("utf-8")))
-    out.close()
-    if fs.exists(target):
-        fs.delete(target, False)
-    fs.rename(tmp, target)
-
-
-def current_path(spark: SparkSession, base: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(base, _POINTER)
-    fs = target.getFileSystem(conf)
-    if not fs.exists(target):
-        return None
-    stream = fs.open(target)
-    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-    text = reader.readLine()
-    reader.close()
-    return json.loads(text)["path"]
+def publish_together(spark: SparkSession, root: str, frames: dict, batch: str | None = None) -> dict[str, str]:
+    """Write several tables of ``root`` and switch them with one commit.
+    ``frames``: name -> DataFrame, or (DataFrame, options of ``publish``).
+    ``batch`` names the streaming batch that made them (see ``state_before``)."""
+    paths = {}
+    for name, frame in frames.items():
+        df, options = frame if isinstance(frame, tuple) else (frame, {})
+        paths[name] = _write_version(df, os.path.join(root, name), options.get("schema"), options.get("unique_key"), options.get("sort_within"))
+    _commit(spark, root, lambda tables: tables | {n: [p] for n, p in paths.items()}, batch)
+    return paths
+
+
+def publish(df: DataFrame, base: str, batch_id=None, schema: T.StructType | None = None,
+            unique_key=None, sort_within=None) -> str:
+    """Write ``df`` as a new version of the table at ``base`` and switch to it.
+    The written files are checked for repeats of ``unique_key`` before the
+    switch; a failing check raises and leaves the table as it was.
+    ``sort_within`` sorts each output file on those columns, so Parquet's
+    row-group min/max statistics let lookups on them skip most of the file
+    (the role the reference's database indexes play)."""
+    root, name = _split(base)
+    options = {"schema": schema, "unique_key": unique_key, "sort_within": sort_within}
+    return publish_together(df.sparkSession, root, {name: (df, options)}, None if batch_id is None else str(batch_id))[name]
+
+
+def _versions_exist(spark: SparkSession, base: str) -> bool:
+    fs, folder = _fs(spark, base)
+    return bool(fs.exists(folder)) and any(st.getPath().getName().startswith("v-") for st in fs.listStatus(folder))
+
+
+def current_paths(spark: SparkSession, base: str) -> list[str]:
+    """Folders of the committed version of a table; none if there is no commit of it."""
+    root, name = _split(base)
+    found = commits(spark, root)
+    return found[0]["tables"].get(name, []) if found else []
 
 
 def current(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
-    """The published version of a table, or a typed empty table when none exists."""
-    path = current_path(spark, base)
-    if path is None:
+    """The committed version of a table, or a typed empty table when none was
+    ever written. Written data without a commit raises: it is not known
+    whether the table is empty."""
+    paths = current_paths(spark, base)
+    if not paths:
+        if _versions_exist(spark, base):
+            raise ValueError(f"{base} has data but no committed version")
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def state_before(spark: SparkSession, base: str, schema: T.StructType, batch: str | None) -> DataFrame:
+    """What a batch starts from: the committed version, or, if the newest commit
+    that carries a batch of the same stream is this very batch (a retry), the
+    version that its first attempt started from. Typed empty without any.
+
+    ``batch`` is ``<stream>#<number>``; None (a single run) is never a retry."""
+    root, name = _split(base)
+    paths = current_paths(spark, base)
+    if batch is not None:
+        stream = batch.rpartition("#")[0] + "#"
+        for c in commits(spark, root, last=1_000_000):
+            if (c["batch"] or "").startswith(stream):
+                if c["batch"] == batch:
+                    paths = c["before"].get(name, [])
+                break
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def load_table(df: DataFrame, base: str, name: str, action: str = "append") -> str:
+def load_table(df: DataFrame, base: str, name: str, action: str = "append", id_col: str | None = "id") -> str:
     """Load rows into a named all-text table: create when absent, append, or
     replace. Column names are cleaned (stripped, backticks removed); every
-    value is stored as text and missing cells stay null."""
+    value is stored as text and missing cells stay null. Rows get consecutive
+    ids in ``id_col`` (None: no ids), going on after the largest one; an append
+    must bring exactly the table's columns. The load is one commit: readers see
+    the table before it or after it."""
     action = action.lower()
     if action not in ("append", "replace"):
         raise ValueError("action must be 'append' or 'replace'")
-    cleaned = clean_column_names(df)
-    text = cleaned.select(*[F.col(c).cast("string").alias(c) for c in cleaned.columns])
-    path = os.path.join(base, name)
-    text.write.mode("append" if action == "append" else "overwrite").parquet(path)
+    spark, path = df.sparkSession, os.path.join(base, name)
+    text = as_text_table(df)
+    if id_col in text.columns:
+        text = text.drop(f"`{id_col}`") if "." in id_col else text.drop(id_col)
+    old = current_paths(spark, path) if action == "append" else []
+    start = 1
+    if old:
+        table = spark.read.parquet(*old)
+        have = [c for c in table.columns if c != id_col]
+        if sorted(have) != sorted(text.columns):
+            raise ValueError(f"columns differ: the table has {have}, the file {text.columns}")
+        text = text.select(*[F.col(f"`{c}`") for c in have])
+        if id_col is not None:
+            start = int(next_id(table, id_col).first()[0])
+    if id_col is not None:
+        safe = text.toDF(*[f"c{i}" for i in range(len(text.columns))]).withColumn("_order", F.monotonically_increasing_id())
+        text = assign_ids(safe, "_order", start=start, id_col=id_col).drop("_order").toDF(id_col, *text.columns)
+    written = _write_version(text, path, None, None, None)
+    keep = action == "append"
+    _commit(spark, base, lambda tables: tables | {name: (tables.get(name, []) if keep else []) + [written]}, None)
     return path
 
 
+def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A loaded table under its own columns; raises when it doesn't exist."""
+    paths = current_paths(spark, os.path.join(base, name))
+    if not paths:
+        raise ValueError(f"no table {name} at {base}")
+    return spark.read.parquet(*paths)
+
+
 def clean_column_names(df: DataFrame) -> DataFrame:
     """Strip names and remove backticks (schema only, no job)."""
     return df.toDF(*[str(c).strip().replace("`", "") for c in df.columns])
@@ -238,7 +347,7 @@ def table_counts(spark: SparkSession, paths: list[str], fmt: str = "parquet") ->
             parts.append(d.agg(F.count(F.lit(1)).alias("rows")).select(
                 F.lit(p).alias("path"), F.col("rows"), F.lit(None).cast("string").alias("error")))
         except Exception as exc:  # missing path, bad format: reported as data
-            parts.append(spark.createDataFrame([(p, None, str(exc).splitlines()[0][:200])], schema))
+            parts.append(spark.createDataFrame([(p, None, str(exc))], schema))
     if not parts:
         return spark.createDataFrame([], schema)
     out = parts[0]
@@ -246,31 +355,3 @@ def table_counts(spark: SparkSession, paths: list[str], fmt: str = "parquet") ->
         out = out.unionByName(d)
     return out
 
-
-
-def version_before(spark: SparkSession, base: str, schema: T.StructType, batch_id: int, prefix: str = "") -> DataFrame:
-    """The newest version ``v=<prefix><n>`` of a table written by a batch
-    before ``batch_id``; when there is none, the newest version written
-    outside that numbering (an initial load); typed empty when the table has
-    no version. A retried batch therefore starts from the same input as its
-    first attempt, whatever that attempt had already written."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    best, base_version = None, None
-    if fs.exists(root):
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if not (st.isDirectory() and name.startswith("v=")):
-                continue
-            tag = name[2:]
-            num = tag[len(prefix):] if tag.startswith(prefix) else ""
-            if num.isdigit():
-                if int(num) < batch_id and (best is None or int(num) > best[0]):
-                    best = (int(num), name)
-            elif base_version is None or st.getModificationTime() > base_version[0]:
-                base_version = (st.getModificationTime(), name)
-    chosen = best[1] if best else (base_version[1] if base_version else None)
-    if chosen is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(os.path.join(base, chosen))

@@ -31,16 +31,15 @@ def with_row_position(df: DataFrame) -> DataFrame:
 def skip_leading_rows(df: DataFrame, n: int) -> DataFrame:
     """Drop the first ``n`` rows of every file (``df`` carries the position columns).
 
-    Only the first split of a file can hold them; its first row is found
-    with one aggregate per file (a table with one row per file, which AQE
-    broadcasts when small), so the data itself is not shuffled.
+    Only the first split of a file can hold them, so only those splits meet
+    the table of first rows (one row per file); the others pass by.
     """
     if n <= 0:
         return df
-    heads = (df.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_mid").alias("_first")))
-    joined = df.join(heads, "_file", "left")
-    keep = (F.col("_block") != 0) | (F.col("_mid") - F.col("_first") >= n)
-    return joined.filter(keep).drop("_first")
+    head = df.filter(F.col("_block") == 0)
+    heads = head.groupBy("_file").agg(F.min("_mid").alias("_first"))
+    kept = head.join(heads, "_file").filter(F.col("_mid") - F.col("_first") >= n).select(*df.columns)
+    return df.filter(F.col("_block") != 0).unionByName(kept)
 
 
 def add_row_numbers(df: DataFrame, col: str = "row_no", start: int = 1) -> DataFrame:
@@ -60,12 +59,11 @@ def _csv_reader(spark: SparkSession, schema: T.StructType, encoding: str | None,
     return r
 
 
-def _bad_utf8_files(spark: SparkSession, path) -> list[str]:
-    """Files holding bytes that are not valid UTF-8 (one row per file at most).
-    The text source keeps the raw bytes, so the test is on the bytes themselves."""
-    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), "value")
-    bad = text.filter(~F.is_valid_utf8("value")).select("f").distinct()
-    return [r.f for r in bad.collect()]
+def decoded(cell):
+    """Text of a cell that was read byte by byte (as Latin-1): UTF-8 where the
+    bytes are valid UTF-8, else Latin-1. One pass, no list of files."""
+    raw = F.encode(cell, "ISO-8859-1").cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(cell)
 
 
 def read_positional_csv(spark: SparkSession, path, names: list[str] | None = None, skip: int = 0,
@@ -75,16 +73,17 @@ def read_positional_csv(spark: SparkSession, path, names: list[str] | None = Non
 
     Short rows are padded with null and extra cells dropped. ``skip`` drops
     the first rows of every file (blank lines are not counted: the reader
-    drops them). ``encoding="auto"`` reads UTF-8 (a BOM is dropped) and
-    re-reads files that do not decode as Latin-1. ``numbered`` adds a dense
-    ``row_no`` in file order. The position columns are kept for ordering.
-    ``encoding="auto"`` costs one extra pass over the raw bytes; pass
-    ``"UTF-8"`` for large inputs known to be UTF-8. ``multiline=True`` allows
-    quoted line breaks (each file is then read by one task).
+    drops them). ``encoding="auto"`` reads the bytes once and takes a cell as
+    UTF-8 (a BOM is dropped) if it is valid, else as Latin-1. ``numbered`` adds
+    a dense ``row_no`` in file order. The position columns are kept for
+    ordering. ``multiline=True`` allows quoted line breaks (each file is then
+    read by one task).
     ``header_marker`` reads below the first line containing the marker and
     names the cells from that line instead (see ``read_below_marker``).
     """
     if header_marker is not None:
+        if skip or multiline or not quote:
+            raise ValueError("header_marker does not go with skip, multiline or quote=False")
         return read_below_marker(spark, path, header_marker, numbered=numbered)
     schema = all_strings(names)
     df = _read_any(spark, path, schema, encoding, header=False, quote=quote, multiline=multiline)
@@ -95,16 +94,16 @@ def read_positional_csv(spark: SparkSession, path, names: list[str] | None = Non
 
 
 def _read_any(spark, path, schema, encoding, header, quote, multiline=False):
-    if encoding == "auto":
-        bad = set(_bad_utf8_files(spark, path))
-        good = _csv_reader(spark, schema, "UTF-8", header, quote, multiline).csv(path)
-        good = with_row_position(good)
-        if not bad:
-            return good
-        good = good.filter(~F.col("_file").isin(*bad))
-        latin = with_row_position(_csv_reader(spark, schema, "ISO-8859-1", header, quote, multiline).csv(sorted(bad)))
-        return good.unionByName(latin)
-    return with_row_position(_csv_reader(spark, schema, encoding, header, quote, multiline).csv(path))
+    reader = _csv_reader(spark, schema, "ISO-8859-1" if encoding == "auto" else encoding, header, quote, multiline)
+    if header:
+        reader = reader.option("enforceSchema", False)  # every file's header is checked against the first one's
+    df = with_row_position(reader.csv(path))
+    if encoding != "auto":
+        return df
+    names = schema.fieldNames()
+    texts = [decoded(F.col(f"`{c}`")).alias(c) for c in names]
+    texts[0] = F.regexp_replace(decoded(F.col(f"`{names[0]}`")), "^\ufeff", "").alias(names[0])
+    return df.select(*texts, *POSITION)
 
 
 def name_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -115,10 +114,13 @@ def name_columns(df: DataFrame, names: list[str]) -> DataFrame:
 def read_text_csv(spark: SparkSession, path, columns: list[str] | None = None, encoding: str | None = "auto",
                   numbered: bool = False) -> DataFrame:
     """Header CSV read as text under the header's own names (stripped, BOM
-    removed). With ``columns`` only those are kept, and a missing one raises."""
-    header_names = spark.read.option("header", True).option("encoding", "UTF-8").csv(path).columns
-    names = [c.strip().lstrip("\ufeff") for c in header_names]
-    df = _read_any(spark, path, all_strings(names), encoding, header=True, quote=True)
+    removed). Files whose header differs from the first one's raise. With
+    ``columns`` only those are kept, and a missing one raises."""
+    raw = "ISO-8859-1" if encoding == "auto" else encoding
+    found = spark.read.option("header", True).option("encoding", raw).csv(path).columns
+    df = _read_any(spark, path, all_strings(found), encoding, header=True, quote=True)
+    names = [_utf8(c).lstrip("\ufeff").strip() for c in found] if encoding == "auto" else [c.strip().lstrip("\ufeff") for c in found]
+    df = df.toDF(*names, *POSITION)
     if columns is not None:
         missing = [c for c in columns if c not in names]
         if missing:
@@ -129,17 +131,30 @@ def read_text_csv(spark: SparkSession, path, columns: list[str] | None = None, e
     return df
 
 
+def _utf8(name: str) -> str:
+    try:
+        return name.encode("ISO-8859-1").decode("utf-8")
+    except UnicodeError:
+        return name
+
+
 def read_below_marker(spark: SparkSession, path, marker: str, numbered: bool = False) -> DataFrame:
     """CSV whose header is the first line containing ``marker``; lines above
     it are ignored and the lines below are parsed with the header's names.
-    (The fixed behaviour: the header line itself is the header.)"""
+    (The fixed behaviour: the header line itself is the header.) A file without
+    such a line, and files whose headers differ, raise."""
     lines = with_row_position(spark.read.text(path))
     heads = (lines.filter(F.instr("value", marker) > 0)
              .groupBy("_file").agg(F.min(F.struct("_block", "_mid")).alias("_h")))
-    first = heads.orderBy("_file").limit(1).join(lines, "_file").filter(
-        (F.col("_block") == F.col("_h._block")) & (F.col("_mid") == F.col("_h._mid"))).select("value").collect()
+    missing = lines.select("_file").distinct().join(heads, "_file", "left_anti").limit(1).collect()
+    if missing:
+        raise ValueError(f"no line contains {marker!r} in {missing[0][0]}")
+    first = heads.join(lines, "_file").filter(
+        (F.col("_block") == F.col("_h._block")) & (F.col("_mid") == F.col("_h._mid"))).select("value").distinct().limit(2).collect()
     if not first:
         raise ValueError(f"no line contains {marker!r}")
+    if len(first) > 1:
+        raise ValueError(f"the files' headers differ: {[r.value for r in first]}")
     names = [c.strip().lstrip("\ufeff") for c in _split_header(first[0].value)]
     schema = all_strings(names)
     body = lines.join(heads, "_file").filter(
@@ -189,10 +204,14 @@ def read_entity(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.format(fmt).load(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A JSON array of objects (audit log, import history, users); file order
-    kept as ``row_no`` via the position columns."""
-    return read_entity(spark, path, schema, fmt="json", multiline=True)
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+    """JSON objects (audit log, import history, users) with ``row_no`` in file
+    order: an array per file (read by one task each), or with ``lines`` one
+    object per line (files are split)."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("row_no", T.LongType())]))
+    df = with_row_position(spark.read.schema(schema).option("multiLine", not lines).json(path))
+    return add_row_numbers(df).select(*[F.col(f"`{f}`") for f in schema.fieldNames()], "row_no")
 
 
 def list_tables(spark: SparkSession, base: str) -> DataFrame:

@@ -3,9 +3,10 @@ stock-sheet snapshots, the action-file import stream, and audit-log counts.
 
 The refresh re-runs the batch operators for every micro-batch through
 ``foreachBatch``. Its state (the last stock per SKU, which keeps SKUs that a
-newer snapshot omits) lives in a versioned table; every version directory is
-keyed by the batch id, so a batch that is retried after a failure rewrites
-the same version instead of applying twice.
+newer snapshot omits) lives in a versioned table. A batch starts from the last
+committed state and commits its tables together under its own name, so a batch
+that is retried starts from what its first attempt started from, and a new
+run or a new checkpoint goes on from the last commit.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ from pyspark.sql.streaming import StreamingQuery
 from shelfspark.operators import dashboard as dash
 from shelfspark.operators.actions import apply_actions
 from shelfspark.operators.stock import snapshot_stock
-from shelfspark.operators.tables import current, publish, upsert, version_before
+from shelfspark.operators.tables import assign_ids, current, current_paths, publish_together, state_before, upsert
 from shelfspark.schemas import CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
-from shelfspark.session import checkpoint_dir
-from shelfspark.sources.files import POSITION, skip_leading_rows
+from shelfspark.sources.entities import ACTION_LABELS
+from shelfspark.sources.files import POSITION, decoded, skip_leading_rows
 
 STATE = "stock_update"
 DASHBOARD = "stock_items"
@@ -38,45 +39,55 @@ def _trigger(writer, trigger: str):
     return writer.trigger(processingTime=trigger)
 
 
-def _checkpoint(spark: SparkSession, checkpoint: str | None, name: str) -> str:
-    return checkpoint or os.path.join(checkpoint_dir(spark), f"stream-{name}")
+def _checkpoint(base: str, checkpoint: str | None, name: str) -> str:
+    """Below the tables' own root, so that it outlives the session."""
+    return checkpoint or os.path.join(base, "_checkpoints", name)
 
 
-def refresh_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str, items: DataFrame,
+def _stream_name(spark: SparkSession, name: str, checkpoint: str) -> str:
+    """Name of a stream in the commits: the id that its checkpoint keeps over
+    restarts, so a new checkpoint's first batch is not taken for a retry."""
+    return f"{name}:{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or checkpoint}"
+
+
+def refresh_batch(spark: SparkSession, batch: DataFrame, batch_name: str | None, base: str, items: DataFrame | None = None,
                   catalog: DataFrame | None = None, skip: int = SHEET_BANNER_ROWS) -> None:
     """Fold one micro-batch of sheet snapshot files into the stock state and
-    publish a new dashboard version.
+    publish it with a new dashboard, in one commit.
 
     Each file is one snapshot; snapshots are ordered by (modification time,
     path). Totals are taken per (snapshot, SKU) first and the newest snapshot
-    wins per SKU, so two files in one batch are never added together.
+    wins per SKU, so two files in one batch are never added together. Items
+    and catalogue are the tables' current versions unless given.
     """
     rows = skip_leading_rows(batch, skip)
     rows = rows.withColumn("_snap", F.struct(F.col("_mtime"), F.col("_file")))
     newest = snapshot_stock(rows, "_snap")
-    state = version_before(spark, os.path.join(base, STATE), STOCK_UPDATE, batch_id)
+    state = state_before(spark, os.path.join(base, STATE), STOCK_UPDATE, batch_name)
     # the state and the batch's newest snapshot hold one row per SKU each
     merged = upsert(state, newest, "master_sku", STOCK_COLUMNS, unique_inputs=True)
-    publish(merged, os.path.join(base, STATE), batch_id=batch_id, schema=STOCK_UPDATE)
-    stock = current(spark, os.path.join(base, STATE), STOCK_UPDATE)
+    its = items if items is not None else current(spark, os.path.join(base, ITEMS), ITEM_MASTER)
     cat = catalog if catalog is not None else current(spark, os.path.join(base, CATALOG), CATALOG_PRICING)
-    board = dash.publishable(dash.build_dashboard(items, stock, cat))
-    publish(board, os.path.join(base, DASHBOARD), batch_id=batch_id)
+    board = dash.publishable(dash.build_dashboard(its, merged, cat))
+    publish_together(spark, base, {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku"}),
+                                   DASHBOARD: (board, {"sort_within": "id"})}, batch_name)
 
 
 def report_error(spark: SparkSession, base: str, batch_id: int, exc: Exception) -> None:
     """Append one error record (batch id, message, time) to ``base/refresh_errors``."""
-    msg = str(exc).strip().splitlines()[0][:500] if str(exc).strip() else type(exc).__name__
+    msg = str(exc).strip() or type(exc).__name__
     row = spark.createDataFrame([(int(batch_id), type(exc).__name__, msg)], "batch_id long, error string, message string")
     row.withColumn("at", F.current_timestamp()).write.mode("append").json(os.path.join(base, "refresh_errors"))
 
 
-def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFrame,
+def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFrame | None = None,
                    catalog: DataFrame | None = None, checkpoint: str | None = None,
                    trigger: str = "15 minutes", skip: int = SHEET_BANNER_ROWS,
                    on_error: str = "raise") -> StreamingQuery:
     """Keep the dashboard current from stock-sheet snapshot files landing in
-    ``sheet_dir`` (headerless CSV, banner rows on top). ``trigger`` is a
+    ``sheet_dir`` (headerless CSV, banner rows on top). Every batch reads the
+    current item master and catalogue below ``base`` (so an import shows in the
+    next refresh) unless fixed ones are given. ``trigger`` is a
     processing-time interval (the reference polls every 900 s),
     ``"availableNow"`` or ``"once"``.
 
@@ -93,76 +104,100 @@ def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFr
                    F.col("_metadata.file_block_start").alias("_block"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
 
+    where = _checkpoint(base, checkpoint, "refresh")
+
     def run(batch: DataFrame, batch_id: int) -> None:
         positioned = batch.withColumn("_mid", F.monotonically_increasing_id())
         try:
-            refresh_batch(spark, positioned, batch_id, base, items, catalog, skip)
+            refresh_batch(spark, positioned, f"{_stream_name(spark, 'refresh', where)}#{batch_id}", base, items, catalog, skip)
         except Exception as exc:
             if on_error == "raise":
                 raise
             report_error(spark, base, batch_id, exc)
 
-    writer = src.writeStream.foreachBatch(run).option("checkpointLocation", _checkpoint(spark, checkpoint, "refresh"))
+    writer = src.writeStream.foreachBatch(run).option("checkpointLocation", where)
     return _trigger(writer, trigger).start()
 
 
-def actions_batch(spark: SparkSession, batch: DataFrame, batch_id: int, base: str,
+ACTION_COLUMNS = 64  # cells of an action file's line that are read, at most
+
+
+def labelled_actions(cells: DataFrame) -> DataFrame:
+    """Rows of action files under the engine's names, by each file's own header
+    line (its first line), whatever the order of its columns. ``cells`` has
+    c0, c1, ... and the position columns; rows are ordered by arrival (file
+    time, path, place). A file without the Action column, or without data
+    rows, raises."""
+    names = [c for c in cells.columns if c[0] == "c" and c[1:].isdigit()]
+    texts = F.array(*[decoded(F.col(c)) for c in names])
+    rows = cells.select(texts.alias("_cells"), "_file", "_mtime", "_block", "_mid")
+    first = rows.where("_block = 0").groupBy("_file").agg(F.min_by("_cells", "_mid").alias("_h"), F.min("_mid").alias("_first"))
+    labels = F.transform("_h", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
+    first = first.select(F.col("_file").alias("_f"), labels.alias("_labels"), "_first")
+    bad = first.where(~F.coalesce(F.array_contains("_labels", "Action"), F.lit(False))).select("_f").limit(1).collect()
+    if bad:
+        raise ValueError(f"the action file has no Action column: {bad[0][0]}")
+    body = rows.join(first, F.col("_file") == F.col("_f")).where((F.col("_block") != 0) | (F.col("_mid") > F.col("_first")))
+    empty = first.join(body.select("_file").distinct(), F.col("_f") == F.col("_file"), "left_anti").select("_f").limit(1).collect()
+    if empty:
+        raise ValueError(f"the action file has no rows: {empty[0][0]}")
+    cell = {name: F.get("_cells", F.array_position("_labels", label).cast("int") - 1) for label, name in ACTION_LABELS.items()}
+    return body.select(*[c.alias(name) for name, c in cell.items()], "_file", "_mtime", "_block", "_mid")
+
+
+def actions_batch(spark: SparkSession, batch: DataFrame, batch_name: str | None, base: str,
                   price_map: str = "parity", refresh_dashboard: bool = True) -> DataFrame:
     """Apply one micro-batch of action files to the item and catalogue tables
-    (files in path order, rows in file order) and return the summary. With
-    ``refresh_dashboard`` the dashboard is rebuilt from the new tables and
-    the current stock state right after, as an import triggers a refresh.
-
-    Inputs are the versions written before this batch id, so a retried batch
-    recomputes the same tables instead of applying the file twice."""
-    from shelfspark.sources.files import add_row_numbers
-    numbered = add_row_numbers(batch)
-    items = version_before(spark, os.path.join(base, ITEMS), ITEM_MASTER, batch_id, prefix="a")
-    cat = version_before(spark, os.path.join(base, CATALOG), CATALOG_PRICING, batch_id, prefix="a")
+    (files in order of arrival, rows in file order) and return the summary.
+    With ``refresh_dashboard`` the dashboard is rebuilt from the new tables and
+    the current stock state; all tables switch with one commit.
+
+    Inputs are the committed versions, or on a retry those that the first
+    attempt started from, so a file is never applied twice."""
+    numbered = assign_ids(batch, ["_mtime", *POSITION], id_col="row_no")
+    items = state_before(spark, os.path.join(base, ITEMS), ITEM_MASTER, batch_name)
+    cat = state_before(spark, os.path.join(base, CATALOG), CATALOG_PRICING, batch_name)
     res = apply_actions(items, cat, numbered, price_map=price_map)
     # items keep file order: existing rows first, then added rows in action order
     new_items = (res.items.withColumn("row_no", F.col("src") * F.lit(1 << 40) + F.col("src_row"))
                  .select(*ITEM_MASTER.fieldNames()))
-    publish(new_items, os.path.join(base, ITEMS), batch_id=f"a{batch_id}", schema=ITEM_MASTER)
-    publish(res.catalog, os.path.join(base, CATALOG), batch_id=f"a{batch_id}", schema=CATALOG_PRICING)
+    frames = {ITEMS: (new_items, {"schema": ITEM_MASTER}),
+              CATALOG: (res.catalog, {"schema": CATALOG_PRICING, "unique_key": "master_sku"})}
     if refresh_dashboard:
         stock = current(spark, os.path.join(base, STATE), STOCK_UPDATE)
-        items_now = current(spark, os.path.join(base, ITEMS), ITEM_MASTER)
-        cat_now = current(spark, os.path.join(base, CATALOG), CATALOG_PRICING)
-        board = dash.publishable(dash.build_dashboard(items_now, stock, cat_now))
-        publish(board, os.path.join(base, DASHBOARD), batch_id=f"a{batch_id}")
+        frames[DASHBOARD] = (dash.publishable(dash.build_dashboard(new_items, stock, res.catalog)), {"sort_within": "id"})
+    publish_together(spark, base, frames, batch_name)
     return res.summary
 
 
-def _current_or_fail(spark: SparkSession, base: str) -> str:
-    from shelfspark.operators.tables import current_path
-    p = current_path(spark, base)
-    if p is None:
+def _current_or_fail(spark: SparkSession, base: str) -> list[str]:
+    paths = current_paths(spark, base)
+    if not paths:
         raise ValueError(f"no published table at {base}")
-    return p
-
-
-ACTION_FILE_COLUMNS = {
-    "Master SKU": "master_sku", "Style ID / Parent SKU": "item_name", "Size": "size", "Category": "category",
-    "Location": "location", "Cost": "cost", "Wholesale Price": "price", "Catalog Name": "catalog", "MRP": "mrp",
-    "Uniware Stock": "available_atp", "FBA": "fba_stock", "FBF": "fbf_stock", "SJIT": "sjit_stock",
-    "Launch Date": "updated", "Action": "action",
-}
+    return paths
 
 
 def stream_actions(spark: SparkSession, action_dir: str, base: str, checkpoint: str | None = None,
                    trigger: str = "availableNow", price_map: str = "parity") -> StreamingQuery:
     """Apply action files (the labelled export plus an Action column) as they land."""
-    schema = all_strings(list(ACTION_FILE_COLUMNS))
-    src = (spark.readStream.schema(schema).option("header", True).csv(action_dir)
-           .select(*[F.col(f"`{k}`").alias(v) for k, v in ACTION_FILE_COLUMNS.items()],
-                   F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")))
+    # bytes are kept as they are (Latin-1) until each cell is decoded
+    src = (spark.readStream.schema(all_strings([f"c{i}" for i in range(ACTION_COLUMNS)])).option("header", False)
+           .option("encoding", "ISO-8859-1").csv(action_dir)
+           .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                   F.col("_metadata.file_modification_time").alias("_mtime")))
+    where = _checkpoint(base, checkpoint, "actions")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        actions_batch(spark, batch.withColumn("_mid", F.monotonically_increasing_id()), batch_id, base, price_map)
+        rows = labelled_actions(batch.withColumn("_mid", F.monotonically_increasing_id()))
+        actions_batch(spark, rows, f"{_stream_name(spark, 'actions', where)}#{batch_id}", base, price_map)
 
-    writer = src.writeStream.foreachBatch(run).option("checkpointLocation", _checkpoint(spark, checkpoint, "actions"))
-    return _trigger(writer, trigger).start()
+    return _trigger(src.writeStream.foreachBatch(run).option("checkpointLocation", where), trigger).start()
+
+
+def start_streams(spark: SparkSession, sheet_dir: str, action_dir: str, base: str,
+                  trigger: str = "15 minutes") -> tuple[StreamingQuery, StreamingQuery]:
+    """The whole periodic job: sheet snapshots and action files over one set of tables."""
+    return (stream_refresh(spark, sheet_dir, base, trigger=trigger), stream_actions(spark, action_dir, base, trigger=trigger))
 
 
 def stream_audit_counts(logs: DataFrame, watermark: str = "1 day", window: str = "1 day",
@@ -174,17 +209,14 @@ def stream_audit_counts(logs: DataFrame, watermark: str = "1 day", window: str =
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-__all__ = ["stream_refresh", "refresh_batch", "stream_actions", "actions_batch", "stream_audit_counts", "POSITION"]
-
-
-def refresh_once(spark: SparkSession, sheet_path: str, base: str, items: DataFrame,
-                 catalog: DataFrame | None = None, batch_id: int = 0, skip: int = SHEET_BANNER_ROWS) -> None:
-    """One batch refresh from landed sheet file(s), without a stream: the
-    same fold and publish as a streaming micro-batch with id ``batch_id``."""
+def refresh_once(spark: SparkSession, sheet_path: str, base: str, items: DataFrame | None = None,
+                 catalog: DataFrame | None = None, skip: int = SHEET_BANNER_ROWS) -> None:
+    """One batch refresh from landed sheet file(s), without a stream: the same
+    fold and publish as a micro-batch, on top of the last committed state."""
     batch = (spark.read.schema(all_strings(SHEET_COLUMNS)).option("header", False).option("mode", "PERMISSIVE")
              .csv(sheet_path)
              .select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.col("_metadata.file_modification_time").alias("_mtime"),
                      F.monotonically_increasing_id().alias("_mid")))
-    refresh_batch(spark, batch, batch_id, base, items, catalog, skip)
+    refresh_batch(spark, batch, None, base, items, catalog, skip)

@@ -1,5 +1,7 @@
 import os
 
+from pyspark.sql.types import StructType
+
 from shelfspark.operators import stock
 from shelfspark.schemas import SHEET_COLUMNS
 from shelfspark.sources import files
@@ -110,3 +112,31 @@ def test_skip_when_files_share_a_partition(spark, tmpdir_path):
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", old)
         spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
+def test_files_with_other_headers_raise(spark, tmpdir_path):
+    import pytest
+    _write(os.path.join(tmpdir_path, "a.csv"), b"Master SKU,Cost\nA,1\n")
+    _write(os.path.join(tmpdir_path, "b.csv"), b"Cost,Master SKU\n1,A\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_text_csv(spark, tmpdir_path).collect()
+
+
+def test_marker_missing_or_headers_differ(spark, tmpdir_path):
+    import pytest
+    _write(os.path.join(tmpdir_path, "a.csv"), b"x\nMaster SKU,Size\nS1,M\n")
+    _write(os.path.join(tmpdir_path, "b.csv"), b"nothing\nS2,L\n")
+    with pytest.raises(ValueError, match="b.csv"):
+        files.read_below_marker(spark, tmpdir_path, "Master SKU")
+    _write(os.path.join(tmpdir_path, "b.csv"), b"Size,Master SKU\nL,S2\n")
+    with pytest.raises(ValueError, match="differ"):
+        files.read_below_marker(spark, tmpdir_path, "Master SKU")
+
+
+def test_json_in_file_order(spark, tmpdir_path):
+    _write(os.path.join(tmpdir_path, "a.json"), b'[{"id": 9}, {"id": 2}, {"id": 5}]')
+    df = files.read_json_array(spark, os.path.join(tmpdir_path, "a.json"), StructType().add("id", "long"))
+    assert [r.id for r in df.orderBy("row_no").collect()] == [9, 2, 5]
+    _write(os.path.join(tmpdir_path, "b.json"), b'{"id": 4}\n{"id": 1}\n')
+    df = files.read_json_array(spark, os.path.join(tmpdir_path, "b.json"), df.select("id").schema, lines=True)
+    assert [(r.row_no, r.id) for r in df.orderBy("row_no").collect()] == [(1, 4), (2, 1)]

@@ -1,10 +1,12 @@
 import os
 import time
 
+import pytest
+
 from pyspark.sql import functions as F
 
-from shelfspark.operators.tables import current
-from shelfspark.schemas import AUDIT_LOG, STOCK_UPDATE
+from shelfspark.operators.tables import commits, current, publish
+from shelfspark.schemas import AUDIT_LOG, ITEM_MASTER, STOCK_UPDATE
 from shelfspark.streaming import refresh
 
 BANNER = "Stock,,,,,,,\nnote,,,,,,,\nuni,qty,fba,qty,fbf,qty,sjit,qty\n"
@@ -17,6 +19,84 @@ def _land(d, name, body, mtime):
     os.utime(p, (mtime, mtime))
 
 
+def _cells(spark, d):
+    return (spark.read.schema(refresh.all_strings([f"c{i}" for i in range(20)])).option("encoding", "ISO-8859-1").csv(d)
+            .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                    F.col("_metadata.file_modification_time").alias("_mtime"), F.monotonically_increasing_id().alias("_mid")))
+
+
+def _tables(spark, base, skus=("SKU-1", "SKU-2")):
+    items = spark.createDataFrame([(i + 1, k, "a", "M", "c", "L") for i, k in enumerate(skus)], ITEM_MASTER)
+    publish(items, os.path.join(base, "item_master"), batch_id="init", schema=ITEM_MASTER)
+
+
+def test_refresh_once_twice_and_a_new_checkpoint_keep_stale_skus(spark, tmpdir_path):
+    base, sheets = os.path.join(tmpdir_path, "t"), os.path.join(tmpdir_path, "s")
+    os.makedirs(sheets)
+    _tables(spark, base)
+    one, two = os.path.join(tmpdir_path, "one.csv"), os.path.join(tmpdir_path, "two.csv")
+    _land(tmpdir_path, "one.csv", "SKU-1,5,,,,,,\nSKU-2,4,,,,,,\n", time.time() - 50)
+    _land(tmpdir_path, "two.csv", "SKU-1,7,,,,,,\n", time.time())
+    refresh.refresh_once(spark, one, base)
+    refresh.refresh_once(spark, two, base)
+
+    def state():
+        return {r.master_sku: r.uniware_stock for r in current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).collect()}
+    assert state() == {"SKU-1": 7, "SKU-2": 4}
+    # streams with new checkpoints start at batch 0 again, on top of the same state
+    for i, body in enumerate(("SKU-3,1,,,,,,\n", "SKU-1,9,,,,,,\n")):
+        d = os.path.join(sheets, str(i))
+        os.makedirs(d)
+        _land(d, "a.csv", body, time.time())
+        refresh.stream_refresh(spark, d, base, checkpoint=os.path.join(tmpdir_path, f"ck{i}"), trigger="availableNow").awaitTermination(120)
+    assert state() == {"SKU-1": 9, "SKU-2": 4, "SKU-3": 1}
+
+
+def test_default_checkpoints_are_apart_and_outlive_the_session(spark, tmpdir_path):
+    for name, body in (("x", "SKU-1,1,,,,,,\n"), ("y", "SKU-2,2,,,,,,\n")):
+        base, sheets = os.path.join(tmpdir_path, name), os.path.join(tmpdir_path, name + "s")
+        os.makedirs(sheets)
+        _tables(spark, base)
+        _land(sheets, "a.csv", body, time.time())
+        refresh.stream_refresh(spark, sheets, base, trigger="availableNow").awaitTermination(120)
+        assert os.path.isdir(os.path.join(base, "_checkpoints", "refresh"))
+        assert current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).count() == 1
+        refresh.stream_refresh(spark, sheets, base, trigger="availableNow").awaitTermination(120)
+        assert len(commits(spark, base, last=10)) == 2  # the second run had nothing new to do
+
+
+def test_action_headers_by_name_arrival_order_and_refresh_after_import(spark, tmpdir_path):
+    base, adir, sheets = (os.path.join(tmpdir_path, n) for n in ("t", "a", "s"))
+    os.makedirs(adir)
+    os.makedirs(sheets)
+    _tables(spark, base)
+    now = time.time()
+    files = {"z.csv": ("Action,Master SKU,Style ID / Parent SKU\nadd,SKU-3,first\nreplace,SKU-1,older\n".encode(), now - 50),
+             "a.csv": ("Master SKU,Action,Style ID / Parent SKU\nSKU-1,replace,caf\xe9\n".encode("latin-1"), now - 10)}
+    for name, (body, at) in files.items():
+        with open(os.path.join(adir, name), "wb") as f:
+            f.write(body)
+        os.utime(os.path.join(adir, name), (at, at))
+    refresh.stream_actions(spark, adir, base).awaitTermination(120)
+    got = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
+    assert got == {"SKU-1": "caf\xe9", "SKU-2": "a", "SKU-3": "first"}
+    # the next refresh reads the items of now, so the imported one stays
+    _land(sheets, "s.csv", "SKU-3,6,,,,,,\n", now)
+    refresh.stream_refresh(spark, sheets, base, trigger="availableNow").awaitTermination(120)
+    board = spark.read.parquet(*refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    assert {r.sku_code: r.available_atp for r in board.collect()} == {"SKU-1": 0, "SKU-2": 0, "SKU-3": 6}
+
+
+def test_action_files_without_action_column_or_rows_raise(spark, tmpdir_path):
+    for name, body in (("x", "Master SKU,Size\nSKU-1,M\n"), ("y", "Master SKU,Action\n")):
+        d = os.path.join(tmpdir_path, name)
+        os.makedirs(d)
+        with open(os.path.join(d, "f.csv"), "w") as f:
+            f.write(body)
+        with pytest.raises(ValueError):
+            refresh.labelled_actions(_cells(spark, d))
+
+
 def test_refresh_snapshots_stale_keys_and_retry(spark, tmpdir_path):
     sheets = os.path.join(tmpdir_path, "sheets")
     base = os.path.join(tmpdir_path, "tables")
@@ -39,17 +119,19 @@ def test_refresh_snapshots_stale_keys_and_retry(spark, tmpdir_path):
     _land(sheets, "snap3.csv", "SKU-1,2,,,,,,\nSKU-3,9,,,,,,\n", now)
     q = refresh.stream_refresh(spark, sheets, base, items, checkpoint=ckpt, trigger="availableNow")
     q.awaitTermination(120)
-    board = spark.read.parquet(refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    board = spark.read.parquet(*refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
     got = {r.sku_code: (r.id, r.available_atp) for r in board.collect()}
     assert got == {"SKU-1": (1, 2), "SKU-2": (2, 4), "SKU-3": (3, 9)}
 
+    newest = commits(spark, base)
+    assert newest[0]["batch"].endswith("#1")
     # re-running batch 1 (a retry) gives the same state, not a double application
     batch = (spark.read.schema(refresh.all_strings(refresh.SHEET_COLUMNS)).csv(os.path.join(sheets, "snap3.csv"))
              .select("*", F.col("_metadata.file_path").alias("_file"),
                      F.col("_metadata.file_block_start").alias("_block"),
                      F.col("_metadata.file_modification_time").alias("_mtime"))
              .withColumn("_mid", F.monotonically_increasing_id()))
-    refresh.refresh_batch(spark, batch, 1, base, items)
+    refresh.refresh_batch(spark, batch, newest[0]["batch"], base, items)
     again = {r.master_sku: r.uniware_stock for r in
              current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).collect()}
     assert again == {"SKU-1": 2, "SKU-2": 4, "SKU-3": 9}
@@ -81,7 +163,7 @@ def test_action_stream_applies_once(spark, tmpdir_path):
     cat = spark.createDataFrame([("SKU-1", "d", "n", 1.0, 2.0, 3.0, 4.0)], CATALOG_PRICING)
     publish(items, os.path.join(base, "item_master"), batch_id="init", schema=ITEM_MASTER)
     publish(cat, os.path.join(base, "catalog_pricing"), batch_id="init", schema=CATALOG_PRICING)
-    header = ",".join(refresh.ACTION_FILE_COLUMNS) + "\n"
+    header = ",".join(refresh.ACTION_LABELS) + "\n"
     with open(os.path.join(adir, "a1.csv"), "w") as f:
         f.write(header + "SKU-3,new,L,c,X,5,6,cat,7,0,0,0,0,2024-01-01,add\n"
                          "sku-2,,,,,,,,,,,,,,delete\n"
@@ -95,16 +177,12 @@ def test_action_stream_applies_once(spark, tmpdir_path):
          current(spark, os.path.join(base, "catalog_pricing"), CATALOG_PRICING).collect()}
     assert c == {"SKU-1": (9.0, 8.0, 4.0), "SKU-3": (5.0, 7.0, 0.0)}
     # replaying batch 0 gives the same tables
-    batch = (spark.read.schema(refresh.all_strings(list(refresh.ACTION_FILE_COLUMNS))).option("header", True)
-             .csv(adir).select(*[F.col(f"`{k}`").alias(v) for k, v in refresh.ACTION_FILE_COLUMNS.items()],
-                               F.col("_metadata.file_path").alias("_file"),
-                               F.col("_metadata.file_block_start").alias("_block"))
-             .withColumn("_mid", F.monotonically_increasing_id()))
-    refresh.actions_batch(spark, batch, 0, base)
+    batch = refresh.labelled_actions(_cells(spark, adir))
+    refresh.actions_batch(spark, batch, commits(spark, base)[0]["batch"], base)
     again = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
     assert again == got
     # the import refreshed the dashboard (no stock state yet: stock is 0)
-    board = spark.read.parquet(refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    board = spark.read.parquet(*refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
     assert {(r.id, r.sku_code, r.item_name, r.up_price) for r in board.collect()} == {
         (1, "SKU-1", "ren", 8.0), (2, "SKU-3", "new", 7.0)}
 

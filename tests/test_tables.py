@@ -35,26 +35,82 @@ def test_publish_and_current_versions(spark, tmpdir_path):
     empty = tables.current(spark, base, STOCK_UPDATE)
     assert empty.count() == 0 and empty.schema == STOCK_UPDATE
     df = spark.createDataFrame([("A", 1, 2, 3, 4)], STOCK_UPDATE)
-    tables.publish(df, base, batch_id=0)
-    tables.publish(df.union(spark.createDataFrame([("B", 0, 0, 0, 0)], STOCK_UPDATE)), base, batch_id=1)
+    tables.publish(df, base, batch_id="s#0")
+    tables.publish(df.union(spark.createDataFrame([("B", 0, 0, 0, 0)], STOCK_UPDATE)), base, batch_id="s#1")
     assert tables.current(spark, base, STOCK_UPDATE).count() == 2
-    assert tables.version_before(spark, base, STOCK_UPDATE, 1).count() == 1
-    # re-publishing a batch id overwrites that version (idempotent retry)
-    tables.publish(df, base, batch_id=1)
+    # a retry of the newest batch starts from what its first attempt started from
+    assert tables.state_before(spark, base, STOCK_UPDATE, "s#1").count() == 1
+    assert tables.state_before(spark, base, STOCK_UPDATE, "s#2").count() == 2
+    # another stream, and a single run, start from the newest commit
+    assert tables.state_before(spark, base, STOCK_UPDATE, "other#1").count() == 2
+    assert tables.state_before(spark, base, STOCK_UPDATE, None).count() == 2
+    tables.publish(df, base, batch_id="s#1")
     assert tables.current(spark, base, STOCK_UPDATE).count() == 1
     with pytest.raises(ValueError):
-        tables.publish(df.union(df), base, batch_id=2, unique_key="master_sku")
+        tables.publish(df.union(df), base, batch_id="s#2", unique_key="master_sku")
+    assert tables.current(spark, base, STOCK_UPDATE).count() == 1  # the failed publish switched nothing
+
+
+def test_half_written_versions_and_commits_do_not_count(spark, tmpdir_path):
+    base = os.path.join(tmpdir_path, "stock_update")
+    os.makedirs(os.path.join(base, "v-half", "_temporary"))
+    with pytest.raises(ValueError):
+        tables.current(spark, base, STOCK_UPDATE)  # data without a commit: not known to be empty
+    assert tables.state_before(spark, base, STOCK_UPDATE, "s#0").count() == 0
+    tables.publish(spark.createDataFrame([("A", 1, 2, 3, 4)], STOCK_UPDATE), base, batch_id="s#0")
+    os.makedirs(os.path.join(base, "v-half2", "_temporary"))
+    with open(os.path.join(tmpdir_path, "_commits", f"{9:020d}"), "w") as f:
+        f.write('{"tables": {"stock_upd')  # a commit that is still being written
+    assert tables.current(spark, base, STOCK_UPDATE).count() == 1
+    assert tables.state_before(spark, base, STOCK_UPDATE, "s#1").count() == 1
+    tables.publish(spark.createDataFrame([("A", 1, 2, 3, 4), ("B", 1, 2, 3, 4)], STOCK_UPDATE), base, batch_id="s#1")
+    assert tables.current(spark, base, STOCK_UPDATE).count() == 2
+
+
+def test_readers_never_see_an_empty_table(spark, tmpdir_path):
+    import threading
+    root = os.path.join(tmpdir_path, "root")
+    base = os.path.join(root, "t")
+    tables.publish(spark.range(3), base)
+    paths, bad, stop = tables.current_paths(spark, base), [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            try:
+                if not tables.current_paths(spark, base):
+                    bad.append("empty")
+            except Exception as e:
+                bad.append(repr(e))
+
+    t = threading.Thread(target=read)
+    t.start()
+    for _ in range(40):
+        tables._commit(spark, root, lambda m: m | {"t": paths}, "s#1")
+    stop.set()
+    t.join()
+    assert not bad and len(os.listdir(os.path.join(root, "_commits"))) >= 41
+
+
+def test_tables_published_together_switch_together(spark, tmpdir_path):
+    tables.publish_together(spark, tmpdir_path, {"a": spark.range(1), "b": spark.range(2)})
+    dup = spark.createDataFrame([(1,), (1,)], "id long")
+    with pytest.raises(ValueError):
+        tables.publish_together(spark, tmpdir_path, {"a": spark.range(5), "b": (dup, {"unique_key": "id"})})
+    assert tables.read_table(spark, tmpdir_path, "a").count() == 1
 
 
 def test_load_table_append_replace(spark, tmpdir_path):
-    df = spark.createDataFrame([(1, "a")], "a long, b string").toDF(" id ", "na`me")
-    path = tables.load_table(df, tmpdir_path, "t", "append")
+    df = spark.createDataFrame([(1, "a")], "a long, b string").toDF(" Price.INR ", "na`me")
     tables.load_table(df, tmpdir_path, "t", "append")
-    out = spark.read.parquet(path)
-    assert out.columns == ["id", "name"] and out.count() == 2
-    assert dict(out.dtypes)["id"] == "string"
+    tables.load_table(df, tmpdir_path, "t", "append")
+    out = tables.read_table(spark, tmpdir_path, "t")
+    assert out.columns == ["id", "Price.INR", "name"]
+    assert dict(out.dtypes)["Price.INR"] == "string"
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "1", "a"), (2, "1", "a")]  # ids go on
+    with pytest.raises(ValueError):
+        tables.load_table(df.toDF("x", "y"), tmpdir_path, "t", "append")  # other columns
     tables.load_table(df, tmpdir_path, "t", "replace")
-    assert spark.read.parquet(path).count() == 1
+    assert [r.id for r in tables.read_table(spark, tmpdir_path, "t").collect()] == [1]
     with pytest.raises(ValueError):
         tables.load_table(df, tmpdir_path, "t", "merge")
 
