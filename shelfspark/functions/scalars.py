@@ -159,12 +159,18 @@ def money(c, symbol: str = "") -> Column:
 
 def grouped_int(c) -> Column:
     """Integer with thousands grouping ('1,234'); null shows '-'."""
-    return F.when(_col(c).isNull(), F.lit("-")).otherwise(F.format_number(_col(c).cast("double"), 0))
+    return F.when(_col(c).isNull(), F.lit("-")).otherwise(F.format_number(_col(c).cast("bigint"), 0))
 
 
 def dash_if_null(c) -> Column:
-    """Text with null or '' shown as '-'."""
-    return F.when(_col(c).isNull() | (_col(c).cast("string") == ""), F.lit("-")).otherwise(_col(c).cast("string"))
+    """Text with null shown as '-'; blank text stays blank."""
+    return F.coalesce(_col(c).cast("string"), F.lit("-"))
+
+
+def plain_number(c) -> Column:
+    """A number as it is written: whole numbers without decimals; null shows '-'."""
+    whole = (_col(c) == F.floor(_col(c))) & (F.abs(_col(c)) < 1e15)
+    return F.when(_col(c).isNull(), F.lit("-")).when(whole, _col(c).cast("bigint").cast("string")).otherwise(_col(c).cast("string"))
 
 
 def row_message(row_no, sku, reason) -> Column:
@@ -174,17 +180,3 @@ def row_message(row_no, sku, reason) -> Column:
     return F.when(sku_col.isNull() | (sku_col == ""),
                   F.format_string("Row %d: %s", _col(row_no), reason_col)).otherwise(
         F.format_string("Row %d (SKU: %s): %s", _col(row_no), sku_col, reason_col))
-
-
-def changed_flag(c) -> Column:
-    """True when an old/new value text is present."""
-    return _col(c).isNotNull() & (_col(c) != "")
-
-
-def array_has(arr, value: str) -> Column:
-    return F.array_contains(_col(arr), value)
-
-
-def json_list(c) -> Column:
-    """Parse a JSON list held as text."""
-    return F.from_json(_col(c), "array<string>")

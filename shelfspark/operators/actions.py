@@ -162,11 +162,16 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
               .otherwise(F.format_string("unknown action '%s'.", F.col("act"))))
     errors = (classified.filter(~st.isin(*ACTIONS))
               .select(F.col("row_no").cast("bigint").alias("row_no"), "sku", st.alias("status"),
-                      row_message(F.col("row_no"), F.col("sku"), reason).alias("message"))
-              .orderBy("row_no").limit(MAX_ERROR_DETAILS))
+                      row_message(F.col("row_no"), F.col("sku"), reason).alias("message")))
     return ActionResult(new_items, new_catalog, summary, errors)
 
 
+def error_details(errors: DataFrame, limit: int = MAX_ERROR_DETAILS) -> DataFrame:
+    """The first ``limit`` errors in row order, as the import page lists them
+    (``ActionResult.errors`` holds all of them)."""
+    return errors.orderBy("row_no").limit(limit)
+
+
 # ---------------------------------------------------------------------------
 # Legacy positional import (new / updated / skipped)
 # ---------------------------------------------------------------------------

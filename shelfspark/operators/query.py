@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scalars import contains_ci, dash_if_null, grouped_int, money, non_blank, text_or_blank
+from shelfspark.functions.scalars import contains_ci, dash_if_null, grouped_int, money, plain_number, non_blank, text_or_blank
 from shelfspark.schemas import (COLUMN_LABELS, DASHBOARD_COLUMNS, DEFAULT_VISIBLE_COUNT, EXPORT_COLUMNS,
                                 ITEM_PAGE_SIZE_MAX, LOG_PAGE_SIZE_MAX, NUMERIC_SORT_COLUMNS)
 
@@ -165,9 +165,11 @@ def find_items(items: DataFrame, prefix: str | None = None, keys: list[str] | No
     return items if not conds else items.filter(reduce(lambda a, b: a & b, conds))
 
 
-def lookup(df: DataFrame, key: str, value) -> DataFrame:
-    """Point lookup: the first row whose key equals ``value`` (at most one row)."""
-    return df.filter(F.col(key) == value).limit(1)
+def lookup(df: DataFrame, key: str, value, order: str | None = None) -> DataFrame:
+    """Point lookup: the first row, in ``order`` (default: id, else all columns),
+    whose key equals ``value`` (at most one row)."""
+    by = [order] if order else (["id"] if "id" in df.columns else df.columns)
+    return df.filter(F.col(key) == value).orderBy(*by).limit(1)
 
 
 def distinct_values(df: DataFrame, col: str, alias: str | None = None) -> DataFrame:
@@ -177,9 +179,10 @@ def distinct_values(df: DataFrame, col: str, alias: str | None = None) -> DataFr
 
 
 def query_logs(logs: DataFrame, action: str = "", username: str = "", page: int = 1,
-               page_size: int = 50, order: str = "id") -> PageResult:
+               page_size: int = 50, order: str | None = None) -> PageResult:
     """Audit log page: action equality (case-sensitive), user substring
-    (case-insensitive), file order."""
+    (case-insensitive), in file order (``row_no`` where the reader gave it, else id)."""
+    order = order or ("row_no" if "row_no" in logs.columns else "id")
     check_page(page, page_size, LOG_PAGE_SIZE_MAX)
     conds = []
     if action:
@@ -230,13 +233,15 @@ def export_view(items: DataFrame, labels: dict = COLUMN_LABELS) -> DataFrame:
 
 
 def display_view(items: DataFrame, symbol: str = "") -> DataFrame:
-    """Values as the dashboard shows them: '-' for null, grouped stock
-    numbers, two-decimal money, in-stock flag."""
+    """Values as the dashboard shows them: '-' for null (blank stays blank),
+    grouped stock numbers, two-decimal money for cost, price and MRP, other
+    numbers as they are, in-stock flag."""
     text_cols = ["sku_code", "item_name", "size", "category", "location", "catalog", "updated"]
     return items.select(
         "id",
         *[dash_if_null(c).alias(c) for c in text_cols],
-        *[money(c, symbol).alias(c) for c in ("cost", "price", "mrp", "up_price")],
+        *[money(c, symbol).alias(c) for c in ("cost", "price", "mrp")],
+        plain_number("up_price").alias("up_price"),
         *[grouped_int(c).alias(c) for c in ("available_atp", "fba_stock", "fbf_stock", "sjit_stock")],
         (F.coalesce(F.col("available_atp"), F.lit(0)) > 0).alias("in_stock"),
     )
@@ -251,8 +256,8 @@ def change_flags(logs: DataFrame) -> DataFrame:
 
 
 def import_history(history: DataFrame) -> DataFrame:
-    """Import history entries in file order."""
-    return history.orderBy("id")
+    """Import history entries in file order (``row_no`` where the reader gave it, else id)."""
+    return history.orderBy("row_no" if "row_no" in history.columns else "id")
 
 
 def top(df: DataFrame, order, n: int) -> DataFrame:

@@ -65,11 +65,12 @@ select cast(sum(case when status in ('add', 'replace', 'delete') then 1 else 0 e
   cast(sum(case when status = 'delete' then 1 else 0 end) as bigint) as deleted,
   cast(sum(case when status not in ('add', 'replace', 'delete') then 1 else 0 end) as bigint) as errors
 from _c"""
-    q["actions_errors"] = base + f"""
+    q["actions_errors_all"] = base + f"""
 select row_no, sku, status,
   case when sku = '' then concat('Row ', cast(row_no as varchar), ': ', {REASON})
        else concat('Row ', cast(row_no as varchar), ' (SKU: ', sku, '): ', {REASON}) end as message
-from _c where status not in ('add', 'replace', 'delete') order by row_no limit 20"""
+from _c where status not in ('add', 'replace', 'delete')"""
+    q["actions_errors"] = q["actions_errors_all"] + " order by row_no limit 20"
     return q
 
 
@@ -180,13 +181,18 @@ from v_selection s left join _vals x on x.sku = {strip('s.master_sku')}"""
 
 
 def _dash_or(c):
-    return f"case when {c} is null or cast({c} as varchar) = '' then '-' else cast({c} as varchar) end as {c}"
+    return f"coalesce(cast({c} as varchar), '-') as {c}"
 
 
 def _money(c):
     return f"case when {c} is null then '-' else concat('Rs ', printf('%.2f', {c})) end as {c}"
 
 
+def _plain(c):
+    return (f"case when {c} is null then '-' when {c} = floor({c}) then cast(cast({c} as bigint) as varchar) "
+            f"else cast({c} as varchar) end as {c}")
+
+
 def _grouped(c):
     return f"case when {c} is null then '-' else format('{{:,}}', {c}) end as {c}"
 
@@ -197,7 +203,7 @@ def more_sql() -> dict[str, str]:
     q.update(_import_sql())
     cat_split = f"""_cat_rows as (
   select {ck('master_sku')} as master_sku, cast(null as varchar) as launch_date, catalog_name, {lfloat('cost')} as cost,
-    {D0} as wholesale_price, {D0} as up_price, {lfloat('mrp')} as mrp, row_no, (mrp >= 1400) as is_new
+    {D0} as wholesale_price, {D0} as up_price, {lfloat('mrp')} as mrp, row_no, (row_no % 2 <> 0) as is_new
   from v_catalog where {ck('master_sku')} is not null and {ck('master_sku')} <> '')"""
     q["catalog_sync"] = with_views(V_CATALOG, cat_split) + """
 select master_sku, launch_date, catalog_name, cost, wholesale_price, up_price, mrp from (
@@ -208,18 +214,29 @@ where _rn = 1"""
 select master_sku, uniware_stock, fba_stock, fbf_stock, sjit_stock from (
   select *, row_number() over (partition by master_sku order by snapshot desc) as _rn from _cs) where _rn = 1"""
     q["stock_upsert"] = snap
+    q["refresh_twice"] = snap
+    q["catalog_from_csv"] = with_views(V_CATALOG) + """select master_sku, catalog_name, cost, cast(mrp as varchar) as mrp from v_catalog"""
+    q["items_from_marker_file"] = with_views(V_ITEM_MASTER) + """select trim(master_sku) as master_sku, cast(size as varchar) as size, loc
+from v_item_master"""
+    q["logs_from_json"] = with_views(V_AUDIT) + "select id, username, action from v_audit"
+    q["logs_by_action"] = with_views(V_AUDIT) + """select id, username, action, ts, value from v_audit
+where action = 'CLICK' and contains(lower(username), 'user1') order by id limit 100"""
     q["stock_snapshots"] = snap
     q["channel_stock_join"] = with_views(V_STOCK_SHEET, _channel_stock_body()) + "select * from _cs"
     q["overlay_stock"] = _overlay_sql()
     d = DASHBOARD_BASE
     q["item_search"] = d + f"""select {DASH_COLS} from _dash
 where contains(lower(coalesce(sku_code, '')), 'ku-12') or contains(lower(coalesce(item_name, '')), 'ku-12')"""
-    q["item_availability_yes"] = d + f"""select {DASH_COLS} from _dash
-where lower(cast(available_atp as varchar)) = 'yes' or available_atp > 0"""
-    q["item_availability_no"] = d + f"""select {DASH_COLS} from _dash
-where lower(cast(available_atp as varchar)) = 'no' or available_atp <= 0"""
+    gaps = """, _gaps as (select * replace (case when id % 10 = 0 then 0 when id % 10 = 1 then null
+  when id % 10 = 2 then -available_atp else available_atp end as available_atp) from _dash)
+"""
+    q["item_availability_yes"] = d + gaps + f"""select {DASH_COLS} from _gaps
+where lower(cast(coalesce(available_atp, 0) as varchar)) = 'yes' or available_atp > 0"""
+    q["item_availability_no"] = d + gaps + f"""select {DASH_COLS} from _gaps
+where lower(cast(coalesce(available_atp, 0) as varchar)) = 'no' or coalesce(available_atp, 0) <= 0"""
     q["item_prefix"] = d + f"select {DASH_COLS} from _dash where starts_with(lower(sku_code), 'sku-1')"
     q["item_in"] = d + f"select {DASH_COLS} from _dash where sku_code in ('SKU-10', 'SKU-18', 'SKU-400', 'SKU-999999')"
+    q["item_lookup"] = d + f"select {DASH_COLS} from _dash where sku_code = 'SKU-18' order by id limit 1"
     q["item_by_id"] = d + f"select {DASH_COLS} from _dash where id = 17"
     q["item_sort_text"] = d + f"""select {DASH_COLS} from _dash
 order by lower(coalesce(category, '')) asc, id asc limit 100 offset 200"""
@@ -241,7 +258,7 @@ from v_audit group by 1, 2"""
     q["visible_viewer"] = d + "select id, sku_code, item_name, size, category, location from _dash"
     text_cols = ["sku_code", "item_name", "size", "category", "location", "catalog", "updated"]
     q["display_view"] = dp + "select id, " + ", ".join(
-        [_dash_or(c) for c in text_cols] + [_money(c) for c in ("cost", "price", "mrp", "up_price")]
+        [_dash_or(c) for c in text_cols] + [_money(c) for c in ("cost", "price", "mrp")] + [_plain("up_price")]
         + [_grouped(c) for c in ("available_atp", "fba_stock", "fbf_stock", "sjit_stock")]
         + ["(coalesce(available_atp, 0) > 0) as in_stock"]) + " from _dash"
     q["reconcile"] = with_views(V_ITEM_MASTER, V_STOCK_SHEET, _channel_stock_body(), ITEM, _dashboard(False)) + f"""
@@ -298,7 +315,8 @@ group by 1"""
     q["top_stock"] = d + f"select {DASH_COLS} from _dash order by available_atp desc, id asc limit 10"
     q["keyset_page"] = d + f"select {DASH_COLS} from _dash where id > 1000 order by id limit 50"
     q["visible_custom"] = dp + "select id, sku_code, cost, available_atp from _dash"
-    q["legacy_status"] = f"""select * from ({_import_sql()["import_result"]}) as r
+    q["legacy_status"] = f"""select * from (select * replace (case when cost % 30 = 0 then 'active ' when cost % 20 = 0 then 'Closed'
+  when cost % 50 = 0 then null else status end as status) from ({_import_sql()["import_result"]})) as r
 where (contains(lower(coalesce(sku_code, '')), 'sku-1') or contains(lower(coalesce(item_name, '')), 'sku-1'))
   and lower(coalesce(status, '')) = 'active'"""
     q["item_sort_text_legacy"] = d + f"""select {DASH_COLS} from _dash

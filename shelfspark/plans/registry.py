@@ -3,6 +3,8 @@ the whole generated tables. Names match ``plans.oracle.oracle_sql``."""
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,9 @@ from pyspark.sql import functions as F
 from shelfspark.functions.scalars import ck, contains_ci, non_blank, strip
 from shelfspark.operators import actions, quality, query, stock, tables
 from shelfspark.operators import dashboard as dash
-from shelfspark.schemas import STOCK_COLUMNS
+from shelfspark.schemas import ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE
+from shelfspark.session import checkpoint_dir
+from shelfspark.sources import entities, files
 from shelfspark.sources import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +33,27 @@ def _board(spark, sf, priced: bool = False) -> DataFrame:
     return dash.build_dashboard(items, _stock(spark, sf), catalog)
 
 
+_PUBLISHED: dict[tuple, str] = {}  # tables that this application has published, by input
+
+
 def _dashboard(spark, sf, priced: bool = False) -> DataFrame:
-    """The published dashboard: rows with gap-free ids in item-file order."""
-    return dash.publishable(_board(spark, sf, priced))
+    """The published dashboard: rows with gap-free ids in item-file order,
+    numbered once when it is published and stored sorted by id, so that pages
+    and lookups read only the columns and row groups that they need."""
+    key = (spark.sparkContext.applicationId, sf, priced)
+    if key not in _PUBLISHED:
+        base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}", "stock_items")
+        tables.publish(dash.publishable(_board(spark, sf, priced)), base, sort_within="id")
+        _PUBLISHED[key] = base
+    return spark.read.parquet(*tables.current_paths(spark, _PUBLISHED[key]))
+
+
+def _with_gaps(board: DataFrame) -> DataFrame:
+    """Every item of the generated tables has stock; here some have none, an
+    unknown or a negative one."""
+    atp = F.col("available_atp")
+    return board.withColumn("available_atp", F.when(F.col("id") % 10 == 0, 0).when(F.col("id") % 10 == 1, None)
+                            .when(F.col("id") % 10 == 2, -atp).otherwise(atp).cast("bigint"))
 
 
 def q_channel_stock(spark, sf):
@@ -107,6 +129,10 @@ def q_actions_summary(spark, sf):
 
 
 def q_actions_errors(spark, sf):
+    return actions.error_details(_actions(spark, sf).errors)
+
+
+def q_actions_errors_all(spark, sf):
     return _actions(spark, sf).errors
 
 
@@ -127,8 +153,8 @@ def q_import_summary(spark, sf):
 
 def q_catalog_sync(spark, sf):
     rows = fx.catalog_rows(spark, sf)
-    old = dash.sync_catalog(rows.filter(F.col("mrp") < 1400))
-    return dash.sync_catalog(rows.filter(F.col("mrp") >= 1400), target=old)
+    old = dash.sync_catalog(rows.filter("row_no % 2 = 0"))
+    return dash.sync_catalog(rows.filter("row_no % 2 <> 0"), target=old)
 
 
 def _snapshots(spark, sf):
@@ -162,11 +188,11 @@ def q_item_search(spark, sf):
 
 
 def q_item_availability_yes(spark, sf):
-    return query.query_items(_dashboard(spark, sf), availability="yes").matching
+    return query.query_items(_with_gaps(_dashboard(spark, sf)), availability="yes").matching
 
 
 def q_item_availability_no(spark, sf):
-    return query.query_items(_dashboard(spark, sf), availability="no").matching
+    return query.query_items(_with_gaps(_dashboard(spark, sf)), availability="no").matching
 
 
 def q_item_prefix(spark, sf):
@@ -177,6 +203,55 @@ def q_item_in(spark, sf):
     return query.find_items(_dashboard(spark, sf), keys=["SKU-10", "SKU-18", "SKU-400", "SKU-999999"])
 
 
+def q_item_lookup(spark, sf):
+    return query.lookup(_dashboard(spark, sf), "sku_code", "SKU-18")
+
+
+def q_logs_by_action(spark, sf):
+    return query.query_logs(fx.audit_log(spark, sf), action="CLICK", username="user1", page=1, page_size=100).items
+
+
+def q_refresh_twice(spark, sf):
+    """Two refreshes, each from the rows of one snapshot, on top of each other:
+    the stock state keeps the SKUs that the second omits."""
+    from shelfspark.streaming.refresh import refresh_batch
+    base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
+    tables.publish(fx.item_master(spark, sf), os.path.join(base, "item_master"), schema=ITEM_MASTER)
+    for n in (1, 2):
+        sheet = _snapshots(spark, sf).where(F.col("snapshot") == n).select(
+            *SHEET_COLUMNS, F.lit(f"s{n}").alias("_file"), F.lit(0).alias("_block"), F.lit(n).alias("_mtime"),
+            F.monotonically_increasing_id().alias("_mid"))
+        refresh_batch(spark, sheet, None, base, skip=0)
+    return tables.current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE)
+
+
+def q_catalog_from_csv(spark, sf):
+    """The price catalogue written as labelled CSV files and read back."""
+    labels = {v: k for k, v in entities.CATALOG_LABELS.items()}
+    path = os.path.join(checkpoint_dir(spark), f"csv-{uuid.uuid4().hex}")
+    rows = fx.catalog_rows(spark, sf)
+    files.write_csv(rows.select(*[F.col(c).alias(labels[c]) for c in ("master_sku", "catalog_name", "cost", "mrp")]), path)
+    return entities.read_catalog(spark, path).select("master_sku", "catalog_name", "cost", "mrp")
+
+
+def q_items_from_marker_file(spark, sf):
+    """The item master below lines of other text, found by its header line."""
+    path = os.path.join(checkpoint_dir(spark), f"text-{uuid.uuid4().hex}")
+    rows = fx.item_master(spark, sf).select(F.concat_ws(",", F.trim("master_sku"), "size", "loc").alias("value"), F.lit(2).alias("o"))
+    head = spark.createDataFrame([("Stock list,,", 0), ("Master SKU,Size,Loc", 1)], "value string, o int")
+    head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return files.read_below_marker(spark, path, "Master SKU").select(
+        F.col("Master SKU").alias("master_sku"), F.col("Size").alias("size"), F.col("Loc").alias("loc"))
+
+
+def q_logs_from_json(spark, sf):
+    """The audit log written as JSON lines and read back in file order."""
+    path = os.path.join(checkpoint_dir(spark), f"json-{uuid.uuid4().hex}")
+    logs = fx.audit_log(spark, sf).select("id", "username", "action")
+    logs.write.json(path)
+    return files.read_json_array(spark, path, logs.schema, lines=True).select("id", "username", "action")
+
+
 def q_item_by_id(spark, sf):
     return query.find_items(_dashboard(spark, sf), item_id=17)
 
@@ -315,7 +390,8 @@ def q_visible_custom(spark, sf):
 
 
 def q_legacy_status(spark, sf):
-    return query.item_filters(_import(spark, sf)[0], status="ACTIVE", search="sku-1")
+    status = F.expr("CASE WHEN cost % 30 = 0 THEN 'active ' WHEN cost % 20 = 0 THEN 'Closed' WHEN cost % 50 = 0 THEN NULL ELSE status END")
+    return query.item_filters(_import(spark, sf)[0].withColumn("status", status), status="ACTIVE", search="sku-1")
 
 
 def q_item_sort_text_legacy(spark, sf):
@@ -363,6 +439,13 @@ QUERIES: dict[str, Query] = {
     "item_availability_no": q_item_availability_no,
     "item_prefix": q_item_prefix,
     "item_in": q_item_in,
+    "actions_errors_all": q_actions_errors_all,
+    "item_lookup": q_item_lookup,
+    "logs_by_action": q_logs_by_action,
+    "refresh_twice": q_refresh_twice,
+    "catalog_from_csv": q_catalog_from_csv,
+    "items_from_marker_file": q_items_from_marker_file,
+    "logs_from_json": q_logs_from_json,
     "item_by_id": q_item_by_id,
     "item_sort_text": q_item_sort_text,
     "item_sort_numeric": q_item_sort_numeric,

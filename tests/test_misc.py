@@ -79,7 +79,8 @@ def test_export_and_display(spark):
     exp = query.export_view(items)
     assert exp.columns[0] == "Master SKU" and exp.columns[-1] == "Action" and "Up Price" not in exp.columns
     d = query.display_view(items, symbol="Rs ").first()
-    assert (d.item_name, d.cost, d.available_atp, d.in_stock, d.catalog) == ("-", "Rs 1.50", "1,234", True, "-")
+    assert (d.item_name, d.cost, d.available_atp, d.in_stock, d.catalog) == ("-", "Rs 1.50", "1,234", True, "")
+    assert d.up_price == "4"
 
 
 def test_small_helpers(spark, tmpdir_path):

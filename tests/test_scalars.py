@@ -45,7 +45,9 @@ def test_text_or_blank(spark):
 def test_display_helpers(spark):
     assert _one(spark, [1234.5, None], lambda c: S.money(c, "Rs "), "double") == ["Rs 1234.50", "-"]
     assert _one(spark, [1234567, None], S.grouped_int, "bigint") == ["1,234,567", "-"]
-    assert _one(spark, ["", None, "x"], S.dash_if_null) == ["-", "-", "x"]
+    assert _one(spark, ["", None, "x"], S.dash_if_null) == ["", "-", "x"]
+    assert _one(spark, [8.0, 8.5, None], S.plain_number, "double") == ["8", "8.5", "-"]
+    assert _one(spark, [9007199254740993], S.grouped_int, "bigint") == ["9,007,199,254,740,993"]
 
 
 def test_batch_stamp(spark):
