@@ -26,7 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import labelled_sample, stored
@@ -34,7 +34,7 @@ from shelfspark.llm.common import labelled_sample, stored
 MAX_LABELLED = 20_000
 MAX_WORDS = 4_000  # vocabulary
 MIN_DOCS = 4  # labelled documents that a word of the vocabulary is in, at least
-INDICATIVE = 6.0  # z value of the log odds from which a word counts for the grade
+INDICATIVE = 3.0  # z value of the log odds from which a word counts for the grade
 RIDGE = 1e-5
 ITERATIONS = 400
 STEMS = (4, 5)  # letters of the stems that are features beside the words
@@ -68,9 +68,11 @@ def _counted(words: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray
 def vocabulary(sample: DataFrame) -> list[tuple[str, float]]:
     """Words by the z value of their log odds of standing in a toxic text."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*")))
-             for k in STEMS]
-    word = F.explode(F.array_distinct(F.concat(words, *stems))).alias("word")
+
+    def stems(k: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    word = F.explode(F.array_distinct(F.concat(words, *[stems(k) for k in STEMS]))).alias("word")
     toxic = (F.col("label") > 0).cast("long")
     sizes = sample.agg(F.sum(toxic), F.count(F.lit(1))).first()
     n1, n = int(sizes[0] or 0), int(sizes[1])
