@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -68,3 +69,10 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(top)))
     sc.addPyFile(path)
     sc._shelfspark_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of steps that are over: its cleaner
+    does so once the driver's garbage, which refers to them, is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
