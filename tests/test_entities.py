@@ -35,7 +35,7 @@ def test_end_to_end_from_files(spark, tmpdir_path):
         (3, "SKU-1"): ("Tee dup", 5, 0, 7.5, "Summer", "2024-02-01"),
     }
     base = os.path.join(tmpdir_path, "tables")
-    refresh.refresh_once(spark, sheet, base, im, cg, batch_id=0)
+    refresh.refresh_once(spark, sheet, base, im, cg)
     state = {r.master_sku: r.uniware_stock for r in current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE).collect()}
     assert state == {"SKU-1": 5, "SKU-2": 0, "SKU-3": 0}
 
