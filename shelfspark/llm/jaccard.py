@@ -9,8 +9,8 @@ link must touch); rarity is counted over all documents in a fixed number of
 counters. The boundary between small and large is the size with the smallest
 estimated number of subsets and list entries.
 
-A list is never written out as all pairs: it proposes its members against two
-hubs per band of sizes, proposals are verified on the whole sets, and only
+A list is never written out as all pairs: it proposes its members against one
+or two hubs per band of sizes, proposals are verified on the whole sets, and only
 members that still lie in different components are then compared with each
 other. So the components are exact while a group of thousands of near copies
 costs a few comparisons per member.
@@ -33,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import stored
+from shelfspark.llm.common import release, stored
 from shelfspark.llm.components import connected_components
+from shelfspark.llm.filters import bit_filter, in_filter, row_filter
 from shelfspark.llm.shingles import mix, set_id, shingle_sets
 
 COUNTER_BITS = 20  # counters of the rarity of shingles: a fixed number, shared by hash
 CHUNKS = 64  # that they travel in
 LIST_COST = 4.0  # of an entry of an inverted list, in subsets
 LARGEST_SMALL = 40  # sizes tried as the boundary
-FILTER_BITS = 23  # of the filter that tells which texts are needed again: a fixed size
+KEY_FILTER_BITS = 26  # of the filter of the keys that several entries share: a fixed size
+MANY = 8  # members from which a list has a second hub
 
 
 def shared_least(a: int, b: int, num: int, den: int) -> int:
@@ -78,19 +80,18 @@ def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     def scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, "uint32")
         for batch in found:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            if sets:
-                slots = (np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype("int64")
-                counts += np.bincount(slots, minlength=1 << COUNTER_BITS).astype("uint32")
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], "int32"), pa.array([set_id(s) if len(s) else None for s in sets], "int64"),
-                 pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
+            sizes, ids = [], []
+            for sets in shingle_sets((t.as_py() for t in batch.column(1)), words):
+                np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype("int64"), np.uint32(1))
+                sizes += [len(s) for s in sets]
+                ids += [set_id(s) if len(s) else None for s in sets]
+            n, id_type = len(sizes), batch.column(0).type
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, "int32"), pa.array(ids, "int64"),
+                                              pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
-            id_type = batch.column(0).type
             parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()),
-                 pa.array(range(CHUNKS), "int32"), pa.array(parts, "binary")], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()),
+                                              pa.array(range(CHUNKS), "int32"), pa.array(parts, "binary")], names=names)
 
     names = ["doc_id", "n", "set", "chunk", "counts"]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -122,78 +123,57 @@ def _entries(docs: DataFrame, rarity: np.ndarray, boundary: int, words: int, num
     order = docs.sparkSession.sparkContext.broadcast(rarity)
     wanted = {s: subset_sizes(s, boundary, num, den) for s in range(boundary + 1)}
 
+    def entered(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        n, made = len(s), []
+        if n <= boundary:
+            scattered = mix(s)
+            for c in wanted[n]:
+                left_out = np.array(list(combinations(range(n), n - c)), "int64").reshape(math.comb(n, c), n - c)
+                rest = scattered.sum(dtype="uint64", keepdims=True) - scattered[left_out].sum(axis=1, dtype="uint64")
+                made.append((mix(rest + np.uint64(c)), c))
+        if den * n >= num * (boundary + 1):
+            rare = order.value[(s >> np.uint64(64 - COUNTER_BITS)).astype("int64")]
+            made.append((s[np.lexsort((s, rare))[:_prefix(n, num, den)]], 0))
+        return made
+
     def enter(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            keys, cs, sets, sizes, places = [], [], [], [], []
-            for s in shingle_sets(batch.column(0).to_pylist(), words):
-                n, made = len(s), []
-                if not n:
-                    continue
-                own = set_id(s)
-                if n <= boundary:
-                    scattered = mix(s)
-                    everything = scattered.sum(dtype="uint64")
-                    for c in wanted[n]:
-                        left_out = [everything - scattered[list(x)].sum(dtype="uint64") for x in combinations(range(n), n - c)]
-                        made.append((mix(np.array(left_out, "uint64") + np.uint64(c)), c))
-                if den * n >= num * (boundary + 1):
-                    rare = order.value[(s >> np.uint64(64 - COUNTER_BITS)).astype("int64")]
-                    made.append((s[np.lexsort((s, rare))[:_prefix(n, num, den)]], 0))
-                for key, c in made:
-                    keys.append(key.view("int64"))
-                    cs.append(np.full(len(key), c, "int32"))
-                    sets.append(np.full(len(key), own))
-                    sizes.append(np.full(len(key), n, "int32"))
-                    places.append(np.arange(len(key), dtype="int32"))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, cs, sets, sizes, places)],
-                                                 names=["key", "c", "set", "n", "pos"])
+            for sets in shingle_sets((t.as_py() for t in batch.column(0)), words):
+                rows = [(key, c, set_id(s), len(s)) for s in sets if len(s) for key, c in entered(s)]
+                if rows:
+                    sizes = [len(key) for key, *_ in rows]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(np.concatenate([key for key, *_ in rows]).view("int64")),
+                        *[pa.array(np.repeat(np.array([r[i] for r in rows], kind), sizes)) for i, kind in ((1, "int32"), (2, "int64"), (3, "int32"))],
+                        pa.array(np.concatenate([np.arange(n, dtype="int32") for n in sizes]))], names=["key", "c", "set", "n", "pos"])
 
     return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(enter, "key long, c int, set long, n int, pos int")
 
 
-def _shingles_of(docs: DataFrame, needed: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """set and its shingles, for the documents ``needed`` (doc_id): a fixed-size
-    bit filter keeps the other texts out of the work and the shuffle."""
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << FILTER_BITS))
-    bits = (needed.select(slot.alias("b")).groupBy(F.shiftright("b", 5).alias("at"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 32 as int))")).alias("bits")).toPandas())
-    table = np.zeros(1 << (FILTER_BITS - 5), "uint32")
-    table[bits["at"].to_numpy().astype("int64")] = bits["bits"].to_numpy().astype("uint32")
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            b = batch.column(1).to_numpy(zero_copy_only=False).astype("int64")
-            keep = np.flatnonzero(shared.value[b >> 5] >> (b & 31).astype("uint32") & 1)
-            made = [s for s in shingle_sets(batch.column(0).take(pa.array(keep)).to_pylist(), words) if len(s)]
-            yield pa.RecordBatch.from_pydict({"set": pa.array([set_id(s) for s in made], "int64"),
-                                              "shingles": pa.array([s.view("int64") for s in made], pa.list_(pa.int64()))})
-
-    narrow = docs.where(F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id")).withColumn("b", slot)
-    return narrow.select("text", "b").mapInArrow(sets, "set long, shingles array<long>")
-
-
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
-    """Pairs (a, b) of classes with whether they link, counted on whole sets."""
+    """Pairs (a, b) of classes with whether they link, counted on the whole
+    sets of one text each. Texts travel rather than their larger sets, and a
+    bit filter keeps the other texts out of the shuffle."""
     sides = pairs.select(F.col("a").alias("set")).union(pairs.select(F.col("b").alias("set"))).distinct()
-    needed = stored(classes.join(sides, "set").select("set", "doc_id"), "needed")
-    sets = _shingles_of(docs, needed, words, id_col, text_col).join(needed.select("set"), "set", "left_semi")
-    # one of the texts with an equal set is enough
-    sets = stored(sets.groupBy("set").agg(F.first("shingles").alias("shingles")), "needed-sets")
+    needed = stored(classes.join(sides, "set").select("set", "doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h")), "needed")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string")).alias("h"))
+    texts = stored(texts.where(row_filter(needed, "h")).join(needed.drop("h"), "doc_id").select("set", "text"), "needed-texts")
 
     def count(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
+            both = (t.as_py() for pair in zip(batch.column(2), batch.column(3)) for t in pair)
+            sets = (s for part in shingle_sets(both, words) for s in part)
             ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (s.values.to_numpy() for s in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both))
+            for x, y in zip(sets, sets):
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(den * shared >= num * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, "bool")], names=["a", "b", "linked"])
 
-    both = (pairs.join(sets.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b").select("a", "b", "sa", "sb"))
-    return stored(both.mapInArrow(count, "a long, b long, linked boolean"), "verified")
+    both = (pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
+            .join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
+    out = stored(both.mapInArrow(count, "a long, b long, linked boolean").distinct(), "verified")
+    release(docs.sparkSession)
+    return out
 
 
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
@@ -214,8 +194,19 @@ def class_roots(docs: DataFrame, classes: DataFrame, scanned: DataFrame, words:
     sizes = classes.where(F.col("n") <= 2 * LARGEST_SMALL).groupBy("n").count().collect()
     boundary = boundary_by_cost({r["n"]: r["count"] for r in sizes}, num, den)
     entries = stored(_entries(docs, _rarity(scanned), boundary, words, num, den, id_col, text_col), "entries")
+    # only keys that stand in several entries are shuffled with them
+    often = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(often, KEY_FILTER_BITS))
+
+    def repeated(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            keys = batch.column(0).to_numpy(zero_copy_only=False).view("uint64")
+            yield batch.filter(pa.array(in_filter(shared.value, keys)))
+
+    entries = stored(entries.mapInArrow(repeated, entries.schema).distinct(), "shared-entries")
     groups = entries.groupBy("key", "c").agg(F.min("set").alias("s0"), F.max("set").alias("s1")).where("s0 != s1").select("key", "c")
-    members = stored(entries.join(groups, ["key", "c"]).distinct(), "members")
+    members = stored(entries.join(groups, ["key", "c"]), "members")
+    release(docs.sparkSession)
 
     # small sets: sharing a subset of size c is enough where c is
     subsets = members.where("c > 0")
@@ -223,14 +214,14 @@ def class_roots(docs: DataFrame, classes: DataFrame, scanned: DataFrame, words:
     small = (subsets.join(smallest, ["key", "c"]).where((F.col("set") != F.col("hub.set")) & (F.col("c") >= _shared_least(F.col("n"), F.col("hub.n"), num, den)))
              .select(*_ordered("set", "hub.set")))
 
-    # large sets: a list proposes its members against two hubs in each band of sizes
+    # large sets: a list proposes its members against one or two hubs in each band of sizes
     lists = members.where("c = 0").select("key", "set", "n", "pos")
     lists = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)))
     lists = stored(lists, "lists")
     by_place, by_chance = F.struct("pos", "n", "set"), F.struct(F.xxhash64("key", "set").alias("chance"), "pos", "n", "set")
-    hubs = lists.groupBy("key", "band").agg(F.min(by_place).alias("central"), F.min(by_chance).alias("random"))
-    proposed = lists.alias("m").join(hubs, ["key", "band"]).select("m.*", F.explode(F.array(
-        "central", F.struct("random.pos", "random.n", "random.set"))).alias("h")).alias("m")
+    hubs = lists.groupBy("key", "band").agg(F.min(by_place).alias("central"), F.min(by_chance).alias("random"), F.count(F.lit(1)).alias("many"))
+    of_list = F.when(F.col("many") < MANY, F.array("central")).otherwise(F.array("central", F.struct("random.pos", "random.n", "random.set")))
+    proposed = lists.alias("m").join(hubs, ["key", "band"]).select("m.*", F.explode(of_list).alias("h")).alias("m")
     stars = proposed.select(F.struct("set", "n", "pos").alias("x"), F.col("h").alias("y")).where("x.set != y.set").where(_may_link("x", "y", num, den))
     stars = stored(stars.select(*_ordered("x.set", "y.set")).distinct(), "stars")
     verified = _verified(docs, classes, stars, words, num, den, id_col, text_col)

@@ -6,7 +6,7 @@ is one shingle; a text without words has none."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -48,11 +48,11 @@ def batches(texts: Iterator[bytes], size: int = BATCH_BYTES) -> Iterator[list[by
         yield held
 
 
-def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
-    out: list[np.ndarray] = []
+def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[list[np.ndarray]]:
+    """Sorted distinct shingle hashes of every text, in lists of a bounded number of bytes of text."""
     inverse = pow(_BASE, -1, 2**64)
-    for part in batches(((t or "").encode("utf-8", "replace") for t in texts)):
+    for part in batches((t or "").encode("utf-8", "replace") for t in texts):
+        out: list[np.ndarray] = []
         raw = np.frombuffer(b" ".join(part) + b" ", "uint8")
         ends = np.cumsum([len(t) + 1 for t in part])
         inside = ~_SPACE[raw]
@@ -77,7 +77,7 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
                 out.append(mix(np.array([few], "uint64")))
             else:
                 out.append(np.zeros(0, "uint64"))
-    return out
+        yield out
 
 
 def set_id(shingles: np.ndarray) -> int:
