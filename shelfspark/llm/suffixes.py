@@ -13,7 +13,8 @@ deals out) of the suffixes' first ``length`` bytes:
    in a thin residue class are compared exactly. Equal strings choose equally,
    so the inside of every long repeat is covered by these.
 2. Suffixes whose string isn't wholly covered yet are tested densely, against
-   all suffixes of equal string.
+   all suffixes of equal string: hashes alone first, then the places of those
+   that stand more than once.
 
 The sample's result and the dense questions travel as bit filters of fixed
 size: they only leave out suffixes that can have no equal, and a full filter
@@ -26,7 +27,6 @@ empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,17 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import stored
+from shelfspark.llm.common import release, stored
+from shelfspark.llm.filters import BitFilter, bit_filter, in_filter, row_filter
 from shelfspark.llm.shingles import batches, mix, powers
 
 LENGTH = 400
-COVER = 183
+COVER = 91
 # fixed values: a perfect difference set, every remainder below COVER is a difference of two of them
-RESIDUES = (0, 1, 3, 16, 23, 28, 42, 76, 82, 86, 119, 137, 154, 175)
+RESIDUES = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 THIN = 32  # one of so many suffixes is compared in the first step
-FILTER_BITS = 28
-CHUNKS = 64  # that a filter travels in
-ROW_FILTER_BITS = 23
+FILTER_BITS = 27  # of each of the three filters: a fixed size
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -71,18 +70,13 @@ class Hasher:
         return mix((self.sums[places + length] - self.sums[places]) * self.down[places] + np.uint64(length))
 
 
-def _in_filter(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = hashes >> np.uint64(64 - FILTER_BITS)
-    return (table[(slot >> np.uint64(3)).astype("int64")] >> (slot & np.uint64(7)).astype("uint8") & 1).astype(bool)
-
-
-def open_places(hasher: Hasher, i: int, n: int, repeated: np.ndarray, length: int) -> np.ndarray:
+def open_places(hasher: Hasher, i: int, n: int, repeated: BitFilter, length: int) -> np.ndarray:
     """Suffixes of text ``i`` that a repeated sample leaves open, in order."""
     if n < length:
         return np.zeros(0, "int64")
     part = length - COVER + 1
     sample = cover_places(n - part + 1)
-    hit = sample[_in_filter(repeated, hasher.at(hasher.starts[i] + sample, part))]
+    hit = sample[in_filter(repeated, hasher.at(hasher.starts[i] + sample, part))]
     if not len(hit):
         return hit
     change = np.zeros(n - length + 2, "int32")
@@ -129,29 +123,6 @@ def _per_text(handle: Callable[[Hasher, int, int, int], np.ndarray | None]):
     return run
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """Bit table over the top bits of the hashes ``h``, of fixed size."""
-    size = 1 << (FILTER_BITS - 3)
-
-    def bits(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, np.ndarray] = {}
-        for batch in found:
-            slot = batch.column(0).to_numpy(zero_copy_only=False).view("uint64") >> np.uint64(64 - FILTER_BITS)
-            chunk = (slot >> np.uint64(FILTER_BITS - 6)).astype("int64")
-            for c in np.unique(chunk).tolist():
-                mine = slot[chunk == c] & np.uint64((1 << (FILTER_BITS - 6)) - 1)
-                table = tables.setdefault(c, np.zeros(size // CHUNKS, "uint8"))
-                np.bitwise_or.at(table, (mine >> np.uint64(3)).astype("int64"), np.uint8(1) << (mine & np.uint64(7)).astype("uint8"))
-        for c, table in tables.items():
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], "int32"), "bits": pa.array([zlib.compress(table.tobytes(), 1)], "binary")})
-
-    chunk = F.shiftrightunsigned("h", 64 - 6)
-    out = np.zeros((CHUNKS, size // CHUNKS), "uint8")
-    for r in hashes.select("h").repartition(CHUNKS, chunk).mapInArrow(bits, "chunk int, bits binary").collect():
-        out[r["chunk"]] |= np.frombuffer(zlib.decompress(r["bits"]), "uint8")
-    return out.ravel()
-
-
 def _repeats(rows: DataFrame) -> DataFrame:
     """Hashes that stand in more than one row."""
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
@@ -161,7 +132,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, places: suffixes (in no order) whose first ``length`` bytes also start
     elsewhere, enough of them to cover all that such strings cover. ``docs``
     has row and text."""
-    sc = docs.sparkSession.sparkContext
+    spark = docs.sparkSession
+    sc = spark.sparkContext
     part = length - COVER + 1
 
     def sample(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +144,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if places:
                     yield pa.RecordBatch.from_arrays([pa.array(hasher.at(np.concatenate(places), part).view("int64"))], names=["h"])
 
-    repeated = sc.broadcast(_filter(_repeats(docs.mapInArrow(sample, "h long"))))
+    repeated = sc.broadcast(bit_filter(_repeats(docs.mapInArrow(sample, "h long")), FILTER_BITS))
+    release(spark)
 
     def open_of(hasher, i, n, index, batch):
         return open_places(hasher, i, n, repeated.value, length)
@@ -184,6 +157,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = stored(docs.mapInArrow(thin, schema), "thin-suffixes")
     sure = first.join(stored(_repeats(first), "thin-repeats"), "h").groupBy("row").agg(F.collect_set("place").alias("places"))
     sure = stored(sure, "thin-places")
+    release(spark)
 
     def unsure(found):
         def left(hasher, i, n, index, batch):
@@ -196,31 +170,29 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return _per_text(left)(found, length, None)
 
     # only documents with a place of the first step are shuffled to meet them
-    has = row_filter(sure)
+    has = row_filter(sure, "row")
     plain = docs.where(~has).mapInArrow(unsure, schema)
     met = docs.where(has).join(sure, "row", "left").select("row", "text", "places").mapInArrow(unsure, schema)
-    asked = sc.broadcast(_filter(plain.select("h").union(met.select("h"))))
+    asked = sc.broadcast(bit_filter(plain.select("h").union(met.select("h")), FILTER_BITS))
+    release(spark)
 
-    def dense(found):
-        return _per_text(open_of)(found, length, lambda h: _in_filter(asked.value, h))
+    # their hashes alone first; places only for those that do stand twice
+    def asked_hashes(found):
+        for batch in _per_text(open_of)(found, length, lambda h: in_filter(asked.value, h)):
+            yield batch.select(["h"])
 
-    second = stored(docs.mapInArrow(dense, schema), "dense-suffixes")
-    more = second.join(stored(_repeats(second), "dense-repeats"), "h").groupBy("row").agg(F.collect_set("place").alias("places"))
-    return stored(sure.unionByName(more), "repeated-places").groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+    twice = stored(_repeats(docs.mapInArrow(asked_hashes, "h long")), "dense-repeats")
+    asked.destroy()
+    twice_bits = sc.broadcast(bit_filter(twice, FILTER_BITS))
+    release(spark)
 
+    def dense(found):
+        return _per_text(open_of)(found, length, lambda h: in_filter(twice_bits.value, h))
 
-def row_filter(rows: DataFrame):
-    """Condition on ``row``: whether it can be among the rows of a table, by a
-    bit filter of fixed size."""
-    n = 1 << (ROW_FILTER_BITS - 6)
-    slot = F.pmod("row", F.lit(1 << ROW_FILTER_BITS)).cast("long")
-    words = rows.select(F.shiftright(slot, 6).alias("at"), F.expr(f"shiftleft(1L, cast(pmod(row, {1 << ROW_FILTER_BITS}) % 64 as int))").alias("bit"))
-    words = words.groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = rows.sparkSession.range(n).select(F.col("id").alias("at")).join(words, "at", "left")
-    listed = F.sort_array(F.collect_list(F.struct("at", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    table = stored(every.agg(F.transform(listed, lambda x: x["bits"]).alias("bits")), "row-filter").scalar()
-    bit = F.call_function("shiftrightunsigned", F.get(table, F.shiftright(slot, 6).cast("int")), F.pmod(slot, F.lit(64)).cast("int"))
-    return bit.bitwiseAND(F.lit(1)) == 1
+    more = docs.mapInArrow(dense, schema).join(twice, "h").groupBy("row").agg(F.collect_set("place").alias("places"))
+    both = stored(sure.unionByName(more), "repeated-places")
+    release(spark)
+    return both.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +202,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     places = repeated_places(rows.select("row", "text"), length)
     places = stored(places, "places")
-    has = row_filter(places)
+    has = row_filter(places, "row")
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
