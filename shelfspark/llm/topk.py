@@ -102,8 +102,12 @@ def _products(queries: np.ndarray, found: np.ndarray) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return ids[order], scores[order]
+    """The ``k`` best, equal (id, score) once: copies must not fill the places of others."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (scores[1:] != scores[:-1])
+    return ids[new][:k], scores[new][:k]
 
 
 def _search(query_rows: list[dict], bucket: dict, k: int) -> Iterator[tuple[int, int, int]]:

@@ -111,6 +111,23 @@ def test_top_k_against_all_products(spark, monkeypatch, scale):
     assert topk.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_top_k_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, 8))
+    rows = [(i, x[i].tolist()) for i in range(60)]
+    whole = np.floor(64 * x).astype("int64")
+    want, best = set(), {}
+    for q in (0, 20, 40):
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-int(whole[q] @ whole[i]), i))[:5]
+        best[q] = order[0]
+        want |= {(q, k + 1, i, int(whole[q] @ whole[i])) for k, i in enumerate(order)}
+    rows += [rows[i] for i in best.values()] * 12
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, 5).collect()]
+    assert sorted(got) == sorted(want)
+
+
 # -- texts ----------------------------------------------------------------------
 
 def _near_texts(seed=7):
