@@ -1,13 +1,13 @@
 """Best-fit packing of tokenised documents into sequences of bounded length.
 
-Hierarchical residual packing: the documents of each input partition are cut
-into pieces and packed best-fit (longest first) where they are; bins that are
-nearly full are done. The underfull bins, now items themselves, are merged up
-a tree: every round reads the written bins of the round before, joins
-neighbouring partitions (``coalesce``, no shuffle) as far as the number of
-items per task stays bounded, and packs again, until one task holds them or a
-round no longer saves sequences. Every round is checkpointed, so a lost
-executor repeats a task with the same result and nothing is tokenised twice.
+Hierarchical residual packing: the documents are cut into pieces where they
+are; the pieces (without their texts) are dealt out by chance, so that every
+task gets all sizes, and packed best-fit (longest first); bins that are nearly
+full are done. The underfull bins, now items themselves, are dealt out by
+chance again, to as many tasks as keep the number of items per task bounded,
+and packed again, until one task holds them or a round saves less than a
+sequence per task. Every round is checkpointed, so a lost executor repeats a
+task with the same result and nothing is tokenised twice.
 
 Defined cases: null and empty texts are the single closing token; repeated
 rows are packed once per row; null ids are kept; an empty table gives no
@@ -190,7 +190,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARL
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
     schema = f"{columns}, sequence_id long, offset long, used long, done boolean"
     n_bins = F.count_distinct(F.when(~F.col("done"), F.col("sequence_id")))
-    packed = pieces.mapInArrow(_packer(0, capacity, nearly_full), schema).checkpoint()
+    # dealt by chance: sources or sizes that lie in different partitions must meet
+    dealt = pieces.withColumn("__deal", F.xxhash64(F.monotonically_increasing_id())).repartition("__deal").drop("__deal")
+    packed = dealt.mapInArrow(_packer(0, capacity, nearly_full), schema).checkpoint()
     finished, level, open_bins = [], 0, packed.agg(n_bins).first()[0]
     while True:
         finished.append(packed.where("done"))
@@ -198,10 +200,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, nearly_full: float = NEARL
         if not open_bins:
             break
         left, level = packed.where(~F.col("done")), level + 1
-        packed = left.coalesce(tasks).mapInArrow(_packer(level, capacity, nearly_full), schema).checkpoint()
+        mixed = left.coalesce(1) if tasks == 1 else left.repartition(tasks, F.xxhash64("sequence_id", F.lit(level)))
+        packed = mixed.mapInArrow(_packer(level, capacity, nearly_full), schema).checkpoint()
         before, open_bins = open_bins, packed.agg(n_bins).first()[0]
         saved = before - packed.agg(F.count_distinct("sequence_id")).first()[0]
-        if tasks == 1 or saved < before * 0.002:
+        if tasks == 1 or saved < tasks:
             finished.append(packed)
             break
     out = finished[0]

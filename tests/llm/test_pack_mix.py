@@ -75,6 +75,19 @@ def test_rounds_merge_underfull_bins(spark):
     assert len(used) <= sum(r[3] for r in rows) / 100 * 1.15 + 1
 
 
+@pytest.mark.parametrize("items_per_task", [40, 100])
+def test_sizes_of_different_partitions_meet(spark, items_per_task):
+    # long pieces in the first partitions, short ones in the others
+    rows = [(i, 0, 0, 2500 if i < 480 else 1200, 0) for i in range(960)]
+    pieces = spark.createDataFrame(spark.sparkContext.parallelize(rows, 12), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    placed = packing.pack(pieces, items_per_task=items_per_task).collect()
+    used = defaultdict(int)
+    for r in placed:
+        used[r.sequence_id] += r.length
+    assert len(placed) == 960 and max(used.values()) <= 4096
+    assert len(used) <= 480 * 1.06  # one of each; apart they make 640
+
+
 def _mix_docs(spark):
     rows = [(i, "w " * (i % 7 + 1), f"s{i % 3 if i % 4 else 0}" if i % 11 else None, 1, 9, "k") for i in range(400)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, size int, key string")
