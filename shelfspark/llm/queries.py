@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import jaccard, langid, lines, mixing, neardup, packing, quality, suffixes, topk, toxicity
+from shelfspark.llm import ann, jaccard, langid, lines, mixing, neardup, packing, quality, resample, suffixes, topk, toxicity, whitening
 from shelfspark.llm.common import read_table
 
 
@@ -71,10 +71,23 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_quality, op4_embedding_near_dedup, op5_best_fit_packing, op6_suffix_dedup, op7_line_dedup, op8_exact_top_k, op9_mix_sources,
-                                     op10_jaccard_join)}
+                                     op10_jaccard_join, op11_embedding_whitening, op12_importance_resampling, op13_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mix_sources": mixing.ORACLE}
+    return {"op9_mix_sources": mixing.ORACLE, "op12_importance_resampling": resample.ORACLE}
