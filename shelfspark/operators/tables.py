@@ -8,14 +8,16 @@ empty table (the reference empties the table first).
 
 from __future__ import annotations
 
-import json
 import os
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfspark.operators.commits import Snapshot, commit, commits, file_system, read_commit, snapshot  # noqa: F401
+from shelfspark.operators.numbered import read_numbered, read_parts, with_numbers, write_split
 from shelfspark.session import checkpoint_dir
 
 
@@ -98,36 +100,27 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
 def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partitions: int | None = None) -> DataFrame:
     """Gap-free consecutive ids in ``order`` without a single-partition window.
 
-    The rows are range-partitioned and sorted on ``order``, materialised once
-    in the shared checkpoint folder (so partition contents are fixed even if an
-    executor is lost), then each row gets ``offset(partition) + position``.
-    The offsets are a running sum over the per-partition row counts: one small
-    job returns one count per partition (bounded by ``partitions``, like the
-    range bounds Spark itself samples), and the offsets join back as a local
-    table that is broadcast. Rows that tie on ``order`` are told apart by
+    The rows are range-partitioned and sorted on ``order`` and written once, as
+    Parquet, into the shared checkpoint folder, so partition contents are fixed
+    even if an executor is lost; a reader of the result scans only the columns
+    it needs. Each row's id is the number of rows in the partitions before
+    (one count per partition) plus its position. The number of partitions
+    follows the size of the input and is bounded, and so is the table of
+    offsets that is broadcast. Rows that tie on ``order`` are told apart by
     their scan position, so even a value shared by a large share of the rows
     is spread over several range partitions (ids among such ties follow the
     input order; give a unique ``order`` for ids that do not depend on it).
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    order = _cols(order)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("_tie", F.monotonically_increasing_id())
-    ranged = (keyed.repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie")
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    frozen = ranged.checkpoint(eager=True)
-    counts = sorted((r["_pid"], r["_n"]) for r in
-                    frozen.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n")).collect())
-    offsets, running = [], 0
-    for pid, cnt in counts:
-        offsets.append((pid, running))
-        running += cnt
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    with_ids = frozen.join(F.broadcast(off_df), "_pid")
-    new_id = (F.col("_off") + F.col("_pos") + F.lit(start)).cast("bigint").alias(id_col)
-    return with_ids.select(new_id, *[F.col(c) for c in df.columns if c != id_col])  # drops _pid/_pos/_tie
+    rest = [c for c in df.columns if c != id_col or c in _cols(order)]
+    void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
+    kept = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in void else F.col(f"`{c}`") for c in rest])
+    path = os.path.join(checkpoint_dir(spark), f"ids-{uuid.uuid4().hex}")
+    entry = write_split(kept, path, _cols(order), partitions)
+    rows = read_parts(spark, [path], kept.schema) if entry["rows"] else spark.createDataFrame([], kept.schema).withColumns(
+        {"_part": F.lit(""), "_row": F.lit(0).cast("long")})
+    out = with_numbers(rows, [path], {path: entry}, id_col, start)
+    return out.select(id_col, *[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in rest if c != id_col])
 
 
 def next_id(df: DataFrame, id_col: str = "id") -> DataFrame:
@@ -139,19 +132,9 @@ def next_id(df: DataFrame, id_col: str = "id") -> DataFrame:
 # Versioned tables
 # ---------------------------------------------------------------------------
 #
-# The tables of one root folder share a log of commits, ``_commits/<number>``.
-# A commit names the folders of every table, so tables published together are
-# switched together; it is created once and never changed, and the newest
-# readable one is the state. Data is written into a fresh folder per attempt
-# before its commit, so neither a failed nor a repeated attempt touches what
-# readers or later batches see.
-
-_COMMITS = "_commits"
-
-
-def _fs(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+# Tables of one root folder share a log of commits (``commits.py``). Data is
+# written into a fresh folder per attempt before its commit, so neither a failed
+# nor a repeated attempt touches what readers or later batches see.
 
 
 def _split(base: str) -> tuple[str, str]:
@@ -159,54 +142,14 @@ def _split(base: str) -> tuple[str, str]:
     return root, name
 
 
-def commits(spark: SparkSession, root: str, last: int = 1) -> list[dict]:
-    """The newest ``last`` commits of a root, newest first. A commit that is
-    still being written (no complete text yet) is not one."""
-    fs, folder = _fs(spark, os.path.join(root, _COMMITS))
-    if not fs.exists(folder):
-        return []
-    jvm, found = spark.sparkContext._jvm, []
-    numbers = sorted((int(st.getPath().getName()) for st in fs.listStatus(folder) if st.getPath().getName().isdigit()), reverse=True)
-    for number in numbers:
-        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(
-            fs.open(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}")), "UTF-8"))
-        text = reader.readLine()
-        reader.close()
-        try:
-            found.append(json.loads(text or "") | {"number": number})
-        except ValueError:
-            continue
-        if len(found) == last:
-            break
-    return found
-
-
 def _commit(spark: SparkSession, root: str, change, batch: str | None) -> None:
-    """Add a commit: ``change`` maps the tables of the newest commit to the new
-    ones. Creating a file that exists fails, so of two writers with one number
-    the second takes the next, on top of the first."""
-    jvm = spark.sparkContext._jvm
-    fs, folder = _fs(spark, os.path.join(root, _COMMITS))
-    fs.mkdirs(folder)
-    while True:
-        before = (commits(spark, root) or [{"number": 0, "tables": {}}])[0]
-        taken = [int(st.getPath().getName()) for st in fs.listStatus(folder) if st.getPath().getName().isdigit()]
-        number = max([before["number"], *taken]) + 1
-        text = json.dumps({"tables": change(before["tables"]), "batch": batch, "before": before["tables"]})
-        try:
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}"), False)
-        except Exception:
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(folder, f"{number:020d}")):
-                continue
-            raise
-        out.write(bytearray(text.encode("utf-8")))
-        out.close()
-        return
+    """Add a commit: ``change`` maps the tables of the newest commit to the new ones."""
+    commit(spark, root, lambda now: now._replace(tables=change(now.tables)), batch)
 
 
-def _write_version(df: DataFrame, base: str, schema, unique_key, sort_within) -> str:
+def _write_version(df: DataFrame, base: str, schema, unique_key, sort_within, defaults: dict | None = None) -> str:
     if schema is not None:
-        df = with_defaults(df, schema, {})
+        df = with_defaults(df, schema, defaults or {})
     if sort_within:
         df = df.sortWithinPartitions(*_cols(sort_within))
     path = os.path.join(base, f"v-{uuid.uuid4().hex}")
@@ -218,80 +161,117 @@ def _write_version(df: DataFrame, base: str, schema, unique_key, sort_within) ->
     return path
 
 
-def publish_together(spark: SparkSession, root: str, frames: dict, batch: str | None = None) -> dict[str, str]:
+class Slices(NamedTuple):
+    """A numbered table's folders in order (old ones may be among them) and the entries of the new ones."""
+    paths: list[str]
+    parts: dict[str, dict]
+
+
+def publish_together(spark: SparkSession, root: str, frames: dict, batch: str | None = None, based_on: Snapshot | None = None,
+                     reads=(), made_from: dict | None = None) -> dict[str, list[str]]:
     """Write several tables of ``root`` and switch them with one commit.
-    ``frames``: name -> DataFrame, or (DataFrame, options of ``publish``).
-    ``batch`` names the streaming batch that made them (see ``state_before``)."""
-    paths = {}
+    ``frames``: name -> DataFrame, or (DataFrame, options of ``publish``), or
+    ``Slices`` that are written already. ``batch`` names the streaming batch
+    that made them. ``based_on`` and ``reads`` are the snapshot and its tables
+    that they were worked out from: if one changed since, ``Conflict`` is raised
+    and nothing is switched. ``made_from``: name -> the folders, by table, that
+    a derived table shows."""
+    paths, parts, origin = {}, {}, dict(made_from or {})
     for name, frame in frames.items():
-        df, options = frame if isinstance(frame, tuple) else (frame, {})
-        paths[name] = _write_version(df, os.path.join(root, name), options.get("schema"), options.get("unique_key"), options.get("sort_within"))
-    _commit(spark, root, lambda tables: tables | {n: [p] for n, p in paths.items()}, batch)
+        if isinstance(frame, Slices):
+            paths[name], new = list(frame.paths), frame.parts
+            parts |= new
+        else:
+            df, options = frame if isinstance(frame, tuple) else (frame, {})
+            paths[name] = [_write_version(df, os.path.join(root, name), options.get("schema"), options.get("unique_key"),
+                                          options.get("sort_within"), options.get("defaults"))]
+    # what a derived table shows includes the tables written with it
+    origin = {name: {t: paths.get(t, p) for t, p in shown.items()} for name, shown in origin.items()}
+
+    def change(now: Snapshot) -> Snapshot:
+        kept = {n: m for n, m in now.made_from.items() if n not in paths}
+        return now._replace(tables=now.tables | paths, parts=now.parts | parts, made_from=kept | origin)
+
+    commit(spark, root, change, batch, based_on, reads)
     return paths
 
 
 def publish(df: DataFrame, base: str, batch_id=None, schema: T.StructType | None = None,
-            unique_key=None, sort_within=None) -> str:
+            unique_key=None, sort_within=None, defaults: dict | None = None) -> str:
     """Write ``df`` as a new version of the table at ``base`` and switch to it.
     The written files are checked for repeats of ``unique_key`` before the
     switch; a failing check raises and leaves the table as it was.
     ``sort_within`` sorts each output file on those columns, so Parquet's
     row-group min/max statistics let lookups on them skip most of the file
-    (the role the reference's database indexes play)."""
+    (the role the reference's database indexes play). ``defaults`` gives the
+    declared value of null or missing cells of ``schema``."""
     root, name = _split(base)
-    options = {"schema": schema, "unique_key": unique_key, "sort_within": sort_within}
-    return publish_together(df.sparkSession, root, {name: (df, options)}, None if batch_id is None else str(batch_id))[name]
+    options = {"schema": schema, "unique_key": unique_key, "sort_within": sort_within, "defaults": defaults}
+    return publish_together(df.sparkSession, root, {name: (df, options)}, None if batch_id is None else str(batch_id))[name][0]
 
 
 def _versions_exist(spark: SparkSession, base: str) -> bool:
-    fs, folder = _fs(spark, base)
+    fs, folder = file_system(spark, base)
     return bool(fs.exists(folder)) and any(st.getPath().getName().startswith("v-") for st in fs.listStatus(folder))
 
 
 def current_paths(spark: SparkSession, base: str) -> list[str]:
     """Folders of the committed version of a table; none if there is no commit of it."""
     root, name = _split(base)
-    found = commits(spark, root)
-    return found[0]["tables"].get(name, []) if found else []
+    return snapshot(spark, root).paths(name)
 
 
-def current(spark: SparkSession, base: str, schema: T.StructType) -> DataFrame:
+def table_of(spark: SparkSession, state: Snapshot, name: str, schema: T.StructType, between: tuple[int, int] | None = None) -> DataFrame:
+    """A table of a snapshot, typed empty without one. The first column of a
+    table in numbered parts is the row number, worked out when it is read;
+    ``between`` takes only the rows of those numbers."""
+    paths = state.paths(name)
+    number = schema.fieldNames()[0]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    if paths[0] in state.parts:
+        return read_numbered(spark, state, name, number, schema, between)
+    out = spark.read.schema(schema).parquet(*paths)
+    return out if between is None else out.where(F.col(number).between(*between))
+
+
+def current(spark: SparkSession, base: str, schema: T.StructType, between: tuple[int, int] | None = None) -> DataFrame:
     """The committed version of a table, or a typed empty table when none was
     ever written. Written data without a commit raises: it is not known
     whether the table is empty."""
-    paths = current_paths(spark, base)
-    if not paths:
-        if _versions_exist(spark, base):
-            raise ValueError(f"{base} has data but no committed version")
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(*paths)
+    root, name = _split(base)
+    state = snapshot(spark, root)
+    if not state.paths(name) and _versions_exist(spark, base) and name not in state.tables:
+        raise ValueError(f"{base} has data but no committed version")
+    return table_of(spark, state, name, schema, between)
 
 
 def state_before(spark: SparkSession, base: str, schema: T.StructType, batch: str | None) -> DataFrame:
-    """What a batch starts from: the committed version, or, if the newest commit
-    that carries a batch of the same stream is this very batch (a retry), the
-    version that its first attempt started from. Typed empty without any.
+    """The committed version, or, if the newest commit that carries a batch of
+    the same stream is this very batch, the version before that commit. Typed
+    empty without any.
 
     ``batch`` is ``<stream>#<number>``; None (a single run) is never a retry."""
     root, name = _split(base)
-    paths = current_paths(spark, base)
-    if batch is not None:
-        stream = batch.rpartition("#")[0] + "#"
-        for c in commits(spark, root, last=1_000_000):
-            if (c["batch"] or "").startswith(stream):
-                if c["batch"] == batch:
-                    paths = c["before"].get(name, [])
-                break
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    state = snapshot(spark, root)
+    done = state.streams.get((batch or "").rpartition("#")[0])
+    if batch is not None and done is not None and done["batch"] == batch:
+        found = read_commit(spark, root, done["commit"])
+        state = state._replace(tables=found["before"] if found is not None else state.tables)
+    return table_of(spark, state, name, schema)
 
 
 def load_table(df: DataFrame, base: str, name: str, action: str = "append", id_col: str | None = "id") -> str:
     """Load rows into a named all-text table: create when absent, append, or
     replace. Column names are cleaned (stripped, backticks removed); every
     value is stored as text and missing cells stay null. Rows get consecutive
-    ids in ``id_col`` (None: no ids), going on after the largest one; an append
+    ids in ``id_col`` (None: no ids), going on after the last one; an append
     must bring exactly the table's columns. The load is one commit: readers see
-    the table before it or after it."""
+    the table before it or after it.
+
+    The rows are written once, in file order; their ids follow from the place
+    that the commit gives them, so of loads that overlap each comes whole and
+    after the other."""
     action = action.lower()
     if action not in ("append", "replace"):
         raise ValueError("action must be 'append' or 'replace'")
@@ -299,31 +279,38 @@ def load_table(df: DataFrame, base: str, name: str, action: str = "append", id_c
     text = as_text_table(df)
     if id_col in text.columns:
         text = text.drop(f"`{id_col}`") if "." in id_col else text.drop(id_col)
-    old = current_paths(spark, path) if action == "append" else []
-    start = 1
-    if old:
-        table = spark.read.parquet(*old)
-        have = [c for c in table.columns if c != id_col]
-        if sorted(have) != sorted(text.columns):
-            raise ValueError(f"columns differ: the table has {have}, the file {text.columns}")
-        text = text.select(*[F.col(f"`{c}`") for c in have])
-        if id_col is not None:
-            start = int(next_id(table, id_col).first()[0])
+
+    def check(old: list[str]) -> None:
+        if action == "append" and old:
+            have = [c for c in spark.read.parquet(old[0]).columns if c not in ("_part", "_row", id_col)]
+            if sorted(have) != sorted(text.columns):
+                raise ValueError(f"columns differ: the table has {have}, the file {text.columns}")
+
+    check(current_paths(spark, path))
+    written = os.path.join(path, f"v-{uuid.uuid4().hex}")
     if id_col is not None:
-        safe = text.toDF(*[f"c{i}" for i in range(len(text.columns))]).withColumn("_order", F.monotonically_increasing_id())
-        text = assign_ids(safe, "_order", start=start, id_col=id_col).drop("_order").toDF(id_col, *text.columns)
-    written = _write_version(text, path, None, None, None)
-    keep = action == "append"
-    _commit(spark, base, lambda tables: tables | {name: (tables.get(name, []) if keep else []) + [written]}, None)
+        entry = {written: write_split(text, written) | {"id": id_col}}
+    else:
+        text.write.parquet(written)
+        entry = {}
+
+    def change(now: Snapshot) -> Snapshot:
+        old = now.paths(name) if action == "append" else []
+        check(old)  # the table may have been replaced since
+        return now._replace(tables=now.tables | {name: [*old, written]}, parts=now.parts | entry)
+
+    commit(spark, base, change)
     return path
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
     """A loaded table under its own columns; raises when it doesn't exist."""
-    paths = current_paths(spark, os.path.join(base, name))
+    state = snapshot(spark, base)
+    paths = state.paths(name)
     if not paths:
         raise ValueError(f"no table {name} at {base}")
-    return spark.read.parquet(*paths)
+    part = state.parts.get(paths[0])
+    return spark.read.parquet(*paths) if part is None else read_numbered(spark, state, name, part["id"])
 
 
 def clean_column_names(df: DataFrame) -> DataFrame:
