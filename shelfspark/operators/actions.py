@@ -150,20 +150,25 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
         F.col("k").alias("master_sku"), *out_cols)
 
     # -- summary and errors ----------------------------------------------------------
+    summary, st = summarise(classified), F.col("status")
+    reason = (F.when(st == "missing_sku", F.lit("missing Master SKU, skipped."))
+              .otherwise(F.format_string("unknown action '%s'.", F.col("act"))))
+    errors = (classified.filter(~st.isin(*ACTIONS))
+              .select(F.col("row_no").cast("bigint").alias("row_no"), "sku", st.alias("status"),
+                      row_message(F.col("row_no"), F.col("sku"), reason).alias("message")))
+    return ActionResult(new_items, new_catalog, summary, errors)
+
+
+def summarise(classified: DataFrame) -> DataFrame:
+    """Counts of the classified rows: no row numbers are needed."""
     st = F.col("status")
-    summary = classified.agg(
+    return classified.agg(
         F.count_if(st.isin(*ACTIONS)).cast("bigint").alias("total"),
         F.count_if(st == "add").cast("bigint").alias("added"),
         F.count_if(st == "replace").cast("bigint").alias("replaced"),
         F.count_if(st == "delete").cast("bigint").alias("deleted"),
         F.count_if(~st.isin(*ACTIONS)).cast("bigint").alias("errors"),
     )
-    reason = (F.when(st == "missing_sku", F.lit("missing Master SKU, skipped."))
-              .otherwise(F.format_string("unknown action '%s'.", F.col("act"))))
-    errors = (classified.filter(~st.isin(*ACTIONS))
-              .select(F.col("row_no").cast("bigint").alias("row_no"), "sku", st.alias("status"),
-                      row_message(F.col("row_no"), F.col("sku"), reason).alias("message")))
-    return ActionResult(new_items, new_catalog, summary, errors)
 
 
 def error_details(errors: DataFrame, limit: int = MAX_ERROR_DETAILS) -> DataFrame:

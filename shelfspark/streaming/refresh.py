@@ -3,25 +3,32 @@ stock-sheet snapshots, the action-file import stream, and audit-log counts.
 
 The refresh re-runs the batch operators for every micro-batch through
 ``foreachBatch``. Its state (the last stock per SKU, which keeps SKUs that a
-newer snapshot omits) lives in a versioned table. A batch starts from the last
-committed state and commits its tables together under its own name, so a batch
-that is retried starts from what its first attempt started from, and a new
-run or a new checkpoint goes on from the last commit.
+newer snapshot omits) lives in a versioned table. A batch is worked out from a
+snapshot of the tables and commits its own together under its name. If a table
+that it read was changed meanwhile (a refresh and an import may run at once), the
+commit is refused and the batch worked out anew; a retry of a batch that is
+committed does nothing. Where the dashboard shows the current tables, only the
+slices that hold changed SKUs are written (``operators/incremental.py``).
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators import dashboard as dash
-from shelfspark.operators.actions import apply_actions
+from shelfspark.operators import incremental as inc
+from shelfspark.operators.actions import apply_actions, classify_actions, summarise
+from shelfspark.operators.commits import Snapshot, is_committed, redo, snapshot
+from shelfspark.operators.numbered import MAX_SLICES, with_numbers, read_parts
 from shelfspark.operators.stock import snapshot_stock
-from shelfspark.operators.tables import assign_ids, current, current_paths, publish_together, state_before, upsert
-from shelfspark.schemas import CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
+from shelfspark.operators.tables import assign_ids, publish_together, table_of, upsert
+from shelfspark.schemas import ACTIONS, CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
+from shelfspark.session import checkpoint_dir
 from shelfspark.sources.entities import ACTION_LABELS
 from shelfspark.sources.files import POSITION, decoded, skip_leading_rows
 
@@ -62,15 +69,54 @@ def refresh_batch(spark: SparkSession, batch: DataFrame, batch_name: str | None,
     """
     rows = skip_leading_rows(batch, skip)
     rows = rows.withColumn("_snap", F.struct(F.col("_mtime"), F.col("_file")))
-    newest = snapshot_stock(rows, "_snap")
-    state = state_before(spark, os.path.join(base, STATE), STOCK_UPDATE, batch_name)
-    # the state and the batch's newest snapshot hold one row per SKU each
-    merged = upsert(state, newest, "master_sku", STOCK_COLUMNS, unique_inputs=True)
-    its = items if items is not None else current(spark, os.path.join(base, ITEMS), ITEM_MASTER)
-    cat = catalog if catalog is not None else current(spark, os.path.join(base, CATALOG), CATALOG_PRICING)
-    board = dash.publishable(dash.build_dashboard(its, merged, cat))
-    publish_together(spark, base, {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku"}),
-                                   DASHBOARD: (board, {"sort_within": "id"})}, batch_name)
+    newest = _written(snapshot_stock(rows, "_snap"))
+    redo(lambda: _refresh(spark, newest, batch_name, base, items, catalog))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written once into the shared checkpoint folder (a change set is read several times)."""
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"changes-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _shown(state: Snapshot) -> dict[str, list[str]]:
+    """The tables that a dashboard of a snapshot shows."""
+    return {t: state.paths(t) for t in (STATE, ITEMS, CATALOG)}
+
+
+def _refresh(spark: SparkSession, newest: DataFrame, batch_name: str | None, base: str, items: DataFrame | None,
+             catalog: DataFrame | None) -> None:
+    state = snapshot(spark, base)
+    if is_committed(state, batch_name):
+        return
+    own = items is None and catalog is None
+    old = table_of(spark, state, STATE, STOCK_UPDATE)
+    reads = [STATE, DASHBOARD] + ([ITEMS] if items is None else []) + ([CATALOG] if catalog is None else [])
+    shown = {DASHBOARD: _shown(state)} if own else {}
+    if own and state.paths(STATE) and inc.in_slices(state, DASHBOARD) and state.made_from.get(DASHBOARD) == _shown(state):
+        changes = _written(inc.changed_stock(old, newest))
+        frames = {}
+        if not changes.isEmpty():
+            merged = upsert(old, changes, "master_sku", STOCK_COLUMNS, unique_inputs=True)
+            frames = {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku"}),
+                      DASHBOARD: inc.update_stock(spark, base, state, DASHBOARD, changes)}
+    else:
+        # the state and the batch's newest snapshot hold one row per SKU each
+        merged = _written(upsert(old, newest, "master_sku", STOCK_COLUMNS, unique_inputs=True))
+        its = items if items is not None else table_of(spark, state, ITEMS, ITEM_MASTER)
+        cat = catalog if catalog is not None else table_of(spark, state, CATALOG, CATALOG_PRICING)
+        if items is not None or not inc.in_slices(state, ITEMS):
+            its = assign_ids(its, ["row_no"], id_col="_n").drop("row_no").withColumnRenamed("_n", "row_no")
+        board = inc.whole_board(base, DASHBOARD, dash.build_dashboard(its, merged, cat), _slice_rows(state, its))
+        frames = {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku"}), DASHBOARD: board}
+    publish_together(spark, base, frames, batch_name, state, reads, shown if frames else {})
+
+
+def _slice_rows(state: Snapshot, items: DataFrame) -> int:
+    """Rows of a dashboard slice: those of the items' slices, if they are in slices."""
+    paths = state.paths(ITEMS)
+    return max(state.parts[p]["rows"] for p in paths) if inc.in_slices(state, ITEMS) else inc.slice_size(items.count())
 
 
 def report_error(spark: SparkSession, base: str, batch_id: int, exc: Exception) -> None:
@@ -152,31 +198,51 @@ def actions_batch(spark: SparkSession, batch: DataFrame, batch_name: str | None,
     With ``refresh_dashboard`` the dashboard is rebuilt from the new tables and
     the current stock state; all tables switch with one commit.
 
-    Inputs are the committed versions, or on a retry those that the first
-    attempt started from, so a file is never applied twice."""
+    A batch that is committed already is not applied again; its summary is
+    that of its rows. Where items and dashboard are in slices of the same rows
+    (from the first import on), only those that hold a key of the file are
+    written, and added rows come as slices at the end."""
     numbered = assign_ids(batch, ["_mtime", *POSITION], id_col="row_no")
-    items = state_before(spark, os.path.join(base, ITEMS), ITEM_MASTER, batch_name)
-    cat = state_before(spark, os.path.join(base, CATALOG), CATALOG_PRICING, batch_name)
-    res = apply_actions(items, cat, numbered, price_map=price_map)
-    # items keep file order: existing rows first, then added rows in action order
-    new_items = (res.items.withColumn("row_no", F.col("src") * F.lit(1 << 40) + F.col("src_row"))
-                 .select(*ITEM_MASTER.fieldNames()))
-    frames = {ITEMS: (new_items, {"schema": ITEM_MASTER}),
-              CATALOG: (res.catalog, {"schema": CATALOG_PRICING, "unique_key": "master_sku"})}
+    return redo(lambda: _import(spark, numbered, batch_name, base, price_map, refresh_dashboard))
+
+
+def _import(spark: SparkSession, numbered: DataFrame, batch_name: str | None, base: str, price_map: str, refresh_dashboard: bool) -> DataFrame:
+    state = snapshot(spark, base)
+    if is_committed(state, batch_name):
+        return summarise(classify_actions(numbered))
+    cat = table_of(spark, state, CATALOG, CATALOG_PRICING)
+    stock = table_of(spark, state, STATE, STOCK_UPDATE)
+    reads = [ITEMS, CATALOG] + ([STATE, DASHBOARD] if refresh_dashboard else [])
+    in_place = inc.in_slices(state, ITEMS) and len(state.paths(ITEMS)) < MAX_SLICES * 3 // 4
+    if in_place and refresh_dashboard:
+        in_place = inc.aligned(state, ITEMS, DASHBOARD) and state.made_from.get(DASHBOARD) == _shown(state)
+    if in_place:
+        keys = classify_actions(numbered).where(F.col("status").isin(*ACTIONS)).select(F.col("k").alias("_key")).distinct()
+        new_items, old, _ = inc.changed_items(spark, base, state, ITEMS, keys,
+                                              lambda rows: apply_actions(rows, cat, numbered, price_map=price_map).items)
+    else:
+        # items keep file order: existing rows first, then added rows in action order
+        res = apply_actions(table_of(spark, state, ITEMS, ITEM_MASTER), cat, numbered, price_map=price_map)
+        new_items = inc.whole_items(spark, base, ITEMS, res.items, ["src", "src_row"])
+    res = apply_actions(spark.createDataFrame([], ITEM_MASTER), cat, numbered, price_map=price_map)
+    catalog = _written(res.catalog)
+    frames = {ITEMS: new_items, CATALOG: (catalog, {"schema": CATALOG_PRICING, "unique_key": "master_sku"})}
     if refresh_dashboard:
-        stock = current(spark, os.path.join(base, STATE), STOCK_UPDATE)
-        frames[DASHBOARD] = (dash.publishable(dash.build_dashboard(new_items, stock, res.catalog)), {"sort_within": "id"})
-    publish_together(spark, base, frames, batch_name)
+        def build(items: DataFrame) -> DataFrame:
+            return dash.build_dashboard(items, stock, catalog)
+
+        if in_place:
+            frames[DASHBOARD] = inc.changed_board(spark, base, state, DASHBOARD, ITEMS, new_items, old, build)
+        else:
+            stored = ITEM_MASTER.fields[1:]
+            items = with_numbers(read_parts(spark, new_items.paths, type(ITEM_MASTER)(stored)), new_items.paths, new_items.parts, "row_no") \
+                if new_items.paths else spark.createDataFrame([], ITEM_MASTER)
+            size = max((x["rows"] for x in new_items.parts.values()), default=1)
+            frames[DASHBOARD] = inc.whole_board(base, DASHBOARD, build(items), size)
+    publish_together(spark, base, frames, batch_name, state, reads, {DASHBOARD: _shown(state)} if refresh_dashboard else {})
     return res.summary
 
 
-def _current_or_fail(spark: SparkSession, base: str) -> list[str]:
-    paths = current_paths(spark, base)
-    if not paths:
-        raise ValueError(f"no published table at {base}")
-    return paths
-
-
 def stream_actions(spark: SparkSession, action_dir: str, base: str, checkpoint: str | None = None,
                    trigger: str = "availableNow", price_map: str = "parity") -> StreamingQuery:
     """Apply action files (the labelled export plus an Action column) as they land."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators.tables import commits, current, publish
-from shelfspark.schemas import AUDIT_LOG, ITEM_MASTER, STOCK_UPDATE
+from shelfspark.schemas import AUDIT_LOG, ITEM_MASTER, STOCK_ITEMS, STOCK_UPDATE
 from shelfspark.streaming import refresh
 
 BANNER = "Stock,,,,,,,\nnote,,,,,,,\nuni,qty,fba,qty,fbf,qty,sjit,qty\n"
@@ -83,7 +83,7 @@ def test_action_headers_by_name_arrival_order_and_refresh_after_import(spark, tm
     # the next refresh reads the items of now, so the imported one stays
     _land(sheets, "s.csv", "SKU-3,6,,,,,,\n", now)
     refresh.stream_refresh(spark, sheets, base, trigger="availableNow").awaitTermination(120)
-    board = spark.read.parquet(*refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    board = current(spark, os.path.join(base, "stock_items"), STOCK_ITEMS)
     assert {r.sku_code: r.available_atp for r in board.collect()} == {"SKU-1": 0, "SKU-2": 0, "SKU-3": 6}
 
 
@@ -119,7 +119,7 @@ def test_refresh_snapshots_stale_keys_and_retry(spark, tmpdir_path):
     _land(sheets, "snap3.csv", "SKU-1,2,,,,,,\nSKU-3,9,,,,,,\n", now)
     q = refresh.stream_refresh(spark, sheets, base, items, checkpoint=ckpt, trigger="availableNow")
     q.awaitTermination(120)
-    board = spark.read.parquet(*refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    board = current(spark, os.path.join(base, "stock_items"), STOCK_ITEMS)
     got = {r.sku_code: (r.id, r.available_atp) for r in board.collect()}
     assert got == {"SKU-1": (1, 2), "SKU-2": (2, 4), "SKU-3": (3, 9)}
 
@@ -182,7 +182,7 @@ def test_action_stream_applies_once(spark, tmpdir_path):
     again = {r.master_sku: r.style for r in current(spark, os.path.join(base, "item_master"), ITEM_MASTER).collect()}
     assert again == got
     # the import refreshed the dashboard (no stock state yet: stock is 0)
-    board = spark.read.parquet(*refresh._current_or_fail(spark, os.path.join(base, "stock_items")))
+    board = current(spark, os.path.join(base, "stock_items"), STOCK_ITEMS)
     assert {(r.id, r.sku_code, r.item_name, r.up_price) for r in board.collect()} == {
         (1, "SKU-1", "ren", 8.0), (2, "SKU-3", "new", 7.0)}
 
