@@ -24,9 +24,9 @@ from shelfspark.session import build_session  # noqa: E402
 SHORT_S = 8.0
 
 HEADLINE = [
-    "channel_stock", "clean_stock", "dashboard", "dashboard_priced", "kpi", "items_page", "orphan_stock",
+    "channel_stock", "clean_stock", "dashboard", "dashboard_priced", "dashboard_publish", "kpi", "items_page", "orphan_stock",
     "catalog_sync", "stock_snapshots", "overlay_stock", "actions_items", "actions_catalog", "actions_summary",
-    "import_result", "import_summary", "reconcile", "row_fields", "audit_daily",
+    "import_result", "import_summary", "reconcile", "row_fields", "audit_daily", "refresh_dashboard",
 ]
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import sql_ident, batch_stamp, lenient_float, row_message, safe_int, strip, strip_sql
+from shelfspark.operators import skew
 from shelfspark.schemas import ACTIONS, LEGACY_STATUS, MAX_ERROR_DETAILS
 
 ITEM_PAYLOAD = ["style", "size", "category", "loc"]
@@ -119,12 +120,12 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
     old = items.select(F.col("row_no").alias("src_row"), F.col("master_sku"),
                        *[F.col(c).cast("string").alias(c) for c in ITEM_PAYLOAD],
                        F.upper(strip("master_sku")).alias("k"))
-    old_f = old.join(fold.select("k", "D", "R", "R_ip"), "k", "left")
+    old_f = skew.left_join(old, fold.select("k", "D", "R", "R_ip"), "k")
     kept = old_f.filter(F.coalesce(F.col("D"), F.lit(0)) == 0).select(
         F.lit(0).alias("src"), "src_row", "master_sku",
         *[F.when(F.col("R").isNotNull(), F.col("R_ip")[c]).otherwise(F.col(c)).alias(c) for c in ITEM_PAYLOAD])
     adds = valid.filter(F.col("status") == "add").select("row_no", "k", "sku", "ip")
-    adds_f = adds.join(fold.select("k", "D", "R", "R_ip"), "k", "inner").filter(F.col("row_no") > F.col("D"))
+    adds_f = skew.left_join(adds, fold.select("k", "D", "R", "R_ip"), "k", how="inner").filter(F.col("row_no") > F.col("D"))
     added = adds_f.select(
         F.lit(1).alias("src"), F.col("row_no").cast("bigint").alias("src_row"), F.col("sku").alias("master_sku"),
         *[F.when(F.coalesce(F.col("R"), F.lit(0)) > F.col("row_no"), F.col("R_ip")[c]).otherwise(F.col("ip")[c]).alias(c)

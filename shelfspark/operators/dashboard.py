@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import ck, lenient_float, strip
+from shelfspark.operators import skew
 from shelfspark.operators.stock import channel_stock
 from shelfspark.operators.tables import assign_ids, last_per_key, upsert
 from shelfspark.schemas import DASHBOARD_COLUMNS, JUNK_SKUS, STOCK_COLUMNS
@@ -36,7 +37,8 @@ def build_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | Non
     (parity: totals over the dashboard count such stock more than once).
     Both joins are on the same cleaned key, so the item side is exchanged
     once; AQE turns either join into a broadcast join when the measured side
-    is small, and splits a skewed item key.
+    is small. An item key that holds a large share of the rows is split over
+    several tasks (``operators/skew.py``), and null keys go round the joins.
 
     ``canonical=True`` trusts that the stock and catalogue keys are already
     canonical (both tables are only ever written that way), so the stock
@@ -48,11 +50,11 @@ def build_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | Non
     st = stock.select(
         key("master_sku").alias("sku_code"),
         F.col("uniware_stock").alias("available_atp"), "fba_stock", "fbf_stock", "sjit_stock")
-    out = item.join(st, "sku_code", "left")
+    sides = [st]
     if catalog is not None:
         cat = catalog.select(key("master_sku").alias("sku_code"),
                              *[F.col(c) for c in CATALOG_COLUMNS])
-        out = out.join(cat, "sku_code", "left")
+        sides.append(cat)
         catalog_name = F.coalesce(F.col("catalog_name"), F.lit(""))
         prices = {"cost": "cost", "price": "wholesale_price", "mrp": "mrp", "up_price": "up_price"}
         price_cols = {k: F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for k, v in prices.items()}
@@ -65,9 +67,18 @@ def build_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | Non
         "catalog": catalog_name, "updated": updated, **price_cols,
         **{c: F.coalesce(F.col(c), F.lit(0)).cast("bigint") for c in ("available_atp", "fba_stock", "fbf_stock", "sjit_stock")},
     }
+    out = skew.left_join(item, sides, "sku_code")
     return out.select("row_no", *[cols[c].alias(c) if c in cols else F.col(c) for c in DASHBOARD_COLUMNS])
 
 
+def numbered_dashboard(items: DataFrame, stock: DataFrame, catalog: DataFrame | None = None, order: str = "row_no") -> DataFrame:
+    """The dashboard with gap-free 1-based ids in item-file order. The items
+    are numbered before the joins, which keep every item row: only their columns
+    are written for it, not the dashboard's."""
+    numbered = assign_ids(items, [order], id_col="_n").drop(order).withColumnRenamed("_n", "row_no")
+    return build_dashboard(numbered, stock, catalog).withColumnRenamed("row_no", "id")
+
+
 def publishable(dashboard: DataFrame, order: str = "row_no") -> DataFrame:
     """Dashboard with gap-free 1-based ids in item-file order (the ids the
     item queries page, sort and look up by)."""
@@ -85,7 +96,7 @@ def batch_dashboard(sheet: DataFrame, items: DataFrame, junk: list[str] = JUNK_S
     """
     stock = channel_stock(sheet, junk=junk, upper=False)
     st = stock.select(F.col("master_sku").alias("sku_code"), *STOCK_COLUMNS)
-    out = _items(items, key_fn=strip).join(st, "sku_code", "left")
+    out = skew.left_join(_items(items, key_fn=strip), st, "sku_code")
     stock_out = {"uniware_stock": "available_atp", "fba_stock": "fba_stock", "fbf_stock": "fbf_stock", "sjit_stock": "sjit_stock"}
     return out.select(
         "row_no",

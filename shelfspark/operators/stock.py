@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import lenient_int, strip
+from shelfspark.operators import skew
+from shelfspark.operators.tables import packed_order
 from shelfspark.schemas import JUNK_SKUS, OVERLAY_JUNK, STOCK_COLUMNS
 
 # (channel, sku column, quantity column, published stock column)
@@ -74,8 +76,7 @@ def channel_stock(sheet: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] |
         raise ValueError("duplicates='last' needs the row order columns")
     cleaned = clean_stock(sheet, **clean_opts)
     if duplicates == "last":
-        ord_col = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-        long = _long_form(cleaned.withColumn("_ord", ord_col), [*by, "_ord"]).filter(_junk_filter(F.col("sku"), junk))
+        long = _long_form(cleaned.withColumn("_ord", packed_order(sheet, order)), [*by, "_ord"]).filter(_junk_filter(F.col("sku"), junk))
         lasts = [F.coalesce(F.max_by(F.col("qty"), F.when(F.col("channel") == ch, F.col("_ord"))), F.lit(0))
                  .cast("bigint").alias(out) for ch, _, _, out in CHANNELS]
         return long.groupBy(*by, F.col("sku").alias("master_sku")).agg(*lasts)
@@ -141,16 +142,13 @@ def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
     parsable one; a channel never seen (or never parsable) gives 0. One scan,
     one exchange: the sheet rows are unpivoted into their four pairs and a
     single grouped aggregate takes four conditional ``max_by``.
-    With one integral order column (e.g. ``row_no`` from the file readers)
-    the aggregate is a hash aggregate; a multi-column order makes the buffer
-    a struct, which Spark aggregates by sorting (still with a partial,
-    map-side step).
+    One integral order column (e.g. ``row_no`` from the file readers), or
+    several that fit into one long (``tables.packed_order``), make the buffers
+    fixed-width, so it is a hash aggregate; any other order is a struct, which
+    Spark aggregates by sorting (still with a partial, map-side step).
     """
     pairs = F.array(*[_overlay_pair(ch, sku, qty) for ch, sku, qty, _ in CHANNELS])
-    # a single integral order column keeps the aggregate buffer fixed-width,
-    # so Spark can use a hash aggregate instead of sorting all pairs
-    ord_col = F.col(order[0]) if len(order) == 1 else F.struct(*order)
-    long = sheet.select(ord_col.alias("_ord"), F.inline(pairs)).filter(F.col("sku").isNotNull())
+    long = sheet.select(packed_order(sheet, order).alias("_ord"), F.inline(pairs)).filter(F.col("sku").isNotNull())
     outs = []
     for ch, _, _, out in CHANNELS:
         is_ch = F.col("channel") == ch
@@ -169,10 +167,10 @@ def overlay_stock(items: DataFrame, sheet: DataFrame, order: list[str], sku_col:
     keep theirs."""
     vals = overlay_values(sheet, order)
     stock_cols = list(stock_cols)
-    renamed = vals.select(F.col("master_sku").alias("_k"),
+    renamed = vals.select(F.col("master_sku").alias("_key"),
                           *[F.col(src).alias(f"_new_{dst}") for src, dst in zip(STOCK_COLUMNS, stock_cols)],
                           F.lit(True).alias("_hit"))
-    joined = items.join(renamed, strip(F.col(sku_col)) == F.col("_k"), "left")
+    joined = skew.left_join(items.withColumn("_key", strip(F.col(sku_col))), renamed, "_key")
     out = []
     for c in items.columns:
         if c in stock_cols:

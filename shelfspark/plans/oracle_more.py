@@ -140,6 +140,38 @@ from _ck"""
     return q
 
 
+def _import_dashboard_sql() -> str:
+    """The item rows after both imports, by what happens to each row: an item
+    stays if no delete comes after it (of either file; the second file holds
+    adds alone), and shows the last replace after it; the catalogue row is the
+    last add or replace of either file, if no delete comes after it."""
+    return with_views(V_ITEM_MASTER, V_ACTIONS) + f"""
+, _n as (select 1 as file, cast(row_number() over (order by {_ACTION_KEYS}) as bigint) as row_no, * from v_actions
+  union all
+  select 2, cast(row_number() over (order by {_ACTION_KEYS}) as bigint), * from v_actions where l_linenumber = 1),
+_e as (
+  select file, row_no, upper(coalesce({strip('master_sku')}, '')) as k, lower(coalesce({strip('action')}, '')) as act,
+    coalesce({strip('item_name')}, '') as item_name, coalesce({strip('size')}, '') as size, {lfloat('cost')} as cost,
+    {lfloat('mrp')} as up_price, coalesce({strip('catalog')}, '') as catalog from _n),
+_w as (select * from _e where k <> '' and act in ('add', 'replace', 'delete')),
+_rows as (
+  select 0 as file, row_no, {ck('master_sku')} as k, style as item_name, cast(size as varchar) as size from v_item_master
+  union all select file, row_no, k, item_name, size from _w where act = 'add'),
+_last as (
+  select k, max((file, row_no)) filter (where act = 'delete') as d, max((file, row_no)) filter (where act = 'replace') as r,
+    max((file, row_no)) filter (where act in ('add', 'replace')) as u from _w group by k),
+_kept as (
+  select i.file, i.row_no, i.k, l.u, l.d, case when l.r > (i.file, i.row_no) then r.item_name else i.item_name end as item_name,
+    case when l.r > (i.file, i.row_no) then r.size else i.size end as size
+  from _rows i left join _last l on l.k = i.k left join _w r on r.act = 'replace' and (r.file, r.row_no) = l.r
+  where l.d is null or l.d < (i.file, i.row_no))
+select cast(row_number() over (order by x.file, x.row_no) as bigint) as id, x.k as sku_code, x.item_name, x.size,
+  coalesce(c.cost, {D0}) as cost, coalesce(c.up_price, {D0}) as up_price, coalesce(c.catalog, '') as catalog
+from _kept x left join _w c on c.act in ('add', 'replace') and (c.file, c.row_no) = x.u and (x.d is null or x.d < x.u)"""
+
+
+_ACTION_KEYS = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity"
+
 OVERLAY_JUNK_SQL = {"uni": [], "fba": ["uni", "FBA"], "fbf": ["STOCK"], "sjit": ["STOCK"]}
 SHEET_ORDER_DESC = "l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_quantity desc"
 
@@ -215,6 +247,16 @@ select master_sku, uniware_stock, fba_stock, fbf_stock, sjit_stock from (
   select *, row_number() over (partition by master_sku order by snapshot desc) as _rn from _cs) where _rn = 1"""
     q["stock_upsert"] = snap
     q["refresh_twice"] = snap
+    # the dashboard over the folded stock
+    folded = with_views(V_ITEM_MASTER, V_STOCK_SHEET, snap_sheet, _channel_stock_body(sheet="v_snap", by="snapshot").replace("_cs as", "_per as"),
+                        "_cs as (select * from (select *, row_number() over (partition by master_sku order by snapshot desc) as _rn from _per) where _rn = 1)",
+                        ITEM, _dashboard(False))
+    q["refresh_dashboard"] = folded + f"select {DASH_COLS} from _dash"
+    q["dashboard_page_range"] = folded + f"select {DASH_COLS} from _dash where id between 101 and 400"
+    q["dashboard_publish"] = DASHBOARD_BASE + f"select {DASH_COLS} from _dash"
+    q["load_appends"] = """select cast(row_number() over (order by p_partkey % 2, p_partkey) as bigint) as id,
+  cast(p_partkey as varchar) as p_partkey, p_name from part"""
+    q["import_dashboard"] = _import_dashboard_sql()
     q["catalog_from_csv"] = with_views(V_CATALOG) + """select master_sku, catalog_name, cost, cast(mrp as varchar) as mrp from v_catalog"""
     q["items_from_marker_file"] = with_views(V_ITEM_MASTER) + """select trim(master_sku) as master_sku, cast(size as varchar) as size, loc
 from v_item_master"""

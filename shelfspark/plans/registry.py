@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import ck, contains_ci, non_blank, strip
-from shelfspark.operators import actions, quality, query, stock, tables
+from shelfspark.operators import actions, commits, quality, query, stock, tables
 from shelfspark.operators import dashboard as dash
-from shelfspark.schemas import ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE
+from shelfspark.schemas import ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_ITEMS, STOCK_UPDATE
 from shelfspark.session import checkpoint_dir
 from shelfspark.sources import entities, files
 from shelfspark.sources import fixtures as fx
@@ -33,18 +33,38 @@ def _board(spark, sf, priced: bool = False) -> DataFrame:
     return dash.build_dashboard(items, _stock(spark, sf), catalog)
 
 
-_PUBLISHED: dict[tuple, str] = {}  # tables that this application has published, by input
+def _numbered(spark, sf, priced: bool = False) -> DataFrame:
+    """The dashboard rows with gap-free ids in item-file order."""
+    catalog = dash.sync_catalog(fx.catalog_rows(spark, sf)) if priced else None
+    return dash.numbered_dashboard(fx.item_master(spark, sf), _stock(spark, sf), catalog)
+
+
+def _publish(spark, sf, priced: bool = False) -> str:
+    base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}", "stock_items")
+    tables.publish(_numbered(spark, sf, priced), base, sort_within="id")
+    return base
+
+
+_PUBLISHED: dict[tuple, str] = {}  # tables that this application has published, by input files
+
+
+def _input_files(spark, sf) -> tuple:
+    """Path, size and time of the files that a dashboard is made from: other files, another dashboard."""
+    out = []
+    for name in ("part", "lineitem"):
+        fs, path = commits.file_system(spark, f"{sf.rstrip('/')}/{name}.parquet")
+        found = fs.listStatus(path)
+        out += [(st.getPath().toString(), st.getLen(), st.getModificationTime()) for st in found]
+    return tuple(sorted(out))
 
 
 def _dashboard(spark, sf, priced: bool = False) -> DataFrame:
-    """The published dashboard: rows with gap-free ids in item-file order,
-    numbered once when it is published and stored sorted by id, so that pages
-    and lookups read only the columns and row groups that they need."""
-    key = (spark.sparkContext.applicationId, sf, priced)
+    """The published dashboard that pages and lookups read: stored sorted by id,
+    so that they scan only the columns and row groups that they need. It is
+    published once for the input's files (``dashboard_publish`` times that)."""
+    key = (spark.sparkContext.applicationId, _input_files(spark, sf), priced)
     if key not in _PUBLISHED:
-        base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}", "stock_items")
-        tables.publish(dash.publishable(_board(spark, sf, priced)), base, sort_within="id")
-        _PUBLISHED[key] = base
+        _PUBLISHED[key] = _publish(spark, sf, priced)
     return spark.read.parquet(*tables.current_paths(spark, _PUBLISHED[key]))
 
 
@@ -65,11 +85,22 @@ def q_clean_stock(spark, sf):
 
 
 def q_dashboard(spark, sf):
-    return _dashboard(spark, sf)
+    return _numbered(spark, sf)
 
 
 def q_dashboard_priced(spark, sf):
-    return _dashboard(spark, sf, priced=True)
+    return _numbered(spark, sf, priced=True)
+
+
+def q_dashboard_publish(spark, sf):
+    """Publish the dashboard (on every call) and read the published rows."""
+    return spark.read.parquet(*tables.current_paths(spark, _publish(spark, sf)))
+
+
+def q_dashboard_page_range(spark, sf):
+    """Rows of a range of ids of a dashboard in slices: only the slices that hold them are read."""
+    base, _ = _refreshed(spark, sf)
+    return tables.current(spark, os.path.join(base, "stock_items"), STOCK_ITEMS, between=(101, 400))
 
 
 def q_kpi(spark, sf):
@@ -125,7 +156,8 @@ def q_actions_catalog(spark, sf):
 
 
 def q_actions_summary(spark, sf):
-    return _actions(spark, sf).summary
+    rows = fx.action_rows(spark, sf).withColumn("row_no", F.lit(0))  # counts need no row numbers
+    return actions.summarise(actions.classify_actions(rows))
 
 
 def q_actions_errors(spark, sf):
@@ -211,9 +243,10 @@ def q_logs_by_action(spark, sf):
     return query.query_logs(fx.audit_log(spark, sf), action="CLICK", username="user1", page=1, page_size=100).items
 
 
-def q_refresh_twice(spark, sf):
+def _refreshed(spark, sf) -> tuple[str, DataFrame]:
     """Two refreshes, each from the rows of one snapshot, on top of each other:
-    the stock state keeps the SKUs that the second omits."""
+    the stock state keeps the SKUs that the second omits, and the second writes
+    only the dashboard slices that hold a changed SKU."""
     from shelfspark.streaming.refresh import refresh_batch
     base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
     tables.publish(fx.item_master(spark, sf), os.path.join(base, "item_master"), schema=ITEM_MASTER)
@@ -222,7 +255,39 @@ def q_refresh_twice(spark, sf):
             *SHEET_COLUMNS, F.lit(f"s{n}").alias("_file"), F.lit(0).alias("_block"), F.lit(n).alias("_mtime"),
             F.monotonically_increasing_id().alias("_mid"))
         refresh_batch(spark, sheet, None, base, skip=0)
-    return tables.current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE)
+    return base, tables.current(spark, os.path.join(base, "stock_update"), STOCK_UPDATE)
+
+
+def q_refresh_twice(spark, sf):
+    return _refreshed(spark, sf)[1]
+
+
+def q_refresh_dashboard(spark, sf):
+    """The dashboard after a full and an incremental refresh."""
+    base, _ = _refreshed(spark, sf)
+    return tables.current(spark, os.path.join(base, "stock_items"), STOCK_ITEMS)
+
+
+def q_import_dashboard(spark, sf):
+    """The dashboard after an import of the action file and then one of its own
+    rows again (added at the end), both through the tables' commits."""
+    from shelfspark.streaming.refresh import actions_batch
+    base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
+    tables.publish(fx.item_master(spark, sf), os.path.join(base, "item_master"), schema=ITEM_MASTER)
+    place = F.struct(*fx.ACTION_ORDER).alias("_mid")
+    for n, some in enumerate((F.lit(True), F.col("l_linenumber") == 1)):
+        rows = fx.action_rows(spark, sf).where(some).select("*", F.lit(f"f{n}").alias("_file"), F.lit(n).alias("_mtime"), F.lit(0).alias("_block"), place)
+        actions_batch(spark, rows, f"import#{n}", base)
+    return tables.current(spark, os.path.join(base, "stock_items"), STOCK_ITEMS).select("id", "sku_code", "item_name", "size", "cost", "up_price", "catalog")
+
+
+def q_load_appends(spark, sf):
+    """A table loaded by two appends: ids go on in order of arrival."""
+    base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
+    rows = fx.table(spark, sf, "part").select("p_partkey", "p_name")
+    for odd in (0, 1):
+        tables.load_table(rows.where(F.col("p_partkey") % 2 == odd), base, "parts", "append")
+    return tables.read_table(spark, base, "parts")
 
 
 def q_catalog_from_csv(spark, sf):
@@ -237,9 +302,11 @@ def q_catalog_from_csv(spark, sf):
 def q_items_from_marker_file(spark, sf):
     """The item master below lines of other text, found by its header line."""
     path = os.path.join(checkpoint_dir(spark), f"text-{uuid.uuid4().hex}")
-    rows = fx.item_master(spark, sf).select(F.concat_ws(",", F.trim("master_sku"), "size", "loc").alias("value"), F.lit(2).alias("o"))
-    head = spark.createDataFrame([("Stock list,,", 0), ("Master SKU,Size,Loc", 1)], "value string, o int")
-    head.unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    rows = fx.item_master(spark, sf).select(F.concat_ws(",", F.trim("master_sku"), "size", "loc").alias("value"))
+    # every task writes one file, with the banner and the header above its rows
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = F.array(F.lit("Stock list,,"), F.lit("Master SKU,Size,Loc"), F.col("value"))
+    rows.select(F.explode(F.when(first, head).otherwise(F.array("value"))).alias("value")).write.text(path)
     return files.read_below_marker(spark, path, "Master SKU").select(
         F.col("Master SKU").alias("master_sku"), F.col("Size").alias("size"), F.col("Loc").alias("loc"))
 
@@ -443,6 +510,11 @@ QUERIES: dict[str, Query] = {
     "item_lookup": q_item_lookup,
     "logs_by_action": q_logs_by_action,
     "refresh_twice": q_refresh_twice,
+    "refresh_dashboard": q_refresh_dashboard,
+    "import_dashboard": q_import_dashboard,
+    "load_appends": q_load_appends,
+    "dashboard_publish": q_dashboard_publish,
+    "dashboard_page_range": q_dashboard_page_range,
     "catalog_from_csv": q_catalog_from_csv,
     "items_from_marker_file": q_items_from_marker_file,
     "logs_from_json": q_logs_from_json,
