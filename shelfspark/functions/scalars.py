@@ -180,3 +180,8 @@ def row_message(row_no, sku, reason) -> Column:
     return F.when(sku_col.isNull() | (sku_col == ""),
                   F.format_string("Row %d: %s", _col(row_no), reason_col)).otherwise(
         F.format_string("Row %d (SKU: %s): %s", _col(row_no), sku_col, reason_col))
+
+
+def json_list(c) -> Column:
+    """The texts of a JSON list held as text; null if it is null or no list."""
+    return F.from_json(_col(c), "array<string>")

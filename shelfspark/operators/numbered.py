@@ -45,7 +45,7 @@ def partitions_for(df: DataFrame) -> int:
     return min(MAX_PARTITIONS, max(least, -(-input_bytes(df) // PARTITION_BYTES)))
 
 
-def write_split(df: DataFrame, path: str, order: list[str] | None = None, partitions: int | None = None) -> dict:
+def write_split(df: DataFrame, path: str, order: list | None = None, partitions: int | None = None, row_group_bytes: int | None = None) -> dict:
     """Write ``df`` once as a split part, in ``order`` (None: as its partitions
     come, file order for a scan), and its offsets. Rows that tie on ``order``
     are told apart by their scan position, so that a value of many rows spreads
@@ -56,7 +56,8 @@ def write_split(df: DataFrame, path: str, order: list[str] | None = None, partit
     if order:
         tied = df.withColumn("_tie", F.monotonically_increasing_id())
         rows = tied.repartitionByRange(partitions or partitions_for(df), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
-    rows.withColumn("_part", F.lit(name)).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    writer = rows.withColumn("_part", F.lit(name)).withColumn("_row", F.monotonically_increasing_id()).write
+    (writer.option("parquet.block.size", str(row_group_bytes)) if row_group_bytes else writer).parquet(path)
     task = F.shiftright("_row", TASK_BITS).cast("int").alias("task")
     counts = sorted((r["task"], r["n"]) for r in spark.read.schema("_row long").parquet(path).groupBy(task).agg(F.count(F.lit(1)).alias("n")).collect())
     before, offsets = 0, []
@@ -134,6 +135,19 @@ def with_numbers(rows: DataFrame, paths: list[str], parts: dict[str, dict], id_c
     return joined.join(places.withColumnRenamed("task", key), ["_part", key]).select(number, *columns)
 
 
+def _places(spark: SparkSession, path: str, part: dict, low: int, high: int) -> tuple[int, int]:
+    """``_row`` of the first and last of some rows of a part (counted from 0)."""
+    if "tasks" not in part:
+        return low, high
+    # one row per task that wrote the part, at most MAX_PARTITIONS
+    offsets = [(r["before"], r["task"]) for r in spark.read.schema("task int, before long").parquet(os.path.join(path, "_offsets")).orderBy("before", "task").collect()]
+    at = []
+    for n in (max(low, 0), min(high, part["rows"] - 1)):
+        before, task = max((x for x in offsets if x[0] <= n), default=(0, 0))
+        at.append((task << TASK_BITS) + n - before)
+    return at[0], at[1]
+
+
 def read_numbered(spark: SparkSession, state: Snapshot, name: str, id_col: str, schema: T.StructType | None = None,
                   between: tuple[int, int] | None = None) -> DataFrame:
     """A numbered table of a snapshot; with ``between`` only the rows of those
@@ -148,8 +162,9 @@ def read_numbered(spark: SparkSession, state: Snapshot, name: str, id_col: str,
             paths, first = [p for p, _ in kept], kept[0][1]
     stored = T.StructType([f for f in schema.fields if f.name != id_col]) if schema is not None else None
     rows = read_parts(spark, paths, stored)
-    if between is not None and len(paths) == 1 and "tasks" not in state.parts[paths[0]]:
-        rows = rows.where(F.col("_row").between(low - first, high - first))  # reaches the scan: row groups are pruned
+    if between is not None and len(paths) == 1:
+        # a bound on the stored place reaches the scan: files and row groups are pruned
+        rows = rows.where(F.col("_row").between(*_places(spark, paths[0], state.parts[paths[0]], low - first, high - first)))
     out = with_numbers(rows, paths, state.parts, id_col, first)
     if between is not None:
         out = out.where(F.col(id_col).between(low, high))

@@ -3,6 +3,8 @@ control totals per stage, orphan stock, and per-row field listings."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +61,31 @@ def reconcile(stages: dict[str, DataFrame], cols: list[str]) -> DataFrame:
     return out
 
 
+def flow_totals(cleaned: DataFrame, clean_cols: list[str], merge, item_keys: DataFrame, cols: list[str], key: str = "master_sku",
+                merged_cols: list[str] = ()) -> DataFrame:
+    """Control totals of the stages clean, merged, dashboard and orphans from
+    one run of the flow: the cleaned rows and the merged ones are observed on
+    their way, and one full join of merged stock and item keys (one row per item
+    row) gives both the dashboard's rows and the stock without an item. Same
+    rows as ``reconcile`` of the four stages; the flow runs when this is called."""
+    from pyspark.sql import Observation
+
+    def totals(names):
+        return [F.count(F.lit(1)).alias("rows"), *[F.sum(F.col(n)).cast("bigint").alias(c) for n, c in zip(names, cols)]]
+
+    seen = {"clean": Observation(f"clean-{uuid.uuid4().hex}"), "merged": Observation(f"merged-{uuid.uuid4().hex}")}
+    merged = merge(cleaned.observe(seen["clean"], *totals(clean_cols))).observe(seen["merged"], *totals(merged_cols))
+    joined = merged.join(item_keys.select(F.col(key), F.lit(True).alias("_item")), key, "full")
+    item = F.col("_item").isNotNull()
+    last = joined.agg(*[x for stage, at in (("dashboard", item), ("orphans", ~item)) for x in (
+        F.count_if(at).alias(f"{stage}_rows"),
+        *[F.sum(F.when(at, F.coalesce(F.col(n), F.lit(0)))).cast("bigint").alias(f"{stage}_{c}") for n, c in zip(merged_cols, cols)])]).first()
+    found = {s: (o.get["rows"], *[o.get[c] for c in cols]) for s, o in seen.items()}
+    found |= {s: (last[f"{s}_rows"], *[last[f"{s}_{c}"] for c in cols]) for s in ("dashboard", "orphans")}
+    rows = [(i, s, *found[s]) for i, s in enumerate(("clean", "merged", "dashboard", "orphans"))]
+    return cleaned.sparkSession.createDataFrame(rows, "stage_no int, stage string, rows long, " + ", ".join(f"{c} long" for c in cols))
+
+
 def orphan_stock(stock: DataFrame, items: DataFrame, stock_key: str = "master_sku", item_key: str = "sku_code") -> DataFrame:
     """Stock rows whose key has no item row (dropped by the dashboard's left join).
     Item keys are de-duplicated first (map-side), so a SKU repeated in a large

@@ -91,6 +91,12 @@ def channel_stock(sheet: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] |
                                                  for c in STOCK_COLUMNS])
     if method != "one_pass":
         raise ValueError(f"unknown method {method!r}")
+    return merge_channels(cleaned, junk, by)
+
+
+def merge_channels(cleaned: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] = ()) -> DataFrame:
+    """``channel_stock`` of a sheet that is cleaned already, in one pass."""
+    by = list(by)
     long = _long_form(cleaned, by).filter(_junk_filter(F.col("sku"), junk))
     sums = [F.coalesce(F.sum(F.when(F.col("channel") == ch, F.col("qty"))), F.lit(0)).cast("bigint").alias(out)
             for ch, _, _, out in CHANNELS]

@@ -3,6 +3,7 @@ and log queries, views and quality reports (see ``plans.oracle``)."""
 
 from __future__ import annotations
 
+from shelfspark.schemas import DASHBOARD_COLUMNS
 from shelfspark.plans.oracle import (CATALOG_LAST, D0, DASH_COLS, DASHBOARD_BASE, DASHBOARD_PRICED_BASE, ITEM,
                                      V_ACTIONS, V_AUDIT, V_CATALOG, V_ITEM_MASTER, V_STOCK_SHEET,
                                      _channel_stock_body, _dashboard, ck, lfloat, lint, safe_int, strip,
@@ -176,7 +177,7 @@ OVERLAY_JUNK_SQL = {"uni": [], "fba": ["uni", "FBA"], "fbf": ["STOCK"], "sjit":
 SHEET_ORDER_DESC = "l_orderkey desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_quantity desc"
 
 
-def _overlay_sql() -> str:
+def _overlay_sql(views=(V_STOCK_SHEET, V_SELECTION)) -> str:
     ctes = []
     for ch, sku, qty in (("uni", "uni", "uni_stock"), ("fba", "fba", "fba_stock"),
                          ("fbf", "fbf", "fbf_stock"), ("sjit", "sjit", "sjit_stock")):
@@ -201,7 +202,7 @@ def _overlay_sql() -> str:
     union = " union all ".join(f"select sku, ch, v from _o_{c}" for c in ("uni", "fba", "fbf", "sjit"))
     vals = ", ".join(f"cast(coalesce(max(case when ch = '{c}' then v end), 0) as bigint) as {c}_v"
                      for c in ("uni", "fba", "fbf", "sjit"))
-    return with_views(V_STOCK_SHEET, V_SELECTION, *ctes) + f""", _vals as (select sku, {vals} from ({union}) group by sku)
+    return with_views(*views, *ctes) + f""", _vals as (select sku, {vals} from ({union}) group by sku)
 select s.row_no, s.master_sku, s.style, s.size, s.category, s.location, s.cost, s.wholesale_price, s.catalog,
   s.up_price,
   case when x.sku is not null then cast(x.uni_v as varchar) else s.uniware_stock end as uniware_stock,
@@ -254,6 +255,37 @@ select master_sku, uniware_stock, fba_stock, fbf_stock, sjit_stock from (
     q["refresh_dashboard"] = folded + f"select {DASH_COLS} from _dash"
     q["dashboard_page_range"] = folded + f"select {DASH_COLS} from _dash where id between 101 and 400"
     q["dashboard_publish"] = DASHBOARD_BASE + f"select {DASH_COLS} from _dash"
+    q["sorted_page"] = DASHBOARD_BASE + f"""select {DASH_COLS} from _dash
+order by lower(coalesce(category, '')) desc, id asc limit 100 offset 800"""
+    q["user_page_access"] = """select c_custkey as id, c_name as username,
+  c_custkey % 50 = 0 or (c_custkey % 7 > 1 and c_mktsegment = 'MACHINERY') as allowed from customer"""
+    q["user_columns"] = f"""select c_custkey as id, c_name as username, case when c_custkey % 50 = 0 then 'admin' else 'viewer' end as role,
+  case when c_custkey % 50 = 0 then '{", ".join(DASHBOARD_COLUMNS)}' when c_custkey % 3 = 0 then 'sku_code, mrp'
+    else '{", ".join(DASHBOARD_COLUMNS[:5])}' end as visible_text from customer"""
+    q["admin_kpis"] = """select (select count(*) from customer where c_acctbal > 0) as active_users,
+  (select count(*) from events where cast(ts as date) = date '2024-01-02') as logs_today, (select count(*) from orders) as total_imports"""
+    q["import_history"] = "select o_orderkey as id, o_orderstatus as status, o_orderpriority as filename from orders order by o_orderkey"
+    q["log_changes"] = """select event_id as id, event_id % 3 = 1 and coalesce(props, '') <> '' as has_old,
+  event_id % 2 = 0 and coalesce(event_type, '') <> '' as has_new from events"""
+    kpi = """select count(*) as total_skus, cast(sum(available_atp) as bigint) as total_stock, cast(sum(available_atp) as bigint) as total_available,
+  cast(sum({}) as bigint) as total_fba, cast(sum(sjit_stock) as bigint) as total_sjit, cast(sum(fbf_stock) as bigint) as total_fbf"""
+    q["kpi_difference"] = DASHBOARD_BASE + f""", _r as (select d.*, i.row_no from _dash d join (
+    select row_no, row_number() over (order by row_no) as id from v_item_master) i using (id))
+{kpi.format("fba_stock")}, 'only_first' as side from _r
+union all {kpi.format("case when row_no % 10 <> 0 then fba_stock else 0 end")}, 'only_second' from _r"""
+    q["update_delete"] = with_views(V_CATALOG, CATALOG_LAST) + """select c.master_sku, coalesce(p.p_name, c.catalog_name) as catalog_name, c.cost
+from _cat c left join part p on p.p_partkey % 4 = 0 and c.master_sku = 'SKU-' || p.p_partkey
+where not exists (select 1 from part g where g.p_partkey % 10 = 0 and c.master_sku = 'SKU-' || g.p_partkey)"""
+    junk_sheet = """v_stock_sheet as (select * replace (case when l_linenumber = 1 then 'uni' else uni end as uni, case when l_linenumber = 2 then 'FBA' else fba end as fba,
+    case when l_linenumber = 3 then 'STOCK' else fbf end as fbf, case when l_linenumber = 4 then 'STOCK' else sjit end as sjit) from v_plain_sheet)"""
+    junk_items = """v_selection as (select * replace (case when row_no % 5 < 4 then master_sku else (['uni', 'FBA', 'STOCK'])[row_no % 3 + 1] end as master_sku) from v_plain_selection)"""
+    q["overlay_stock_junk"] = _overlay_sql(
+        (V_STOCK_SHEET.replace("v_stock_sheet", "v_plain_sheet"), junk_sheet, V_SELECTION.replace("v_selection", "v_plain_selection"), junk_items))
+    q["sheet_from_csv"] = with_views(V_STOCK_SHEET) + """select cast(row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) as bigint) as row_no,
+  uni, uni_stock, fba, fba_stock, nullif(fbf, '') as fbf, fbf_stock, sjit, sjit_stock from v_stock_sheet"""
+    q["split_lines"] = """select cast(p_partkey as varchar) as p_partkey, '"' || split_part(p_type, ' ', 1) || case when contains(p_type, ' ') then '' else '"' end as t1,
+  case when contains(p_type, ' ') then split_part(p_type, ' ', 2) || case when len(string_split(p_type, ' ')) = 2 then '"' else '' end end as t2,
+  cast(1 + len(string_split(p_type, ' ')) as integer) as _cells from part"""
     q["load_appends"] = """select cast(row_number() over (order by p_partkey % 2, p_partkey) as bigint) as id,
   cast(p_partkey as varchar) as p_partkey, p_name from part"""
     q["import_dashboard"] = _import_dashboard_sql()
@@ -315,6 +347,7 @@ union all select 2, 'dashboard', count(*), cast(sum(available_atp) as bigint), c
   cast(sum(fbf_stock) as bigint), cast(sum(sjit_stock) as bigint) from _dash
 union all select 3, 'orphans', count(*), cast(sum(uniware_stock) as bigint), cast(sum(fba_stock) as bigint),
   cast(sum(fbf_stock) as bigint), cast(sum(sjit_stock) as bigint) from _orph"""
+    q["reconcile_stages"] = q["reconcile"]
     fields = ["sku_code", "item_name", "size", "category", "location", "cost", "price", "catalog", "mrp",
               "up_price", "available_atp", "fba_stock", "fbf_stock", "sjit_stock", "updated"]
     unions = " union all ".join(f"select id, '{c}' as field, cast({c} as varchar) as value from _dash" for c in fields)

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scalars import ck, contains_ci, non_blank, strip
-from shelfspark.operators import actions, commits, quality, query, stock, tables
+from shelfspark.functions.scalars import ck, contains_ci, json_list, non_blank, strip
+from shelfspark.operators import actions, commits, paging, quality, query, stock, tables
 from shelfspark.operators import dashboard as dash
 from shelfspark.schemas import ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_ITEMS, STOCK_UPDATE
 from shelfspark.session import checkpoint_dir
@@ -301,12 +301,8 @@ def q_catalog_from_csv(spark, sf):
 
 def q_items_from_marker_file(spark, sf):
     """The item master below lines of other text, found by its header line."""
-    path = os.path.join(checkpoint_dir(spark), f"text-{uuid.uuid4().hex}")
     rows = fx.item_master(spark, sf).select(F.concat_ws(",", F.trim("master_sku"), "size", "loc").alias("value"))
-    # every task writes one file, with the banner and the header above its rows
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    head = F.array(F.lit("Stock list,,"), F.lit("Master SKU,Size,Loc"), F.col("value"))
-    rows.select(F.explode(F.when(first, head).otherwise(F.array("value"))).alias("value")).write.text(path)
+    path = _written_lines(spark, rows, ["Stock list,,", "Master SKU,Size,Loc"])
     return files.read_below_marker(spark, path, "Master SKU").select(
         F.col("Master SKU").alias("master_sku"), F.col("Size").alias("size"), F.col("Loc").alias("loc"))
 
@@ -362,8 +358,14 @@ def q_display_view(spark, sf):
 
 
 def q_reconcile(spark, sf):
-    # every stage derives from the same sheet, stock and item DataFrames, so
-    # the shared scans and exchanges appear once in the plan and are reused
+    """All stages in one run: one scan of the sheet, one of the items."""
+    items = fx.item_master(spark, sf).select(ck("master_sku").alias("master_sku"))
+    return quality.flow_totals(stock.clean_stock(fx.stock_sheet(spark, sf)), ["uni_stock", "fba_stock", "fbf_stock", "sjit_stock"],
+                               stock.merge_channels, items, RECON, merged_cols=STOCK_COLUMNS)
+
+
+def q_reconcile_stages(spark, sf):
+    """The same totals of stages that are given one by one."""
     sheet = fx.stock_sheet(spark, sf)
     items = fx.item_master(spark, sf)
     cleaned = stock.clean_stock(sheet)
@@ -475,6 +477,101 @@ def q_audit_windows(spark, sf):
                          F.date_format("window.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "action", "n")
 
 
+def q_sorted_page(spark, sf):
+    """A deep page from the published copy in the order of a text column."""
+    base = _publish(spark, sf)
+    root, board = os.path.split(base)
+    items = spark.read.schema(STOCK_ITEMS).parquet(*tables.current_paths(spark, base))
+    paging.publish_sorted(items, root, board, "category", "desc")
+    return paging.sorted_page(spark, root, board, "category", "desc", page=9, page_size=100)
+
+
+def _users(spark, sf):
+    """Accounts of the application: roles, pages as JSON text, listed columns."""
+    pages = F.when(F.col("c_custkey") % 7 == 0, None).when(F.col("c_custkey") % 7 == 1, "oops").otherwise(
+        F.concat(F.lit('["dashboard", "'), F.lower("c_mktsegment"), F.lit('"]')))
+    listed = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("sku_code"), F.lit("mrp"))).when(F.col("c_custkey") % 3 == 1, F.array().cast("array<string>"))
+    return fx.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.when(F.col("c_custkey") % 50 == 0, "admin").otherwise("viewer").alias("role"),
+        json_list(pages).alias("allowed_pages"), (F.col("c_acctbal") > 0).alias("is_active"), F.lit("secret").alias("password"),
+        F.struct(F.struct(listed.alias("visible")).alias("item_master")).alias("column_permissions"))
+
+
+def q_user_page_access(spark, sf):
+    return query.page_access(query.public_users(_users(spark, sf)), "machinery")
+
+
+def q_user_columns(spark, sf):
+    return query.user_visible_columns(_users(spark, sf)).drop("visible")
+
+
+def q_admin_kpis(spark, sf):
+    logs = fx.audit_log(spark, sf).withColumnRenamed("ts", "timestamp")
+    return query.admin_kpis(_users(spark, sf), logs, fx.table(spark, sf, "orders"), "2024-01-02")
+
+
+def q_import_history(spark, sf):
+    history = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("filename"))
+    return query.import_history(history)
+
+
+def q_log_changes(spark, sf):
+    """Which audit entries carry old and new values."""
+    logs = fx.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.col("props")).alias("old_values"),
+        F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("new_values"))
+    return query.change_flags(logs).select("id", "has_old", "has_new")
+
+
+def q_kpi_difference(spark, sf):
+    """The KPI row of the dashboard against that of one whose stock was lost in part."""
+    board = _board(spark, sf)
+    lossy = board.withColumn("fba_stock", F.when(F.col("row_no") % 10 != 0, F.col("fba_stock")))
+    return quality.kpi_difference(query.kpis(board), query.kpis(lossy))
+
+
+def q_update_delete(spark, sf):
+    """Catalogue rows with new names for some keys, others deleted by key."""
+    catalog = dash.sync_catalog(fx.catalog_rows(spark, sf)).select("master_sku", "catalog_name", "cost")
+    part = fx.table(spark, sf, "part")
+    names = part.where(F.col("p_partkey") % 4 == 0).select(F.concat(F.lit("SKU-"), F.col("p_partkey")).alias("master_sku"), F.col("p_name").alias("catalog_name"))
+    gone = part.where(F.col("p_partkey") % 10 == 0).select(F.concat(F.lit("SKU-"), F.col("p_partkey")).alias("master_sku"))
+    return tables.delete_matched(tables.update_matched(catalog, names, "master_sku", ["catalog_name"]), gone, "master_sku")
+
+
+def q_overlay_stock_junk(spark, sf):
+    """The overlay from a sheet in which junk literals stand in the SKU cells."""
+    junk = {"uni": "uni", "fba": "FBA", "fbf": "STOCK", "sjit": "STOCK"}
+    sheet = fx.stock_sheet(spark, sf).withColumns({c: F.when(F.col("l_linenumber") == 1 + i, j).otherwise(F.col(c)) for i, (c, j) in enumerate(junk.items())})
+    items = fx.selection_rows(spark, sf).drop("n_fields").withColumn(
+        "master_sku", F.when(F.col("row_no") % 5 < 4, F.col("master_sku")).otherwise(F.element_at(F.array(*[F.lit(x) for x in ("uni", "FBA", "STOCK")]), (F.col("row_no") % 3 + 1).cast("int"))))
+    return stock.overlay_stock(items, sheet, fx.SHEET_ORDER, stock_cols=["uniware_stock", "fba", "fbf", "sjit"])
+
+
+def _written_lines(spark, rows, above: list[str]) -> str:
+    """``rows`` (one text column, ``value``) as text files, one per task, with some lines above each."""
+    path = os.path.join(checkpoint_dir(spark), f"text-{uuid.uuid4().hex}")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    head = F.array(*[F.lit(x) for x in above], F.col("value"))
+    rows.select(F.explode(F.when(first, head).otherwise(F.array("value"))).alias("value")).write.text(path)
+    return path
+
+
+def q_sheet_from_csv(spark, sf):
+    """The stock sheet as CSV below its banner lines, read by position with row numbers in file order."""
+    cells = F.concat_ws(",", *[F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("")) for c in SHEET_COLUMNS])
+    sheet = fx.stock_sheet(spark, sf).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    path = _written_lines(spark, sheet.select(cells.alias("value")), ["Stock,,,,,,,", "note,,,,,,,", ",".join(SHEET_COLUMNS)])
+    return files.read_positional_csv(spark, path, SHEET_COLUMNS, skip=3, numbered=True).drop(*files.POSITION)
+
+
+def q_split_lines(spark, sf):
+    """Lines split without quotes, with the number of their cells."""
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), F.regexp_replace("p_type", " ", ","), F.lit('"')))
+    path = _written_lines(spark, fx.table(spark, sf, "part").select(line.alias("value")), ["key,type"])
+    return files.read_split_lines(spark, path, ["p_partkey", "t1", "t2"], skip=1).drop(*files.POSITION)
+
+
 RECON = ["uni", "fba", "fbf", "sjit"]
 
 QUERIES: dict[str, Query] = {
@@ -514,6 +611,18 @@ QUERIES: dict[str, Query] = {
     "import_dashboard": q_import_dashboard,
     "load_appends": q_load_appends,
     "dashboard_publish": q_dashboard_publish,
+    "reconcile_stages": q_reconcile_stages,
+    "sorted_page": q_sorted_page,
+    "user_page_access": q_user_page_access,
+    "user_columns": q_user_columns,
+    "admin_kpis": q_admin_kpis,
+    "import_history": q_import_history,
+    "log_changes": q_log_changes,
+    "kpi_difference": q_kpi_difference,
+    "update_delete": q_update_delete,
+    "overlay_stock_junk": q_overlay_stock_junk,
+    "sheet_from_csv": q_sheet_from_csv,
+    "split_lines": q_split_lines,
     "dashboard_page_range": q_dashboard_page_range,
     "catalog_from_csv": q_catalog_from_csv,
     "items_from_marker_file": q_items_from_marker_file,

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfspark.operators.quality import check_input
 from shelfspark.schemas import SELECTION_COLUMNS, SHEET_BANNER_ROWS, SHEET_COLUMNS, all_strings
 from shelfspark.sources.files import POSITION, add_row_numbers, read_positional_csv, read_text_csv, with_row_position
 
@@ -35,25 +36,30 @@ def read_stock_sheet(spark: SparkSession, path, skip: int = SHEET_BANNER_ROWS, e
 
 
 def read_item_master(spark: SparkSession, path, encoding: str = "auto") -> DataFrame:
-    """Item master CSV (header row), ``row_no`` in file order."""
+    """Item master CSV (header row), ``row_no`` in file order. A file without
+    the key column or without rows raises."""
     df = read_text_csv(spark, path, encoding=encoding)
+    check_input(df, ["Master SKU"])
     return add_row_numbers(_labelled(df, ITEM_MASTER_LABELS, POSITION)).drop(*POSITION)
 
 
 def read_catalog(spark: SparkSession, path, encoding: str = "auto") -> DataFrame:
-    """Price catalogue CSV (header row, every value text), ``row_no`` in file order."""
+    """Price catalogue CSV (header row, every value text), ``row_no`` in file
+    order. A file without the key column or without rows raises."""
     df = read_text_csv(spark, path, encoding=encoding)
+    check_input(df, ["Master SKU"])
     return add_row_numbers(_labelled(df, CATALOG_LABELS, POSITION)).drop(*POSITION)
 
 
 def read_action_file(spark: SparkSession, path, encoding: str = "auto") -> DataFrame:
     """Labelled export with an Action column; ``row_no`` is the 1-based data
     row of the file (the numbering error messages use). A file without the
-    Action column raises. Spark's CSV reader gives null both for an empty
+    Action column or without rows raises. Spark's CSV reader gives null both for an empty
     cell and for a cell missing from a short row, so both read as blank."""
     df = read_text_csv(spark, path, encoding=encoding)
     if "Action" not in df.columns:
         raise ValueError("the action file has no Action column")
+    check_input(df)
     return add_row_numbers(_labelled(df, ACTION_LABELS, POSITION)).drop(*POSITION)
 
 

@@ -10,6 +10,8 @@ order the rows of one file exactly as they appear in it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,7 @@ from shelfspark.operators.tables import assign_ids
 from shelfspark.schemas import all_strings
 
 POSITION = ["_file", "_block", "_mid"]
+MANY_FILES = 1_000  # names of files that go into an expression, at most
 
 
 def with_row_position(df: DataFrame) -> DataFrame:
@@ -66,6 +69,30 @@ def decoded(cell):
     return F.when(F.is_valid_utf8(raw), raw).otherwise(cell)
 
 
+def by_file(df: DataFrame, raw: dict) -> DataFrame:
+    """Text of columns that hold a file's bytes, decided per file: UTF-8 where
+    the whole file is valid UTF-8, else Latin-1. ``raw`` maps each column to a
+    pair of expressions: its bytes as a string, and its text as Latin-1. One
+    scan finds the files that are not valid; the few names go into the
+    expression, many are joined."""
+    invalid = reduce(lambda a, b: a | b, [F.coalesce(~F.is_valid_utf8(x), F.lit(False)) for x, _ in raw.values()])
+    files = df.where(invalid).select("_file").distinct()
+    names = [r[0] for r in files.limit(MANY_FILES + 1).collect()]
+    if len(names) <= MANY_FILES:
+        latin = F.col("_file").isin(*names) if names else F.lit(False)
+    else:
+        df = df.join(files.withColumn("_latin", F.lit(True)), "_file", "left")
+        latin = F.coalesce("_latin", F.lit(False))
+    return df.select(*[F.when(latin, raw[c][1]).otherwise(raw[c][0]).alias(c) if c in raw else F.col(f"`{c}`")
+                       for c in df.columns if c != "_latin"])
+
+
+def lines_by_file(lines: DataFrame) -> DataFrame:
+    """Text lines (``value``: bytes as they are) with the encoding decided per file, without a BOM."""
+    text = by_file(lines, {"value": (F.col("value"), F.decode(F.col("value").cast("binary"), "ISO-8859-1"))})
+    return text.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+
+
 def read_positional_csv(spark: SparkSession, path, names: list[str] | None = None, skip: int = 0,
                         encoding: str | None = "auto", quote: bool = True, numbered: bool = False,
                         multiline: bool = False, header_marker: str | None = None) -> DataFrame:
@@ -73,8 +100,8 @@ def read_positional_csv(spark: SparkSession, path, names: list[str] | None = Non
 
     Short rows are padded with null and extra cells dropped. ``skip`` drops
     the first rows of every file (blank lines are not counted: the reader
-    drops them). ``encoding="auto"`` reads the bytes once and takes a cell as
-    UTF-8 (a BOM is dropped) if it is valid, else as Latin-1. ``numbered`` adds
+    drops them). ``encoding="auto"`` takes a file as UTF-8 (a BOM is dropped)
+    if all its cells are valid, else as Latin-1. ``numbered`` adds
     a dense ``row_no`` in file order. The position columns are kept for
     ordering. ``multiline=True`` allows quoted line breaks (each file is then
     read by one task).
@@ -101,9 +128,10 @@ def _read_any(spark, path, schema, encoding, header, quote, multiline=False):
     if encoding != "auto":
         return df
     names = schema.fieldNames()
-    texts = [decoded(F.col(f"`{c}`")).alias(c) for c in names]
-    texts[0] = F.regexp_replace(decoded(F.col(f"`{names[0]}`")), "^\ufeff", "").alias(names[0])
-    return df.select(*texts, *POSITION)
+    cells = {c: F.col(f"`{c}`") for c in names}
+    text = by_file(df, {c: (F.encode(x, "ISO-8859-1").cast("string"), x) for c, x in cells.items()})
+    first = F.regexp_replace(cells[names[0]], "^\ufeff", "").alias(names[0])
+    return text.select(first, *[cells[c] for c in names[1:]], *POSITION)
 
 
 def name_columns(df: DataFrame, names: list[str]) -> DataFrame:
@@ -143,7 +171,7 @@ def read_below_marker(spark: SparkSession, path, marker: str, numbered: bool = F
     it are ignored and the lines below are parsed with the header's names.
     (The fixed behaviour: the header line itself is the header.) A file without
     such a line, and files whose headers differ, raise."""
-    lines = with_row_position(spark.read.text(path))
+    lines = lines_by_file(with_row_position(spark.read.text(path)))
     heads = (lines.filter(F.instr("value", marker) > 0)
              .groupBy("_file").agg(F.min(F.struct("_block", "_mid")).alias("_h")))
     missing = lines.select("_file").distinct().join(heads, "_file", "left_anti").limit(1).collect()
@@ -157,8 +185,10 @@ def read_below_marker(spark: SparkSession, path, marker: str, numbered: bool = F
         raise ValueError(f"the files' headers differ: {[r.value for r in first]}")
     names = [c.strip().lstrip("\ufeff") for c in _split_header(first[0].value)]
     schema = all_strings(names)
-    body = lines.join(heads, "_file").filter(
-        F.struct("_block", "_mid") > F.col("_h")).drop("_h")
+    # rows of later splits lie below a header in the first one; only rows of the header's split are compared with it
+    last = heads.agg(F.max("_h._block")).first()[0]
+    near = lines.where(F.col("_block") <= last).join(heads, "_file").filter(F.struct("_block", "_mid") > F.col("_h")).drop("_h")
+    body = lines.where(F.col("_block") > last).unionByName(near.select(*lines.columns))
     ddl = ", ".join(f"`{n}` STRING" for n in names)
     parsed = body.select(F.from_csv("value", ddl).alias("r"), *POSITION)
     df = parsed.select(*[F.col("r")[n].alias(n) for n in names], *POSITION)
@@ -176,7 +206,7 @@ def read_split_lines(spark: SparkSession, path, names: list[str], skip: int = 0,
     """Raw lines split on the delimiter without quote handling (a quoted
     "1,234" becomes two cells); blank lines dropped; ``_cells`` counts the
     cells of each line."""
-    lines = with_row_position(spark.read.text(path))
+    lines = lines_by_file(with_row_position(spark.read.text(path)))
     lines = skip_leading_rows(lines, skip).filter(F.trim("value") != "")
     parts = F.split(F.col("value"), sep, -1)
     return lines.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)],

@@ -30,7 +30,7 @@ from shelfspark.operators.tables import assign_ids, publish_together, table_of,
 from shelfspark.schemas import ACTIONS, CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
 from shelfspark.session import checkpoint_dir
 from shelfspark.sources.entities import ACTION_LABELS
-from shelfspark.sources.files import POSITION, decoded, skip_leading_rows
+from shelfspark.sources.files import POSITION, by_file, lines_by_file, skip_leading_rows
 
 STATE = "stock_update"
 DASHBOARD = "stock_items"
@@ -165,28 +165,43 @@ def stream_refresh(spark: SparkSession, sheet_dir: str, base: str, items: DataFr
     return _trigger(writer, trigger).start()
 
 
-ACTION_COLUMNS = 64  # cells of an action file's line that are read, at most
-
-
 def labelled_actions(cells: DataFrame) -> DataFrame:
     """Rows of action files under the engine's names, by each file's own header
     line (its first line), whatever the order of its columns. ``cells`` has
-    c0, c1, ... and the position columns; rows are ordered by arrival (file
-    time, path, place). A file without the Action column, or without data
-    rows, raises."""
+    c0, c1, ... (bytes, as Latin-1) and the position columns; rows are ordered
+    by arrival (file time, path, place). A file without the Action column, or
+    without data rows, raises."""
     names = [c for c in cells.columns if c[0] == "c" and c[1:].isdigit()]
-    texts = F.array(*[decoded(F.col(c)) for c in names])
-    rows = cells.select(texts.alias("_cells"), "_file", "_mtime", "_block", "_mid")
-    first = rows.where("_block = 0").groupBy("_file").agg(F.min_by("_cells", "_mid").alias("_h"), F.min("_mid").alias("_first"))
+    text = by_file(cells, {c: (F.encode(c, "ISO-8859-1").cast("string"), F.col(c)) for c in names})
+    return _labelled(text.select(F.array(*names).alias("_cells"), "_file", "_mtime", "_block", "_mid"))
+
+
+def labelled_lines(lines: DataFrame) -> DataFrame:
+    """``labelled_actions`` of text lines (``value``): as many cells are read as
+    the longest header of the files has. Blank lines are dropped."""
+    text = lines_by_file(lines).where(F.trim("value") != "")
+    heads = text.where("_block = 0").groupBy("_file").agg(F.min_by("value", "_mid").alias("_h"))
+    width = heads.agg(F.max(F.size(F.split("_h", ",")))).first()[0] or 1
+    cells = F.from_csv("value", ", ".join(f"c{i} string" for i in range(width)))
+    return _labelled(text.select(F.array(*[cells[f"c{i}"] for i in range(width)]).alias("_cells"), "_file", "_mtime", "_block", "_mid"))
+
+
+def _labelled(rows: DataFrame) -> DataFrame:
+    first = rows.where("_block = 0").groupBy("_file").agg(F.min_by("_cells", "_mid").alias("_h"))
     labels = F.transform("_h", lambda c: F.trim(F.regexp_replace(c, "^\ufeff", "")))
-    first = first.select(F.col("_file").alias("_f"), labels.alias("_labels"), "_first")
+    first = first.select(F.col("_file").alias("_f"), labels.alias("_labels"))
     bad = first.where(~F.coalesce(F.array_contains("_labels", "Action"), F.lit(False))).select("_f").limit(1).collect()
     if bad:
         raise ValueError(f"the action file has no Action column: {bad[0][0]}")
-    body = rows.join(first, F.col("_file") == F.col("_f")).where((F.col("_block") != 0) | (F.col("_mid") > F.col("_first")))
+    body = skip_leading_rows(rows, 1)
     empty = first.join(body.select("_file").distinct(), F.col("_f") == F.col("_file"), "left_anti").select("_f").limit(1).collect()
     if empty:
         raise ValueError(f"the action file has no rows: {empty[0][0]}")
+    headers = [r[0] for r in first.select("_labels").distinct().limit(2).collect()]
+    if len(headers) == 1:  # no row needs to meet its file's header
+        body = body.withColumn("_labels", F.array(*[F.lit(x) for x in headers[0]]))
+    else:
+        body = body.join(first, F.col("_file") == F.col("_f"))
     cell = {name: F.get("_cells", F.array_position("_labels", label).cast("int") - 1) for label, name in ACTION_LABELS.items()}
     return body.select(*[c.alias(name) for name, c in cell.items()], "_file", "_mtime", "_block", "_mid")
 
@@ -246,15 +261,14 @@ def _import(spark: SparkSession, numbered: DataFrame, batch_name: str | None, ba
 def stream_actions(spark: SparkSession, action_dir: str, base: str, checkpoint: str | None = None,
                    trigger: str = "availableNow", price_map: str = "parity") -> StreamingQuery:
     """Apply action files (the labelled export plus an Action column) as they land."""
-    # bytes are kept as they are (Latin-1) until each cell is decoded
-    src = (spark.readStream.schema(all_strings([f"c{i}" for i in range(ACTION_COLUMNS)])).option("header", False)
-           .option("encoding", "ISO-8859-1").csv(action_dir)
+    # lines are read as they are: each file's header tells its cells, each file's bytes its encoding
+    src = (spark.readStream.text(action_dir)
            .select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
                    F.col("_metadata.file_modification_time").alias("_mtime")))
     where = _checkpoint(base, checkpoint, "actions")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = labelled_actions(batch.withColumn("_mid", F.monotonically_increasing_id()))
+        rows = labelled_lines(batch.withColumn("_mid", F.monotonically_increasing_id()))
         actions_batch(spark, rows, f"{_stream_name(spark, 'actions', where)}#{batch_id}", base, price_map)
 
     return _trigger(src.writeStream.foreachBatch(run).option("checkpointLocation", where), trigger).start()
