@@ -301,6 +301,10 @@ where action = 'CLICK' and contains(lower(username), 'user1') order by id limit
     d = DASHBOARD_BASE
     q["item_search"] = d + f"""select {DASH_COLS} from _dash
 where contains(lower(coalesce(sku_code, '')), 'ku-12') or contains(lower(coalesce(item_name, '')), 'ku-12')"""
+    q["indexed_search"] = q["item_search"]
+    q["merged_profile"] = with_views(V_STOCK_SHEET) + """select 'uni' as column, count(*) as rows, count(*) - count(uni) as nulls, cast(null as bigint) as total from v_stock_sheet
+union all select 'fba', count(*), count(*) - count(fba), null from v_stock_sheet
+union all select 'l_orderkey', count(*), 0, cast(sum(l_orderkey) as bigint) from v_stock_sheet"""
     gaps = """, _gaps as (select * replace (case when id % 10 = 0 then 0 when id % 10 = 1 then null
   when id % 10 = 2 then -available_atp else available_atp end as available_atp) from _dash)
 """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scalars import ck, contains_ci, json_list, non_blank, strip
-from shelfspark.operators import actions, commits, paging, quality, query, stock, tables
+from shelfspark.operators import actions, commits, derived, paging, quality, query, stock, tables
 from shelfspark.operators import dashboard as dash
 from shelfspark.schemas import ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_ITEMS, STOCK_UPDATE
 from shelfspark.session import checkpoint_dir
@@ -486,6 +486,28 @@ def q_sorted_page(spark, sf):
     return paging.sorted_page(spark, root, board, "category", "desc", page=9, page_size=100)
 
 
+def q_indexed_search(spark, sf):
+    """The item search through a published trigram index."""
+    base = _publish(spark, sf)
+    root, board = os.path.split(base)
+    items = spark.read.schema(STOCK_ITEMS).parquet(*tables.current_paths(spark, base))
+    derived.publish_grams(items, root, board)
+    return derived.indexed_search(spark, root, board, "KU-12", STOCK_ITEMS)
+
+
+def q_merged_profile(spark, sf):
+    """Rows, nulls and sums of a table of two loads, merged from a profile of each."""
+    root = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}")
+    sheet = fx.stock_sheet(spark, sf).select("uni", "fba", "l_orderkey")
+    for odd in (0, 1):
+        half = sheet.where(F.col("l_orderkey") % 2 == odd)
+        path = os.path.join(root, "sheet", f"v-{uuid.uuid4().hex}")
+        half.write.parquet(path)
+        commits.commit(spark, root, lambda now: now._replace(tables=now.tables | {"sheet": [*now.paths("sheet"), path]}))
+        derived.update_profile(spark, root, "sheet", sheet.schema)
+    return derived.profile(spark, root, "sheet").select("column", "rows", "nulls", F.col("total").cast("long").alias("total"))
+
+
 def _users(spark, sf):
     """Accounts of the application: roles, pages as JSON text, listed columns."""
     pages = F.when(F.col("c_custkey") % 7 == 0, None).when(F.col("c_custkey") % 7 == 1, "oops").otherwise(
@@ -612,6 +634,8 @@ QUERIES: dict[str, Query] = {
     "load_appends": q_load_appends,
     "dashboard_publish": q_dashboard_publish,
     "reconcile_stages": q_reconcile_stages,
+    "indexed_search": q_indexed_search,
+    "merged_profile": q_merged_profile,
     "sorted_page": q_sorted_page,
     "user_page_access": q_user_page_access,
     "user_columns": q_user_columns,

@@ -117,3 +117,21 @@ def test_catalog_null_key_modes(spark):
                                  "row_no long, master_sku string, catalog_name string, cost string")
     assert sorted(r.master_sku for r in dashboard.sync_catalog(rows).collect()) == ["SKU-1"]
     assert sorted(r.master_sku for r in dashboard.sync_catalog(rows, legacy_null_text=True).collect()) == ["NONE", "SKU-1"]
+
+
+def test_flow_totals_equal_the_stages_in_one_run(spark):
+    from shelfspark.operators import dashboard, quality, stock
+    from shelfspark.schemas import SHEET_COLUMNS, STOCK_COLUMNS
+    sheet = spark.createDataFrame([("a", "5", "b", "1", None, None, "c", "x"), (None, "9", "a", "9", None, None, None, None), ("uni", "3", "", "2", "d", "4", "a", "1")],
+                                  ", ".join(f"{c} string" for c in SHEET_COLUMNS))
+    items = spark.createDataFrame([(1, "A", "s", "M", "c", "L"), (2, "a ", "s", "M", "c", "L"), (3, "Z", "s", "M", "c", "L"), (4, None, "s", "M", "c", "L")],
+                                  "row_no long, master_sku string, style string, size string, category string, loc string")
+    cols, clean_cols = ["uni", "fba", "fbf", "sjit"], ["uni_stock", "fba_stock", "fbf_stock", "sjit_stock"]
+    cleaned, merged = stock.clean_stock(sheet), stock.channel_stock(sheet)
+    keys = items.select(F.upper(F.trim("master_sku")).alias("master_sku"))
+    stages = {"clean": (cleaned, clean_cols), "merged": (merged, STOCK_COLUMNS),
+              "dashboard": (dashboard.build_dashboard(items, merged), ["available_atp", "fba_stock", "fbf_stock", "sjit_stock"]),
+              "orphans": (quality.orphan_stock(merged, keys, item_key="master_sku"), STOCK_COLUMNS)}
+    want = quality.reconcile({n: d.select(*[F.col(a).alias(b) for a, b in zip(c, cols)]) for n, (d, c) in stages.items()}, cols).collect()
+    got = quality.flow_totals(cleaned, clean_cols, stock.merge_channels, keys, cols, merged_cols=STOCK_COLUMNS).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))

@@ -1,5 +1,6 @@
 import os
 
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shelfspark.operators import stock
@@ -140,3 +141,51 @@ def test_json_in_file_order(spark, tmpdir_path):
     _write(os.path.join(tmpdir_path, "b.json"), b'{"id": 4}\n{"id": 1}\n')
     df = files.read_json_array(spark, os.path.join(tmpdir_path, "b.json"), df.select("id").schema, lines=True)
     assert [(r.row_no, r.id) for r in df.orderBy("row_no").collect()] == [(1, 4), (2, 1)]
+
+
+def test_encoding_is_decided_per_file(spark, tmpdir_path):
+    # the bytes of one file are all UTF-8; in the other one cell is not, so its valid-looking cells are Latin-1 too
+    _write(os.path.join(tmpdir_path, "a.csv"), "Master SKU,Size\nA,é\n".encode())
+    _write(os.path.join(tmpdir_path, "b.csv"), b"Master SKU,Size\nB,\xc3\xa9\nC,\xe9\n")
+    want = [("A", "é"), ("B", "Ã©"), ("C", "é")]
+    assert sorted((r["Master SKU"], r["Size"]) for r in files.read_text_csv(spark, tmpdir_path).collect()) == want
+    marked = files.read_below_marker(spark, tmpdir_path, "Master SKU")
+    assert sorted((r["Master SKU"], r["Size"]) for r in marked.collect()) == want
+    split = files.read_split_lines(spark, tmpdir_path, ["k", "s"], skip=1)
+    assert sorted((r.k, r.s) for r in split.collect()) == want
+
+
+def test_many_files_that_are_not_utf8(spark, tmpdir_path, monkeypatch):
+    for i in range(4):
+        _write(os.path.join(tmpdir_path, f"{i}.csv"), b"Master SKU,Size\n%d,\xe9\n" % i if i else "Master SKU,Size\n0,é\n".encode())
+    monkeypatch.setattr(files, "MANY_FILES", 1)
+    rows = files.read_text_csv(spark, tmpdir_path).collect()
+    assert sorted((r["Master SKU"], r["Size"]) for r in rows) == [(str(i), "é") for i in range(4)]
+
+
+def test_inputs_without_rows_or_key_raise(spark, tmpdir_path):
+    import pytest
+    from shelfspark.sources import entities
+    for name, body in (("a", b"Master SKU,Size,Action\n"), ("b", b"Size,Cost\nM,1\n")):
+        p = os.path.join(tmpdir_path, name + ".csv")
+        _write(p, body)
+        for read in (entities.read_item_master, entities.read_catalog, entities.read_action_file):
+            with pytest.raises(ValueError):
+                read(spark, p)
+
+
+def test_action_files_of_any_width(spark, tmpdir_path):
+    from shelfspark.streaming import refresh
+    wide = ",".join(f"x{i}" for i in range(90))
+    _write(os.path.join(tmpdir_path, "a.csv"), f"{wide},Master SKU,Action\n\n{wide},SKU-1,add\n".encode())
+    _write(os.path.join(tmpdir_path, "b.csv"), "Action,\"Master SKU\"\ndelete,\"SKU,2\"\n".encode())
+    lines = spark.read.text(tmpdir_path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+                                                F.col("_metadata.file_modification_time").alias("_mtime"), F.monotonically_increasing_id().alias("_mid"))
+    rows = refresh.labelled_lines(lines).collect()
+    assert sorted((r.master_sku, r.action) for r in rows) == [("SKU,2", "delete"), ("SKU-1", "add")]
+
+
+def test_json_list_held_as_text(spark):
+    from shelfspark.functions.scalars import json_list
+    df = spark.createDataFrame([('["a", "b"]',), ("[]",), ("oops",), (None,)], "t string")
+    assert [r[0] for r in df.select(json_list("t")).collect()] == [["a", "b"], [], None, None]
