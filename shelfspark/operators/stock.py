@@ -3,6 +3,8 @@ snapshot folding and the stock overlay onto an item file."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,19 +127,21 @@ def snapshot_stock(sheet: DataFrame, snapshot: str, junk: list[str] = JUNK_SKUS,
     return latest_snapshot(per_snapshot, "master_sku", snapshot, STOCK_COLUMNS)
 
 
-def _overlay_pair(ch: str, sku_col: str, qty_col: str) -> F.Column:
-    """(channel, sku, qty) of one channel of a sheet row, as the overlay script
-    reads it: quotes and commas dropped from the quantity, blank = 0,
-    unparsable = null; the SKU is null when blank or a junk literal."""
-    sku = F.coalesce(strip(sku_col), F.lit(""))
-    if ch != "uni":
-        sku = F.translate(sku, '"', "")
-    qty_text = F.coalesce(strip(F.translate(F.col(qty_col), '",', "")), F.lit(""))
-    qty = F.when(qty_text == "", F.lit(0).cast("bigint")).otherwise(qty_text.try_cast("bigint"))
-    keep = (sku != "")
-    for j in OVERLAY_JUNK[ch]:
-        keep = keep & (sku != j)
-    return F.struct(F.lit(ch).alias("channel"), F.when(keep, sku).alias("sku"), qty.alias("qty"))
+def _overlay_long(sheet: DataFrame, order: F.Column) -> DataFrame:
+    """_ord, channel, sku and qty of every channel of a sheet row, as the
+    overlay script reads it: quotes and commas dropped from the quantity,
+    blank = 0, unparsable = null; blank SKUs and junk literals are left out.
+    The rows are unpivoted as they are and cleaned after that, so that each
+    rule stands once in the plan."""
+    pairs = F.array(*[F.struct(F.lit(ch).alias("channel"), F.col(sku).alias("_sku"), F.col(qty).alias("_qty")) for ch, sku, qty, _ in CHANNELS])
+    raw = sheet.select(order.alias("_ord"), F.inline(pairs)).where(F.col("_sku").isNotNull())
+    stripped = raw.select("_ord", "channel", strip("_sku").alias("_sku"), F.translate("_qty", '",', "").alias("_qty"))
+    plain = F.when(F.col("channel") == "uni", F.col("_sku")).otherwise(F.translate("_sku", '"', ""))
+    read = stripped.select("_ord", "channel", plain.alias("sku"), F.coalesce(strip("_qty"), F.lit("")).alias("_qty"))
+    junk = [(F.col("channel") == ch) & F.col("sku").isin(*names) for ch, names in OVERLAY_JUNK.items() if names]
+    kept = read.where((F.col("sku") != "") & ~reduce(lambda a, b: a | b, junk, F.lit(False)))
+    qty = F.when(F.col("_qty") == "", F.lit(0).cast("bigint")).otherwise(F.col("_qty").try_cast("bigint"))
+    return kept.select("_ord", "channel", "sku", qty.alias("qty"))
 
 
 def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
@@ -153,8 +157,7 @@ def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
     fixed-width, so it is a hash aggregate; any other order is a struct, which
     Spark aggregates by sorting (still with a partial, map-side step).
     """
-    pairs = F.array(*[_overlay_pair(ch, sku, qty) for ch, sku, qty, _ in CHANNELS])
-    long = sheet.select(packed_order(sheet, order).alias("_ord"), F.inline(pairs)).filter(F.col("sku").isNotNull())
+    long = _overlay_long(sheet, packed_order(sheet, order))
     outs = []
     for ch, _, _, out in CHANNELS:
         is_ch = F.col("channel") == ch

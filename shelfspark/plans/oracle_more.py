@@ -293,6 +293,7 @@ where not exists (select 1 from part g where g.p_partkey % 10 = 0 and c.master_s
     q["items_from_marker_file"] = with_views(V_ITEM_MASTER) + """select trim(master_sku) as master_sku, cast(size as varchar) as size, loc
 from v_item_master"""
     q["logs_from_json"] = with_views(V_AUDIT) + "select id, username, action from v_audit"
+    q["logs_from_array"] = with_views(V_AUDIT) + "select id, username, action, cast(row_number() over (order by id) as bigint) as row_no from v_audit"
     q["logs_by_action"] = with_views(V_AUDIT) + """select id, username, action, ts, value from v_audit
 where action = 'CLICK' and contains(lower(username), 'user1') order by id limit 100"""
     q["stock_snapshots"] = snap

@@ -315,6 +315,17 @@ def q_logs_from_json(spark, sf):
     return files.read_json_array(spark, path, logs.schema, lines=True).select("id", "username", "action")
 
 
+def q_logs_from_array(spark, sf):
+    """The audit log written as one JSON array per file and read back by splits."""
+    path = os.path.join(checkpoint_dir(spark), f"json-{uuid.uuid4().hex}")
+    logs = fx.audit_log(spark, sf).select("id", "username", "action")
+    line = F.to_json(F.struct("*"))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of a task, so of a file
+    opened = logs.orderBy("id").select(F.concat(F.when(first, "[").otherwise(","), line).alias("value"))
+    opened.write.text(path)
+    return files.read_json_array(spark, path, logs.schema, split=True)
+
+
 def q_item_by_id(spark, sf):
     return query.find_items(_dashboard(spark, sf), item_id=17)
 
@@ -651,6 +662,7 @@ QUERIES: dict[str, Query] = {
     "catalog_from_csv": q_catalog_from_csv,
     "items_from_marker_file": q_items_from_marker_file,
     "logs_from_json": q_logs_from_json,
+    "logs_from_array": q_logs_from_array,
     "item_by_id": q_item_by_id,
     "item_sort_text": q_item_sort_text,
     "item_sort_numeric": q_item_sort_numeric,

@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 from shelfspark.operators.tables import assign_ids
 from shelfspark.schemas import all_strings
+from shelfspark.session import ship_package
+from shelfspark.sources.json_arrays import read_split_array
 
 POSITION = ["_file", "_block", "_mid"]
 MANY_FILES = 1_000  # names of files that go into an expression, at most
@@ -234,12 +236,17 @@ def read_entity(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
     return reader.format(fmt).load(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False) -> DataFrame:
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, lines: bool = False, split: bool = False) -> DataFrame:
     """JSON objects (audit log, import history, users) with ``row_no`` in file
-    order: an array per file (read by one task each), or with ``lines`` one
-    object per line (files are split)."""
+    order: an array per file (read by one task each, or with ``split`` by as
+    many as its size asks for), or with ``lines`` one object per line (files
+    are split)."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("row_no", T.LongType())]))
+    if split and not lines:
+        ship_package(spark)
+        found = read_split_array(spark, path, schema)
+        return add_row_numbers(found.withColumnsRenamed({"_number": "_mid"}).withColumn("_block", F.lit(0))).select(*[F.col(f"`{f}`") for f in schema.fieldNames()], "row_no")
     df = with_row_position(spark.read.schema(schema).option("multiLine", not lines).json(path))
     return add_row_numbers(df).select(*[F.col(f"`{f}`") for f in schema.fieldNames()], "row_no")
 
