@@ -2,11 +2,16 @@
 
 Only A-Z are lower-cased; words are separated by blanks, tabs, line feeds,
 vertical tabs, form feeds and returns. A text with fewer words than a shingle
-is one shingle; a text without words has none."""
+is one shingle; a text without words has none.
+
+A word's hash is a cryptographic one (of 64 bits), so no two words can be made
+to agree by their letters; a shingle mixes the hashes of its words."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 
@@ -16,10 +21,24 @@ _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB866
         0xFF51AFD7ED558CCD, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _BASE = 0x5851F42D4C957F2D
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype="uint8")
-_LOWER[65:91] += 32
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+KNOWN_WORDS = 1 << 18  # words whose hashes a worker keeps, at most
+KNOWN_BYTES = 64       # longest word that it keeps
+
+
+class _WordHashes(dict):
+    """Hash by word. Frequent words are looked up, others worked out."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KNOWN_BYTES:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_word_hashes = _WordHashes()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -50,18 +69,12 @@ def batches(texts: Iterator[bytes], size: int = BATCH_BYTES) -> Iterator[list[by
 
 def shingle_sets(texts: Iterable[str | None], words: int) -> Iterator[list[np.ndarray]]:
     """Sorted distinct shingle hashes of every text, in lists of a bounded number of bytes of text."""
-    inverse = pow(_BASE, -1, 2**64)
     for part in batches((t or "").encode("utf-8", "replace") for t in texts):
         out: list[np.ndarray] = []
-        raw = np.frombuffer(b" ".join(part) + b" ", "uint8")
-        ends = np.cumsum([len(t) + 1 for t in part])
-        inside = ~_SPACE[raw]
-        edge = np.diff(inside.astype("int8"), prepend=0)
-        start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-        sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum((_LOWER[raw].astype("uint64") + np.uint64(1)) * powers(len(raw)), dtype="uint64")])
-        word = mix((sums[stop] - sums[start]) * powers(len(raw), inverse)[start])
-        doc = np.searchsorted(ends, start, side="right")
-        per_doc = np.bincount(doc, minlength=len(part))
+        # split() cuts at exactly the six separators
+        found = [t.translate(_LOWER).split() for t in part]
+        per_doc = np.array([len(w) for w in found])
+        word = np.fromiter(map(_word_hashes.__getitem__, chain.from_iterable(found)), "uint64", int(per_doc.sum()))
         first = np.concatenate([[0], np.cumsum(per_doc)])
         n = max(len(word) - words + 1, 0)
         whole = np.zeros(n, "uint64")

@@ -176,6 +176,15 @@ def test_jaccard_against_all_pairs(spark, words, num):
     assert jaccard.jaccard_components(empty(spark), words, num, 100).count() == 0
 
 
+def test_words_that_differ_in_a_pattern_stay_apart(spark):
+    """Words of 1,024 letters that agree under every polynomial modulo 2^64."""
+    signs = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[s ^ x] for s in signs) for x in (0, 1))
+    docs = spark.createDataFrame([(1, f"{one} x y z"), (2, f"{other} x y z"), (3, f"{one} x y z")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 def test_subsets_meet_exactly_when_small_sets_link():
     for boundary in (6, 14, 20):
         for a in range(1, boundary + 1):
