@@ -302,6 +302,8 @@ where action = 'CLICK' and contains(lower(username), 'user1') order by id limit
     d = DASHBOARD_BASE
     q["item_search"] = d + f"""select {DASH_COLS} from _dash
 where contains(lower(coalesce(sku_code, '')), 'ku-12') or contains(lower(coalesce(item_name, '')), 'ku-12')"""
+    q["published_defaults"] = with_views(V_CATALOG, CATALOG_LAST) + f"""select master_sku, cast(null as varchar) as launch_date, catalog_name,
+  case when cost > 200 then cost else {D0} end as cost, {D0} as wholesale_price, {D0} as up_price, {D0} as mrp from _cat"""
     q["indexed_search"] = q["item_search"]
     q["merged_profile"] = with_views(V_STOCK_SHEET) + """select 'uni' as column, count(*) as rows, count(*) - count(uni) as nulls, cast(null as bigint) as total from v_stock_sheet
 union all select 'fba', count(*), count(*) - count(fba), null from v_stock_sheet

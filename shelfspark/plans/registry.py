@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.scalars import ck, contains_ci, json_list, non_blank, strip
 from shelfspark.operators import actions, commits, derived, paging, quality, query, stock, tables
 from shelfspark.operators import dashboard as dash
-from shelfspark.schemas import ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_ITEMS, STOCK_UPDATE
+from shelfspark.schemas import CATALOG_DEFAULTS, CATALOG_PRICING, ITEM_MASTER, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_ITEMS, STOCK_UPDATE
 from shelfspark.session import checkpoint_dir
 from shelfspark.sources import entities, files
 from shelfspark.sources import fixtures as fx
@@ -497,6 +497,15 @@ def q_sorted_page(spark, sf):
     return paging.sorted_page(spark, root, board, "category", "desc", page=9, page_size=100)
 
 
+def q_published_defaults(spark, sf):
+    """Catalogue rows published without some declared columns: those take their defaults."""
+    base = os.path.join(checkpoint_dir(spark), f"tables-{uuid.uuid4().hex}", "catalog_pricing")
+    rows = dash.sync_catalog(fx.catalog_rows(spark, sf))
+    some = rows.select("master_sku", "catalog_name", F.when(F.col("cost") > 200, F.col("cost")).alias("cost"))
+    tables.publish(some, base, schema=CATALOG_PRICING, unique_key="master_sku", defaults=CATALOG_DEFAULTS)
+    return tables.current(spark, base, CATALOG_PRICING)
+
+
 def q_indexed_search(spark, sf):
     """The item search through a published trigram index."""
     base = _publish(spark, sf)
@@ -646,6 +655,7 @@ QUERIES: dict[str, Query] = {
     "dashboard_publish": q_dashboard_publish,
     "reconcile_stages": q_reconcile_stages,
     "indexed_search": q_indexed_search,
+    "published_defaults": q_published_defaults,
     "merged_profile": q_merged_profile,
     "sorted_page": q_sorted_page,
     "user_page_access": q_user_page_access,

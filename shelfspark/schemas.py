@@ -54,6 +54,10 @@ NUMERIC_SORT_COLUMNS = ["id", "available_atp", "fba_stock", "sjit_stock", "fbf_s
 # Non-admin users see the first five columns unless a permission lists others.
 DEFAULT_VISIBLE_COUNT = 5
 
+# Declared column defaults of the stock state and the price catalogue.
+STOCK_DEFAULTS = {"uniware_stock": 0, "fba_stock": 0, "fbf_stock": 0, "sjit_stock": 0}
+CATALOG_DEFAULTS = {"cost": 0.0, "wholesale_price": 0.0, "up_price": 0.0, "mrp": 0.0}
+
 # Actions understood in an action file.
 ACTIONS = ["add", "replace", "delete"]
 

@@ -27,7 +27,7 @@ from shelfspark.operators.commits import Snapshot, is_committed, redo, snapshot
 from shelfspark.operators.numbered import MAX_SLICES, with_numbers, read_parts
 from shelfspark.operators.stock import snapshot_stock
 from shelfspark.operators.tables import assign_ids, publish_together, table_of, upsert
-from shelfspark.schemas import ACTIONS, CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_UPDATE, all_strings
+from shelfspark.schemas import ACTIONS, CATALOG_DEFAULTS, CATALOG_PRICING, ITEM_MASTER, SHEET_BANNER_ROWS, SHEET_COLUMNS, STOCK_COLUMNS, STOCK_DEFAULTS, STOCK_UPDATE, all_strings
 from shelfspark.session import checkpoint_dir
 from shelfspark.sources.entities import ACTION_LABELS
 from shelfspark.sources.files import POSITION, by_file, lines_by_file, skip_leading_rows
@@ -99,7 +99,7 @@ def _refresh(spark: SparkSession, newest: DataFrame, batch_name: str | None, bas
         frames = {}
         if not changes.isEmpty():
             merged = upsert(old, changes, "master_sku", STOCK_COLUMNS, unique_inputs=True)
-            frames = {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku"}),
+            frames = {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku", "defaults": STOCK_DEFAULTS}),
                       DASHBOARD: inc.update_stock(spark, base, state, DASHBOARD, changes)}
     else:
         # the state and the batch's newest snapshot hold one row per SKU each
@@ -109,7 +109,7 @@ def _refresh(spark: SparkSession, newest: DataFrame, batch_name: str | None, bas
         if items is not None or not inc.in_slices(state, ITEMS):
             its = assign_ids(its, ["row_no"], id_col="_n").drop("row_no").withColumnRenamed("_n", "row_no")
         board = inc.whole_board(base, DASHBOARD, dash.build_dashboard(its, merged, cat), _slice_rows(state, its))
-        frames = {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku"}), DASHBOARD: board}
+        frames = {STATE: (merged, {"schema": STOCK_UPDATE, "unique_key": "master_sku", "defaults": STOCK_DEFAULTS}), DASHBOARD: board}
     publish_together(spark, base, frames, batch_name, state, reads, shown if frames else {})
 
 
@@ -241,7 +241,7 @@ def _import(spark: SparkSession, numbered: DataFrame, batch_name: str | None, ba
         new_items = inc.whole_items(spark, base, ITEMS, res.items, ["src", "src_row"])
     res = apply_actions(spark.createDataFrame([], ITEM_MASTER), cat, numbered, price_map=price_map)
     catalog = _written(res.catalog)
-    frames = {ITEMS: new_items, CATALOG: (catalog, {"schema": CATALOG_PRICING, "unique_key": "master_sku"})}
+    frames = {ITEMS: new_items, CATALOG: (catalog, {"schema": CATALOG_PRICING, "unique_key": "master_sku", "defaults": CATALOG_DEFAULTS})}
     if refresh_dashboard:
         def build(items: DataFrame) -> DataFrame:
             return dash.build_dashboard(items, stock, catalog)
