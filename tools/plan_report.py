@@ -46,7 +46,7 @@ def main() -> None:
         "# Physical plans of the registered queries",
         "",
         f"Final adaptive plans after running each query on `{sf}` (local[8]), produced by `tools/plan_report.py`.",
-        "Counts are operators in the final plan; a query that assigns ids also runs a separate checkpoint job",
+        "Counts are operators in the final plan; a query that assigns ids also runs a separate write job",
         "(range exchange + sort) that is not part of this plan. Scans list the columns read (column pruning).",
         "",
         "| query | plan operators | parquet scans (columns read) |",
