@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import release, stored
+from shelfspark.llm.common import discard, release, stored
 from shelfspark.llm.components import connected_components
 from shelfspark.llm.filters import bit_filter, in_filter, row_filter
 from shelfspark.llm.shingles import mix, set_id, shingle_sets
@@ -172,6 +172,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     both = (pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("set").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"))
     out = stored(both.mapInArrow(count, "a long, b long, linked boolean").distinct(), "verified")
+    discard(needed, texts)
     release(docs.sparkSession)
     return out
 
@@ -197,27 +198,33 @@ def class_roots(docs: DataFrame, classes: DataFrame, scanned: DataFrame, words:
     # only keys that stand in several entries are shuffled with them
     often = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     shared = docs.sparkSession.sparkContext.broadcast(bit_filter(often, KEY_FILTER_BITS))
+    release(docs.sparkSession)
 
     def repeated(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             keys = batch.column(0).to_numpy(zero_copy_only=False).view("uint64")
             yield batch.filter(pa.array(in_filter(shared.value, keys)))
 
-    entries = stored(entries.mapInArrow(repeated, entries.schema).distinct(), "shared-entries")
-    groups = entries.groupBy("key", "c").agg(F.min("set").alias("s0"), F.max("set").alias("s1")).where("s0 != s1").select("key", "c")
-    members = stored(entries.join(groups, ["key", "c"]), "members")
+    repeats = stored(entries.mapInArrow(repeated, entries.schema).distinct(), "shared-entries")
+    discard(entries)
+    release(docs.sparkSession)
+    groups = repeats.groupBy("key", "c").agg(F.min("set").alias("s0"), F.max("set").alias("s1")).where("s0 != s1").select("key", "c")
+    members = stored(repeats.join(groups, ["key", "c"]), "members")
+    discard(repeats)
     release(docs.sparkSession)
 
     # small sets: sharing a subset of size c is enough where c is
     subsets = members.where("c > 0")
     smallest = subsets.groupBy("key", "c").agg(F.min(F.struct("n", "set")).alias("hub"))
-    small = (subsets.join(smallest, ["key", "c"]).where((F.col("set") != F.col("hub.set")) & (F.col("c") >= _shared_least(F.col("n"), F.col("hub.n"), num, den)))
-             .select(*_ordered("set", "hub.set")))
+    small = stored(subsets.join(smallest, ["key", "c"]).where((F.col("set") != F.col("hub.set")) & (F.col("c") >= _shared_least(F.col("n"), F.col("hub.n"), num, den)))
+                   .select(*_ordered("set", "hub.set")).distinct(), "small")
 
     # large sets: a list proposes its members against one or two hubs in each band of sizes
     lists = members.where("c = 0").select("key", "set", "n", "pos")
     lists = lists.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)))
     lists = stored(lists, "lists")
+    discard(members)
+    release(docs.sparkSession)
     by_place, by_chance = F.struct("pos", "n", "set"), F.struct(F.xxhash64("key", "set").alias("chance"), "pos", "n", "set")
     hubs = lists.groupBy("key", "band").agg(F.min(by_place).alias("central"), F.min(by_chance).alias("random"), F.count(F.lit(1)).alias("many"))
     of_list = F.when(F.col("many") < MANY, F.array("central")).otherwise(F.array("central", F.struct("random.pos", "random.n", "random.set")))
@@ -231,12 +238,16 @@ def class_roots(docs: DataFrame, classes: DataFrame, scanned: DataFrame, words:
     # then members of a list that lie in different components
     placed = lists.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     placed = stored(placed, "placed")
+    discard(lists)
     main = placed.groupBy("key").agg(F.min(F.struct("pos", "n", "set", "root")).alias("h"), F.min("root").alias("r0"), F.max("root").alias("r1"))
     mixed = main.where("r0 != r1").select("key", F.col("h.root").alias("main"))
-    placed = stored(placed.join(mixed, "key"), "mixed")
-    across = (placed.where("root != main").alias("x").join(placed.alias("y"), "key")
+    unjoined = stored(placed.join(mixed, "key"), "mixed")
+    discard(placed)
+    across = (unjoined.where("root != main").alias("x").join(unjoined.alias("y"), "key")
               .where((F.col("x.root") != F.col("y.root")) & _may_link("x", "y", num, den)).select(*_ordered("x.set", "y.set")).distinct())
     across = stored(across.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    discard(unjoined)
+    release(docs.sparkSession)
     more = _verified(docs, classes, across, words, num, den, id_col, text_col).where("linked").select("a", "b")
     return connected_components(links.unionByName(more))
 
