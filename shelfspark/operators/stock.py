@@ -78,7 +78,7 @@ def channel_stock(sheet: DataFrame, junk: list[str] = JUNK_SKUS, by: list[str] |
         raise ValueError("duplicates='last' needs the row order columns")
     cleaned = clean_stock(sheet, **clean_opts)
     if duplicates == "last":
-        long = _long_form(cleaned.withColumn("_ord", packed_order(sheet, order)), [*by, "_ord"]).filter(_junk_filter(F.col("sku"), junk))
+        long = _long_form(cleaned.withColumn("_ord", packed_order(sheet, order, wide=True)), [*by, "_ord"]).filter(_junk_filter(F.col("sku"), junk))
         lasts = [F.coalesce(F.max_by(F.col("qty"), F.when(F.col("channel") == ch, F.col("_ord"))), F.lit(0))
                  .cast("bigint").alias(out) for ch, _, _, out in CHANNELS]
         return long.groupBy(*by, F.col("sku").alias("master_sku")).agg(*lasts)
@@ -157,7 +157,7 @@ def overlay_values(sheet: DataFrame, order: list[str]) -> DataFrame:
     fixed-width, so it is a hash aggregate; any other order is a struct, which
     Spark aggregates by sorting (still with a partial, map-side step).
     """
-    long = _overlay_long(sheet, packed_order(sheet, order))
+    long = _overlay_long(sheet, packed_order(sheet, order, wide=True))
     outs = []
     for ch, _, _, out in CHANNELS:
         is_ch = F.col("channel") == ch

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.operators.commits import Snapshot, commit, commits, file_system, read_commit, snapshot  # noqa: F401
-from shelfspark.operators.numbered import read_numbered, read_parts, with_numbers, write_split
+from shelfspark.operators.numbered import MAX_PARTITIONS, TASK_BITS, read_numbered, read_parts, with_numbers, write_split
 from shelfspark.session import checkpoint_dir
 
 
@@ -40,12 +41,13 @@ def last_per_key(rows: DataFrame, key, cols, order) -> DataFrame:
 INTEGRAL = ("bigint", "int", "smallint", "tinyint")
 
 
-def packed_order(rows: DataFrame, order) -> Column:
-    """An expression of ``rows`` that sorts like the columns ``order``: one long,
-    if they are whole numbers whose ranges fit into its 63 bits together, else a
-    struct. A long keeps the buffers of ``max_by`` fixed-width, so that Spark
-    aggregates by hash. The ranges come from one aggregate over these columns
-    alone; nulls are not packed."""
+def packed_order(rows: DataFrame, order, wide: bool = False) -> Column:
+    """An expression of ``rows`` that sorts like the columns ``order``: one number,
+    if they are whole numbers whose ranges fit together into the 62 bits of a long
+    (``wide``: or into the 124 of a decimal), else a struct. A number keeps the buffers of ``max_by``
+    fixed-width, so that Spark aggregates by hash; with a struct every task sorts
+    all of its rows. The ranges come from one aggregate over these columns alone;
+    nulls are not packed."""
     order = _cols(order)
     types = dict(rows.dtypes)
     if len(order) == 1 and types[order[0]] in INTEGRAL:
@@ -59,12 +61,20 @@ def packed_order(rows: DataFrame, order) -> Column:
                                 for i in range(len(order))):
         return F.struct(*order)
     bits = [(int(seen[f"high{i}"]) - int(seen[f"low{i}"])).bit_length() for i in range(len(order))]
-    if sum(bits) > 62:
+    if sum(bits) > (2 * 62 if wide else 62):
         return F.struct(*order)
-    packed = F.lit(0).cast("bigint")
+    # each long takes the columns that fit: two, or three where little of one is left
+    words, packed, used = [], F.lit(0).cast("bigint"), 0
     for i, c in enumerate(order):
+        if used + bits[i] > 62:
+            words.append((packed, used))
+            packed, used = F.lit(0).cast("bigint"), 0
         packed = F.shiftleft(packed, bits[i]) + (F.col(c).cast("bigint") - F.lit(int(seen[f"low{i}"])))
-    return packed
+        used += bits[i]
+    whole = packed if not words else words[0][0].cast("decimal(38,0)")
+    for word, n in [*words[1:], (packed, used)] if words else []:
+        whole = whole * F.lit(Decimal(1 << n)) + word.cast("decimal(20,0)")
+    return whole
 
 
 NUMERIC = ("bigint", "int", "smallint", "tinyint", "double", "float")
@@ -153,6 +163,33 @@ def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partiti
     return out.select(id_col, *[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in rest if c != id_col])
 
 
+def assign_block_ids(df: DataFrame, block: list[str], place: str, start: int = 1, id_col: str = "id") -> DataFrame:
+    """``assign_ids`` in the order ``block``, ``place`` for rows that come block by
+    block, as those of a file scan do: nothing is shuffled or sampled. Every task
+    sorts and writes its own rows, and a row's id is the number of rows in the blocks
+    before (one count per block) plus its position in the block. Rows whose blocks
+    are spread over tasks are numbered by ``assign_ids``."""
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c != id_col]
+    path = os.path.join(checkpoint_dir(spark), f"ids-{uuid.uuid4().hex}")
+    rows = df.select(*[F.col(f"`{c}`") for c in rest])
+    rows.sortWithinPartitions(*block, place).withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+    written = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("_row", T.LongType())])).parquet(path)
+    task = F.shiftright("_row", TASK_BITS).alias("_task")
+    found = (written.groupBy(*block, task).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+             .limit(MAX_PARTITIONS + 1).collect())
+    names = {tuple(r[b] for b in block) for r in found}
+    if len(names) < len(found) or len(found) > MAX_PARTITIONS or any(x is None for name in names for x in name):
+        return assign_ids(written.drop("_row"), [*block, place], start, id_col)
+    places, before = [], start
+    for r in sorted(found, key=lambda r: tuple(r[b] for b in block)):
+        places.append((*[r[b] for b in block], before - r["_first"]))
+        before += r["_n"]
+    schema = T.StructType([*[rows.schema[b] for b in block], T.StructField("_shift", T.LongType())])
+    numbered = written.join(F.broadcast(spark.createDataFrame(places, schema)), block)
+    return numbered.select((F.col("_row") + F.col("_shift")).alias(id_col), *[F.col(f"`{c}`") for c in rest])
+
+
 def next_id(df: DataFrame, id_col: str = "id") -> DataFrame:
     """max(id) + 1, or 1 for an empty table (one row)."""
     return df.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).cast("bigint").alias("next_id"))

@@ -91,3 +91,20 @@ def test_packed_order_sorts_like_its_columns(spark):
     sheet = df.select("a", "b", F.lit("K").alias("uni"), F.col("b").cast("string").alias("uni_stock"), *[F.lit(None).cast("string").alias(c) for c in ("fba", "fba_stock", "fbf", "fbf_stock", "sjit", "sjit_stock")])
     plan = stock.overlay_values(sheet, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_packed_order_of_wide_ranges_is_one_number(spark):
+    """Keys of large tables need more bits than a long has: one decimal, so that stock is still aggregated by hash."""
+    rnd = random.Random(3)
+    rows = [(rnd.randint(-2, 2) << 40, rnd.randint(0, 2**45), rnd.randint(0, 3), float(rnd.randint(0, 2**20))) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a long, b long, c int, d double")
+    packed = df.select("*", tables.packed_order(df, ["a", "b", "c", "d"], wide=True).alias("p"))
+    assert dict(packed.dtypes)["p"] == "decimal(38,0)"
+    assert [(r.a, r.b, r.c, r.d) for r in sorted(packed.collect(), key=lambda r: r.p)] == sorted(rows)
+    sheet = df.select("a", "b", "c", "d", F.concat(F.lit("K"), F.col("c")).alias("uni"), F.col("c").cast("string").alias("uni_stock"),
+                      *[F.lit(None).cast("string").alias(c) for c in ("fba", "fba_stock", "fbf", "fbf_stock", "sjit", "sjit_stock")])
+    order = ["a", "b", "c", "d"]
+    for out in (stock.overlay_values(sheet, order), stock.channel_stock(sheet, duplicates="last", order=order)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
+        assert {(r.master_sku, r.uniware_stock) for r in out.collect()} == {(f"K{i}", i) for i in range(4)}
