@@ -19,7 +19,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,17 +45,31 @@ def partitions_for(df: DataFrame) -> int:
     return min(MAX_PARTITIONS, max(least, -(-input_bytes(df) // PARTITION_BYTES)))
 
 
-def write_split(df: DataFrame, path: str, order: list | None = None, partitions: int | None = None, row_group_bytes: int | None = None) -> dict:
+def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
+    """Columns that sort like ``order``: a struct by its fields, which Spark compares faster one by one."""
+    def fields(c: Column, kind: T.DataType, nullable: bool) -> list[Column]:
+        if not isinstance(kind, T.StructType):
+            return [c]
+        inner = [k for f in kind.fields for k in fields(c.getField(f.name), f.dataType, f.nullable)]
+        return [c.isNotNull(), *inner] if nullable else inner
+
+    return [k for o in order for k in fields(F.col(f"`{o}`"), df.schema[o].dataType, df.schema[o].nullable)]
+
+
+def write_split(df: DataFrame, path: str, order: list | None = None, partitions: int | None = None, row_group_bytes: int | None = None, cells=None) -> dict:
     """Write ``df`` once as a split part, in ``order`` (None: as its partitions
     come, file order for a scan), and its offsets. Rows that tie on ``order``
     are told apart by their scan position, so that a value of many rows spreads
-    over several partitions. Returns the part's entry of the commit."""
+    over several partitions. ``cells`` makes the written columns of the sorted
+    rows, so that only what it reads is shuffled. Returns the part's entry of the commit."""
     spark = df.sparkSession
     name = uuid.uuid4().hex
     rows = df
     if order:
         tied = df.withColumn("_tie", F.monotonically_increasing_id())
-        rows = tied.repartitionByRange(partitions or partitions_for(df), *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+        keys = [*sort_keys(df, order), F.col("_tie")]
+        rows = tied.repartitionByRange(partitions or partitions_for(df), *keys).sortWithinPartitions(*keys).drop("_tie")
+    rows = cells(rows) if cells else rows
     writer = rows.withColumn("_part", F.lit(name)).withColumn("_row", F.monotonically_increasing_id()).write
     (writer.option("parquet.block.size", str(row_group_bytes)) if row_group_bytes else writer).parquet(path)
     task = F.shiftright("_row", TASK_BITS).cast("int").alias("task")

@@ -137,7 +137,7 @@ def duplicate_keys(df: DataFrame, key) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col("cnt") > 1)
 
 
-def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partitions: int | None = None) -> DataFrame:
+def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partitions: int | None = None, cells=None) -> DataFrame:
     """Gap-free consecutive ids in ``order`` without a single-partition window.
 
     The rows are range-partitioned and sorted on ``order`` and written once, as
@@ -150,13 +150,17 @@ def assign_ids(df: DataFrame, order, start: int = 1, id_col: str = "id", partiti
     their scan position, so even a value shared by a large share of the rows
     is spread over several range partitions (ids among such ties follow the
     input order; give a unique ``order`` for ids that do not depend on it).
+    ``cells`` (a function of the sorted rows) makes the columns that are written.
     """
     spark = df.sparkSession
     rest = [c for c in df.columns if c != id_col or c in _cols(order)]
     void = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)]  # Parquet has no such type
     kept = df.select(*[F.col(f"`{c}`").cast("string").alias(c) if c in void else F.col(f"`{c}`") for c in rest])
     path = os.path.join(checkpoint_dir(spark), f"ids-{uuid.uuid4().hex}")
-    entry = write_split(kept, path, _cols(order), partitions)
+    entry = write_split(kept, path, _cols(order), partitions, cells=cells)
+    if cells:
+        kept = cells(kept)
+        rest = kept.columns
     rows = read_parts(spark, [path], kept.schema) if entry["rows"] else spark.createDataFrame([], kept.schema).withColumns(
         {"_part": F.lit(""), "_row": F.lit(0).cast("long")})
     out = with_numbers(rows, [path], {path: entry}, id_col, start)

@@ -602,7 +602,7 @@ def _written_lines(spark, rows, above: list[str]) -> str:
 def q_sheet_from_csv(spark, sf):
     """The stock sheet as CSV below its banner lines, read by position with row numbers in file order."""
     cells = F.concat_ws(",", *[F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("")) for c in SHEET_COLUMNS])
-    sheet = fx.stock_sheet(spark, sf).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    sheet = fx.stock_sheet(spark, sf, ordered=True)
     path = _written_lines(spark, sheet.select(cells.alias("value")), ["Stock,,,,,,,", "note,,,,,,,", ",".join(SHEET_COLUMNS)])
     return files.read_positional_csv(spark, path, SHEET_COLUMNS, skip=3, numbered=True).drop(*files.POSITION)
 

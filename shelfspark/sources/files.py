@@ -10,13 +10,11 @@ order the rows of one file exactly as they appear in it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.operators.tables import assign_ids
+from shelfspark.operators.tables import assign_block_ids
 from shelfspark.schemas import all_strings
 from shelfspark.session import ship_package
 from shelfspark.sources.json_arrays import read_split_array
@@ -36,20 +34,19 @@ def with_row_position(df: DataFrame) -> DataFrame:
 def skip_leading_rows(df: DataFrame, n: int) -> DataFrame:
     """Drop the first ``n`` rows of every file (``df`` carries the position columns).
 
-    Only the first split of a file can hold them, so only those splits meet
-    the table of first rows (one row per file); the others pass by.
+    Only the first split of a file can hold them. The table of first rows (one
+    row per file) is broadcast, so the rows stay in their splits.
     """
     if n <= 0:
         return df
-    head = df.filter(F.col("_block") == 0)
-    heads = head.groupBy("_file").agg(F.min("_mid").alias("_first"))
-    kept = head.join(heads, "_file").filter(F.col("_mid") - F.col("_first") >= n).select(*df.columns)
-    return df.filter(F.col("_block") != 0).unionByName(kept)
+    heads = df.filter(F.col("_block") == 0).groupBy("_file").agg(F.min("_mid").alias("_first"))
+    kept = (F.col("_block") != 0) | (F.col("_mid") - F.col("_first") >= n)
+    return df.join(F.broadcast(heads), "_file", "left").filter(kept).select(*df.columns)
 
 
 def add_row_numbers(df: DataFrame, col: str = "row_no", start: int = 1) -> DataFrame:
     """Dense 1-based row numbers in (file, position) order, gap-free across files."""
-    return assign_ids(df, POSITION, start=start, id_col=col)
+    return assign_block_ids(df, POSITION[:2], POSITION[2], start=start, id_col=col)
 
 
 def _csv_reader(spark: SparkSession, schema: T.StructType, encoding: str | None, header: bool, quote: bool,
@@ -77,7 +74,8 @@ def by_file(df: DataFrame, raw: dict) -> DataFrame:
     pair of expressions: its bytes as a string, and its text as Latin-1. One
     scan finds the files that are not valid; the few names go into the
     expression, many are joined."""
-    invalid = reduce(lambda a, b: a | b, [F.coalesce(~F.is_valid_utf8(x), F.lit(False)) for x, _ in raw.values()])
+    # a line feed between two cells keeps their bytes apart, so all are valid if together they are
+    invalid = ~F.is_valid_utf8(F.concat_ws("\n", *[x for x, _ in raw.values()]))
     files = df.where(invalid).select("_file").distinct()
     names = [r[0] for r in files.limit(MANY_FILES + 1).collect()]
     if len(names) <= MANY_FILES:

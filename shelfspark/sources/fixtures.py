@@ -37,9 +37,11 @@ def item_master(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHEET_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
 
 
-def stock_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wide stock sheet: four independent (sku, qty) channels, junk keys, bad quantities."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+def stock_sheet(spark: SparkSession, sf_dir: str, ordered: bool = False) -> DataFrame:
+    """Wide stock sheet: four independent (sku, qty) channels, junk keys, bad quantities.
+    ``ordered`` sorts the table's numbers into file order, before the cells are made of them."""
+    lines = table(spark, sf_dir, "lineitem")
+    return (lines.orderBy(*SHEET_ORDER) if ordered else lines).selectExpr(
         "l_orderkey", "l_linenumber",
         "CASE WHEN l_orderkey % 101 = 0 THEN 'paste here :-' WHEN l_orderkey % 103 = 0 THEN 'UNI' "
         "WHEN l_linenumber = 7 THEN NULL ELSE concat(' sku-', CAST(l_partkey AS STRING)) END AS uni",
@@ -74,7 +76,14 @@ ACTION_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quant
 def action_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Action file rows (one per line item): add / replace / delete / blank / unknown
     actions with the export columns as payload, some rows missing their SKU."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return _action_cells(table(spark, sf_dir, "lineitem"))
+
+
+ACTION_INPUTS = [*ACTION_ORDER, "l_returnflag", "l_linestatus", "l_extendedprice", "l_tax", "l_shipdate"]
+
+
+def _action_cells(lines: DataFrame) -> DataFrame:
+    return lines.selectExpr(
         *ACTION_ORDER,
         "CASE WHEN l_suppkey % 37 = 0 THEN ' ' ELSE concat('SKU-', CAST(l_partkey AS STRING)) END AS master_sku",
         "concat('Style ', CAST(l_suppkey AS STRING)) AS item_name",
@@ -96,9 +105,10 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def numbered_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Action file rows with their 1-based row number in file order."""
+    """Action file rows with their 1-based row number in file order. The table's
+    numbers are sorted, and the cells made of them after that."""
     from shelfspark.operators.tables import assign_ids
-    return assign_ids(action_rows(spark, sf_dir), ACTION_ORDER, id_col="row_no")
+    return assign_ids(table(spark, sf_dir, "lineitem").select(*ACTION_INPUTS), ACTION_ORDER, id_col="row_no", cells=_action_cells)
 
 
 def selection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -189,3 +189,21 @@ def test_json_list_held_as_text(spark):
     from shelfspark.functions.scalars import json_list
     df = spark.createDataFrame([('["a", "b"]',), ("[]",), ("oops",), (None,)], "t string")
     assert [r[0] for r in df.select(json_list("t")).collect()] == [["a", "b"], [], None, None]
+
+
+def test_row_numbers_need_no_shuffle(spark, tmpdir_path):
+    """Rows of a scan are numbered where they are; rows dealt out anew still by their place in the files."""
+    for name, n in (("b", 70), ("a", 3), ("c", 0), ("d", 200)):
+        os.makedirs(os.path.join(tmpdir_path, "in"), exist_ok=True)
+        with open(os.path.join(tmpdir_path, "in", name + ".csv"), "w") as f:
+            f.write("".join(f"{name}{i},x\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        read = files.read_positional_csv(spark, os.path.join(tmpdir_path, "in"), ["k", "v"], skip=2)
+        expected = [f"{name}{i}" for name, n in (("a", 3), ("b", 70), ("d", 200)) for i in range(2, n)]
+        for rows in (read, read.repartition(5, "k")):
+            got = sorted((r.row_no, r.k) for r in files.add_row_numbers(rows).collect())
+            assert got == list(enumerate(expected, 1))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
