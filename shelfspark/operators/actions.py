@@ -68,10 +68,22 @@ def classify_actions(actions: DataFrame, row_col: str = "row_no", legacy_null_te
     return c.withColumn("status", status).withColumn("k", F.upper(F.col("sku")))
 
 
-def _payloads(valid: DataFrame, price_map: str) -> DataFrame:
+ITEM_INPUTS, CATALOG_INPUTS = ["item_name", "size", "category", "location"], ["updated", "catalog", "cost", "price", "mrp"]
+
+
+def _payloads(valid: DataFrame) -> DataFrame:
+    """The cells as they are; they are parsed after the fold, once per key."""
+    return valid.select("row_no", "k", "sku", "status", F.struct(*ITEM_INPUTS).alias("ip"), F.struct(*CATALOG_INPUTS).alias("cp"))
+
+
+def _item_values() -> F.Column:
     item = {
         "style": _text("item_name"), "size": _text("size"), "category": _text("category"), "loc": _text("location"),
     }
+    return F.struct(*[v.alias(n) for n, v in item.items()])
+
+
+def _catalog_values(price_map: str) -> dict[str, F.Column]:
     cat = {
         "launch_date": _text("updated"), "catalog_name": _text("catalog"),
         "cost": lenient_float("cost"), "wholesale_price": lenient_float("price"),
@@ -82,8 +94,7 @@ def _payloads(valid: DataFrame, price_map: str) -> DataFrame:
         cat["mrp"] = lenient_float("mrp")
     else:
         raise ValueError("price_map must be 'parity' or 'fixed'")
-    return valid.select("row_no", "k", "sku", "status", F.struct(*[v.alias(n) for n, v in item.items()]).alias("ip"),
-                        F.struct(*[v.alias(n) for n, v in cat.items()]).alias("cp"))
+    return cat
 
 
 def fold_actions(valid: DataFrame) -> DataFrame:
@@ -113,8 +124,11 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
     (row in its source) as its order.
     """
     classified = classify_actions(actions, row_col, legacy_null_text)
-    valid = _payloads(classified.filter(F.col("status").isin(*ACTIONS)), price_map)
-    fold = fold_actions(valid)
+    written = _catalog_values(price_map)
+    valid = _payloads(classified.filter(F.col("status").isin(*ACTIONS)))
+    fold = fold_actions(valid).select("k", "D", "R", "U", "R_ip.*", "U_cp.*").select(
+        "k", "D", "R", F.when(F.col("R").isNotNull(), _item_values()).alias("R_ip"),
+        "U", F.when(F.col("U").isNotNull(), F.struct(*[v.alias(n) for n, v in written.items()])).alias("U_cp"))
 
     # -- items ---------------------------------------------------------------
     old = items.select(F.col("row_no").alias("src_row"), F.col("master_sku"),
@@ -124,7 +138,8 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
     kept = old_f.filter(F.coalesce(F.col("D"), F.lit(0)) == 0).select(
         F.lit(0).alias("src"), "src_row", "master_sku",
         *[F.when(F.col("R").isNotNull(), F.col("R_ip")[c]).otherwise(F.col(c)).alias(c) for c in ITEM_PAYLOAD])
-    adds = valid.filter(F.col("status") == "add").select("row_no", "k", "sku", "ip")
+    adds = valid.filter(F.col("status") == "add").select("row_no", "k", "sku", "ip.*") \
+        .select("row_no", "k", "sku", _item_values().alias("ip"))
     adds_f = skew.left_join(adds, fold.select("k", "D", "R", "R_ip"), "k", how="inner").filter(F.col("row_no") > F.col("D"))
     added = adds_f.select(
         F.lit(1).alias("src"), F.col("row_no").cast("bigint").alias("src_row"), F.col("sku").alias("master_sku"),
@@ -141,7 +156,7 @@ def apply_actions(items: DataFrame, catalog: DataFrame, actions: DataFrame, row_
     kept_from_old = F.col("old").isNotNull() & (F.coalesce(F.col("D"), F.lit(0)) == 0)
     out_cols = []
     for c in CATALOG_PAYLOAD:
-        if c in ("mrp", "up_price") and c not in valid.schema["cp"].dataType.fieldNames():
+        if c in ("mrp", "up_price") and c not in written:
             # not written by the action: kept while the row lives, else the default
             upd = F.when(kept_from_old, F.col("old")[c]).otherwise(F.lit(0.0))
         else:

@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shelfspark.operators import dashboard as dash
 from shelfspark.operators import incremental as inc
-from shelfspark.operators.actions import apply_actions, classify_actions, summarise
+from shelfspark.operators.actions import PAYLOAD_INPUTS, apply_actions, classify_actions, summarise
 from shelfspark.operators.commits import Snapshot, is_committed, redo, snapshot
 from shelfspark.operators.numbered import MAX_SLICES, with_numbers, read_parts
 from shelfspark.operators.stock import snapshot_stock
@@ -217,7 +217,8 @@ def actions_batch(spark: SparkSession, batch: DataFrame, batch_name: str | None,
     that of its rows. Where items and dashboard are in slices of the same rows
     (from the first import on), only those that hold a key of the file are
     written, and added rows come as slices at the end."""
-    numbered = assign_ids(batch, ["_mtime", *POSITION], id_col="row_no")
+    used = ["_mtime", *POSITION, "master_sku", "action", *PAYLOAD_INPUTS]
+    numbered = assign_ids(batch.select(*[c for c in batch.columns if c in used]), ["_mtime", *POSITION], id_col="row_no")
     return redo(lambda: _import(spark, numbered, batch_name, base, price_map, refresh_dashboard))
 
 

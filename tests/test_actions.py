@@ -158,3 +158,12 @@ def test_import_items_counts(spark):
                    "a": ("lower", 1, "20240102_030405")}
     stamps = {r.sku_code: r.updated_at for r in table.collect()}
     assert stamps == {"A": "2024-01-02 03:04:05", "B": "2024-01-02 03:04:05", "a": None}
+
+
+def test_cells_are_parsed_once_per_key(spark):
+    """The fold keeps the cells as they are: no cell is parsed for every row of the file."""
+    from shelfspark.operators.actions import _payloads
+    rows = spark.createDataFrame([(1, "A", "A", "add", *"abcdefghi")], "row_no long, k string, sku string, status string, " + ", ".join(f"{c} string" for c in (
+        "item_name", "size", "category", "location", "updated", "catalog", "cost", "price", "mrp")))
+    got = _payloads(rows).first()
+    assert tuple(got.ip) == tuple("abcd") and tuple(got.cp) == tuple("efghi")
