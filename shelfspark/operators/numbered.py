@@ -45,15 +45,16 @@ def partitions_for(df: DataFrame) -> int:
     return min(MAX_PARTITIONS, max(least, -(-input_bytes(df) // PARTITION_BYTES)))
 
 
-def sort_keys(df: DataFrame, order: list[str]) -> list[Column]:
-    """Columns that sort like ``order``: a struct by its fields, which Spark compares faster one by one."""
+def sort_keys(df: DataFrame, order: list) -> list[Column]:
+    """Columns that sort like ``order`` (names or expressions): a named struct by its fields,
+    which Spark compares faster one by one."""
     def fields(c: Column, kind: T.DataType, nullable: bool) -> list[Column]:
         if not isinstance(kind, T.StructType):
             return [c]
         inner = [k for f in kind.fields for k in fields(c.getField(f.name), f.dataType, f.nullable)]
         return [c.isNotNull(), *inner] if nullable else inner
 
-    return [k for o in order for k in fields(F.col(f"`{o}`"), df.schema[o].dataType, df.schema[o].nullable)]
+    return [k for o in order for k in (fields(F.col(f"`{o}`"), df.schema[o].dataType, df.schema[o].nullable) if isinstance(o, str) else [o])]
 
 
 def write_split(df: DataFrame, path: str, order: list | None = None, partitions: int | None = None, row_group_bytes: int | None = None, cells=None) -> dict:
