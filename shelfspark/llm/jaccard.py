@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from shelfspark.llm.common import discard, release, stored
 from shelfspark.llm.components import connected_components
 from shelfspark.llm.filters import bit_filter, in_filter, row_filter
-from shelfspark.llm.shingles import mix, set_id, shingle_sets
+from shelfspark.llm.shingles import mix, set_ids, shingle_sets
 
 COUNTER_BITS = 20  # counters of the rarity of shingles: a fixed number, shared by hash
 CHUNKS = 64  # that they travel in
@@ -44,6 +44,7 @@ LIST_COST = 4.0  # of an entry of an inverted list, in subsets
 LARGEST_SMALL = 40  # sizes tried as the boundary
 KEY_FILTER_BITS = 26  # of the filter of the keys that several entries share: a fixed size
 MANY = 8  # members from which a list has a second hub
+BITMAP_LEAST, BITMAP_MOST = 64, 1 << 16  # bits of a set's bitmap, a power of two from its size on
 
 
 def shared_least(a: int, b: int, num: int, den: int) -> int:
@@ -75,27 +76,47 @@ def boundary_by_cost(histogram: dict[int, int], num: int, den: int) -> int:
     return min(range(LARGEST_SMALL + 1), key=lambda x: (cost(x), x))
 
 
+def bitmaps(sets: list[np.ndarray]) -> list[bytes]:
+    """A bitmap of every set: each shingle flips the bit of its last digits. So two
+    bitmaps differ in no more bits than the sets do in shingles."""
+    sizes = np.array([len(s) for s in sets], "int64")
+    wide = np.clip(2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype("int64"), BITMAP_LEAST, BITMAP_MOST)
+    first = np.cumsum(wide) - wide
+    at = (np.concatenate(sets) & np.repeat(wide - 1, sizes).astype("uint64")).astype("int64") + np.repeat(first, sizes)
+    packed = np.packbits((np.bincount(at, minlength=int(wide.sum())) & 1).astype("uint8"), bitorder="little").tobytes()
+    return [packed[a:b] for a, b in zip((first // 8).tolist(), ((first + wide) // 8).tolist())]
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, the longer one folded to the shorter one's bits."""
+    one, other = (np.frombuffer(b, "uint64") for b in (x, y))
+    least = min(len(one), len(other))
+    folded = (np.bitwise_xor.reduce(b.reshape(-1, least), axis=0) for b in (one, other))
+    return int(np.bitwise_count(np.bitwise_xor(*folded)).sum())
+
+
 def _sets(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, n, set) of the documents, and the counters of rarity (chunk, counts)."""
+    """Rows (doc_id, n, set, bits) of the documents, and the counters of rarity (chunk, counts)."""
     def scan(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, "uint32")
         for batch in found:
-            sizes, ids = [], []
+            sizes, ids, bits = [], [], []
             for sets in shingle_sets((t.as_py() for t in batch.column(1)), words):
                 np.add.at(counts, (np.concatenate(sets) >> np.uint64(64 - COUNTER_BITS)).astype("int64"), np.uint32(1))
                 sizes += [len(s) for s in sets]
-                ids += [set_id(s) if len(s) else None for s in sets]
+                ids += set_ids(sets)
+                bits += bitmaps(sets)
             n, id_type = len(sizes), batch.column(0).type
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, "int32"), pa.array(ids, "int64"),
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, "int32"), pa.array(ids, "int64"), pa.array(bits, "binary"),
                                               pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=names)
         if counts.any():
             parts = [zlib.compress(c.tobytes(), 1) for c in counts.reshape(CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()),
+            yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int32()), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.binary()),
                                               pa.array(range(CHUNKS), "int32"), pa.array(parts, "binary")], names=names)
 
-    names = ["doc_id", "n", "set", "chunk", "counts"]
+    names = ["doc_id", "n", "set", "bits", "chunk", "counts"]
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n int, set long, chunk int, counts binary")
+    return narrow.mapInArrow(scan, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n int, set long, bits binary, chunk int, counts binary")
 
 
 def _rarity(scanned: DataFrame) -> np.ndarray:
@@ -139,7 +160,7 @@ def _entries(docs: DataFrame, rarity: np.ndarray, boundary: int, words: int, num
     def enter(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for sets in shingle_sets((t.as_py() for t in batch.column(0)), words):
-                rows = [(key, c, set_id(s), len(s)) for s in sets if len(s) for key, c in entered(s)]
+                rows = [(key, c, name, len(s)) for s, name in zip(sets, set_ids(sets)) if len(s) for key, c in entered(s)]
                 if rows:
                     sizes = [len(key) for key, *_ in rows]
                     yield pa.RecordBatch.from_arrays([
@@ -150,6 +171,22 @@ def _entries(docs: DataFrame, rarity: np.ndarray, boundary: int, words: int, num
     return docs.where(F.col(id_col).isNotNull()).select(text_col).mapInArrow(enter, "key long, c int, set long, n int, pos int")
 
 
+def _may_share(classes: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose bitmaps differ in no more bits than linked
+    sets may. It leaves out only pairs that can't link, so few texts travel."""
+    def test(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            sizes, bits = (zip(batch.column(i).to_pylist(), batch.column(i + 1).to_pylist()) for i in (2, 4))
+            ok = [least_difference(x, y) <= m + n - 2 * shared_least(m, n, num, den) for (m, x), (n, y) in zip(sizes, bits)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, "bool"))
+
+    def side(end: str) -> DataFrame:
+        return classes.select(F.col("set").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    return stored(both.mapInArrow(test, "a long, b long"), "may-share")
+
+
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, num: int, den: int, id_col: str, text_col: str) -> DataFrame:
     """Pairs (a, b) of classes with whether they link, counted on the whole
     sets of one text each. Texts travel rather than their larger sets, and a
@@ -231,7 +268,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, scanned: DataFrame, words:
     proposed = lists.alias("m").join(hubs, ["key", "band"]).select("m.*", F.explode(of_list).alias("h")).alias("m")
     stars = proposed.select(F.struct("set", "n", "pos").alias("x"), F.col("h").alias("y")).where("x.set != y.set").where(_may_link("x", "y", num, den))
     stars = stored(stars.select(*_ordered("x.set", "y.set")).distinct(), "stars")
-    verified = _verified(docs, classes, stars, words, num, den, id_col, text_col)
+    verified = _verified(docs, classes, _may_share(classes, stars, num, den), words, num, den, id_col, text_col)
     links = verified.where("linked").select("a", "b").unionByName(small)
     roots = connected_components(links)
 
@@ -245,10 +282,10 @@ def class_roots(docs: DataFrame, classes: DataFrame, scanned: DataFrame, words:
     discard(placed)
     across = (unjoined.where("root != main").alias("x").join(unjoined.alias("y"), "key")
               .where((F.col("x.root") != F.col("y.root")) & _may_link("x", "y", num, den)).select(*_ordered("x.set", "y.set")).distinct())
-    across = stored(across.join(verified.select("a", "b"), ["a", "b"], "left_anti"), "across")
+    across = stored(across.join(stars.select("a", "b"), ["a", "b"], "left_anti"), "across")
     discard(unjoined)
     release(docs.sparkSession)
-    more = _verified(docs, classes, across, words, num, den, id_col, text_col).where("linked").select("a", "b")
+    more = _verified(docs, classes, _may_share(classes, across, num, den), words, num, den, id_col, text_col).where("linked").select("a", "b")
     return connected_components(links.unionByName(more))
 
 
@@ -257,9 +294,9 @@ def jaccard_components(docs: DataFrame, words: int = 4, num: int = 85, den: int
     """doc_id, n_shingles and component_id of every row: documents link at a
     Jaccard similarity of ``num / den`` and more of their sets of shingles."""
     scanned = stored(_sets(docs, words, id_col, text_col), "sets")
-    rows = scanned.where(F.col("chunk").isNull()).select("doc_id", "n", "set")
+    rows = scanned.where(F.col("chunk").isNull()).select("doc_id", "n", "set", "bits")
     usable = rows.where(F.col("set").isNotNull() & F.col("doc_id").isNotNull())
-    classes = stored(usable.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "classes")
+    classes = stored(usable.groupBy("set").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bits").alias("bits")), "classes")
     roots = class_roots(docs, classes, scanned, words, num, den, id_col, text_col)
     of_class = classes.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     smallest = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -176,6 +176,22 @@ def test_jaccard_against_all_pairs(spark, words, num):
     assert jaccard.jaccard_components(empty(spark), words, num, 100).count() == 0
 
 
+def test_bitmaps_leave_out_only_sets_that_cannot_link(spark):
+    rng = np.random.default_rng(11)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype="uint64")) for n in (0, 1, 5, 60, 130, 900, 3000)]
+    near = [np.unique(np.concatenate([s[: int(len(s) * 0.95)], rng.integers(0, 2**63, len(s) // 30, dtype="uint64")])) for s in sets]
+    sets += [*near, *(np.unique(rng.integers(0, 2**63, n, dtype="uint64")) for n in (60, 130, 900, 3000))]
+    maps = jaccard.bitmaps(sets)
+    for (a, x), (b, y) in combinations(zip(sets, maps), 2):
+        assert jaccard.least_difference(x, y) <= len(np.setxor1d(a, b))
+    classes = spark.createDataFrame([(i, len(s), bytearray(m)) for i, (s, m) in enumerate(zip(sets, maps))], "set long, n int, bits binary")
+    pairs = [(a, b) for a, b in combinations(range(len(sets)), 2) if min(len(sets[a]), len(sets[b])) >= 0.85 * max(len(sets[a]), len(sets[b]), 1)]
+    got = {tuple(r) for r in jaccard._may_share(classes, spark.createDataFrame(pairs, "a long, b long"), 85, 100).collect()}
+    linked = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= got and len(linked) >= 4
+    assert got == linked  # texts of unlike sets don't travel
+
+
 def test_words_that_differ_in_a_pattern_stay_apart(spark):
     """Words of 1,024 letters that agree under every polynomial modulo 2^64."""
     signs = [bin(i).count("1") % 2 for i in range(1024)]
