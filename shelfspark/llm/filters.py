@@ -38,10 +38,9 @@ class BitFilter:
         return self._table
 
 
-def _slots(hashes: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Slots of the hashes inside their chunk."""
-    for odd in PROBES:
-        yield (hashes * np.uint64(odd)) >> np.uint64(64 - (bits - 6))
+def _slot(hashes: np.ndarray, odd: int, bits: int) -> np.ndarray:
+    """Slot of the hashes inside their chunk, by one of PROBES."""
+    return (hashes * np.uint64(odd)) >> np.uint64(64 - (bits - 6))
 
 
 def bit_filter(hashes: DataFrame, bits: int) -> BitFilter:
@@ -55,7 +54,7 @@ def bit_filter(hashes: DataFrame, bits: int) -> BitFilter:
             chunk = (h >> np.uint64(58)).astype("int64")
             for c in np.unique(chunk).tolist():
                 table = tables.setdefault(c, np.zeros(size, "uint8"))
-                for slot in _slots(h[chunk == c], bits):
+                for slot in (_slot(h[chunk == c], odd, bits) for odd in PROBES):
                     np.bitwise_or.at(table, (slot >> np.uint64(3)).astype("int64"), np.uint8(1) << (slot & np.uint64(7)).astype("uint8"))
         for c, table in tables.items():
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], "int32"), "bits": pa.array([zlib.compress(table.tobytes(), 1)], "binary")})
@@ -67,11 +66,13 @@ def bit_filter(hashes: DataFrame, bits: int) -> BitFilter:
 
 def in_filter(found: BitFilter, hashes: np.ndarray) -> np.ndarray:
     """Which unsigned hashes can be in the filter."""
-    base = (hashes >> np.uint64(58)) << np.uint64(found.bits - 6)
-    out = np.ones(len(hashes), bool)
-    for slot in _slots(hashes, found.bits):
-        at = base + slot
-        out &= (found.table[(at >> np.uint64(3)).astype("int64")] >> (at & np.uint64(7)).astype("uint8") & 1).astype(bool)
+    left = np.arange(len(hashes))
+    for odd in PROBES:
+        some = hashes[left]  # only those that no probe has ruled out
+        at = ((some >> np.uint64(58)) << np.uint64(found.bits - 6)) + _slot(some, odd, found.bits)
+        left = left[(found.table[(at >> np.uint64(3)).astype("int64")] >> (at & np.uint64(7)).astype("uint8") & 1).astype(bool)]
+    out = np.zeros(len(hashes), bool)
+    out[left] = True
     return out
 
 

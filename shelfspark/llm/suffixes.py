@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +45,25 @@ COVER = 91
 RESIDUES = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 THIN = 32  # one of so many suffixes is compared in the first step
 FILTER_BITS = 27  # of each of the three filters: a fixed size
+KEPT_POWERS = 1 << 21  # powers of the base that a worker keeps, at most
 _BASE = 0x5851F42D4C957F2D
 
 
+_up, _down = powers(1), powers(1)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` powers of the base and of its inverse; those of usual batches are kept."""
+    global _up, _down
+    if n <= len(_up):
+        return _up[:n], _down[:n]
+    kept = max(n, KEPT_POWERS)
+    up, down = powers(kept), powers(kept, pow(_BASE, -1, 2**64))
+    if kept == KEPT_POWERS:
+        _up, _down = up, down
+    return up[:n], down[:n]
+
+
 def cover_places(n: int) -> np.ndarray:
     """Places below ``n`` whose remainder is in the cover."""
     if n <= 0:
@@ -61,28 +78,39 @@ class Hasher:
 
     def __init__(self, texts: list[bytes]):
         raw = np.frombuffer(b"".join(texts), "uint8")
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        up = powers(max(len(raw), 1))
-        self.sums = np.concatenate([np.zeros(1, "uint64"), np.cumsum((raw.astype("uint64") + np.uint64(1)) * up[:len(raw)], dtype="uint64")])
-        self.down = powers(max(len(raw), 1), pow(_BASE, -1, 2**64))
+        self.sizes = np.array([len(t) for t in texts], "int64")
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        up, self.down = _powers(max(len(raw), 1))
+        self.sums = np.zeros(len(raw) + 1, "uint64")
+        np.add(raw, np.uint64(1), out=self.sums[1:])
+        self.sums[1:] *= up[:len(raw)]
+        np.cumsum(self.sums, out=self.sums)
 
     def at(self, places: np.ndarray, length: int) -> np.ndarray:
         return mix((self.sums[places + length] - self.sums[places]) * self.down[places] + np.uint64(length))
 
-
-def open_places(hasher: Hasher, i: int, n: int, repeated: BitFilter, length: int) -> np.ndarray:
-    """Suffixes of text ``i`` that a repeated sample leaves open, in order."""
-    if n < length:
-        return np.zeros(0, "int64")
-    part = length - COVER + 1
-    sample = cover_places(n - part + 1)
-    hit = sample[in_filter(repeated, hasher.at(hasher.starts[i] + sample, part))]
-    if not len(hit):
-        return hit
-    change = np.zeros(n - length + 2, "int32")
-    np.add.at(change, np.minimum(np.maximum(hit - COVER + 1, 0), n - length + 1), 1)
-    np.add.at(change, np.minimum(hit + 1, n - length + 1), -1)
-    return np.flatnonzero(np.cumsum(change[:-1]))
+    def sample(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cover places of the texts of ``length`` bytes and more where the part of
+        a string fits that the cover decides, and the texts they are in."""
+        most = np.where(self.sizes >= length, self.sizes - (length - COVER), 0)  # places of a text
+        places = cover_places(int(most.max(initial=0)))
+        n = np.searchsorted(places, most)
+        owner = np.repeat(np.arange(len(n)), n)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        return self.starts[owner] + places[inside], owner
+
+
+def open_places(hasher: Hasher, repeated: BitFilter, length: int) -> np.ndarray:
+    """Suffixes of a batch of texts that a repeated sample leaves open, in order
+    (places in the array of all texts)."""
+    sample, owner = hasher.sample(length)
+    hit = in_filter(repeated, hasher.at(sample, length - COVER + 1))
+    sample, owner = sample[hit], owner[hit]
+    last = hasher.starts[owner] + hasher.sizes[owner] - length
+    change = np.zeros(int(hasher.starts[-1]) + 2, "int32")
+    np.add.at(change, np.maximum(sample - COVER + 1, hasher.starts[owner]), 1)
+    np.add.at(change, np.minimum(sample, last) + 1, -1)
+    return np.flatnonzero(np.cumsum(change))
 
 
 def covered(found: np.ndarray, n: int, length: int) -> np.ndarray:
@@ -97,29 +125,24 @@ def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
     return ((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(column))
 
 
-def _per_text(handle: Callable[[Hasher, int, int, int], np.ndarray | None]):
-    """mapInArrow over (row, text, ...): handle(hasher, i, n, index in the
-    batch) gives places, which come out as (hash of length bytes, row, place)."""
+def _per_batch(handle: Callable[[Hasher, pa.RecordBatch, int], np.ndarray]):
+    """mapInArrow over (row, text, ...): handle(hasher, batch, index of the hasher's
+    first text in it) gives places, which come out as (hash of length bytes, row, place)."""
     def run(found: Iterator[pa.RecordBatch], length: int, keep: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         for batch in found:
             rows, index = batch.column(0).to_numpy(zero_copy_only=False), 0
             for part in batches(_texts(batch)):
-                hasher, hashes, owners, places = Hasher(part), [], [], []
-                for i, t in enumerate(part):
-                    p = handle(hasher, i, len(t), index + i, batch)
-                    if p is None or not len(p):
-                        continue
-                    h = hasher.at(hasher.starts[i] + p, length)
-                    if keep is not None:
-                        ok = keep(h)
-                        h, p = h[ok], p[ok]
-                    hashes.append(h)
-                    owners.append(np.full(len(p), rows[index + i]))
-                    places.append(p)
+                hasher = Hasher(part)
+                p = handle(hasher, batch, index)
+                h = hasher.at(p, length)
+                if keep is not None:
+                    ok = keep(h)
+                    h, p = h[ok], p[ok]
+                if len(p):
+                    owner = np.searchsorted(hasher.starts, p, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(rows[index + owner]),
+                                                      pa.array((p - hasher.starts[owner]).astype("int32"))], names=["h", "row", "place"])
                 index += len(part)
-                if hashes:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view("int64")), pa.array(np.concatenate(owners)),
-                                                      pa.array(np.concatenate(places).astype("int32"))], names=["h", "row", "place"])
     return run
 
 
@@ -140,18 +163,18 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in found:
             for texts in batches(_texts(batch)):
                 hasher = Hasher(texts)
-                places = [hasher.starts[i] + cover_places(len(t) - part + 1) for i, t in enumerate(texts) if len(t) >= length]
-                if places:
-                    yield pa.RecordBatch.from_arrays([pa.array(hasher.at(np.concatenate(places), part).view("int64"))], names=["h"])
+                places, _ = hasher.sample(length)
+                if len(places):
+                    yield pa.RecordBatch.from_arrays([pa.array(hasher.at(places, part).view("int64"))], names=["h"])
 
     repeated = sc.broadcast(bit_filter(_repeats(docs.mapInArrow(sample, "h long")), FILTER_BITS))
     release(spark)
 
-    def open_of(hasher, i, n, index, batch):
-        return open_places(hasher, i, n, repeated.value, length)
+    def open_of(hasher, batch, index):
+        return open_places(hasher, repeated.value, length)
 
     def thin(found):
-        return _per_text(open_of)(found, length, lambda h: (h & np.uint64(THIN - 1)) == 0)
+        return _per_batch(open_of)(found, length, lambda h: (h & np.uint64(THIN - 1)) == 0)
 
     schema = "h long, row long, place int"
     first = stored(docs.mapInArrow(thin, schema), "thin-suffixes")
@@ -160,25 +183,29 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
 
     def unsure(found):
-        def left(hasher, i, n, index, batch):
-            places = open_places(hasher, i, n, repeated.value, length)
-            known = batch.column(2)[index].values if batch.num_columns > 2 and batch.column(2)[index].is_valid else None
-            if known is None or not len(places):
+        def left(hasher, batch, index):
+            places = open_places(hasher, repeated.value, length)
+            if batch.num_columns < 3 or not len(places):
                 return places
-            done = np.concatenate([[0], np.cumsum(covered(known.to_numpy().astype("int64"), n, length))])
+            lists = batch.column(2).slice(index, len(hasher.sizes))
+            known = lists.flatten().to_numpy().astype("int64") + np.repeat(hasher.starts[:-1], pa.compute.list_value_length(lists).fill_null(0).to_numpy())
+            done = np.concatenate([[0], np.cumsum(covered(known, int(hasher.starts[-1]), length))])
             return places[done[places + length] - done[places] < length]
-        return _per_text(left)(found, length, None)
+
+        # a filter asks which hashes there are, so equal ones of a batch are one
+        for batch in _per_batch(left)(found, length, None):
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(batch.column(0).to_numpy()))], names=["h"])
 
     # only documents with a place of the first step are shuffled to meet them
     has = row_filter(sure, "row")
-    plain = docs.where(~has).mapInArrow(unsure, schema)
-    met = docs.where(has).join(sure, "row", "left").select("row", "text", "places").mapInArrow(unsure, schema)
-    asked = sc.broadcast(bit_filter(plain.select("h").union(met.select("h")), FILTER_BITS))
+    plain = docs.where(~has).mapInArrow(unsure, "h long")
+    met = docs.where(has).join(sure, "row", "left").select("row", "text", "places").mapInArrow(unsure, "h long")
+    asked = sc.broadcast(bit_filter(plain.union(met), FILTER_BITS))
     release(spark)
 
     # their hashes alone first; places only for those that do stand twice
     def asked_hashes(found):
-        for batch in _per_text(open_of)(found, length, lambda h: in_filter(asked.value, h)):
+        for batch in _per_batch(open_of)(found, length, lambda h: in_filter(asked.value, h)):
             yield batch.select(["h"])
 
     twice = stored(_repeats(docs.mapInArrow(asked_hashes, "h long")), "dense-repeats")
@@ -187,7 +214,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     release(spark)
 
     def dense(found):
-        return _per_text(open_of)(found, length, lambda h: in_filter(twice_bits.value, h))
+        return _per_batch(open_of)(found, length, lambda h: in_filter(twice_bits.value, h))
 
     more = docs.mapInArrow(dense, schema).join(twice, "h").groupBy("row").agg(F.collect_set("place").alias("places"))
     both = stored(sure.unionByName(more), "repeated-places")

@@ -262,6 +262,41 @@ def test_suffix_dedup_against_all_windows(spark, length):
     assert suffixes.cut_repeats(empty(spark), length).count() == 0
 
 
+def test_open_places_of_a_batch_against_each_text():
+    rng = random.Random(12)
+    length, piece = 400, lambda n: bytes(rng.choice(b"abcdef") for _ in range(n))
+    shared = piece(900)
+    texts = [b"", piece(399), shared[:400], piece(300) + shared, b"", shared + piece(200), piece(1000), shared[200:] + b"x", b""]
+    hasher = suffixes.Hasher(texts)
+    hashes, n = np.unique(hasher.at(hasher.sample(length)[0], length - suffixes.COVER + 1), return_counts=True)
+    table = np.zeros(1 << 17, "uint8")
+    for h in hashes[n > 1]:
+        for odd in filters.PROBES:
+            at = ((int(h) >> 58) << 14) + int(filters._slot(np.array([h]), odd, 20)[0])
+            table[at >> 3] |= 1 << (at & 7)
+    repeated = filters.BitFilter(20, {})
+    repeated._table = table
+    got = set(suffixes.open_places(hasher, repeated, length).tolist())
+    for i, t in enumerate(texts):
+        alone, start = suffixes.Hasher([t]), int(hasher.starts[i])
+        own = suffixes.open_places(alone, repeated, length)
+        assert {start + int(p) for p in own} == {p for p in got if start <= p < start + len(t)}
+        assert alone.at(own, length).tolist() == hasher.at(own + start, length).tolist()
+    seen = Counter(t[i:i + length] for t in texts for i in range(len(t) - length + 1))
+    want = {int(hasher.starts[k]) + i for k, t in enumerate(texts) for i in range(len(t) - length + 1) if seen[t[i:i + length]] > 1}
+    assert want and want <= got
+
+
+def test_planted_passages_are_told_by_what_is_removed(spark):
+    rng = random.Random(13)
+    passage = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(60))
+    shared = [passage() for _ in range(10)]
+    texts = [f"{passage()} {shared[i % 10]} {passage()}" for i in range(20)] + [passage() + passage() for _ in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: sum(s.end - s.start for s in r.spans) for r in suffixes.cut_repeats(docs).collect()}
+    assert all((got[i] >= 479) == (i < 20) and (got[i] == 0) == (i >= 20) for i in range(40))
+
+
 def test_cover_has_every_difference():
     r = suffixes.RESIDUES
     assert {(a - b) % suffixes.COVER for a in r for b in r} == set(range(suffixes.COVER))
