@@ -20,16 +20,20 @@ repeated rows score alike; other columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.llm.common import labelled_sample, stored
+from shelfspark.llm.shingles import BATCH_BYTES
 
 MAX_LABELLED = 20_000
 MAX_WORDS = 4_000  # vocabulary
@@ -52,19 +56,31 @@ class Model:
 def _counted(words: dict[str, int], texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, column and value, log(1 + count), of the sparse features: words,
     and the stems (first letters) of longer words, which end in ``*``."""
-    row, col, val, get = [], [], [], words.get
+    row, col, val, get = array("q"), array("q"), array("q"), words.get
     for i, text in enumerate(texts):
         found: dict[int, int] = {}
         for word, n in Counter(_WORD.findall((text or "").lower())).items():
             for name in (word, *[word[:k] + "*" for k in STEMS if len(word) > k]):
                 if at := get(name):
                     found[at] = found.get(at, 0) + n
-        row += [i] * len(found)
-        col += found.keys()
-        val += found.values()
+        row.extend(repeat(i, len(found)))
+        col.extend(found.keys())
+        val.extend(found.values())
     return np.array(row, "int64"), np.array(col, "int64") - 1, np.log1p(np.array(val, "float64"))
 
 
+def _pieces(found: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches in runs of rows with about ``BATCH_BYTES`` of text in ``column``,
+    so that a worker's memory doesn't follow the size of Spark's batches."""
+    for batch in found:
+        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        run = np.cumsum(sizes + 1, dtype="int64") // BATCH_BYTES
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield batch.slice(a, b - a)
+
+
 def vocabulary(sample: DataFrame) -> list[tuple[str, float]]:
     """Words by the z value of their log odds of standing in a toxic text."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
@@ -128,7 +144,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     shared = sample.sparkSession.sparkContext.broadcast(words)
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _pieces(batches, 1):
             texts = batch.column(1).to_pylist()
             row, col, val = _counted(shared.value, texts)
             ends = np.searchsorted(row, np.arange(len(texts) + 1))
@@ -157,17 +173,18 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = keep or [id_col]
     n_kept = len(kept)
+    at = kept.index(text_col) if text_col in kept else n_kept  # a text that is kept isn't sent twice
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for batch in batches:
+        for batch in _pieces(batches, at):
             n = batch.num_rows
             p = np.zeros((n, 1))
             if len(m.weights):
-                row, col, val = _counted(m.words, batch.column(n_kept).to_pylist())
+                row, col, val = _counted(m.words, batch.column(at).to_pylist())
                 total = np.bincount(row, weights=val * m.weights[col], minlength=n)
                 p = 1 / (1 + np.exp(np.clip(m.thresholds[None, :] - total[:, None], -700, 700)))
-            texts = batch.column(n_kept)
+            texts = batch.column(at)
             given = np.array([bool(t) for t in texts.is_valid().to_pylist()], bool)
             made = [pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p[:, 0] >= 0.5) & given)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *made], names=names)
@@ -175,7 +192,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     fields = [docs.schema[c] for c in kept]
     names = [f"k{i}" for i in range(n_kept)] + ["severity", "p_toxic", "toxic"]
     schema = ", ".join([f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)])
-    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], F.col(text_col).alias("text"))
+    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)], *([F.col(text_col).alias("text")] if at == n_kept else []))
     out = narrow.mapInArrow(predict, f"{schema}, severity double, p_toxic double, toxic boolean")
     return out.withColumnsRenamed({f"k{i}": c for i, c in enumerate(kept)})
 

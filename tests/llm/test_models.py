@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from helpers import awkward, empty
@@ -150,3 +151,21 @@ def test_shallow_tree_finds_the_step():
     g, h = np.array([1.0, 1, 1, -1, -1]) * 100, np.ones(5) * 100
     values = quality.shallow_tree(g, h, 2)
     assert (values[:3] < 0).all() and (values[3:] > 0).all() and len(set(np.round(values, 9))) == 2
+
+
+def test_a_batch_is_scored_in_runs_of_bounded_size():
+    texts = [None, "", *["word " * n for n in (10, 300_000, 90_000, 90_000, 90_000, 5)], None]
+    batch = pa.RecordBatch.from_pydict({"k0": pa.array(range(len(texts))), "text": pa.array(texts)})
+    parts = list(toxicity._pieces(iter([batch, batch.slice(0, 0)]), 1))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    sizes = [[len(t or "") for t in p.column(1).to_pylist()] for p in parts]
+    assert len(parts) == 3 and all(sum(s) - max(s) <= toxicity.BATCH_BYTES for s in sizes)
+
+
+def test_a_kept_text_is_sent_to_the_model_once(spark):
+    docs = spark.createDataFrame([(1, "x" * 50, "en"), (2, None, None)], "doc_id long, text string, lang string")
+    out = toxicity.score(docs, toxicity.Model(), keep=docs.columns)
+    assert out.columns == [*docs.columns, "severity", "p_toxic", "toxic"] and out.drop("severity", "p_toxic", "toxic").exceptAll(docs).isEmpty()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    sent = next(x for x in plan.splitlines() if "Project" in x)
+    assert sent.count("AS ") == len(docs.columns)
