@@ -16,9 +16,13 @@ deals out) of the suffixes' first ``length`` bytes:
    all suffixes of equal string: hashes alone first, then the places of those
    that stand more than once.
 
-The sample's result and the dense questions travel as bit filters of fixed
-size: they only leave out suffixes that can have no equal, and a full filter
-costs rows, never results. Hashes are 64 bits of the whole string.
+The sample's result and the dense questions travel as bit filters: they only
+leave out suffixes that can have no equal, so false hits cost rows, never results.
+A false hit of the sample opens ``COVER`` suffixes, so that filter grows with the
+repeated samples (``BITS_A_KEY``) up to a size that a worker can hold; with more
+of them its hits are joined with the repeated samples, which leaves no false one.
+The other filters have a fixed size, as they only choose among open suffixes.
+Hashes are 64 bits of the whole string.
 
 Defined cases: null and empty texts have no bytes and lose none; equal rows
 are each other's repeats; rows are told apart by a hash of id and text; an
@@ -32,10 +36,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.llm.common import release, stored
+from shelfspark.llm.common import discard, release, stored
 from shelfspark.llm.filters import BitFilter, bit_filter, in_filter, row_filter
 from shelfspark.llm.shingles import batches, mix, powers
 
@@ -44,7 +49,8 @@ COVER = 91
 # fixed values: a perfect difference set, every remainder below COVER is a difference of two of them
 RESIDUES = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 THIN = 32  # one of so many suffixes is compared in the first step
-FILTER_BITS = 27  # of each of the three filters: a fixed size
+FILTER_BITS = 27  # of each of the three filters, at least
+BITS_A_KEY, MOST_BITS = 64, 30  # of the filter of repeated samples
 KEPT_POWERS = 1 << 21  # powers of the base that a worker keeps, at most
 _BASE = 0x5851F42D4C957F2D
 
@@ -100,12 +106,28 @@ class Hasher:
         return self.starts[owner] + places[inside], owner
 
 
+def filter_bits(n: int) -> int:
+    """Size of the filter of ``n`` repeated samples: its share of false hits stays
+    the same however many there are, as long as ``MOST_BITS`` hold them."""
+    return min(max(FILTER_BITS, (BITS_A_KEY * n - 1).bit_length()), max(MOST_BITS, FILTER_BITS))
+
+
+def hits(hasher: Hasher, repeated: BitFilter, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled places whose string may be repeated, the texts they are in, and their hashes."""
+    sample, owner = hasher.sample(length)
+    h = hasher.at(sample, length - COVER + 1)
+    hit = in_filter(repeated, h)
+    return sample[hit], owner[hit], h[hit]
+
+
 def open_places(hasher: Hasher, repeated: BitFilter, length: int) -> np.ndarray:
     """Suffixes of a batch of texts that a repeated sample leaves open, in order
     (places in the array of all texts)."""
-    sample, owner = hasher.sample(length)
-    hit = in_filter(repeated, hasher.at(sample, length - COVER + 1))
-    sample, owner = sample[hit], owner[hit]
+    return open_around(hasher, *hits(hasher, repeated, length)[:2], length)
+
+
+def open_around(hasher: Hasher, sample: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Suffixes that repeated samples, in any order, leave open."""
     last = hasher.starts[owner] + hasher.sizes[owner] - length
     change = np.zeros(int(hasher.starts[-1]) + 2, "int32")
     np.add.at(change, np.maximum(sample - COVER + 1, hasher.starts[owner]), 1)
@@ -125,6 +147,13 @@ def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
     return ((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(column))
 
 
+def _listed(hasher: Hasher, batch: pa.RecordBatch, index: int, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places of a column of lists, in the array of the hasher's texts, and the texts they are in."""
+    lists = batch.column(column).slice(index, len(hasher.sizes))
+    owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).fill_null(0).to_numpy())
+    return lists.flatten().to_numpy().astype("int64") + hasher.starts[owner], owner
+
+
 def _per_batch(handle: Callable[[Hasher, pa.RecordBatch, int], np.ndarray]):
     """mapInArrow over (row, text, ...): handle(hasher, batch, index of the hasher's
     first text in it) gives places, which come out as (hash of length bytes, row, place)."""
@@ -151,6 +180,23 @@ def _repeats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 
+def with_samples(docs: DataFrame, keys: DataFrame, repeated: Broadcast, length: int) -> DataFrame:
+    """``docs`` and the places of each row's sample that are repeated (samples), none of them false."""
+    def hit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            rows, index = batch.column(0).to_numpy(zero_copy_only=False), 0
+            for texts in batches(_texts(batch)):
+                hasher = Hasher(texts)
+                places, owner, h = hits(hasher, repeated.value, length)
+                if len(places):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view("int64")), pa.array(rows[index + owner]),
+                                                      pa.array((places - hasher.starts[owner]).astype("int32"))], names=["h", "row", "place"])
+                index += len(texts)
+
+    true = docs.mapInArrow(hit, "h long, row long, place int").join(keys, "h", "left_semi")
+    return stored(docs.join(true.groupBy("row").agg(F.collect_set("place").alias("samples")), "row", "left"), "sampled-texts")
+
+
 def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """row, places: suffixes (in no order) whose first ``length`` bytes also start
     elsewhere, enough of them to cover all that such strings cover. ``docs``
@@ -167,10 +213,20 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 if len(places):
                     yield pa.RecordBatch.from_arrays([pa.array(hasher.at(places, part).view("int64"))], names=["h"])
 
-    repeated = sc.broadcast(bit_filter(_repeats(docs.mapInArrow(sample, "h long")), FILTER_BITS))
+    keys = stored(_repeats(docs.mapInArrow(sample, "h long")), "repeated-samples")
+    release(spark)
+    n = keys.count()
+    bits = filter_bits(n)
+    repeated = sc.broadcast(bit_filter(keys, bits))
+    exact = BITS_A_KEY * n > 1 << bits
+    if exact:
+        docs = with_samples(docs, keys, repeated, length)
+    discard(keys)
     release(spark)
 
     def open_of(hasher, batch, index):
+        if exact:
+            return open_around(hasher, *_listed(hasher, batch, index, "samples"), length)
         return open_places(hasher, repeated.value, length)
 
     def thin(found):
@@ -184,11 +240,10 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def unsure(found):
         def left(hasher, batch, index):
-            places = open_places(hasher, repeated.value, length)
-            if batch.num_columns < 3 or not len(places):
+            places = open_of(hasher, batch, index)
+            if "places" not in batch.schema.names or not len(places):
                 return places
-            lists = batch.column(2).slice(index, len(hasher.sizes))
-            known = lists.flatten().to_numpy().astype("int64") + np.repeat(hasher.starts[:-1], pa.compute.list_value_length(lists).fill_null(0).to_numpy())
+            known, _ = _listed(hasher, batch, index, "places")
             done = np.concatenate([[0], np.cumsum(covered(known, int(hasher.starts[-1]), length))])
             return places[done[places + length] - done[places] < length]
 
@@ -199,7 +254,7 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # only documents with a place of the first step are shuffled to meet them
     has = row_filter(sure, "row")
     plain = docs.where(~has).mapInArrow(unsure, "h long")
-    met = docs.where(has).join(sure, "row", "left").select("row", "text", "places").mapInArrow(unsure, "h long")
+    met = docs.where(has).join(sure, "row", "left").select(*docs.columns, "places").mapInArrow(unsure, "h long")
     asked = sc.broadcast(bit_filter(plain.union(met), FILTER_BITS))
     release(spark)
 

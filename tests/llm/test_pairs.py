@@ -297,6 +297,33 @@ def test_planted_passages_are_told_by_what_is_removed(spark):
     assert all((got[i] >= 479) == (i < 20) and (got[i] == 0) == (i >= 20) for i in range(40))
 
 
+def test_filter_of_repeated_samples_grows_with_them():
+    assert [suffixes.filter_bits(n) for n in (0, 1, 1_160_000, 2 << 20, 5_823_826, 12_000_000, 10**9)] == [27, 27, 27, 27, 29, 30, 30]
+
+
+@pytest.mark.parametrize("most", [30, 12])
+def test_false_hits_of_a_full_filter_open_no_suffixes(spark, monkeypatch, most):
+    """By a filter that grows, or by a join of its hits where it must not grow."""
+    rng = random.Random(17)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    # 200 repeats of 395 bytes are repeated samples without a string of 400, one of 450 has some
+    short, long = [text(395) for _ in range(200)], text(450)
+    texts = [x for s in short for x in (f"{text(29)}1{s}2{text(29)}", f"{text(29)}3{s}4{text(29)}")] + [text(300) + long, long + text(300)] + [text(2000) for _ in range(100)]
+    docs = awkward(spark, texts).where("doc_id is not null").dropDuplicates(["doc_id"])
+    want = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixes.cut_repeats(docs).collect()}
+    assert {i for i, spans in want.items() if spans} == {400, 401}
+
+    counts = []
+    inner = suffixes.bit_filter
+    monkeypatch.setattr(suffixes, "bit_filter", lambda h, bits: counts.append(h.count()) or inner(h, bits))
+    monkeypatch.setattr(suffixes, "FILTER_BITS", 12)
+    monkeypatch.setattr(suffixes, "MOST_BITS", most, raising=False)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffixes.cut_repeats(docs).collect()}
+    assert got == want
+    # samples repeated, and suffixes asked for: none of the 100 texts' 160,000, which false hits of so small a filter would open
+    assert counts[0] >= 1500 and counts[1] < 30_000
+
+
 def test_cover_has_every_difference():
     r = suffixes.RESIDUES
     assert {(a - b) % suffixes.COVER for a in r for b in r} == set(range(suffixes.COVER))
