@@ -14,7 +14,12 @@ deals out) of the suffixes' first ``length`` bytes:
    so the inside of every long repeat is covered by these.
 2. Suffixes whose string isn't wholly covered yet are tested densely, against
    all suffixes of equal string: hashes alone first, then the places of those
-   that stand more than once.
+   that stand more than once. Of a run of such places only some are sent, at most
+   ``length`` bytes apart, as they cover what the run covers (``chosen``).
+
+Only texts with open suffixes are read again after the first step. Hashes travel
+packed, one row for each part of a batch (``dealt``), as a row each took most of
+the engine's time.
 
 The sample's result and the dense questions travel as bit filters: they only
 leave out suffixes that can have no equal, so false hits cost rows, never results.
@@ -52,6 +57,8 @@ THIN = 32  # one of so many suffixes is compared in the first step
 FILTER_BITS = 27  # of each of the three filters, at least
 BITS_A_KEY, MOST_BITS = 64, 30  # of the filter of repeated samples
 KEPT_POWERS = 1 << 21  # powers of the base that a worker keeps, at most
+PIECE = 1 << 18  # bytes of texts whose open suffixes are handled at a time, as all of them may be open
+PART_BITS = 9  # of a hash that name the part it is dealt to
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -143,6 +150,24 @@ def covered(found: np.ndarray, n: int, length: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def chosen(rows: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of places in order, row by row: which of them span their runs, neighbours at most
+    ``length`` apart, and whether places next to them in the run are left out. Where both
+    neighbours of such a gap start a repeated string, they cover all that the gap's places can."""
+    same = (rows[1:] == rows[:-1]) & (places[1:] == places[:-1] + 1)
+    first = np.concatenate([[True], ~same])[:len(places)]
+    run = np.cumsum(first) - 1
+    start, size = np.flatnonzero(first), np.bincount(run)
+    at = np.arange(len(places)) - start[run]
+    left = size[run] - 1 - at
+    which = np.flatnonzero((at == 0) | (at % length == min(1, length - 1)) | (left <= 1))
+    skipped = (run[which][1:] == run[which][:-1]) & (np.diff(which) > 1)
+    gap = np.zeros(len(which), bool)
+    gap[1:] |= skipped
+    gap[:-1] |= skipped
+    return which, gap
+
+
 def _texts(batch: pa.RecordBatch, column: int = 1) -> Iterator[bytes]:
     return ((t.as_py() or "").encode("utf-8", "replace") for t in batch.column(column))
 
@@ -160,7 +185,7 @@ def _per_batch(handle: Callable[[Hasher, pa.RecordBatch, int], np.ndarray]):
     def run(found: Iterator[pa.RecordBatch], length: int, keep: Callable[[np.ndarray], np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         for batch in found:
             rows, index = batch.column(0).to_numpy(zero_copy_only=False), 0
-            for part in batches(_texts(batch)):
+            for part in batches(_texts(batch), PIECE):
                 hasher = Hasher(part)
                 p = handle(hasher, batch, index)
                 h = hasher.at(p, length)
@@ -180,6 +205,40 @@ def _repeats(rows: DataFrame) -> DataFrame:
     return rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
 
 
+def dealt(hashes: np.ndarray) -> pa.RecordBatch:
+    """part, hashes: one row for each part that unsigned hashes fall in, theirs as bytes.
+    A hash is in them once, or twice if it stands more often, so a common one stays short."""
+    h = np.sort(hashes)
+    h = h[np.concatenate([np.ones(min(len(h), 2), bool), h[2:] != h[:-2]])]
+    part = (h >> np.uint64(64 - PART_BITS)).astype("int32")
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(h)]]) if len(h) else np.zeros(1, "int64")
+    packed = [h[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(packed, "binary")], names=["part", "hashes"])
+
+
+def repeated_hashes(parts: DataFrame) -> DataFrame:
+    """h: hashes that stand more than once in rows of ``dealt``. A task holds one part at a time."""
+    def repeated(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        h = np.sort(np.frombuffer(b"".join(held), "uint64"))
+        again = h[1:][h[1:] == h[:-1]]
+        if len(again):
+            yield pa.RecordBatch.from_arrays([pa.array(again[np.concatenate([[True], again[1:] != again[:-1]])].view("int64"))], names=["h"])
+
+    def find(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for batch in found:
+            for part, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != last and held:
+                    yield from repeated(held)
+                    held = []
+                last = part
+                held.append(hashes)
+        if held:
+            yield from repeated(held)
+
+    return parts.repartition("part").sortWithinPartitions("part").mapInArrow(find, "h long")
+
+
 def with_samples(docs: DataFrame, keys: DataFrame, repeated: Broadcast, length: int) -> DataFrame:
     """``docs`` and the places of each row's sample that are repeated (samples), none of them false."""
     def hit(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +270,9 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 hasher = Hasher(texts)
                 places, _ = hasher.sample(length)
                 if len(places):
-                    yield pa.RecordBatch.from_arrays([pa.array(hasher.at(places, part).view("int64"))], names=["h"])
+                    yield dealt(hasher.at(places, part))
 
-    keys = stored(_repeats(docs.mapInArrow(sample, "h long")), "repeated-samples")
+    keys = stored(repeated_hashes(docs.mapInArrow(sample, "part int, hashes binary")), "repeated-samples")
     release(spark)
     n = keys.count()
     bits = filter_bits(n)
@@ -230,10 +289,23 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         return open_places(hasher, repeated.value, length)
 
     def thin(found):
-        return _per_batch(open_of)(found, length, lambda h: (h & np.uint64(THIN - 1)) == 0)
+        opened: list[pa.Array] = []
+
+        def of_batch(hasher, batch, index):
+            places = open_of(hasher, batch, index)
+            owner = np.unique(np.searchsorted(hasher.starts, places, "right") - 1)
+            opened.append(batch.column(0).take(pa.array(index + owner)))
+            return places
+
+        yield from _per_batch(of_batch)(found, length, lambda h: (h & np.uint64(THIN - 1)) == 0)
+        for rows in opened:
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), "int64"), rows, pa.nulls(len(rows), "int32")], names=["h", "row", "place"])
 
+    # the thin suffixes, and a row without a hash for every text that has open ones: only these texts are looked at again
     schema = "h long, row long, place int"
-    first = stored(docs.mapInArrow(thin, schema), "thin-suffixes")
+    every = stored(docs.mapInArrow(thin, schema), "thin-suffixes")
+    first = every.where("h is not null")
+    docs = docs.where(row_filter(every.where("h is null"), "row"))
     sure = first.join(stored(_repeats(first), "thin-repeats"), "h").groupBy("row").agg(F.collect_set("place").alias("places"))
     sure = stored(sure, "thin-places")
     release(spark)
@@ -261,9 +333,9 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     # their hashes alone first; places only for those that do stand twice
     def asked_hashes(found):
         for batch in _per_batch(open_of)(found, length, lambda h: in_filter(asked.value, h)):
-            yield batch.select(["h"])
+            yield dealt(batch.column(0).to_numpy().view("uint64"))
 
-    twice = stored(_repeats(docs.mapInArrow(asked_hashes, "h long")), "dense-repeats")
+    twice = stored(repeated_hashes(docs.mapInArrow(asked_hashes, "part int, hashes binary")), "dense-repeats")
     asked.destroy()
     twice_bits = sc.broadcast(bit_filter(twice, FILTER_BITS))
     release(spark)
@@ -271,7 +343,19 @@ def repeated_places(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     def dense(found):
         return _per_batch(open_of)(found, length, lambda h: in_filter(twice_bits.value, h))
 
-    more = docs.mapInArrow(dense, schema).join(twice, "h").groupBy("row").agg(F.collect_set("place").alias("places"))
+    def spanning(found):
+        for batch in dense(found):
+            which, gap = chosen(*(batch.column(c).to_numpy() for c in ("row", "place")), length)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(which)) for c in batch.columns), pa.array(gap)], names=[*batch.schema.names, "gap"])
+
+    # of runs of places, those that span them; the whole runs only where one of these was a false hit
+    spans = docs.mapInArrow(spanning, schema + ", gap boolean").join(twice.withColumn("true", F.lit(True)), "h", "left")
+    spans = stored(spans.groupBy("row").agg(F.collect_set(F.when(F.col("true"), F.col("place"))).alias("places"),
+                                            F.max(F.col("gap") & F.col("true").isNull()).alias("unknown")), "spanning-places")
+    more, unknown = spans.where("not unknown and size(places) > 0").select("row", "places"), spans.where("unknown").select("row")
+    if not unknown.isEmpty():
+        whole = docs.where(row_filter(unknown, "row")).mapInArrow(dense, schema).join(twice, "h")
+        more = more.unionByName(whole.groupBy("row").agg(F.collect_set("place").alias("places")))
     both = stored(sure.unionByName(more), "repeated-places")
     release(spark)
     return both.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))

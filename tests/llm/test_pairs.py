@@ -327,3 +327,55 @@ def test_false_hits_of_a_full_filter_open_no_suffixes(spark, monkeypatch, most):
 def test_cover_has_every_difference():
     r = suffixes.RESIDUES
     assert {(a - b) % suffixes.COVER for a in r for b in r} == set(range(suffixes.COVER))
+
+
+def test_dealt_hashes_find_all_that_stand_twice(spark):
+    """Over batches, tasks and parts; a common hash is sent twice a batch at most."""
+    rng = np.random.default_rng(3)
+    lists = [rng.integers(0, 2**64 - 1, 300, "uint64", endpoint=True) for _ in range(6)]
+    common = np.array([0, 1, 2**64 - 1, 2**55, 2**55 - 1], "uint64")
+    lists += [np.concatenate([lists[0][:20], common]), np.repeat(lists[1][:3], 50), np.tile(common, 40), lists[2][:0]]
+    dealt = [(p, h) for x in lists for p, h in zip(*suffixes.dealt(x).to_pydict().values())]
+    assert sum(len(h) for _, h in dealt) == 8 * (6 * 300 + 25 + 6 + 10)
+    got = [r.h for r in suffixes.repeated_hashes(spark.createDataFrame(dealt, "part int, hashes binary").repartition(5)).collect()]
+    count = Counter(np.concatenate(lists).tolist())
+    assert sorted(np.array(got).astype("int64").view("uint64").tolist()) == sorted(h for h, n in count.items() if n > 1)
+    assert suffixes.repeated_hashes(spark.createDataFrame([], "part int, hashes binary")).count() == 0
+
+
+def test_chosen_places_span_their_runs():
+    rng, length = random.Random(4), 7
+    rows, places = [], []
+    for row in range(40):
+        found = sorted(set().union(*(range(a, a + rng.choice((1, 2, 3, 4, 9, 30))) for a in (rng.randrange(90) for _ in range(3)))))
+        rows += [row] * len(found)
+        places += found
+    rows, places = np.array(rows), np.array(places)
+    which, gap = suffixes.chosen(rows, places, length)
+    assert len(which) < len(places)
+    for row in range(40):
+        every, some = places[rows == row], places[which][rows[which] == row]
+        assert (suffixes.covered(every, 200, length) == suffixes.covered(some, 200, length)).all()
+        next_to = {x for x in some for step in (-1, 1) if x + step in every and x + step not in some}
+        assert next_to == set(some[gap[rows[which] == row]])
+    none = np.zeros(0, "int64")
+    assert [len(x) for x in suffixes.chosen(none, none, length)] == [0, 0]
+
+
+def test_false_hits_among_repeated_suffixes(spark, monkeypatch):
+    """A full filter of dense repeats lets all open suffixes through: runs with a false end are looked at whole."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    shared = [text(n) for n in (400, 401, 430, 900, 1300)]
+    docs = awkward(spark, [text(500) + shared[i % 5] + text(200) + shared[(i + 1) % 5][:450] + text(30) for i in range(10)])
+    spans = lambda: sorted(((r.doc_id, [tuple(s) for s in r.spans]) for r in suffixes.cut_repeats(docs).collect()), key=str)
+    want, asked, inner = spans(), [], suffixes.row_filter
+    sizes = iter((27, 27, 6))  # of the filters, the last one of the dense repeats
+    inner_bits = suffixes.bit_filter
+    monkeypatch.setattr(suffixes, "row_filter", lambda rows, c: asked.append(rows.count()) or inner(rows, c))
+    assert spans() == want
+    few = len(asked)
+    monkeypatch.setattr(suffixes, "THIN", 1 << 40)  # no suffix is compared in the first step
+    monkeypatch.setattr(suffixes, "bit_filter", lambda h, bits: inner_bits(h, 12 if next(sizes) == 6 else bits))
+    assert spans() == want
+    assert len(asked) == 2 * few + 1 and asked[-2] >= 5
